@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, quality, suffix_dedup, token_counts
+from . import decontaminate, minhash, packing, quality, suffix_dedup, token_counts
 from .io import table
 
 
@@ -34,6 +34,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash_near_dedup, op5_suffix_array_dedup, op6_quality_rules, op7_token_counts)}
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash_near_dedup, op5_suffix_array_dedup, op6_quality_rules, op7_token_counts, op9_benchmark_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}

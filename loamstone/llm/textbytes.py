@@ -16,6 +16,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
+#: What is neither an ASCII letter or digit nor part of a longer character.
+SIGNS = np.array([not (b >= 0x80 or chr(b).isalnum()) for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -76,10 +78,10 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
-def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and for each text the number of its first word."""
+def word_bounds(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` (or of runs of bytes not in ``between``), and for each text the number of its first word."""
     inside = np.zeros(len(raw) + 1, bool)
-    inside[:-1] = ~SPACES[raw]
+    inside[:-1] = ~between[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     at = offsets[:-1]
