@@ -1,8 +1,9 @@
-"""Reading tables and cutting lineage in the folder that all executors share."""
+"""Reading tables, and cutting lineage in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,15 +12,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Sets the folder for checkpoints: the one that the session names, or a folder of this machine only where no cluster names one."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one that the session names, or a folder of this machine only where it names none."""
     context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loamstone-checkpoint-"))
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="loamstone-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The same rows, computed now and read again from the shared folder: a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, computed once, written as a table to the shared folder and read from there.
+
+    A lost executor then costs no recomputation of what came before. The table goes when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/loamstone-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,8 +7,8 @@ that agree in a band share a bucket.
 
 Equal sets are folded into one representative first, so groups of copies of any size cost one row. In each bucket the
 members link to one hub, the member that meets most others over all of its buckets, and each link is confirmed on the full sets.
-What stars alone would miss is then looked for among members of one bucket that are still in different components: these
-are compared by their signatures in blocks, and pairs that may reach the threshold are confirmed on the full sets as well.
+What stars alone would miss is then looked for among members of one bucket that are still in different components: their
+full sets meet in pairs of blocks of bounded size, which give one link for each two components, not one for each pair of texts.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from . import textbytes as tb
 from .components import components
 from .io import saved
 
-BINS, ROWS, SLACK = 128, 4, 6.0
+BINS, ROWS = 128, 4
 
 
 def _orders(bins: int) -> np.ndarray:
@@ -84,7 +84,6 @@ def _signed(size: int, bins: int, rows: int):
                 for k in range(rows):
                     band = tb.mix(band * np.uint64(31) + sig[:, k::rows])
                 some = np.array(counts) > 0
-                short = (sig & np.uint64(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
@@ -92,9 +91,8 @@ def _signed(size: int, bins: int, rows: int):
                         pa.array(tb.signed(np.ascontiguousarray(digest[:, 0]))),
                         pa.array(tb.signed(np.ascontiguousarray(digest[:, 1]))),
                         pa.array([tb.signed(b) if s else None for b, s in zip(band, some, strict=True)], pa.list_(pa.int64())),
-                        pa.array([b.tobytes() for b in short], pa.binary()),
                     ],
-                    names=["id", "n", "d1", "d2", "bands", "sig"],
+                    names=["id", "n", "d1", "d2", "bands"],
                 )
 
     return run
@@ -118,55 +116,78 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("xs") + F.size("xd") - shared)).select("src", "dst")
 
 
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 400_000
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``, by a product of 0/1 matrices over the shingles that repeat."""
+    sizes = np.array([len(x) for x in [*a, *b]])
+    every, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    number = np.cumsum(np.bincount(place, minlength=len(every)) > 1) - 1
+    often = np.bincount(place, minlength=len(every))[place] > 1
+    row, column = np.repeat(np.arange(len(sizes)), sizes)[often], number[place[often]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, (first, first + 4096))
+        m = np.zeros((len(sizes), 4096), np.float32)
+        m[row[i:j], column[i:j] - first] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
 
 
-def _likely(least: float):
-    """Pairs of different components in a block, or between two blocks, of one bucket, of which signatures agree in at least ``least``."""
+def _linking(percent: int):
+    """Links between different components in a block, or between two blocks: one for each two components that have any."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, group = table.column("id").to_numpy(), table.column("component").to_numpy()
-        side = table.column("side").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        ids, group, side = (table.column(c).to_numpy() for c in ("id", "component", "side"))
+        home = table.column("home").to_numpy()
+        sets = [x.values.to_numpy() for x in table.column("x")]
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        src, dst = [], []
-        for i in left:
-            near = right[(group[right] != group[i]) & (ids[right] != ids[i])]
-            near = near[(sig[near] == sig[i]).mean(1) >= least] if len(near) else near
-            src.append(np.maximum(ids[near], ids[i]))
-            dst.append(np.minimum(ids[near], ids[i]))
-        one = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst)]
-        both = np.unique(np.stack(one), axis=1)
-        return pa.table({"src": pa.array(both[0], pa.int64()), "dst": pa.array(both[1], pa.int64())})
+        links = np.zeros((2, 0), np.int64)
+        if len(left) and len(right):
+            shared = _shared([sets[k] for k in left], [sets[k] for k in right])
+            n = np.array([len(x) for x in sets], np.float64)
+            good = (100 * shared >= percent * (n[left][:, None] + n[right] - shared)) & (group[left][:, None] != group[right])
+            good &= (home[left][:, None] == 0) | (home[left][:, None] != home[right])
+            i, j = np.nonzero(good)
+            i, j = left[i], right[j]
+            pair = np.stack([np.maximum(group[i], group[j]), np.minimum(group[i], group[j])])
+            _, one = np.unique(pair, axis=1, return_index=True)
+            links = np.stack([ids[i[one]], ids[j[one]]])
+        return pa.table({"src": pa.array(links[0], pa.int64()), "dst": pa.array(links[1], pa.int64())})
 
     return run
 
 
-def _left_apart(buckets: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, bins: int) -> DataFrame:
-    """Pairs of one bucket in different components that may still reach the threshold.
+def _blocks_of(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """Links among rows (key, id, component, home, x) of one key that are in different components, by pairs of blocks.
 
-    The signature check may only drop a pair whose estimate lies more than SLACK standard errors below the threshold.
-    A bucket is dealt in blocks of about BLOCK members; each pair of blocks is a group of its own, so no group grows with a bucket.
+    A block has about BLOCK rows and BLOCK_SHINGLES shingles at most, so no group grows with a key.
     """
-    t = percent / 100
-    least = max(0.0, t - SLACK * (t * (1 - t) / bins) ** 0.5)
-    known = buckets.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = known.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    rows = known.join(mixed.select("band", "members"), "band").join(classes.select("rep", "sig"), "rep")
-    # blocks by hash; member rows go to (own, other) for every other block, as the left side of later ones and the right side of earlier ones
-    blocks = F.ceil(F.col("members") / BLOCK)
-    own = F.pmod(F.xxhash64("rep"), blocks)
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "band",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        F.col("rep").alias("id"),
-        "component",
-        "sig",
-    )
-    return dealt.groupBy("band", "i", "j").applyInArrow(_likely(least), "src long, dst long").distinct()
+    sizes = rows.groupBy(key).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("x")) / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "id", "component", "home", "x")
+    return dealt.groupBy(key, "i", "j").applyInArrow(_linking(percent), "src long, dst long")
+
+
+def _left_apart(buckets: DataFrame, homes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one bucket that are still in different components.
+
+    Most members of a bucket have one home, the most famous hub among all of their buckets; they are compared once, by home.
+    Members of one bucket with different homes are compared by bucket.
+    """
+    known = homes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = known.groupBy("home").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("home")
+    own = sets.withColumnRenamed("id", "rep")
+    by_home = known.join(mixed, "home").join(own, "rep").select(F.col("home").alias("key"), F.col("rep").alias("id"), "component", F.lit(0).cast("long").alias("home"), "x")
+    spread = buckets.join(known, "rep")
+    across = spread.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("home").alias("a"), F.max("home").alias("z")).where("lo < hi and a < z").select("band")
+    # home + 1: 0 is for rows that are compared whatever their home
+    by_band = spread.join(across, "band").join(own, "rep").select(F.col("band").alias("key"), F.col("rep").alias("id"), "component", (F.col("home") + 1).alias("home"), "x")
+    return _blocks_of(by_home, "key", percent).unionByName(_blocks_of(by_band, "key", percent)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS) -> DataFrame:
@@ -178,30 +199,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its component, and they are kept or go together. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, n long, d1 long, d2 long, bands array<long>, sig binary"
+    schema = "id long, n long, d1 long, d2 long, bands array<long>"
     signed = saved(texts.mapInArrow(_signed(shingle, bins, rows), schema))
     some = signed.where("n > 0 and id is not null")
-    classes = saved(some.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = saved(some.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
     spread = classes.select("rep", F.explode("bands").alias("band"))
     sizes = spread.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
     buckets = saved(spread.join(sizes, "band"))
     # the hub of a bucket is the member that shares most buckets with most others
     fame = buckets.groupBy("rep").agg(F.sum("c").alias("fame"))
     famed = buckets.select("band", "rep").join(fame, "rep")
-    hubs = famed.groupBy("band").agg(F.min_by("rep", F.struct(-F.col("fame"), "rep")).alias("hub"))
-    pairs = (
-        buckets.select("band", "rep").join(hubs, "band").where("rep <> hub")
-        .select(F.greatest("rep", "hub").alias("src"), F.least("rep", "hub").alias("dst")).distinct()
-    )
-    pairs = saved(pairs)
-    wanted = buckets.select(F.col("rep").alias("id")).distinct()
-    sets = saved(texts.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle), "id long, x array<long>"))
-    members = some.join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).where("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst")).distinct()
+    hubs = famed.groupBy("band").agg(F.min(F.struct(-F.col("fame"), F.col("rep").alias("hub"))).alias("best"))
+    starred = saved(buckets.select("band", "rep").join(hubs, "band"))
+    homes = saved(starred.groupBy("rep").agg(F.min("best").alias("best")).select("rep", F.col("best.hub").alias("home")))
+    hub = F.col("best.hub")
+    pairs = starred.where(F.col("rep") != hub).select(F.greatest("rep", hub).alias("src"), F.least("rep", hub).alias("dst")).distinct()
+    wanted = homes.select(F.col("rep").alias("id"))
+    sets = saved(texts.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]).mapInArrow(_sets(shingle), "id long, x array<long>"))
+    members = some.join(classes, ["n", "d1", "d2"]).where("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst")).distinct()
     stars = saved(confirmed(pairs, sets, percent).distinct())
-    labels = components(stars)
-    apart = _left_apart(buckets.select("band", "rep"), classes, labels, percent, bins)
-    more = confirmed(apart.join(pairs, ["src", "dst"], "left_anti"), sets, percent)
-    links = stars.unionByName(saved(more.distinct())).unionByName(members)
+    apart = saved(_left_apart(starred.select("band", "rep"), homes, sets, components(stars), percent))
+    links = stars.unionByName(apart).unionByName(members)
     final = components(links)
     out = signed.select("id", "n").join(final, "id", "left")
     component = F.coalesce("component", "id")
