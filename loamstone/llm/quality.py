@@ -121,3 +121,36 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     for rule in GRIDS:
         rejected = rejected | F.coalesce(F.col(rule) >= F.col(f"cut_{rule}"), F.lit(False))
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
+
+
+def oracle_sql() -> str:
+    """``quality_rules`` over documents and labels in DuckDB's SQL."""
+    rules = " UNION ALL ".join(f"SELECT '{r}' AS rule, {k + 1} AS level, {c!r}::DOUBLE AS cutoff FROM (SELECT 1)" for r, g in GRIDS.items() for k, c in enumerate(g))
+    ws = r"[\x20\x09-\x0D]+"
+    return rf"""
+        WITH grid AS ({rules}),
+        d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, list_filter(regexp_split_to_array(text, '{ws}'), lambda x: x <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '{ws}', '', 'g') <> '') AS lines FROM d),
+        win AS (SELECT n, i, words[i:i + 4] AS g FROM (SELECT n, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+        often AS (SELECT n, i FROM (SELECT n, i, count(*) OVER (PARTITION BY n, g) AS c FROM win) WHERE c > 1),
+        rep AS (SELECT n, count(DISTINCT i + k) AS c FROM often, range(5) AS t(k) GROUP BY n),
+        m AS (SELECT w.n, doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+                     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.c, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
+              FROM w LEFT JOIN rep ON rep.n = w.n),
+        b AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+                     CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_share, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_share,
+                     CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS long_word FROM m),
+        known AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+        lab AS (SELECT stratum, good, unnest([{", ".join(f"{{'rule': '{r}', 'v': {r}}}" for r in GRIDS)}]) AS x FROM b JOIN known USING (doc_id) WHERE NOT base_failed),
+        t AS (SELECT lab.stratum, g.rule, g.level, g.cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND x.v >= cutoff) AS k, count(*) FILTER (NOT good AND x.v >= cutoff) AS caught
+              FROM lab JOIN grid g ON g.rule = lab.x.rule GROUP BY ALL),
+        s AS (SELECT count(DISTINCT stratum) AS strata FROM t),
+        p AS (SELECT t.*, coalesce(k <= {ALPHA / len(GRIDS)!r} * n AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA / len(GRIDS)!r}) + (n - i) * ln(1 - {ALPHA / len(GRIDS)!r})))
+              FROM (SELECT unnest(range(0, k + 1)) AS i)) <= {DELTA / len(GRIDS)!r} / strata, false) AS sure FROM t, s),
+        ok AS (SELECT *, bool_and(sure) OVER (PARTITION BY stratum, rule ORDER BY level) AS certified FROM p),
+        best AS (SELECT stratum, rule, cutoff, row_number() OVER (PARTITION BY stratum, rule ORDER BY caught - {GOOD_COST!r} * k DESC, level) AS r FROM ok WHERE certified AND caught - {GOOD_COST!r} * k > 0)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT coalesce({" OR ".join(f"coalesce({r} >= (SELECT cutoff FROM best WHERE best.stratum = b.stratum AND rule = '{r}' AND r = 1), false)" for r in GRIDS)}, false) AS kept
+        FROM b
+    """

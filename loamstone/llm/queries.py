@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, quality, suffix_dedup, token_counts
+from . import decontaminate, language_id, license_scan, minhash, packing, quality, suffix_dedup, token_counts, toxicity, url_filter
 from .io import table
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -14,6 +17,11 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _remainder(by: int):
+    """crc32 of the id as text, modulo ``by``."""
+    return F.crc32(F.col("doc_id").cast("string")) % by
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -22,6 +30,15 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder(5) == 0)
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digest(table(spark, sf_dir, "documents"))
 
@@ -34,10 +51,38 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash_near_dedup, op5_suffix_array_dedup, op6_quality_rules, op7_token_counts, op9_benchmark_decontamination)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), _remainder(3) == 1)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_minhash_near_dedup, op3_toxicity, op4_url_filters, op5_suffix_array_dedup,
+        op6_quality_rules, op7_token_counts, op8_license_scans, op9_benchmark_decontamination, op10_language_id,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filters": r"""
+        WITH rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+        rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+        parts AS (SELECT row_number() OVER () AS n, page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                         regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM rest),
+        fits AS (SELECT p.n, r.host || r.path AS rule, r.verdict,
+                        row_number() OVER (PARTITION BY p.n ORDER BY length(r.host || r.path) DESC, r.verdict DESC) AS best
+                 FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+        SELECT p.page_id, coalesce(p.host, '') AS host, coalesce(p.path, '') AS path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+        FROM parts p LEFT JOIN fits f ON f.n = p.n AND f.best = 1
+    """,
+    # the tail of the binomial distribution by the logarithms of its terms; the grids are those of quality.GRIDS
+    "op6_quality_rules": quality.oracle_sql(),
+}
