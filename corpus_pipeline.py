@@ -1,13 +1,62 @@
-"""Documents to packed training sequences, in stages."""
+"""Documents to packed training sequences, in stages: (name, function) with function(spark, docs, sf_dir) -> DataFrame.
+
+Each stage works on all that the one before it kept, and all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loamstone.llm import decontaminate, minhash, packing, quality, suffix_dedup
+from loamstone.llm.io import saved, table
+from loamstone.llm.queries import vocabulary
+from loamstone.session import ship
+
+
+def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id a verdict keeps; rows without an id are kept, and of rows that repeat an id and a text one stays."""
+    ids = verdicts.where("kept and doc_id is not null").select("doc_id").distinct()
+    good = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return good.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _kept(docs, quality.quality_rules(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _kept(docs, minhash.near_duplicates(docs))
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pack", pack),
+]
+#: Tokens and suffix buckets are out of SQL's reach: tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written to the shared folder and read again for the next."""
+    docs = table(ship(spark), sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = saved(docs)
     return docs
