@@ -10,7 +10,9 @@ one suffix, and only one suffix in about a quarter window stands for its neighbo
 1. In each window the suffix whose half-window bucket has the least identifier is its anchor (equal windows have equal anchors).
    Anchors are counted by bucket; a bucket with one anchor settles all of its windows.
 2. A bucket of anchors that all have the same surroundings settles all of its windows, too: they repeat.
-3. In the buckets left, one anchor for each surrounding is refined to whole windows, which are counted by bucket.
+3. In the buckets left, one anchor for each surrounding is refined to whole windows, BLOCK neighbours at a time: if the string that
+   spans all of them repeats, they all do; if the string that they share does not, none does. Only the windows of the
+   blocks between are counted one by one.
 
 Counts are pre-aggregated by key, so a passage that a third of all documents share costs a row per task; no group is collected.
 """
@@ -30,7 +32,7 @@ from pyspark.sql.types import StringType
 from . import textbytes as tb
 from .io import saved
 
-WINDOW = 400
+WINDOW, BLOCK = 400, 16
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -90,11 +92,39 @@ class Windows:
         around = _pair(around, (left * (self.gap + 1) + right).astype(np.uint64))
         return doc, at - self.offsets[doc], left, right, self.id[at] if len(at) else around, around
 
-    def of_anchors(self, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Document, position and whole-window bucket of the windows whose anchors are given."""
+    def _mine(self, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows (by number) whose anchors are given, and for each the number of its anchor in the sorted ones."""
         keys = np.unique(self.offsets[doc] + at)
         k = np.searchsorted(keys, self.anchor)
-        some = (k < len(keys)) & (keys[np.minimum(k, len(keys) - 1)] == self.anchor) if len(keys) else np.zeros(len(self.anchor), bool)
+        some = np.flatnonzero(keys[np.minimum(k, len(keys) - 1)] == self.anchor) if len(keys) else np.zeros(0, np.int64)
+        return some, k[some]
+
+    def blocks(self, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Document, anchor, number, first byte and end, identifiers of the spanning and of the shared string, of each block of windows of the given anchors.
+
+        Block k of an anchor has the windows that start BLOCK * k and up to BLOCK - 1 bytes more before it.
+        """
+        some, _ = self._mine(doc, at)
+        d, anchor = self.doc[some], self.anchor[some]
+        number = (anchor - self.at[some]) // BLOCK
+        key = np.unique(np.stack([d, anchor, number]), axis=1) if len(d) else np.zeros((3, 0), np.int64)
+        d, anchor, number = key
+        last = np.minimum(anchor - BLOCK * number, self.offsets[d + 1] - self.window)
+        first = np.maximum(np.maximum(anchor - BLOCK * number - BLOCK + 1, anchor - self.gap), self.offsets[d])
+        if not len(d):
+            return d, anchor, number, d, d, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        # a text's end may cut the block short, and with it the spanning string; the shared one lies in any window of the block
+        salt, core = _pair(self.id[anchor], number.astype(np.uint64)), anchor - BLOCK * number
+        whole = _pair(_pair(self.id[first], self.id[first + self.gap]), _pair(self.id[last], self.id[last + self.gap]))
+        whole = _pair(_pair(salt, (last - first).astype(np.uint64)), whole)
+        shared = _pair(~salt, _pair(self.id[core], self.id[core + self.gap - BLOCK + 1]))
+        return d, anchor - self.offsets[d], number, first - self.offsets[d], last + self.window - self.offsets[d], whole, shared
+
+    def of_blocks(self, doc: np.ndarray, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Document, position and whole-window bucket of the windows of the given blocks."""
+        some, _ = self._mine(doc, at)
+        code = lambda a, n: a * (self.gap // BLOCK + 1) + n
+        some = some[np.isin(code(self.anchor[some], (self.anchor[some] - self.at[some]) // BLOCK), code(self.offsets[doc] + at, number))]
         p, d = self.at[some], self.doc[some]
         bucket = _pair(self.id[p], self.id[p + self.gap]) if len(p) else np.zeros(0, np.uint64)
         return d, p - self.offsets[d], bucket
@@ -112,19 +142,38 @@ def _anchors(window: int):
     return run
 
 
-def _refined(window: int):
+def _blocks(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, offsets in tb.pieces(batch.column("text")):
                 lists = batch.column("ats").slice(i, j - i)
                 doc = np.repeat(np.arange(j - i), lists.value_lengths().to_numpy())
-                doc, at, bucket = Windows(raw, offsets, window).of_anchors(doc, lists.flatten().to_numpy())
+                doc, at, number, first, end, whole, shared = Windows(raw, offsets, window).blocks(doc, lists.flatten().to_numpy().astype(np.int64))
+                own = batch.slice(i, j - i).select(["id", "h"]).take(pa.array(doc, pa.int64()))
+                rest = [*(pa.array(x, pa.int32()) for x in (at, number, first, end)), pa.array(tb.signed(whole)), pa.array(tb.signed(shared))]
+                yield pa.RecordBatch.from_arrays([*own.columns, *rest], names=["id", "h", "at", "k", "s", "e", "whole", "shared"])
+
+    return run
+
+
+def _refined(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, raw, offsets in tb.pieces(batch.column("text")):
+                ats, ks = (batch.column(c).slice(i, j - i) for c in ("ats", "ks"))
+                doc = np.repeat(np.arange(j - i), ats.value_lengths().to_numpy())
+                doc, at, bucket = Windows(raw, offsets, window).of_blocks(doc, ats.flatten().to_numpy().astype(np.int64), ks.flatten().to_numpy().astype(np.int64))
                 own = batch.slice(i, j - i).select(["id", "h"]).take(pa.array(doc, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(at, pa.int32()), pa.array(tb.signed(bucket))], names=["id", "h", "at", "w"])
 
     return run
 
 
+def _with_texts(texts: DataFrame, wanted: DataFrame, *lists: str) -> DataFrame:
+    t, c = texts.alias("t"), wanted.alias("c")
+    return t.join(c, F.col("t.id").eqNullSafe(F.col("c.id")) & (F.col("t.h") == F.col("c.h"))).select("t.id", "t.h", "t.text", *[f"c.{x}" for x in lists])
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, h, starts, ends) for each text that holds a string of ``window`` bytes which also starts anywhere else.
 
@@ -145,12 +194,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     around = mixed.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "at")).alias("first"))
     many = mixed.join(around.where("n > 1").select("a", "c"), ["a", "c"], "left_semi").select(*span)
     chosen = around.select("first.*").groupBy("id", "h").agg(F.collect_list("at").alias("ats"))
-    t, c = texts.alias("t"), chosen.alias("c")
-    wanted = t.join(c, F.col("t.id").eqNullSafe(F.col("c.id")) & (F.col("t.h") == F.col("c.h"))).select("t.id", "t.h", "t.text", "c.ats")
-    windows = saved(wanted.mapInArrow(_refined(window), "id long, h long, at int, w long"))
-    twice = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    rest = windows.join(twice, "w", "left_semi").select("id", "h", F.col("at").alias("s"), (F.col("at") + window).alias("e"))
-    spans = one.unionByName(many).unionByName(rest)
+    # the texts that are looked at again are a part of all; they are dealt once
+    near = saved(_with_texts(texts, chosen, "ats"))
+    blocks = saved(near.mapInArrow(_blocks(window), "id long, h long, at int, k int, s int, e int, whole long, shared long"))
+    twice = saved(blocks.select(F.explode(F.array("whole", "shared")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"))
+    once = lambda c: twice.select(F.col("w").alias(c), F.lit(True).alias(f"{c}_again"))
+    judged = saved(blocks.join(once("shared"), "shared").join(once("whole"), "whole", "left").drop("shared_again"))
+    live, doubt = judged.where("whole_again"), judged.where("whole_again is null")
+    # a block in doubt may share windows with one that is settled: one of each such kind is refined with it
+    partners = live.join(doubt.select("shared").distinct(), "shared", "left_semi").groupBy("whole").agg(F.min(F.struct("id", "h", "at", "k")).alias("b")).select("b.*")
+    doubt = doubt.select("id", "h", "at", "k").unionByName(partners).groupBy("id", "h").agg(F.collect_list("at").alias("ats"), F.collect_list("k").alias("ks"))
+    windows = saved(_with_texts(near, doubt, "ats", "ks").mapInArrow(_refined(window), "id long, h long, at int, w long"))
+    again = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    rest = windows.join(again, "w", "left_semi").select("id", "h", F.col("at").alias("s"), (F.col("at") + window).alias("e"))
+    spans = one.unionByName(many).unionByName(live.select("id", "h", "s", "e")).unionByName(rest)
     return spans.groupBy("id", "h").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
 
 
