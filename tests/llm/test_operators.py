@@ -1,0 +1,304 @@
+"""Operators on small tables with odd rows, against brute force; empty tables; every query on the smallest data."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loamstone.llm import decontaminate, language_id, license_scan, minhash, packing, quality, suffix_dedup, token_counts, toxicity, url_filter
+from loamstone.llm.components import components
+from loamstone.llm.queries import ORACLE_SQL, QUERIES
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+# extra columns whose names the operators use inside
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, h long, n long, bands string, x string, key string, rep string, rule string, component string, held_out string, stratum string"
+WORDS = "the of and to schnell über être niño re'll data 12 rain tree stone river cloud glass ##".split()
+
+
+def rows(seed=3, n=60):
+    rng = random.Random(seed)
+    say = lambda k: " ".join(rng.choice(WORDS) + str(rng.randint(0, 40)) for _ in range(k))
+    base = [say(rng.randint(0, 150)) for _ in range(n)]
+    long = say(4000)
+    near = long.split()
+    near[700:730] = say(30).split()
+    line = say(70)
+    texts = [None, "", "  \n\t ", "one", "one two", "ONE two", *base, base[5], base[5].upper(), long, long, " ".join(near), f"{line}\n{line}\n{line}", f"x {line} y {say(90)}", "a" * 3000, "é" * 900, "b<|endoftext|>c <|endoftext|>"]
+    out = [(k, t, ["en", "de", None][k % 3], None, None, -k, 7, 8, "b", "x", "k", "r", "u", "c", "h", "s") for k, t in enumerate(texts)]
+    return [*out, out[8], (12, "another text under a known id", *out[8][2:]), (None, long, *out[8][2:]), (None, None, *out[8][2:])]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3, "text")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(k, k % 2, (k + 1) % 2) for k in range(70)] + [(3, None, None), (None, 1, 1), (4, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+def shingles(text, size):
+    words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else ({tuple(words)} if words else set())
+
+
+def expected_components(own, size, percent):
+    ids = sorted({i for i, _ in own if i is not None})
+    sets = {}
+    for i, t in own:
+        if i is not None and shingles(t, size):
+            sets.setdefault(i, []).append(shingles(t, size))
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and any(100 * len(a & b) >= percent * len(a | b) for a in sets[i] for b in sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_near_duplicates(docs):
+    found = minhash.near_duplicates(docs, shingle=3, percent=85).collect()
+    wanted = expected_components([r[:2] for r in rows()], 3, 85)
+    assert len(found) == len(rows())
+    for r in found:
+        assert r.component_id == (wanted[r.doc_id] if r.doc_id is not None else None)
+        assert r.kept == (r.doc_id is None or r.doc_id == r.component_id)
+    counts = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles) for r in found)
+    assert counts == sorted((i is None, i or 0, len(shingles(t, 3))) for i, t, *_ in rows())
+
+
+def test_near_copies_that_the_hub_does_not_link(spark):
+    """A group of many near copies: links between copies that are no copies of the hub, chains, several blocks."""
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    own = []
+    for k in range(700):
+        words = base[:]
+        for p in rng.sample(range(120), rng.choice([1, 3, 4, 5, 8])):
+            words[p] = f"x{rng.randint(0, 10**6)}"
+        own.append((k * 3 % 2101, " ".join(words)))
+    for k in range(60):  # a chain of prefixes
+        own.append((5000 + k, " ".join(base[: 120 - k])))
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(own, "doc_id long, text string"), shingle=3, percent=85).collect()}
+    assert found == expected_components(own, 3, 85)
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    pairs = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1100)] + [(None, 3), (4, 4)]
+    found = {r.id: r.component for r in components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    root = {}
+
+    def find(i):
+        root.setdefault(i, i)
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    assert found == {i: find(i) for i in root}
+
+
+def expected_repeats(texts, window):
+    seen = {}
+    data = [(t or "").encode() for t in texts]
+    for k, b in enumerate(data):
+        for p in range(len(b) - window + 1):
+            seen.setdefault(b[p : p + window], []).append((k, p))
+    gone = [bytearray(len(b)) for b in data]
+    for places in seen.values():
+        if len(places) > 1:
+            for k, p in places:
+                gone[k][p : p + window] = b"\1" * window
+    return data, gone
+
+
+@pytest.mark.parametrize("window", [64, 400])
+def test_repeats(docs, window):
+    own = rows()
+    data, gone = expected_repeats([r[1] for r in own], window)
+    wanted = sorted(
+        (str(r[0]), len(b), sum(g), len(re.findall(b"\1+", bytes(g))), hashlib.sha256(bytes(x for x, y in zip(b, g) if not y)).hexdigest()) for r, b, g in zip(own, data, gone)
+    )
+    found = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_digest(docs, window=window).collect())
+    assert found == wanted
+    kept = suffix_dedup.without_repeats(docs, window=window)
+    assert kept.columns == docs.columns and kept.count() == len(own)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeats_of_random_edits(spark, seed):
+    rng = random.Random(seed)
+    base = "".join(rng.choice("abcdefg \n") for _ in range(3000))
+    texts = []
+    for _ in range(25):
+        t = list(base[rng.randint(0, 1500) : rng.randint(1600, 3000)])
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = rng.choice("xyz")
+        texts.append("".join(t))
+    texts.append("ab" * 700)
+    data, gone = expected_repeats(texts, 400)
+    found = {r.doc_id: r.n_removed for r in suffix_dedup.repeat_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    assert found == {k: sum(g) for k, g in enumerate(gone)}
+
+
+def test_packing(docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    ids = {}
+    for r in rows():
+        ids.setdefault(r[0], []).append(tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [0])
+    found = packing.pack(docs, VOCABULARY, with_ids=True).collect()
+    assert len({r.sequence_id for r in found}) == len(found) and all(r.offset == 0 and r.length & (r.length - 1) == 0 and r.length <= 1024 for r in found)
+    for r in found:
+        own = [x for x in ids[r.doc_id] if len(x) == r.doc_tokens and x[r.start : r.start + r.length] == r.ids]
+        assert own and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+    assert sum(r.length for r in found) == sum(len(x) for each in ids.values() for x in each)
+    with pytest.raises(ValueError):
+        packing.pack(docs, VOCABULARY, longest=1000)
+
+
+def test_token_counts(docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    wanted = sorted((str(r[0]), len((r[1] or "").encode()), n := len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids), n > 512) for r in rows())
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs, VOCABULARY).collect()) == wanted
+
+
+def test_quality_base_and_bounds(spark, docs, labels):
+    from math import comb
+
+    for r in quality.quality_rules(docs, labels).collect():
+        texts = [t for i, t, *_ in rows() if i == r.doc_id]
+        ok = False
+        for t in texts:
+            words = re.findall(r"[^\x20\x09-\x0d]+", t or "")
+            grams = {}
+            for i in range(len(words) - 4):
+                grams.setdefault(tuple(words[i : i + 5]), []).append(i)
+            covered = {i + k for at in grams.values() if len(at) > 1 for i in at for k in range(5)}
+            lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+            ok |= (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered))
+        assert ok and r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept)
+    cases = [(50, 0, 0.02), (400, 9, 0.02), (1000, 3, 0.005)]
+    frame = spark.createDataFrame(cases, "n long, k long, a double")
+    for n, k, a in cases:
+        got = frame.where(f"n = {n}").select(quality.binomial_tail(F.col("n"), F.col("k"), a)).first()[0]
+        assert abs(got - sum(comb(n, i) * a**i * (1 - a) ** (n - i) for i in range(k + 1))) < 1e-9
+
+
+def test_cutoffs_control_false_rejections(spark):
+    rng = np.random.default_rng(3)
+    good = [("s", True, float(x), 0.0, 5.0) for x in rng.uniform(0, 0.05, 4000)]
+    bad = [("s", False, float(x), 0.0, 5.0) for x in rng.uniform(0.25, 3, 400)]
+    few = [("rare", True, 0.0, 0.0, 5.0)] * 20 + [("rare", False, 2.0, 0.0, 5.0)] * 20
+    frame = spark.createDataFrame(good + bad + few, "stratum string, good boolean, symbol_share double, dup_line_share double, long_word double")
+    found = {(r.stratum, r.rule): r.cutoff for r in quality.certified_cutoffs(frame).collect()}
+    assert set(found) == {("s", "symbol_share")} and 0.05 <= found["s", "symbol_share"] <= 0.3
+
+
+def test_contaminated(spark, docs):
+    items = [(1, "What makes rain fall from clouds? Gravity pulls the heavy drops down."), (2, "tiny item"), (3, None), (4, "Stone bridges last for centuries. They carry roads over rivers and need little care."), (None, "x y z")]
+    own = [(1, f"noise {items[0][1]} more noise"), (2, "WHAT makes rain fall from clouds -- gravity pulls the heavy drops down!"), (3, "What makes rain fall from clouds? Nobody knows."), (4, "a tiny item here"), (5, items[3][1].replace("centuries", "ages")), (6, items[3][1]), (None, items[3][1])]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(own, "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.item_id) for r in decontaminate.contaminated(frame, b).collect()) == [("1", 1), ("2", 1), ("4", 2), ("6", 4), ("None", 4)]
+    assert sorted(r.doc_id for r in decontaminate.without_contaminated(frame, b).collect()) == [3, 5]
+    assert decontaminate.contaminated(frame, b.limit(0)).count() == 0 and decontaminate.contaminated(docs, b).count() == 0
+
+
+def test_url_rules(spark):
+    urls = ["http://a.example.net/en/1", "http://example.net/de/", "HTTP://EXAMPLE.COM/de/x?y", "ftp://x.org/fr/", "no scheme", None, "http://net", "http://net/", "http://inet/", "http://b.net?x=/en/", "https://x.example.net#/en/", "http://example.net:80/en/", "://org/fr/z", "", "http:///en/"]
+    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"), ("block", "net", "/"), ("block", None, "/")]
+    pages = spark.createDataFrame([(k, u, "z") for k, u in enumerate(urls * 3)] + [(None, urls[0], "z")], "page_id long, url string, key string")
+    given = spark.createDataFrame(rules, "verdict string, host string, path string")
+
+    def judge(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = host.translate({c: c + 32 for c in range(65, 91)})
+        fits = [(len(h + p), h + p, v) for v, h, p in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, None, "allow"))
+        return host, path, best[1], best[2]
+
+    for ranges in (1, 7):
+        found = sorted((str(r.page_id), r.host, r.path, str(r.rule), r.verdict) for r in url_filter.judge_urls(pages, given, ranges=ranges).collect())
+        wanted = sorted((str(i), *[str(x) if k == 2 else x for k, x in enumerate(judge(u))]) for i, u in [*enumerate(urls * 3), (None, urls[0])])
+        assert found == wanted
+
+
+def test_licenses(spark, docs):
+    own = [(1, "x\nLicensed under the Apache License, Version 2.0.\ny"), (2, "licensed under apache"), (3, None), (4, "Licensed under the Apache License, Version 2.0. " * 3), (5, license_scan.TEMPLATES["MIT"].replace("free of charge", "gratis"))]
+    found = [(r.doc_id, r.license, round(r.coverage, 2)) for r in license_scan.scan_licenses(spark.createDataFrame(own, "doc_id long, text string")).collect()]
+    assert sorted(found) == [(1, "Apache-2.0", 1.0), (4, "Apache-2.0", 1.0), (4, "Apache-2.0", 1.0), (4, "Apache-2.0", 1.0), (5, "MIT", 0.95)]
+    assert license_scan.scan_licenses(docs).count() == 0
+
+
+def test_toxicity_and_language_on_odd_rows(docs, labels):
+    scored = toxicity.toxicity(docs, labels, F.col("doc_id") % 5 == 0).collect()
+    assert len(scored) == len(rows()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in scored)
+    named = language_id.identify(docs, F.col("doc_id") % 3 == 1).collect()
+    assert len(named) == len(rows())
+    text = {r[0]: r[1] for r in rows()}
+    for r in named:
+        if r.doc_id in (0, 1, 2):
+            assert (r.lang_pred, r.score) == ("und", 0.0) and not re.search(r"[^\W\d_]", text[r.doc_id] or "")
+
+
+def test_held_out_accuracy(spark, data):
+    docs, labels = (spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    named = language_id.identify(docs, F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
+    good = named.where("held_out").join(docs.select("doc_id", "lang"), "doc_id").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0]
+    assert good > 0.97
+    scored = toxicity.toxicity(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 5 == 0).where("held_out").join(labels, "doc_id")
+    assert scored.where("predicted = toxic").count() > 0.9 * scored.count()
+
+
+def test_empty_tables(spark, docs, labels):
+    none, no_labels = docs.limit(0), labels.limit(0)
+    items = spark.createDataFrame([(1, "some text of an item to find")], "item_id long, text string")
+    rules = spark.createDataFrame([("block", "net", "/")], "verdict string, host string, path string")
+    out = [
+        packing.pack(none, VOCABULARY), minhash.near_duplicates(none), toxicity.toxicity(none, no_labels, F.lit(False)), toxicity.toxicity(none, labels, F.lit(False)),
+        url_filter.judge_urls(none.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url")), rules), suffix_dedup.repeat_digest(none),
+        quality.quality_rules(none, labels), token_counts.count_tokens(none, VOCABULARY), license_scan.scan_licenses(none),
+        decontaminate.contaminated(none, items), language_id.identify(none, F.lit(False)),
+    ]
+    assert [df.count() for df in out] == [0] * len(out)
+    assert quality.quality_rules(docs, no_labels).count() == len(rows()) and toxicity.toxicity(docs, no_labels, F.lit(False)).count() == len(rows())
+    assert url_filter.judge_urls(docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url")), rules.limit(0)).where("verdict = 'allow'").count() == len(rows())
+
+
+@pytest.mark.parametrize("name", ["op3_toxicity", "op8_license_scans"])
+def test_queries_run(spark, data, name):
+    assert QUERIES[name](spark, data).limit(5).count() >= 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_against_sql(spark, data, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        con.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
+    found = QUERIES[name](spark, data)
+    wanted = con.sql(f"select {', '.join(found.columns)} from ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, wanted))
