@@ -72,7 +72,7 @@ def mentions(text: Column, label: Column) -> Column:
     """Whether a label of three characters or more stands in a text as whole words, case aside."""
     word = r"[\p{L}\p{N}_]"
     quoted = F.concat(F.lit(rf"(?<!{word})\Q"), F.lower(F.trim(label)), F.lit(rf"\E(?!{word})"))
-    return (F.length(F.trim(label)) >= 3) & F.lower(text).rlike(quoted)
+    return (F.length(F.trim(label)) >= 3) & F.rlike(F.lower(text), quoted)
 
 
 def age_label(seconds: Column) -> Column:

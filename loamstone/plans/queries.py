@@ -467,12 +467,12 @@ def _spread_sql(hops: int) -> str:
     steps = ", ".join(f"f{h} AS (SELECT w.dst AS id, sum({0.35 * 0.6 ** (h - 1)!r} * f.mass * w.strength / n.fan) AS mass FROM f{h - 1} f JOIN walks w ON w.src = f.id JOIN fans n ON n.src = f.id GROUP BY w.dst)" for h in range(1, hops + 1))
     total = " UNION ALL ".join(f"SELECT * FROM f{h}" for h in range(1, hops + 1))
     return f"""WITH {_WALKS}, fans AS (SELECT src, count(*) AS fan FROM walks GROUP BY src), f0 AS (SELECT 'c' || c_custkey AS id, 0.8::DOUBLE AS mass FROM customer WHERE c_custkey % 50 = 0), {steps}
-        SELECT id, round(sum(mass), 6) AS activation FROM ({total}) GROUP BY id"""
+        SELECT id, round(sum(mass) + 1e-10, 6) AS activation FROM ({total}) GROUP BY id"""
 
 
 def _spread(spark, d, hops: int) -> DataFrame:
     seeds = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.lit(0.8).alias("activation"))
-    return G.spread(_walks(spark, d), seeds, hops=hops).withColumn("activation", r6("activation"))
+    return G.spread(_walks(spark, d), seeds, hops=hops).withColumn("activation", r6(F.col("activation") + 1e-10))
 
 
 @query(_spread_sql(1))

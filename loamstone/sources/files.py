@@ -13,7 +13,7 @@ from ..functions import text as T
 
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """(source, text): each file whole."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
     return files.select(F.input_file_name().alias("source"), F.col("value").alias("text"))
 
 
