@@ -18,6 +18,7 @@ from ..operators import calendar as C
 from ..operators import conversation as V
 from ..operators import dedup as E
 from ..operators import graph as G
+from ..operators import memory as M
 from ..operators import recall as R
 from ..operators import retrieval as X
 from ..operators import tables as B
@@ -600,3 +601,73 @@ def change_feed(spark, d):
 @query("SELECT event_id AS id, user_id AS character, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 25")
 def bounded_history(spark, d):
     return I.bounded_history(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("character")))
+
+
+# ---- the write path
+
+
+@query("""WITH x AS (SELECT doc_id AS id, source AS user_id, text AS content, [doc_id % 50, doc_id % 70] AS m FROM documents WHERE doc_id % 2 = 0), k AS (SELECT DISTINCT source AS user_id, lower(trim(text)) AS t FROM documents WHERE doc_id % 6 = 1),
+    c AS (SELECT *, list_sort(list_distinct(list_filter(m, lambda i: i % 3 <> 0))) AS ids FROM x), f AS (SELECT * FROM c WHERE len(ids) > 0 AND trim(content) <> ''),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(trim(content)) ORDER BY id) AS n FROM f)
+    SELECT id, user_id, ids AS source_message_ids FROM o WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM k WHERE k.user_id = o.user_id AND k.t = lower(trim(o.content)))""")
+def applied_facts(spark, d):
+    docs = table(spark, d, "documents")
+    rows = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("source").alias("user_id"), F.col("text").alias("content"), F.array(F.col("doc_id") % 50, F.col("doc_id") % 70).alias("source_message_ids"))
+    known = docs.where("doc_id % 6 = 1").select(F.col("source").alias("user_id"), F.col("text").alias("content"))
+    return M.applied_facts(rows, known, spark.range(70).where("id % 3 <> 0")).select("id", "user_id", "source_message_ids")
+
+
+@query("""WITH h AS (SELECT user_id AS thread, event_id AS seq, CASE event_type WHEN 'click' THEN 'create' WHEN 'view' THEN 'resolve' ELSE 'other' END AS action FROM events), c AS (SELECT thread, min(seq) AS first FROM h WHERE action = 'create' GROUP BY thread),
+    r AS (SELECT c.thread, min(h.seq) AS done FROM c JOIN h ON h.thread = c.thread AND h.seq > c.first AND h.action = 'resolve' GROUP BY c.thread)
+    SELECT c.thread, CASE WHEN done IS NULL THEN 'open' ELSE 'resolved' END AS status, 't' || done AS resolution FROM c LEFT JOIN r USING (thread)""")
+def thread_states(spark, d):
+    action = F.when(F.col("event_type") == "click", "create").when(F.col("event_type") == "view", "resolve").otherwise("other")
+    updates = table(spark, d, "events").select(F.col("user_id").alias("thread"), F.col("event_id").alias("seq"), action.alias("action"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("text"), T.epoch(F.col("ts")).alias("at"))
+    return M.thread_states(updates).select("thread", "status", "resolution")
+
+
+@query(f"WITH {_MSG}, t AS (SELECT chat_id, arg_max(trim(regexp_replace(content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), id) AS t FROM messages WHERE role = 'user' AND trim(content) <> '' GROUP BY chat_id) SELECT chat_id, CASE WHEN length(t) > 160 THEN substr(t, 1, 159) || '…' ELSE t END AS preview FROM t")
+def run_preview(spark, d):
+    return M.preview(messages(spark, d))
+
+
+@query(f"WITH {_ROWS} SELECT type AS memory, count(*) AS rows, count(DISTINCT user_id) AS users FROM rows_ GROUP BY type")
+def memory_overview(spark, d):
+    rows = remembered(spark, d)
+    kinds = ["click", "view", "purchase", "signup", "error", "search", "login", "logout", "scroll", "cart"]
+    return M.overview({k: rows.where(F.col("type") == k) for k in kinds}).where("rows > 0")
+
+
+@query(f"WITH {_ROWS} SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, id) AS rank FROM rows_ QUALIFY rank <= 8")
+def known_facts(spark, d):
+    return M.known_facts(remembered(spark, d)).select("user_id", "id", "rank")
+
+
+@query(f"""WITH {_ROWS}, b AS (SELECT user_id % 20 AS p, id % 100 AS node, round(importance, 6) AS s FROM rows_ WHERE user_id % 20 < 5), n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY s DESC, node) AS r FROM (SELECT p, node, max(s) AS s FROM b GROUP BY ALL) QUALIFY r <= 10)
+    SELECT node AS id, max(s) AS score, arg_max(p, (s, p)) AS participant FROM n GROUP BY node""")
+def participant_fan_out(spark, d):
+    items = remembered(spark, d).select((F.col("user_id") % 20).alias("participant"), (F.col("id") % 100).alias("id"), r6("importance").alias("score")).groupBy("participant", "id").agg(F.max("score").alias("score"))
+    return M.fan_out(items, spark.range(5).withColumnRenamed("id", "participant"), 10)
+
+
+@query("""WITH a AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), l AS (SELECT vec_id AS user_id, 'joy' AS axis, x AS before, CASE WHEN vec_id % 2 = 0 THEN x ELSE x + 0.25 END AS after FROM a UNION ALL SELECT vec_id, 'fear', y, 0 FROM a)
+    SELECT user_id, axis, round(after - before, 6) AS delta FROM l WHERE abs(after - before) > 1e-9""")
+def emotion_changes(spark, d):
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("user_id"), at(0).alias("x"), at(1).alias("y"))
+    before = vectors.select("user_id", F.create_map(F.lit("joy"), F.col("x"), F.lit("fear"), F.col("y")).alias("dims"))
+    after = vectors.select("user_id", F.create_map(F.lit("joy"), F.when(F.col("user_id") % 2 == 0, F.col("x")).otherwise(F.col("x") + 0.25)).alias("dims"))
+    return M.emotion_changes(before, after).select("user_id", "axis", r6("delta").alias("delta"))
+
+
+@query(f"""WITH {_ROWS} SELECT 'e:fact:person:' || user_id || '->fact:' || id AS id, round(greatest(0.3, least(1, 0.3 + 0.7 * importance)), 6) AS weight FROM rows_""")
+def fact_graph(spark, d):
+    _, edges = M.fact_graph(remembered(spark, d).withColumn("confidence", F.lit(0.5)).withColumn("user_id", F.col("user_id").cast("string")))
+    return edges.select("id", r6("weight").alias("weight"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_custkey % 10 = 0 THEN 'self' WHEN o_custkey % 2 = 0 THEN 'p' || (o_custkey % 10) ELSE 'person:user-' || (o_custkey % 10) END AS person FROM orders""")
+def resolved_subjects(spark, d):
+    people = spark.createDataFrame([(f"p{k}", f"User {k}", None, ["the  boss"] if k == 2 else []) for k in (2, 4, 6, 8)], "id string, name string, user_id string, aliases array<string>")
+    facts = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit(" user "), (F.col("o_custkey") % 10).cast("string")).alias("subject"))
+    return M.resolved_subjects(facts, people, ["User 0"]).select("id", "person")
