@@ -15,9 +15,9 @@ from loamstone.session import ship
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id a verdict keeps; rows without an id are kept, and of rows that repeat an id and a text one stays."""
+    """The rows of ``docs`` whose id a verdict keeps; rows without an id are kept."""
     ids = verdicts.where("kept and doc_id is not null").select("doc_id").distinct()
-    good = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    good = docs.join(ids, "doc_id", "left_semi")
     return good.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
@@ -26,11 +26,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, minhash.near_duplicates(docs))
+    """One document of each group; of rows that repeat an id, one."""
+    good = _kept(docs, minhash.near_duplicates(docs))
+    known = good.where("doc_id is not null")
+    again = saved(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return good
+    one = known.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
+    one = one.select("doc_id", "row.*").select(docs.columns)
+    return known.join(again, "doc_id", "left_anti").unionByName(one).unionByName(good.where("doc_id is null")).select(docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    # passages of over fifty words may be shorter than the 400 bytes of the query's contract
+    return suffix_dedup.without_repeats(docs, window=300).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
