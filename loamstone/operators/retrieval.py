@@ -28,10 +28,16 @@ def history_queries(turns: DataFrame, most: int = 5, decay: float = 0.6, chat: s
     return current.where(F.trim("text") != "").select(chat, ix.alias("sub_ix"), "text", F.pow(F.lit(decay), ix).alias("weight"))
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf, length) of an index over ``docs``."""
+def query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
+
+
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, length) of an index over ``docs``; with ``terms``, of these only, and no other word is shuffled."""
     words = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("words")).withColumn("length", F.size("words").cast("long"))
-    return words.select("id", "length", F.explode("words").alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
+    each = words.select("id", "length", F.explode("words").alias("term"))
+    each = each.join(terms, "term", "left_semi") if terms is not None else each
+    return each.groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -103,7 +109,7 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5,
     chosen = chosen.join(allowed.select("id"), "id", "left_semi") if allowed is not None else chosen
     counted = chosen if stats_scope == "subset" or allowed is not None else docs
     queries = normalised_queries(queries)
-    index = postings(counted, "id")
+    index = postings(counted, "id", terms=query_terms(queries))
     lists = bm25(index, statistics(counted), queries)
     if counted is not chosen:
         lists = lists.join(chosen.select("id"), "id", "left_semi")

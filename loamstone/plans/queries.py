@@ -159,7 +159,7 @@ def _asked(spark, d) -> DataFrame:
 
 
 def _bm25(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    scores = X.bm25(X.postings(docs), X.statistics(docs), asked)
+    scores = X.bm25(X.postings(docs, terms=X.query_terms(asked)), X.statistics(docs), asked)
     return X.ranked(scores.withColumn("score", r6("score")), k).select("query_id", "id", "score", "rank")
 
 
@@ -201,7 +201,7 @@ def dense_floor_filtered(spark, d):
     SELECT query_id, id, round(score, 6) AS score, round(confidence, 6) AS confidence, round(least(1, score / (2.0::DOUBLE / 61)), 6) AS relevance, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM f QUALIFY rank <= 10""")
 def rrf_hybrid(spark, d):
     docs, asked = table(spark, d, "documents").where("doc_id < 500"), _asked(spark, d)
-    lexical = X.ranked(X.bm25(X.postings(docs), X.statistics(docs), asked).withColumn("score", r6("score")))
+    lexical = X.ranked(X.bm25(X.postings(docs, terms=X.query_terms(asked)), X.statistics(docs), asked).withColumn("score", r6("score")))
     own = table(spark, d, "embeddings").where("vec_id < 500")
     vectors = own.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("sub_ix"), F.col("embedding").alias("vec"))
     near = X.ranked(X.dense(own, vectors).withColumn("score", r6("score")))
