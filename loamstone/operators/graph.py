@@ -222,3 +222,31 @@ def render_order(items: DataFrame) -> DataFrame:
     kinds = ["person", "fact", "episode", "entity", "self"]
     place = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
     return items.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(place, F.desc("score"), "id")))
+
+
+def self_survivors(persons: DataFrame, labels: list[str]) -> DataFrame:
+    """(id, survivor='self') of the persons (id, name, aliases) one of whose labels is the character's own, case aside; give it to ``rewired``."""
+    own = F.array(*[F.lit(x.strip().lower()) for x in labels])
+    names = F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: F.lower(F.trim(x)))
+    return persons.where(F.arrays_overlap(names, own)).select("id", F.lit("self").alias("survivor"))
+
+
+def resolved_entities(mentions: DataFrame, entities: DataFrame, slug) -> DataFrame:
+    """mentions (id, name) with the entity they mean: the one whose id is the name's slug, else one whose name or alias has that slug (the least id), else a new one."""
+    labels = entities.select("id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_n")).select("id", slug(F.col("_n")).alias("_slug"))
+    by_label = labels.groupBy("_slug").agg(F.min("id").alias("_by_label"))
+    by_id = entities.select(F.col("id").alias("_by_id")).distinct()
+    out = mentions.withColumn("_slug", slug(F.col("name"))).withColumn("_own", F.concat(F.lit("entity:"), F.col("_slug")))
+    out = out.join(by_id, F.col("_own") == F.col("_by_id"), "left").join(by_label, "_slug", "left")
+    return out.select(*mentions.columns, F.coalesce("_by_id", "_by_label", "_own").alias("entity"))
+
+
+def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(id, hop): nodes reached over at most ``hops`` walks from the seeds (id), with the fewest; one join per hop."""
+    seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
+    front = seen
+    for hop in range(1, hops + 1):
+        step = front.join(edges.select(F.col("src").alias("id"), "dst"), "id").select(F.col("dst").alias("id")).distinct()
+        front = step.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
+        seen = seen.unionByName(front)
+    return seen

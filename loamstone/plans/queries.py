@@ -671,3 +671,36 @@ def resolved_subjects(spark, d):
     people = spark.createDataFrame([(f"p{k}", f"User {k}", None, ["the  boss"] if k == 2 else []) for k in (2, 4, 6, 8)], "id string, name string, user_id string, aliases array<string>")
     facts = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit(" user "), (F.col("o_custkey") % 10).cast("string")).alias("subject"))
     return M.resolved_subjects(facts, people, ["User 0"]).select("id", "person")
+
+
+# ---- groups and entities
+
+
+@query(f"""WITH {_WALKS}, fans AS (SELECT src, count(*) AS fan FROM walks GROUP BY src), s AS (SELECT c_nationkey AS participant, 'c' || c_custkey AS id, 0.48::DOUBLE AS mass FROM customer WHERE c_custkey % 40 = 0),
+    f1 AS (SELECT participant, w.dst AS id, sum(0.35 * s.mass * w.strength / n.fan) AS mass FROM s JOIN walks w ON w.src = s.id JOIN fans n ON n.src = s.id GROUP BY ALL)
+    SELECT participant, id, round(mass + 1e-10, 6) AS activation FROM f1""")
+def group_activation(spark, d):
+    seeds = table(spark, d, "customer").where("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("participant"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.lit(0.48).alias("activation"))
+    out = G.spread(_walks(spark, d), seeds, hops=1, per=["participant"])
+    return out.select("participant", "id", r6(F.col("activation") + 1e-10).alias("activation"))
+
+
+@query(f"""WITH {_WALKS}, h0 AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey % 100 = 0), h1 AS (SELECT DISTINCT dst AS id FROM walks JOIN h0 ON src = h0.id), h2 AS (SELECT DISTINCT dst AS id FROM walks JOIN h1 ON src = h1.id)
+    SELECT id, min(hop)::INT AS hop FROM (SELECT id, 0 AS hop FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY id""")
+def subgraph_hops(spark, d):
+    seeds = table(spark, d, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+    return G.within_hops(_walks(spark, d), seeds, 2)
+
+
+@query("""WITH e AS (SELECT 'entity:part-' || p_partkey AS id, 'Part ' || p_partkey AS name, 'alias ' || (p_partkey % 30) AS a FROM part WHERE p_partkey % 3 = 0),
+    m AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_partkey % 2 = 0 THEN 'PART  ' || l_partkey ELSE 'Alias ' || (l_partkey % 40) END AS name FROM lineitem WHERE l_orderkey % 10 = 0),
+    s AS (SELECT id, regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') AS slug FROM m), l AS (SELECT regexp_replace(lower(a), '[^a-z0-9]+', '-', 'g') AS slug, min(id) AS id FROM e GROUP BY 1)
+    SELECT s.id, coalesce(e.id, l.id, 'entity:' || s.slug) AS entity FROM s LEFT JOIN e ON e.id = 'entity:' || s.slug LEFT JOIN l ON l.slug = s.slug""")
+def entity_resolution(spark, d):
+    entities = table(spark, d, "part").where("p_partkey % 3 = 0").select(
+        F.concat(F.lit("entity:part-"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("name"),
+        F.array(F.concat(F.lit("alias "), (F.col("p_partkey") % 30).cast("string"))).alias("aliases"),
+    )
+    name = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("PART  "), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("Alias "), (F.col("l_partkey") % 40).cast("string")))
+    mentions = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), name.alias("name"))
+    return G.resolved_entities(mentions, entities, T.slugify).select("id", "entity")
