@@ -105,15 +105,16 @@ class IndexPart:
         self.checks = {item: self._check(text) for item, text in texts.items()}
 
     @staticmethod
-    def _check(text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Shingles that start in the question, and those that end in the answer."""
+    def _check(text: str) -> tuple[int, np.ndarray, np.ndarray]:
+        """The size of the shingles (the item's words if it has fewer), those that start in the question, and those that end in the answer."""
         n, raw = question_length(text), np.frombuffer(text.encode(), np.uint8)
         terms, _ = term_hashes(raw, np.array([0, len(raw)]))
         head = np.frombuffer(text[:n].encode(), np.uint8)
         asked = len(term_hashes(head, np.array([0, len(head)]))[0])
         all_ = shingle_hashes(terms)
-        answer = all_[max(0, asked - SHINGLE + 1) :] if asked < len(terms) else all_[:0]
-        return all_[:asked], answer
+        size = max(1, min(SHINGLE, len(terms)))
+        answer = all_[max(0, asked - size + 1) :] if asked < len(terms) else all_[:0]
+        return size, all_[:asked], answer
 
     def retrieve(self, terms: np.ndarray, words: np.ndarray, threshold: float) -> set[tuple[int, int, float]]:
         """(document, item, best score) of all segments that a passage reaches. terms, words: of a chunk of documents."""
@@ -156,11 +157,14 @@ class IndexPart:
         """(document, item, score, question overlap, answer overlap) that are retrieved and verified."""
         terms, words = term_hashes(raw, offsets)
         out = []
-        shingles: dict[int, np.ndarray] = {}
+        shingles: dict[tuple[int, int], np.ndarray] = {}
         for doc, item, score in sorted(self.retrieve(terms, words, threshold)):
-            if doc not in shingles:
-                shingles[doc] = shingle_hashes(terms[words[doc] : words[doc + 1]])
-            asked, answered = (float(np.isin(x, shingles[doc]).mean()) if len(x) else 1.0 for x in self.checks[item])
+            size, *both = self.checks[item]
+            if (doc, size) not in shingles:
+                shingles[doc, size] = np.sort(shingle_hashes(terms[words[doc] : words[doc + 1]], size))
+            there = shingles[doc, size]
+            found = (there[np.minimum(np.searchsorted(there, x), len(there) - 1)] == x for x in both)
+            asked, answered = (float(x.mean()) if len(x) else 1.0 for x in found)
             if min(asked, answered) >= overlap:
                 out.append((doc, item, min(1.0, score), asked, answered))
         return out

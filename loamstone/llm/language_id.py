@@ -21,7 +21,7 @@ from . import tokens as tk
 BITS, GRAMS = 16, (1, 2, 3, 4)
 #: the model learns from at most about this many documents, and from LENGTH words at a time
 TRAIN_DOCS, LENGTH, STEPS = 1_500, 64, 40
-CHUNK = 4 << 20
+CHUNK = 3 << 19
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

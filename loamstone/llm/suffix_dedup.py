@@ -187,11 +187,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).where(F.octet_length("text") >= window)
     anchors = saved(texts.mapInArrow(_anchors(window), "id long, h long, at int, l int, r int, a long, c long"))
     buckets = anchors.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1").select("a", (F.col("lo") < F.col("hi")).alias("mixed"))
-    repeated = saved(anchors.join(buckets, "a"))
+    # counts are tables of their own, so that the joins back have plain exchanges on both sides and a hot bucket can be split
+    repeated = saved(anchors.join(saved(buckets), "a"))
     span = ["id", "h", (F.col("at") - F.col("l")).alias("s"), (F.col("at") + half + F.col("r")).alias("e")]
     one = repeated.where("not mixed").select(*span)
     mixed = repeated.where("mixed").drop("mixed")
-    around = mixed.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "at")).alias("first"))
+    around = saved(mixed.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "at")).alias("first")))
     many = mixed.join(around.where("n > 1").select("a", "c"), ["a", "c"], "left_semi").select(*span)
     chosen = around.select("first.*").groupBy("id", "h").agg(F.collect_list("at").alias("ats"))
     # the texts that are looked at again are a part of all; they are dealt once
@@ -205,7 +206,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     partners = live.join(doubt.select("shared").distinct(), "shared", "left_semi").groupBy("whole").agg(F.min(F.struct("id", "h", "at", "k")).alias("b")).select("b.*")
     doubt = doubt.select("id", "h", "at", "k").unionByName(partners).groupBy("id", "h").agg(F.collect_list("at").alias("ats"), F.collect_list("k").alias("ks"))
     windows = saved(_with_texts(near, doubt, "ats", "ks").mapInArrow(_refined(window), "id long, h long, at int, w long"))
-    again = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    again = saved(windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"))
     rest = windows.join(again, "w", "left_semi").select("id", "h", F.col("at").alias("s"), (F.col("at") + window).alias("e"))
     spans = one.unionByName(many).unionByName(live.select("id", "h", "s", "e")).unionByName(rest)
     return spans.groupBy("id", "h").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
