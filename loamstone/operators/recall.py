@@ -73,13 +73,16 @@ def recalled(rows: DataFrame, surfaced: DataFrame, now: float) -> DataFrame:
     }).drop("_hit").select(rows.columns)
 
 
-def reranked(items: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Scores over the best of their memory, times its weight; equal scores keep the input order (input_pos)."""
+def reranked(items: DataFrame, weights: dict[str, float] | None = None, per: list[str] | None = None) -> DataFrame:
+    """Scores over the best of their memory, times its weight; equal scores keep the input order (input_pos).
+
+    ``per`` names the columns of a query; without it the items are the answer to one query.
+    """
     good = F.when((F.col("score") > 0) & (F.col("score") < float("inf")), F.col("score")).otherwise(0.0)
-    best = F.max(good).over(Window.partitionBy("memory"))
+    best = F.max(good).over(Window.partitionBy(*(per or []), "memory"))
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("memory")], F.lit(1.0)) if weights else F.lit(1.0)
     share = F.when(best > 0, good / best).otherwise(0.0) * weight
-    return items.withColumn("reranked", share).withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(share), "input_pos")))
+    return items.withColumn("reranked", share).withColumn("position", F.row_number().over(Window.partitionBy(*(per or [F.lit(0)])).orderBy(F.desc(share), "input_pos")))
 
 
 def budget_prefix(items: DataFrame, budget: int, order: list[Column], tokens: str = "tokens", per: list[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-K1, B, RRF_K, POOL = 1.5, 0.75, 60, 30
+K1, B, RRF_K, POOL, QUERY_BLOCK = 1.5, 0.75, 60, 30, 512
 
 
 def normalised_queries(queries: DataFrame) -> DataFrame:
@@ -56,10 +56,11 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = K1,
 
 
 def dense(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", floor: float | None = None) -> DataFrame:
-    """(query_id, sub_ix, id, score) by cosine, strictly above ``floor``. Each block of queries meets all vectors; queries are a stated, small set."""
+    """(query_id, sub_ix, id, score) by cosine, strictly above ``floor``. The stated query set meets all vectors in blocks of about QUERY_BLOCK queries."""
     own = vectors.select(F.col(id_col).alias("id"), T.unit(F.col(vec_col)).alias("_v"))
-    asked = queries.where("vec is not null").select("query_id", "sub_ix", F.array(F.struct(F.col("query_id").alias("q"), F.col("sub_ix").alias("s"), T.unit(F.col("vec")).alias("u"))).alias("a"))
-    block = asked.agg(F.flatten(F.collect_list("a")).alias("asked"))  # the stated query set as one row
+    asked = queries.where("vec is not null").select(F.struct(F.col("query_id").alias("q"), F.col("sub_ix").alias("s"), T.unit(F.col("vec")).alias("u")).alias("a"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    block = asked.groupBy(F.pmod(F.xxhash64("a.q", "a.s"), F.lit(blocks)).alias("_b")).agg(F.collect_list("a").alias("asked"))  # rows of bounded size
     each = own.crossJoin(block).select("id", "_v", F.explode("asked").alias("x"))
     out = each.select(F.col("x.q").alias("query_id"), F.col("x.s").alias("sub_ix"), "id", T.dot(F.col("_v"), F.col("x.u")).alias("score"))
     return out.where(F.col("score") > floor) if floor is not None else out

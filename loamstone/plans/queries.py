@@ -143,7 +143,7 @@ def audience_subset(spark, d):
 
 # ---- retrieval
 
-_BM25 = rf"""q AS (SELECT item_id AS query_id, list_distinct({_TOK}) AS terms FROM benchmark WHERE item_id < 5),
+_BM25 = rf"""q AS (SELECT item_id AS query_id, list_distinct({_TOK}) AS terms FROM benchmark WHERE item_id % 20 = 0),
     d AS (SELECT doc_id AS id, {_TOK} AS w FROM documents WHERE {{where}}), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
     p AS (SELECT id, term, len(w) AS length, count(*) AS tf FROM (SELECT id, w, unnest(w) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
     s AS (SELECT query_id, p.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))) AS score
@@ -155,7 +155,8 @@ def _bm25_sql(where: str) -> str:
 
 
 def _asked(spark, d) -> DataFrame:
-    return table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.lit(0).alias("sub_ix"), "text", F.lit(1.0).alias("weight"))
+    """The query set of a search: every item whose id is divisible by 20."""
+    return table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.lit(0).alias("sub_ix"), "text", F.lit(1.0).alias("weight"))
 
 
 def _bm25(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -173,12 +174,12 @@ def bm25_scoped_topk(spark, d):
     return _bm25(table(spark, d, "documents").where("lang = 'de'"), _asked(spark, d), 10)
 
 
-_DENSE = """q AS (SELECT vec_id AS query_id, embedding AS u FROM embeddings WHERE vec_id % 97 = 0),
+_DENSE = """q AS (SELECT vec_id AS query_id, embedding AS u FROM embeddings WHERE vec_id % 20 = 0),
     s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], u::DOUBLE[]), 6) AS score FROM embeddings, q WHERE {where})"""
 
 
 def _vectors(spark, d) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id % 97 = 0").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("sub_ix"), F.col("embedding").alias("vec"))
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("sub_ix"), F.col("embedding").alias("vec"))
 
 
 @query(f"WITH {_DENSE.format(where='true')} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s QUALIFY rank < 10")
@@ -193,17 +194,17 @@ def dense_floor_filtered(spark, d):
     return X.ranked(near.where("score > 0.2"), 10).select("query_id", "id", "score", "rank")
 
 
-@query(f"""WITH {_bm25_sql('doc_id < 500')}, lx AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) - 1 AS rank FROM s QUALIFY rank < 30),
-    v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 500), dn AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE a.id < 5),
+@query(f"""WITH {_bm25_sql('true')}, lx AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) - 1 AS rank FROM s QUALIFY rank < 30),
+    v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), dn AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE a.id IN (SELECT query_id FROM q)),
     dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM dn QUALIFY rank < 30),
     h AS (SELECT query_id, id, 1.0::DOUBLE / (61 + rank) AS rrf, greatest(0, least(1, score / max(score) OVER (PARTITION BY query_id))) AS c FROM lx UNION ALL SELECT query_id, id, 1.0::DOUBLE / (61 + rank), greatest(0, least(1, score)) FROM dr),
     f AS (SELECT query_id, id, sum(rrf) AS score, 1 - product(1 - c) AS confidence FROM h GROUP BY ALL)
     SELECT query_id, id, round(score, 6) AS score, round(confidence, 6) AS confidence, round(least(1, score / (2.0::DOUBLE / 61)), 6) AS relevance, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM f QUALIFY rank <= 10""")
 def rrf_hybrid(spark, d):
-    docs, asked = table(spark, d, "documents").where("doc_id < 500"), _asked(spark, d)
+    docs, asked = table(spark, d, "documents"), _asked(spark, d)
     lexical = X.ranked(X.bm25(X.postings(docs, terms=X.query_terms(asked)), X.statistics(docs), asked).withColumn("score", r6("score")))
-    own = table(spark, d, "embeddings").where("vec_id < 500")
-    vectors = own.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("sub_ix"), F.col("embedding").alias("vec"))
+    own = table(spark, d, "embeddings")
+    vectors = own.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("sub_ix"), F.col("embedding").alias("vec"))
     near = X.ranked(X.dense(own, vectors).withColumn("score", r6("score")))
     out = X.fused(lexical, near, asked)
     out = out.select("query_id", "id", r6("score").alias("score"), r6("confidence").alias("confidence"), r6("relevance").alias("relevance"))
@@ -297,10 +298,10 @@ def token_budget_greedy(spark, d):
     return R.budget_greedy(items, 200, "user_id", "order")
 
 
-@query(f"WITH {_ROWS}, b AS (SELECT type AS memory, id, importance / max(importance) OVER (PARTITION BY type) * CASE WHEN type = 'click' THEN 0.5 ELSE 1 END AS s FROM rows_ WHERE id < 400) SELECT memory, id, round(s, 6) AS reranked, row_number() OVER (ORDER BY s DESC, id) AS position FROM b")
+@query(f"WITH {_ROWS}, b AS (SELECT user_id, type AS memory, id, importance / max(importance) OVER (PARTITION BY user_id, type) * CASE WHEN type = 'click' THEN 0.5 ELSE 1 END AS s FROM rows_) SELECT user_id, memory, id, round(s, 6) AS reranked, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, id) AS position FROM b")
 def score_reranker(spark, d):
-    items = remembered(spark, d).where("id < 400").select(F.col("type").alias("memory"), "id", F.col("importance").alias("score"), F.col("id").alias("input_pos"))
-    return R.reranked(items, {"click": 0.5}).select("memory", "id", r6("reranked").alias("reranked"), "position")
+    items = remembered(spark, d).select("user_id", F.col("type").alias("memory"), "id", F.col("importance").alias("score"), F.col("id").alias("input_pos"))
+    return R.reranked(items, {"click": 0.5}, per=["user_id"]).select("user_id", "memory", "id", r6("reranked").alias("reranked"), "position")
 
 
 @query("SELECT event_id, round((value - min(value) OVER (PARTITION BY user_id)) / CASE WHEN max(value) OVER (PARTITION BY user_id) > min(value) OVER (PARTITION BY user_id) THEN max(value) OVER (PARTITION BY user_id) - min(value) OVER (PARTITION BY user_id) ELSE 1 END, 6) AS x FROM events")
@@ -347,12 +348,11 @@ def last_user_message(spark, d):
     return V.last_user_message(messages(spark, d))
 
 
-@query("""WITH e AS (SELECT event_id, unnest([event_id % 500, event_id % 400]) AS m FROM events WHERE event_id < 2000), f AS (SELECT doc_id AS fact_id, unnest([doc_id % 450, doc_id % 350]) AS m FROM documents WHERE doc_id < 2000)
+@query("""WITH e AS (SELECT event_id, unnest([event_id, event_id // 2]) AS m FROM events), f AS (SELECT doc_id AS fact_id, unnest([doc_id, doc_id * 3]) AS m FROM documents)
     SELECT DISTINCT event_id, fact_id FROM e JOIN f USING (m)""")
 def provenance_overlap(spark, d):
-    ids = lambda c, a, b: F.array(F.col(c) % a, F.col(c) % b)
-    events = table(spark, d, "events").where("event_id < 2000").select("event_id", ids("event_id", 500, 400).alias("source_message_ids"))
-    facts = table(spark, d, "documents").where("doc_id < 2000").select(F.col("doc_id").alias("fact_id"), ids("doc_id", 450, 350).alias("source_message_ids"))
+    events = table(spark, d, "events").select("event_id", F.expr("array(event_id, event_id div 2)").alias("source_message_ids"))
+    facts = table(spark, d, "documents").select(F.col("doc_id").alias("fact_id"), F.array(F.col("doc_id"), F.col("doc_id") * 3).alias("source_message_ids"))
     return V.provenance_links(events, facts)
 
 
@@ -419,10 +419,10 @@ def dedup_exact(spark, d):
     return E.exact_duplicates(rows, "lang")
 
 
-@query(f"""WITH {_ROWS}, m AS (SELECT *, id - id % 4 AS s FROM rows_ WHERE id < 4000) SELECT s AS id, round(max(importance), 6) AS importance, sum(recall_count)::BIGINT AS recall_count, min(created_at) AS created_at
+@query(f"""WITH {_ROWS}, m AS (SELECT *, id - id % 4 AS s FROM rows_) SELECT s AS id, round(max(importance), 6) AS importance, sum(recall_count)::BIGINT AS recall_count, min(created_at) AS created_at
     FROM m GROUP BY s HAVING bool_or(id = s)""")
 def merge_rows(spark, d):
-    rows = remembered(spark, d).where("id < 4000").select("id", "importance", "recall_count", "created_at")
+    rows = remembered(spark, d).select("id", "importance", "recall_count", "created_at")
     merges = rows.where("id % 4 <> 0").select("id", (F.col("id") - F.col("id") % 4).alias("survivor"))
     return E.merged_rows(rows, merges).withColumn("importance", r6("importance"))
 
@@ -467,12 +467,12 @@ def adjacency_view(spark, d):
 def _spread_sql(hops: int) -> str:
     steps = ", ".join(f"f{h} AS (SELECT w.dst AS id, sum({0.35 * 0.6 ** (h - 1)!r} * f.mass * w.strength / n.fan) AS mass FROM f{h - 1} f JOIN walks w ON w.src = f.id JOIN fans n ON n.src = f.id GROUP BY w.dst)" for h in range(1, hops + 1))
     total = " UNION ALL ".join(f"SELECT * FROM f{h}" for h in range(1, hops + 1))
-    return f"""WITH {_WALKS}, fans AS (SELECT src, count(*) AS fan FROM walks GROUP BY src), f0 AS (SELECT 'c' || c_custkey AS id, 0.8::DOUBLE AS mass FROM customer WHERE c_custkey % 50 = 0), {steps}
+    return f"""WITH {_WALKS}, fans AS (SELECT src, count(*) AS fan FROM walks GROUP BY src), f0 AS (SELECT 'c' || c_custkey AS id, 0.8::DOUBLE AS mass FROM customer WHERE c_custkey % 20 = 0), {steps}
         SELECT id, round(sum(mass) + 1e-10, 6) AS activation FROM ({total}) GROUP BY id"""
 
 
 def _spread(spark, d, hops: int) -> DataFrame:
-    seeds = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.lit(0.8).alias("activation"))
+    seeds = table(spark, d, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.lit(0.8).alias("activation"))
     return G.spread(_walks(spark, d), seeds, hops=hops).withColumn("activation", r6(F.col("activation") + 1e-10))
 
 
@@ -499,29 +499,30 @@ def edge_strengths(spark, d):
     return table(spark, d, "events").select("event_id", r6(s).alias("strength"))
 
 
-@query("SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_orderkey % 20 = 0")
+@query("SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey")
 def cooccurrence_pairs(spark, d):
-    lines = table(spark, d, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("participant"))
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("participant"))
     return G.shared_pairs(lines)
 
 
-@query("""WITH f AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS n FROM lineitem WHERE l_orderkey % 50 = 0 AND l_discount >= 0.03), p AS (SELECT DISTINCT a.n AS src, b.n AS dst FROM f a JOIN f b ON a.r = b.r AND a.n < b.n),
-    e AS (SELECT DISTINCT a.n AS src, b.n AS dst, 0.1::DOUBLE AS weight FROM f a JOIN f b ON a.r = b.r AND a.n < b.n WHERE a.r % 100 = 0)
+@query("""WITH f AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS n FROM lineitem WHERE l_discount >= 0.03), p AS (SELECT DISTINCT a.n AS src, b.n AS dst FROM f a JOIN f b ON a.r = b.r AND a.n < b.n),
+    o AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS n FROM lineitem WHERE l_discount >= 0.08), e AS (SELECT DISTINCT a.n AS src, b.n AS dst, 0.1::DOUBLE AS weight FROM o a JOIN o b ON a.r = b.r AND a.n < b.n)
     SELECT coalesce(e.src, p.src) AS src, coalesce(e.dst, p.dst) AS dst, round(CASE WHEN e.src IS NULL THEN 0.05 ELSE 0.15 END::DOUBLE, 6) AS weight, 1::BIGINT AS co_recall_count FROM e FULL JOIN p ON e.src = p.src AND e.dst = p.dst""")
 def hebbian_update(spark, d):
-    fired = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("recall"), F.col("l_partkey").alias("id"), (F.col("l_discount") * 5).alias("activation"))
-    old = G.shared_pairs(fired.where("activation >= 0.15 and recall % 100 = 0").withColumnRenamed("id", "node"), "node", "recall")
+    lines = table(spark, d, "lineitem")
+    fired = lines.select(F.col("l_orderkey").alias("recall"), F.col("l_partkey").alias("id"), (F.col("l_discount") * 5).alias("activation"))
+    old = G.shared_pairs(lines.where(F.col("l_discount") >= 0.08).select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("recall")), "node", "recall")
     edges = old.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(0.1).alias("weight"), F.lit(0.1).alias("creation_weight"), F.lit(0).cast("long").alias("co_recall_count"))
     return G.hebbian(edges, fired).select("src", "dst", r6("weight").alias("weight"), "co_recall_count")
 
 
-@query("""WITH RECURSIVE l AS (SELECT c_custkey AS id, 'n' || (c_custkey % 211) AS label FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'm' || (c_custkey // 40) FROM customer WHERE c_custkey % 6 = 0),
+@query("""WITH RECURSIVE l AS (SELECT c_custkey AS id, 'n' || (c_custkey // 6 * 6 + c_custkey % 2) AS label FROM customer UNION ALL SELECT c_custkey, 'm' || (c_custkey // 3) FROM customer),
     e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM l a JOIN l b USING (label)), r(id, root) AS (SELECT id, id FROM l UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b)
     SELECT id, min(root) AS component FROM r GROUP BY id""")
 def person_components(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    labels = c.where("id % 3 = 0").select("id", F.concat(F.lit("n"), (F.col("id") % 211).cast("string")).alias("label"))
-    more = c.where("id % 6 = 0").select("id", F.concat(F.lit("m"), F.floor(F.col("id") / 40).cast("string")).alias("label"))
+    labels = c.select("id", F.concat(F.lit("n"), F.expr("id div 6 * 6 + id % 2").cast("string")).alias("label"))
+    more = c.select("id", F.concat(F.lit("m"), F.expr("id div 3").cast("string")).alias("label"))
     return G.label_components(labels.unionByName(more))
 
 
@@ -533,12 +534,12 @@ def edge_merge(spark, d):
     return G.merged_edges(e).select("id", r6("weight").alias("weight"), r6(F.abs("trust")).alias("trust_size"))
 
 
-@query(f"""WITH {_EDGES}, v AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 3 <> 0),
+@query(f"""WITH {_EDGES}, v AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_nationkey < 13 UNION ALL SELECT 'o' || o_orderkey FROM orders),
     x AS (SELECT src, dst FROM edges WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)), n AS (SELECT src AS id FROM x UNION ALL SELECT dst FROM x)
     SELECT v.id, count(n.id) AS degree FROM v LEFT JOIN n ON v.id = n.id GROUP BY v.id HAVING count(n.id) >= 2""")
 def minimum_degree(spark, d):
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string")).alias("id")
-    nodes = table(spark, d, "customer").where("c_custkey % 2 = 0").select(name("c", "c_custkey")).unionByName(table(spark, d, "orders").where("o_orderkey % 3 <> 0").select(name("o", "o_orderkey")))
+    nodes = table(spark, d, "customer").where("c_nationkey < 13").select(name("c", "c_custkey")).unionByName(table(spark, d, "orders").select(name("o", "o_orderkey")))
     return G.degrees(_edges(spark, d), nodes).where("degree >= 2")
 
 
@@ -570,9 +571,9 @@ def seed_activations(spark, d):
 # ---- functions and chunks
 
 
-@query(r"SELECT doc_id, CASE WHEN s = '' THEN 'entity' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents)")
+@query(r"SELECT doc_id, CASE WHEN s = '' THEN 'entity' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents)")
 def slugs(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.slugify(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 @query("""WITH e AS (SELECT vec_id, greatest(0, least(1, embedding[1]::DOUBLE)) AS a, greatest(0, least(1, embedding[2]::DOUBLE)) AS b FROM embeddings)
@@ -606,14 +607,14 @@ def bounded_history(spark, d):
 # ---- the write path
 
 
-@query("""WITH x AS (SELECT doc_id AS id, source AS user_id, text AS content, [doc_id % 50, doc_id % 70] AS m FROM documents WHERE doc_id % 2 = 0), k AS (SELECT DISTINCT source AS user_id, lower(trim(text)) AS t FROM documents WHERE doc_id % 6 = 1),
+@query("""WITH x AS (SELECT doc_id AS id, source AS user_id, text AS content, [doc_id % 50, doc_id % 70] AS m FROM documents), k AS (SELECT DISTINCT source AS user_id, lower(trim(text)) AS t FROM documents WHERE lang = 'fr'),
     c AS (SELECT *, list_sort(list_distinct(list_filter(m, lambda i: i % 3 <> 0))) AS ids FROM x), f AS (SELECT * FROM c WHERE len(ids) > 0 AND trim(content) <> ''),
     o AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(trim(content)) ORDER BY id) AS n FROM f)
     SELECT id, user_id, ids AS source_message_ids FROM o WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM k WHERE k.user_id = o.user_id AND k.t = lower(trim(o.content)))""")
 def applied_facts(spark, d):
     docs = table(spark, d, "documents")
-    rows = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("source").alias("user_id"), F.col("text").alias("content"), F.array(F.col("doc_id") % 50, F.col("doc_id") % 70).alias("source_message_ids"))
-    known = docs.where("doc_id % 6 = 1").select(F.col("source").alias("user_id"), F.col("text").alias("content"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("user_id"), F.col("text").alias("content"), F.array(F.col("doc_id") % 50, F.col("doc_id") % 70).alias("source_message_ids"))
+    known = docs.where("lang = 'fr'").select(F.col("source").alias("user_id"), F.col("text").alias("content"))
     return M.applied_facts(rows, known, spark.range(70).where("id % 3 <> 0")).select("id", "user_id", "source_message_ids")
 
 
@@ -643,11 +644,11 @@ def known_facts(spark, d):
     return M.known_facts(remembered(spark, d)).select("user_id", "id", "rank")
 
 
-@query(f"""WITH {_ROWS}, b AS (SELECT user_id % 20 AS p, id % 100 AS node, round(importance, 6) AS s FROM rows_ WHERE user_id % 20 < 5), n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY s DESC, node) AS r FROM (SELECT p, node, max(s) AS s FROM b GROUP BY ALL) QUALIFY r <= 10)
+@query(f"""WITH {_ROWS}, b AS (SELECT user_id % 20 AS p, id % 100 AS node, round(importance, 6) AS s FROM rows_), n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY s DESC, node) AS r FROM (SELECT p, node, max(s) AS s FROM b GROUP BY ALL) QUALIFY r <= 10)
     SELECT node AS id, max(s) AS score, arg_max(p, (s, p)) AS participant FROM n GROUP BY node""")
 def participant_fan_out(spark, d):
     items = remembered(spark, d).select((F.col("user_id") % 20).alias("participant"), (F.col("id") % 100).alias("id"), r6("importance").alias("score")).groupBy("participant", "id").agg(F.max("score").alias("score"))
-    return M.fan_out(items, spark.range(5).withColumnRenamed("id", "participant"), 10)
+    return M.fan_out(items, spark.range(20).withColumnRenamed("id", "participant"), 10)
 
 
 @query("""WITH a AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), l AS (SELECT vec_id AS user_id, 'joy' AS axis, x AS before, CASE WHEN vec_id % 2 = 0 THEN x ELSE x + 0.25 END AS after FROM a UNION ALL SELECT vec_id, 'fear', y, 0 FROM a)
@@ -676,24 +677,24 @@ def resolved_subjects(spark, d):
 # ---- groups and entities
 
 
-@query(f"""WITH {_WALKS}, fans AS (SELECT src, count(*) AS fan FROM walks GROUP BY src), s AS (SELECT c_nationkey AS participant, 'c' || c_custkey AS id, 0.48::DOUBLE AS mass FROM customer WHERE c_custkey % 40 = 0),
+@query(f"""WITH {_WALKS}, fans AS (SELECT src, count(*) AS fan FROM walks GROUP BY src), s AS (SELECT c_nationkey AS participant, 'c' || c_custkey AS id, 0.48::DOUBLE AS mass FROM customer WHERE c_custkey % 20 = 0),
     f1 AS (SELECT participant, w.dst AS id, sum(0.35 * s.mass * w.strength / n.fan) AS mass FROM s JOIN walks w ON w.src = s.id JOIN fans n ON n.src = s.id GROUP BY ALL)
     SELECT participant, id, round(mass + 1e-10, 6) AS activation FROM f1""")
 def group_activation(spark, d):
-    seeds = table(spark, d, "customer").where("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("participant"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.lit(0.48).alias("activation"))
+    seeds = table(spark, d, "customer").where("c_custkey % 20 = 0").select(F.col("c_nationkey").alias("participant"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.lit(0.48).alias("activation"))
     out = G.spread(_walks(spark, d), seeds, hops=1, per=["participant"])
     return out.select("participant", "id", r6(F.col("activation") + 1e-10).alias("activation"))
 
 
-@query(f"""WITH {_WALKS}, h0 AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey % 100 = 0), h1 AS (SELECT DISTINCT dst AS id FROM walks JOIN h0 ON src = h0.id), h2 AS (SELECT DISTINCT dst AS id FROM walks JOIN h1 ON src = h1.id)
+@query(f"""WITH {_WALKS}, h0 AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey % 20 = 0), h1 AS (SELECT DISTINCT dst AS id FROM walks JOIN h0 ON src = h0.id), h2 AS (SELECT DISTINCT dst AS id FROM walks JOIN h1 ON src = h1.id)
     SELECT id, min(hop)::INT AS hop FROM (SELECT id, 0 AS hop FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY id""")
 def subgraph_hops(spark, d):
-    seeds = table(spark, d, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+    seeds = table(spark, d, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
     return G.within_hops(_walks(spark, d), seeds, 2)
 
 
 @query("""WITH e AS (SELECT 'entity:part-' || p_partkey AS id, 'Part ' || p_partkey AS name, 'alias ' || (p_partkey % 30) AS a FROM part WHERE p_partkey % 3 = 0),
-    m AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_partkey % 2 = 0 THEN 'PART  ' || l_partkey ELSE 'Alias ' || (l_partkey % 40) END AS name FROM lineitem WHERE l_orderkey % 10 = 0),
+    m AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_partkey % 2 = 0 THEN 'PART  ' || l_partkey ELSE 'Alias ' || (l_partkey % 40) END AS name FROM lineitem),
     s AS (SELECT id, regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') AS slug FROM m), l AS (SELECT regexp_replace(lower(a), '[^a-z0-9]+', '-', 'g') AS slug, min(id) AS id FROM e GROUP BY 1)
     SELECT s.id, coalesce(e.id, l.id, 'entity:' || s.slug) AS entity FROM s LEFT JOIN e ON e.id = 'entity:' || s.slug LEFT JOIN l ON l.slug = s.slug""")
 def entity_resolution(spark, d):
@@ -702,5 +703,5 @@ def entity_resolution(spark, d):
         F.array(F.concat(F.lit("alias "), (F.col("p_partkey") % 30).cast("string"))).alias("aliases"),
     )
     name = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("PART  "), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("Alias "), (F.col("l_partkey") % 40).cast("string")))
-    mentions = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), name.alias("name"))
+    mentions = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), name.alias("name"))
     return G.resolved_entities(mentions, entities, T.slugify).select("id", "entity")
