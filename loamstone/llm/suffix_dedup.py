@@ -14,6 +14,8 @@ one suffix, and only one suffix in about a quarter window stands for its neighbo
    spans all of them repeats, they all do; if the string that they share does not, none does. Only the windows of the
    blocks between are counted one by one.
 
+A text is a sequence of bytes, or of words: word hashes take the place of bytes, and depths, windows and positions count words.
+
 Counts are pre-aggregated by key, so a passage that a third of all documents share costs a row per task; no group is collected.
 """
 
@@ -46,11 +48,12 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def half_buckets(raw: np.ndarray, half: int) -> np.ndarray:
-    """The bucket identifier at depth ``half`` (8 at least) of each suffix that long; borders between texts are the caller's."""
-    x = raw.astype(np.uint64)
-    for k in (1, 2, 4):
-        x = x[:-k] | (x[k:] << np.uint64(8 * k))
-    depth = 8
+    """The bucket identifier at depth ``half`` (8 at least) of each suffix that long, of bytes or of word hashes; borders between texts are the caller's."""
+    x, depth = raw.astype(np.uint64), 1
+    if raw.dtype == np.uint8:
+        for k in (1, 2, 4):
+            x = x[:-k] | (x[k:] << np.uint64(8 * k))
+        depth = 8
     while depth < half:
         by = min(depth, half - depth)
         x = _pair(x[:-by], x[by:])
@@ -62,8 +65,8 @@ class Windows:
     """The buckets of a chunk of texts, and the anchor of each window that lies within a text."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, window: int):
-        self.window, self.half = window, window // 2
-        self.gap = window - self.half
+        self.window, self.gap = window, window // 2
+        self.half = window - self.gap  # the larger part of an odd window, so that two buckets ``gap`` apart leave nothing out
         size = np.diff(offsets)
         n = np.maximum(size - window + 1, 0)
         self.doc = np.repeat(np.arange(len(size)), n)  # of each window
@@ -130,10 +133,19 @@ class Windows:
         return d, p - self.offsets[d], bucket
 
 
-def _anchors(window: int):
+def _sequences(column: pa.Array, words: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes or word hashes, offsets) for each chunk of a column."""
+    for i, j, raw, offsets in tb.pieces(column):
+        if words:
+            starts, ends, first = tb.word_bounds(raw, offsets)
+            raw, offsets = tb.span_hashes(raw, starts, ends), first
+        yield i, j, raw, offsets
+
+
+def _anchors(window: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, offsets in tb.pieces(batch.column("text")):
+            for i, j, raw, offsets in _sequences(batch.column("text"), words):
                 doc, at, left, right, bucket, around = Windows(raw, offsets, window).anchors()
                 own = batch.slice(i, j - i).select(["id", "h"]).take(pa.array(doc, pa.int64()))
                 ints = [pa.array(x, pa.int32()) for x in (at, left, right)]
@@ -142,10 +154,10 @@ def _anchors(window: int):
     return run
 
 
-def _blocks(window: int):
+def _blocks(window: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, offsets in tb.pieces(batch.column("text")):
+            for i, j, raw, offsets in _sequences(batch.column("text"), words):
                 lists = batch.column("ats").slice(i, j - i)
                 doc = np.repeat(np.arange(j - i), lists.value_lengths().to_numpy())
                 doc, at, number, first, end, whole, shared = Windows(raw, offsets, window).blocks(doc, lists.flatten().to_numpy().astype(np.int64))
@@ -156,10 +168,10 @@ def _blocks(window: int):
     return run
 
 
-def _refined(window: int):
+def _refined(window: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, offsets in tb.pieces(batch.column("text")):
+            for i, j, raw, offsets in _sequences(batch.column("text"), words):
                 ats, ks = (batch.column(c).slice(i, j - i) for c in ("ats", "ks"))
                 doc = np.repeat(np.arange(j - i), ats.value_lengths().to_numpy())
                 doc, at, bucket = Windows(raw, offsets, window).of_blocks(doc, ats.flatten().to_numpy().astype(np.int64), ks.flatten().to_numpy().astype(np.int64))
@@ -174,18 +186,19 @@ def _with_texts(texts: DataFrame, wanted: DataFrame, *lists: str) -> DataFrame:
     return t.join(c, F.col("t.id").eqNullSafe(F.col("c.id")) & (F.col("t.h") == F.col("c.h"))).select("t.id", "t.h", "t.text", *[f"c.{x}" for x in lists])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, words: bool = False) -> DataFrame:
     """(id, h, starts, ends) for each text that holds a string of ``window`` bytes which also starts anywhere else.
 
     h is xxhash64 of the text (null: empty); it tells texts that share an id apart. starts and ends are parallel lists of byte
-    spans, unordered and possibly overlapping, that cover exactly the bytes of such strings.
+    spans, unordered and possibly overlapping, that cover exactly the bytes of such strings. With ``words`` a window is so many
+    words (runs without white space, as they are written) and the spans count words.
     """
-    half = window // 2
-    if half < 16:
-        raise ValueError("window must be 32 bytes at least")
+    half = window - window // 2
+    if window < 32:
+        raise ValueError("window must be 32 bytes or words at least")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).where(F.octet_length("text") >= window)
-    anchors = saved(texts.mapInArrow(_anchors(window), "id long, h long, at int, l int, r int, a long, c long"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).where(F.octet_length("text") >= (2 * window - 1 if words else window))
+    anchors = saved(texts.mapInArrow(_anchors(window, words), "id long, h long, at int, l int, r int, a long, c long"))
     buckets = anchors.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1").select("a", (F.col("lo") < F.col("hi")).alias("mixed"))
     # counts are tables of their own, so that the joins back have plain exchanges on both sides and a hot bucket can be split
     repeated = saved(anchors.join(saved(buckets), "a"))
@@ -197,7 +210,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chosen = around.select("first.*").groupBy("id", "h").agg(F.collect_list("at").alias("ats"))
     # the texts that are looked at again are a part of all; they are dealt once
     near = saved(_with_texts(texts, chosen, "ats"))
-    blocks = saved(near.mapInArrow(_blocks(window), "id long, h long, at int, k int, s int, e int, whole long, shared long"))
+    blocks = saved(near.mapInArrow(_blocks(window, words), "id long, h long, at int, k int, s int, e int, whole long, shared long"))
     twice = saved(blocks.select(F.explode(F.array("whole", "shared")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"))
     once = lambda c: twice.select(F.col("w").alias(c), F.lit(True).alias(f"{c}_again"))
     judged = saved(blocks.join(once("shared"), "shared").join(once("whole"), "whole", "left").drop("shared_again"))
@@ -205,19 +218,30 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # a block in doubt may share windows with one that is settled: one of each such kind is refined with it
     partners = live.join(doubt.select("shared").distinct(), "shared", "left_semi").groupBy("whole").agg(F.min(F.struct("id", "h", "at", "k")).alias("b")).select("b.*")
     doubt = doubt.select("id", "h", "at", "k").unionByName(partners).groupBy("id", "h").agg(F.collect_list("at").alias("ats"), F.collect_list("k").alias("ks"))
-    windows = saved(_with_texts(near, doubt, "ats", "ks").mapInArrow(_refined(window), "id long, h long, at int, w long"))
+    windows = saved(_with_texts(near, doubt, "ats", "ks").mapInArrow(_refined(window, words), "id long, h long, at int, w long"))
     again = saved(windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"))
     rest = windows.join(again, "w", "left_semi").select("id", "h", F.col("at").alias("s"), (F.col("at") + window).alias("e"))
     spans = one.unionByName(many).unionByName(live.select("id", "h", "s", "e")).unionByName(rest)
     return spans.groupBy("id", "h").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """All rows and columns of ``docs``, with the lists of ``repeated_spans`` as _starts and _ends (null where nothing repeats)."""
-    own = docs.alias("own")
-    spans = repeated_spans(docs, id_col, text_col, window).alias("spans")
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, words: int | None = None) -> DataFrame:
+    """All rows and columns of ``docs``, with the lists of ``repeated_spans`` as _starts and _ends (null where nothing repeats).
+
+    With ``words`` there are also _first and _last: the spans, in words, of strings of so many words that repeat. Then all four are null or none is.
+    """
+    own, spans = docs.alias("own"), repeated_spans(docs, id_col, text_col, window)
+    lists = ["starts", "ends"]
+    if words is not None:
+        none = F.array().cast("array<int>")
+        both = spans.withColumns({"first": none, "last": none}).unionByName(
+            repeated_spans(docs, id_col, text_col, words, words=True).select("id", "h", none.alias("starts"), none.alias("ends"), F.col("starts").alias("first"), F.col("ends").alias("last"))
+        )
+        lists += ["first", "last"]
+        spans = both.groupBy("id", "h").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in lists])  # two rows at most
+    spans = spans.alias("spans")
     same = F.col(f"own.{id_col}").cast("long").eqNullSafe(F.col("spans.id")) & (F.xxhash64(F.coalesce(F.col(f"own.{text_col}"), F.lit(""))) == F.col("spans.h"))
-    return own.join(spans, same, "left").select("own.*", F.col("spans.starts").alias("_starts"), F.col("spans.ends").alias("_ends"))
+    return own.join(spans, same, "left").select("own.*", *[F.col(f"spans.{c}").alias(f"_{c}") for c in lists])
 
 
 def merged(starts: np.ndarray | None, ends: np.ndarray | None) -> list[tuple[int, int]]:
@@ -261,9 +285,9 @@ def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 @F.pandas_udf(StringType())
-def _kept_text(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+def _kept_text(text: pd.Series, starts: pd.Series, ends: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
     out = []
-    for t, s, e in zip(text, starts, ends, strict=True):
+    for t, s, e, f, l in zip(text, starts, ends, first, last, strict=True):
         data = t.encode()
         grown = []
         for a, b in merged(s, e):  # a character goes with any of its bytes
@@ -272,12 +296,21 @@ def _kept_text(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series
             while b < len(data) and data[b] & 0xC0 == 0x80:
                 b += 1
             grown.append((a, b))
+        if f is not None and len(f):
+            begin, end, _ = tb.word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+            grown += [(int(begin[a]), int(end[b - 1])) for a, b in merged(f, l)]
         out.append(_without(data, merged([a for a, _ in grown], [b for _, b in grown])).decode())
     return pd.Series(out)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with repeated strings cut out of the texts; other columns as they were, texts without repeats untouched (null stays null)."""
-    found = with_spans(docs, id_col, text_col, window)
-    cut = F.when(F.col("_starts").isNull(), F.col(text_col)).otherwise(_kept_text(F.coalesce(F.col(text_col), F.lit("")), "_starts", "_ends"))
-    return found.withColumn(text_col, cut).drop("_starts", "_ends")
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, words: int | None = None) -> DataFrame:
+    """``docs`` with repeated strings cut out of the texts; other columns as they were, texts without repeats untouched (null stays null).
+
+    Cut are strings of ``window`` bytes and, with ``words``, also strings of so many words, however few bytes they have.
+    """
+    found = with_spans(docs, id_col, text_col, window, words)
+    spans = ["_starts", "_ends", "_first", "_last"]
+    if words is None:
+        found = found.withColumns({c: F.array().cast("array<int>") for c in spans[2:]})
+    cut = F.when(F.col("_starts").isNull(), F.col(text_col)).otherwise(_kept_text(F.coalesce(F.col(text_col), F.lit("")), *spans))
+    return found.withColumn(text_col, cut).drop(*spans)

@@ -76,3 +76,48 @@ def test_spans_and_characters():
 
     assert suffix_dedup.merged([5, 0, 2], [9, 2, 4]) == [(0, 4), (5, 9)] and suffix_dedup.merged(None, None) == []
     assert re.sub("b", "", "abc") == suffix_dedup._without(b"abc", [(1, 2)]).decode()
+
+
+def test_passages_of_51_short_words_are_cut(spark):
+    """51 words go, whatever their bytes and the white space between them; 50 words of under 300 bytes stay."""
+    rng = random.Random(5)
+    short = lambda n: ["".join(rng.choice("abcdefghijklmnopé") for _ in range(rng.randint(1, 3))) for _ in range(n)]
+    tiny, fifty = short(51), short(50)
+    letters = [chr(97 + k % 26) for k in range(26)] + [chr(65 + k % 25) for k in range(25)]
+    assert len(" ".join(tiny).encode()) < 300 and len(" ".join(letters)) == 101
+    own = {k: words(rng, 60) for k in range(8)}
+    rows = [
+        (0, f"{own[0]} {' '.join(tiny)} {own[1]}"), (1, f"{own[2]} {' '.join(tiny[:20])}\n{' '.join(tiny[20:])} {own[3]}"), (2, f"{own[4]} {' '.join(letters)}"),
+        (None, f"{' '.join(letters)} {own[5]}"), (4, f"{own[6]} {' '.join(fifty)}"), (5, f"{' '.join(fifty)} {own[7]}"), (6, None), (7, ""),
+    ]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], COLUMNS).repartition(3)
+    found = {r.doc_id: r for r in corpus_pipeline.suffix_array_dedup(spark, docs, "").collect()}
+    wanted = {0: f"{own[0]}  {own[1]}", 1: f"{own[2]}  {own[3]}", 2: f"{own[4]} ", None: f" {own[5]}", 4: rows[4][1], 5: rows[5][1], 6: None, 7: ""}
+    assert {k: r.text for k, r in found.items()} == wanted
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in found.values())
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_repeated_words_against_brute_force(spark, seed):
+    from loamstone.llm import suffix_dedup
+
+    rng = random.Random(seed)
+    base = [rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(700)]
+    texts = []
+    for _ in range(25):
+        t = base[rng.randint(0, 400) : rng.randint(410, 700)]
+        for _ in range(rng.randint(0, 5)):
+            t[rng.randrange(len(t))] = f"n{rng.randint(0, 9)}"
+        texts.append(t)
+    texts.append(["a", "b"] * 60)
+    seen = {}
+    for k, t in enumerate(texts):
+        for p in range(len(t) - 50):
+            seen.setdefault(tuple(t[p : p + 51]), []).append((k, p))
+    wanted = {}
+    for places in seen.values():
+        for k, p in places if len(places) > 1 else []:
+            wanted.setdefault(k, set()).update(range(p, p + 51))
+    docs = spark.createDataFrame([(k, " \n"[k % 2].join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    found = {r.id: {x for s, e in zip(r.starts, r.ends) for x in range(s, e)} for r in suffix_dedup.repeated_spans(docs, window=51, words=True).collect()}
+    assert found == wanted
