@@ -5,8 +5,9 @@ copied segment lies whole in one passage. A score is divided by the segment's sc
 is there. Segments are held in blocks; for each term a block knows the largest impact on any of its segments. A passage
 whose sum of those bounds misses the threshold skips the block, the others are scored in full, and all segments at or above
 the threshold are retrieved. Terms found in many segments get no bound of their own: a block knows the most that they give any of its
-segments together. A retrieved item is then verified on the whole document: its 5-word shingles that start in the question and
-those that end in the answer must both be there by 0.8 or more.
+segments together. A retrieved item is then verified on the whole document: its 5-word shingles must be there by 0.8 or more, either
+all of them together or those of the question and those of the answer, with or without the shingles across the border. A side of fewer than 5 words must be there with all its
+words in order, within twice as many words; if both are so short, one after the other.
 
 The index is built by Spark and sent out in parts of at most PART_ENTRIES segments; more items mean more passes, not a larger broadcast.
 Documents are never shuffled.
@@ -47,6 +48,16 @@ def shingle_hashes(terms: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def in_order(terms: np.ndarray, wanted: np.ndarray) -> bool:
+    """Whether all ``wanted`` terms follow each other, with others between them or not, within twice as many terms."""
+    first = at = np.flatnonzero(terms == wanted[0])
+    for w in wanted[1:]:
+        places = np.flatnonzero(terms == w)
+        k = np.searchsorted(places, at, "right")  # the earliest place behind keeps the stretch short
+        first, at = first[k < len(places)], places[k[k < len(places)]]
+    return bool((at - first < 2 * len(wanted)).any())
+
+
 def question_length(text: str) -> int:
     """Characters of the question: up to the last question mark before other text, else up to the last line or sentence; all without any."""
     cuts = [m.end() for m in re.finditer(r"\?+\s*", text) if m.end() < len(text)] or [m.end() for m in re.finditer(r"\n+|[.!]\s+", text) if text[m.end() :].strip()]
@@ -105,16 +116,13 @@ class IndexPart:
         self.checks = {item: self._check(text) for item, text in texts.items()}
 
     @staticmethod
-    def _check(text: str) -> tuple[int, np.ndarray, np.ndarray]:
-        """The size of the shingles (the item's words if it has fewer), those that start in the question, and those that end in the answer."""
+    def _check(text: str) -> tuple[int, np.ndarray, list[np.ndarray]]:
+        """The size of the shingles (the item's words if it has fewer), all shingles, and the words of the question and of the answer."""
         n, raw = question_length(text), np.frombuffer(text.encode(), np.uint8)
         terms, _ = term_hashes(raw, np.array([0, len(raw)]))
         head = np.frombuffer(text[:n].encode(), np.uint8)
         asked = len(term_hashes(head, np.array([0, len(head)]))[0])
-        all_ = shingle_hashes(terms)
-        size = max(1, min(SHINGLE, len(terms)))
-        answer = all_[max(0, asked - size + 1) :] if asked < len(terms) else all_[:0]
-        return size, all_[:asked], answer
+        return max(1, min(SHINGLE, len(terms))), shingle_hashes(terms), [terms[:asked], terms[asked:]]
 
     def retrieve(self, terms: np.ndarray, words: np.ndarray, threshold: float) -> set[tuple[int, int, float]]:
         """(document, item, best score) of all segments that a passage reaches. terms, words: of a chunk of documents."""
@@ -154,18 +162,28 @@ class IndexPart:
         return {(d, i, x) for (d, i), x in best.items()}
 
     def leaks(self, raw: np.ndarray, offsets: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
-        """(document, item, score, question overlap, answer overlap) that are retrieved and verified."""
+        """(document, item, score, question overlap, answer overlap) that are retrieved and verified, as a whole or by both sides."""
         terms, words = term_hashes(raw, offsets)
         out = []
         shingles: dict[tuple[int, int], np.ndarray] = {}
         for doc, item, score in sorted(self.retrieve(terms, words, threshold)):
-            size, *both = self.checks[item]
+            size, every, sides = self.checks[item]
+            own = terms[words[doc] : words[doc + 1]]
             if (doc, size) not in shingles:
-                shingles[doc, size] = np.sort(shingle_hashes(terms[words[doc] : words[doc + 1]], size))
+                shingles[doc, size] = np.sort(shingle_hashes(own, size))
             there = shingles[doc, size]
-            found = (there[np.minimum(np.searchsorted(there, x), len(there) - 1)] == x for x in both)
-            asked, answered = (float(x.mean()) if len(x) else 1.0 for x in found)
-            if min(asked, answered) >= overlap:
+            share = lambda x: float((there[np.minimum(np.searchsorted(there, x), len(there) - 1)] == x).mean())  # noqa: B023, E731
+            whole = share(every)
+            if not all(len(x) for x in sides):  # one side only
+                asked, answered = (whole if len(x) else 1.0 for x in sides)
+            else:
+                if max(map(len, sides)) < SHINGLE:
+                    asked = answered = float(in_order(own, np.concatenate(sides)))
+                else:
+                    asked, answered = (share(shingle_hashes(x)) if len(x) >= SHINGLE else float(in_order(own, x)) for x in sides)
+                n = len(sides[0])  # shingles across the border may count for both sides
+                asked, answered = max(asked, share(every[:n])), max(answered, share(every[max(0, n - size + 1) :]))
+            if max(whole, min(asked, answered)) >= overlap:
                 out.append((doc, item, min(1.0, score), asked, answered))
         return out
 
@@ -203,6 +221,7 @@ def _found(index: IndexPart, threshold: float, overlap: float):
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """(id, item_id, score, question_overlap, answer_overlap), a row for each document and test item verified in it.
 
+    The overlaps are shares of a side's shingles, with or without those across the border, whichever is more; one may be low if the item as a whole is there.
     A null or empty text holds no item. Rows that repeat an id are searched each. Other columns are ignored. Without items nothing is found.
     """
     schema = "id long, item_id long, score double, question_overlap double, answer_overlap double"

@@ -225,6 +225,35 @@ def test_contaminated(spark, docs):
     assert decontaminate.contaminated(frame, b.limit(0)).count() == 0 and decontaminate.contaminated(docs, b).count() == 0
 
 
+def test_contaminated_by_edited_answers_and_short_sides(spark):
+    rng = random.Random(8)
+    say = lambda k: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(k))
+    answers = {1: say(7).split(), 2: say(3).split(), 3: say(12).split()}
+    items = {k: f"{say(30)}. {' '.join(a)}." for k, a in answers.items()}
+    items |= {10: "Capital of Freedonia? Fredville city.", 11: f"{say(9)}? Quartz veins.", 12: "Who wrote it? " + say(9), 13: f"{say(8)}? {say(8)}"}
+    own, wanted = [], set()
+
+    def add(text, *found):
+        own.append((len(own), f"{say(20)} {text} {say(20)}"))
+        wanted.update((len(own) - 1, i) for i in found)
+
+    for k, answer in answers.items():  # each word of the answer, changed alone
+        for p, word in enumerate(answer):
+            add(items[k].replace(word, "changed"), k)
+    add("Capital of Freedonia? Answer: Fredville, the city.", 10)
+    add("Capital of Freedonia? Nobody knows the city.")
+    add(items[11].replace("? ", f"? {say(30)} Answer: "), 11)
+    add(items[11].replace("Quartz", "Granite"))
+    add(items[12].replace("? ", "? Answer: "), 12)
+    add(items[12].replace("Who wrote", "Somebody sang"))
+    add(items[13].replace("? ", f"? {say(25)} "), 13)
+    add(items[13].split("? ")[0])
+    frame = spark.createDataFrame(own, "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, b).collect()} == wanted
+    assert {r.doc_id for r in decontaminate.without_contaminated(frame, b).collect()} == {k for k, _ in own} - {k for k, _ in wanted}
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.net/en/1", "http://example.net/de/", "HTTP://EXAMPLE.COM/de/x?y", "ftp://x.org/fr/", "no scheme", None, "http://net", "http://net/", "http://inet/", "http://b.net?x=/en/", "https://x.example.net#/en/", "http://example.net:80/en/", "://org/fr/z", "", "http:///en/"]
     rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"), ("block", "net", "/"), ("block", None, "/")]
