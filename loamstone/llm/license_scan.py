@@ -3,7 +3,7 @@
 Words that occur once in a text's region and once in a template are anchors; the longest run of anchors that increases in both is kept, and
 the gaps between neighbours are aligned the same way. Coverage is the share of the template's words that are aligned.
 A region is a stretch of a text whose words could cover a template: windows of twice its length that share enough distinct words with it, merged
-while they overlap. Every text is read whole; texts without such a region are never aligned.
+while they overlap. In a region each place that may begin a copy is aligned within a window little longer than the template. Every text is read whole; texts without such a region are never aligned.
 """
 
 from __future__ import annotations
@@ -116,23 +116,69 @@ class Templates:
                 out.append((a, b))
         return out
 
+    def _starts(self, terms: np.ndarray, k: int, least: float, width: int) -> np.ndarray:
+        """Where an alignment of template k within ``width`` words may start: at one of its first words, with enough of its words behind."""
+        template = self.words[k]
+        own, times = np.unique(template, return_counts=True)
+        needed = int(np.ceil(least * len(template)))
+        place = np.minimum(np.searchsorted(own, terms), len(own) - 1)
+        at = np.flatnonzero(own[place] == terms)
+        order = at[np.argsort(place[at], kind="stable")]  # by word, then by position
+        word = place[order]
+        # a word counts in a window as often as the template has it at most: unless as many of the same are before it in the window
+        same = np.arange(len(order)) - times[word]
+        earlier = np.where((same >= 0) & (word[np.maximum(same, 0)] == word), order[np.maximum(same, 0)], -1)
+        change = np.zeros(len(terms) + 1, np.int64)
+        np.add.at(change, np.maximum(earlier, order - width) + 1, 1)
+        np.add.at(change, order + 1, -1)
+        enough = np.cumsum(change[:-1]) >= needed
+        return np.flatnonzero(enough & np.isin(terms, template[: len(template) - needed + 1]))
+
+    def _places(self, terms: np.ndarray, k: int, least: float, widths: tuple[int, ...]) -> list[list[tuple[int, int]]]:
+        """Alignments of template k, one behind the other: those within the least width first, the wider ones in what is left between them."""
+        template = self.words[k].tolist()
+        if not widths or len(terms) < least * len(template):
+            return []
+        out, at, left = [], 0, 0
+        moved = lambda match, by: [(p + by, q) for p, q in match]
+        between = lambda a, b: [moved(m, a) for m in self._places(terms[a:b], k, least, widths[1:])]
+        for p in self._starts(terms, k, least, widths[0]).tolist():
+            if p < at:
+                continue
+            match = moved(aligned(terms[p : p + widths[0]].tolist(), template), p)
+            if len(match) < least * len(template):
+                continue
+            # the window may begin before the copy and end within it
+            again = moved(aligned(terms[match[0][0] : match[0][0] + widths[0]].tolist(), template), match[0][0])
+            match = max(match, again, key=len)
+            out += [*between(left, match[0][0]), match]
+            at = left = match[-1][0] + 1
+        return out + between(left, len(terms))
+
     def scan(self, terms: np.ndarray, least: float) -> list[tuple[str, float, int, int]]:
-        """(name, coverage, first word, word after the last) of each region that covers a template."""
+        """(name, coverage, first word, word after the last) of each place that covers a template.
+
+        A window with several copies has no word only once, so windows are hardly longer than a copy at first; wider ones are for copies with
+        words put in, and never reach over a copy that is found. At last each match takes in what more of its template lies around it.
+        """
         found = []
         for k, name in enumerate(self.names):
             template = self.words[k].tolist()
             if not template:
                 continue
+            size = len(template)
             for a, b in self.regions(terms, k, least):
-                at = a
-                while at < b:  # a region may hold the template several times: each match starts the search behind it
-                    end = min(b, at + 4 * len(template))
-                    match = aligned(terms[at:end].tolist(), template)
-                    if len(match) >= least * len(template):
-                        found.append((name, len(match) / len(template), at + match[0][0], at + match[-1][0] + 1))
-                        at += match[-1][0] + 1
-                    else:
-                        at += len(template)
+                matches = self._places(terms[a:b], k, least, (size + -(-size // 5), 2 * size, 4 * size))
+                end = a
+                for n, match in enumerate(matches):
+                    first, last = a + match[0][0], a + match[-1][0] + 1
+                    if len(match) < size:
+                        begin = max(end, last - 4 * size)
+                        more = aligned(terms[begin : min(first + 4 * size, a + matches[n + 1][0][0] if n + 1 < len(matches) else b)].tolist(), template)
+                        if len(more) > len(match):
+                            match, first, last = more, begin + more[0][0], begin + more[-1][0] + 1
+                    found.append((name, len(match) / size, first, last))
+                    end = last
         return found
 
 

@@ -282,6 +282,31 @@ def test_licenses(spark, docs):
     assert license_scan.scan_licenses(docs).count() == 0
 
 
+@pytest.mark.parametrize("name", ["BSD-3-Clause", "GPL-3.0-or-later", "Apache-2.0", "MIT"])
+def test_each_copy_of_a_license_is_found(name):
+    """Copies behind filler, close to each other or apart, whole or with a word changed or put in: a place for each."""
+    templates = license_scan.Templates({name: license_scan.TEMPLATES[name]})
+    size = len(templates.words[0])
+    hashed = lambda text: license_scan.term_hashes(raw := np.frombuffer(text.encode(), np.uint8), np.array([0, len(raw)]))[0]
+    assert (hashed(license_scan.TEMPLATES[name]) == templates.words[0]).all()
+    rng = random.Random(2)
+    for gap in (0, 1, 3, size // 2, size, 2 * size, 5 * size):
+        for edit in ("none", "changed", "longer"):
+            text, wanted = [f"f{k}" for k in range(40)], []
+            for k in range(20):
+                copy = re.findall(r"[a-z0-9]+", license_scan.TEMPLATES[name].lower())
+                p = rng.randint(1, size - 2)
+                if edit != "none":
+                    copy[p : p + (edit == "changed")] = [f"e{k}"]
+                wanted.append((len(text), len(text) + len(copy)))
+                text += [*copy, *(f"g{k}x{j}" for j in range(gap))]
+            found = templates.scan(hashed(" ".join(text)), 0.8)
+            assert [x[2:] for x in found] == wanted, (gap, edit)
+            assert all(x[1] == (size - (edit == "changed")) / size for x in found)
+    spread = [x for k, w in enumerate(re.findall(r"[a-z0-9]+", license_scan.TEMPLATES[name].lower())) for x in (w, f"s{k}")]
+    assert [x[1:] for x in templates.scan(hashed(" ".join(["before"] * 9 + spread)), 0.8)] == [(1.0, 9, 9 + 2 * size - 1)]
+
+
 def test_toxicity_and_language_on_odd_rows(docs, labels):
     scored = toxicity.toxicity(docs, labels, F.col("doc_id") % 5 == 0).collect()
     assert len(scored) == len(rows()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in scored)
