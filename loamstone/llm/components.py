@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .io import saved
+from .io import released, saved
 
+#: a node with more than a HOT-th part of all neighbours is hot: there are fewer than HOT of them
+HOT = 500
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: each node links its larger (large) or smaller (small) neighbours to the least of its neighbourhood."""
+
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
+    """One step: each node links its larger (large) or smaller (small) neighbours to the least of its neighbourhood.
+
+    The neighbours of a hot node meet its minimum by a broadcast of fewer than HOT rows, so they stay where they are; those of the others by a shuffle.
+    """
     around = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
     if large:
         around = around.unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")))
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    joined = around.join(least, "u")
+    least = saved(around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n"))
+    hot = F.broadcast(least.where(F.col("n") > max(1000, (1 + large) * rows / HOT)).select("u", "m"))
+    joined = around.join(hot, "u").unionByName(around.join(hot, "u", "left_anti").join(least.select("u", "m"), "u"))
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
     else:
         moved = joined.select(F.col("v").alias("src"), F.col("m").alias("dst")).unionByName(
             least.select(F.col("u").alias("src"), F.col("m").alias("dst"))
         )
-    return moved.where("src <> dst").distinct()
+    out = saved(moved.where("src <> dst").distinct())
+    released(least, edges)
+    return out
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -35,14 +44,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         .distinct()
     )
-    mark = None
+    mark, rows = None, now.count()
     for _ in range(most_rounds):
-        now = saved(_star(_star(now, True), False))
+        if not rows:
+            break
+        now = _star(_star(now, True, rows), False, rows)
         seen = now.agg(F.count("*"), F.sum(F.col("dst").cast("decimal(38,0)")), F.countDistinct("dst")).first()
-        stars = now.select("dst").join(now.select(F.col("src").alias("dst")), "dst", "left_semi").isEmpty()
+        stars = now.select("dst").distinct().join(now.select(F.col("src").alias("dst")), "dst", "left_semi").isEmpty()
         if stars or tuple(seen) == mark:
             break
-        mark = tuple(seen)
+        mark, rows = tuple(seen), seen[0]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct()

@@ -7,8 +7,9 @@ that agree in a band share a bucket.
 
 Equal sets are folded into one representative first, so groups of copies of any size cost one row. In each bucket the
 members link to one hub, the member that meets most others over all of its buckets, and each link is confirmed on the full sets.
-What stars alone would miss is then looked for among members of one bucket that are still in different components: their
-full sets meet in pairs of blocks of bounded size, which give one link for each two components, not one for each pair of texts.
+What stars alone would miss is then looked for among members of one bucket that are still in different components: those outside the
+bucket's largest component meet each other and all of its rest, on full sets, in pairs of blocks of bounded size, which give one link for each two
+components, not one for each pair of texts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .io import saved
+from .io import released, saved
 
 BINS, ROWS = 128, 4
 
@@ -161,16 +162,25 @@ def _linking(percent: int):
     return run
 
 
-def _blocks_of(rows: DataFrame, key: str, percent: int) -> DataFrame:
-    """Links among rows (key, id, component, home, x) of one key that are in different components, by pairs of blocks.
+def _blocks_of(members: DataFrame, key: str, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among members (key, id, component, home, n) of one key that are in different components, by pairs of blocks.
 
-    A block has about BLOCK rows and BLOCK_SHINGLES shingles at most, so no group grows with a key.
+    Most members of a key are in one component and are not compared with each other: those outside of it, the strays, meet each other and all
+    of the rest. A block has about BLOCK rows and BLOCK_SHINGLES shingles at most, so no group grows with a key. The sets join last, once.
     """
-    sizes = rows.groupBy(key).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("x")) / BLOCK_SHINGLES)).alias("blocks"))
-    dealt = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    counted = saved(members.groupBy(key, "component").agg(F.count("*").alias("c"), F.sum("n").alias("s")))
+    blocks = lambda of: F.coalesce(F.ceil(F.greatest(F.sum(F.when(of, F.col("c"))) / BLOCK, F.sum(F.when(of, F.col("s"))) / BLOCK_SHINGLES)), F.lit(0)).cast("long")
+    main = counted.groupBy(key).agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    sizes = saved(counted.join(main, key).groupBy(key, "main").agg(blocks(F.col("component") == F.col("main")).alias("rest"), blocks(F.col("component") != F.col("main")).alias("strays")))
+    dealt = members.join(sizes, key).withColumn("stray", F.col("component") != F.col("main"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("rest"))))
+    # blocks of strays have the numbers from 0, the others those after them; each meets the blocks of strays, a stray also the rest
+    own = F.when(F.col("stray"), F.col("own")).otherwise(F.col("own") + F.col("strays"))
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("stray"), F.col("strays") + F.col("rest")).otherwise(F.col("strays")) - 1)
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "id", "component", "home", "x")
-    return dealt.groupBy(key, "i", "j").applyInArrow(_linking(percent), "src long, dst long")
+    dealt = dealt.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "id", "component", "home")
+    return dealt.join(sets, "id").groupBy(key, "i", "j").applyInArrow(_linking(percent), "src long, dst long")
 
 
 def _left_apart(buckets: DataFrame, homes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -180,14 +190,14 @@ def _left_apart(buckets: DataFrame, homes: DataFrame, sets: DataFrame, labels: D
     Members of one bucket with different homes are compared by bucket.
     """
     known = homes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = known.groupBy("home").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("home")
-    own = sets.withColumnRenamed("id", "rep")
-    by_home = known.join(mixed, "home").join(own, "rep").select(F.col("home").alias("key"), F.col("rep").alias("id"), "component", F.lit(0).cast("long").alias("home"), "x")
-    spread = buckets.join(known, "rep")
-    across = spread.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("home").alias("a"), F.max("home").alias("z")).where("lo < hi and a < z").select("band")
+    known = saved(known.select("rep", "home", "component", "n"))
+    mixed = saved(known.groupBy("home").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("home"))
+    by_home = known.join(mixed, "home").select(F.col("home").alias("key"), F.col("rep").alias("id"), "component", F.lit(0).cast("long").alias("home"), "n")
+    spread = saved(buckets.join(known, "rep"))
+    across = saved(spread.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("home").alias("a"), F.max("home").alias("z")).where("lo < hi and a < z").select("band"))
     # home + 1: 0 is for rows that are compared whatever their home
-    by_band = spread.join(across, "band").join(own, "rep").select(F.col("band").alias("key"), F.col("rep").alias("id"), "component", (F.col("home") + 1).alias("home"), "x")
-    return _blocks_of(by_home, "key", percent).unionByName(_blocks_of(by_band, "key", percent)).distinct()
+    by_band = spread.join(across, "band").select(F.col("band").alias("key"), F.col("rep").alias("id"), "component", (F.col("home") + 1).alias("home"), "n")
+    return _blocks_of(by_home, "key", sets, percent).unionByName(_blocks_of(by_band, "key", sets, percent)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS) -> DataFrame:
@@ -203,15 +213,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = saved(texts.mapInArrow(_signed(shingle, bins, rows), schema))
     some = signed.where("n > 0 and id is not null")
     classes = saved(some.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
-    spread = classes.select("rep", F.explode("bands").alias("band"))
-    sizes = spread.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+    spread = classes.select("rep", "n", F.explode("bands").alias("band"))
+    # counts and hubs are tables of their own, so that the joins back have plain exchanges and a hot bucket can be split
+    sizes = saved(spread.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"))
     buckets = saved(spread.join(sizes, "band"))
     # the hub of a bucket is the member that shares most buckets with most others
     fame = buckets.groupBy("rep").agg(F.sum("c").alias("fame"))
     famed = buckets.select("band", "rep").join(fame, "rep")
-    hubs = famed.groupBy("band").agg(F.min(F.struct(-F.col("fame"), F.col("rep").alias("hub"))).alias("best"))
-    starred = saved(buckets.select("band", "rep").join(hubs, "band"))
-    homes = saved(starred.groupBy("rep").agg(F.min("best").alias("best")).select("rep", F.col("best.hub").alias("home")))
+    hubs = saved(famed.groupBy("band").agg(F.min(F.struct(-F.col("fame"), F.col("rep").alias("hub"))).alias("best")))
+    starred = saved(buckets.select("band", "rep", "n").join(hubs, "band"))
+    homes = saved(starred.groupBy("rep", "n").agg(F.min("best").alias("best")).select("rep", "n", F.col("best.hub").alias("home")))
     hub = F.col("best.hub")
     pairs = starred.where(F.col("rep") != hub).select(F.greatest("rep", hub).alias("src"), F.least("rep", hub).alias("dst")).distinct()
     wanted = homes.select(F.col("rep").alias("id"))
@@ -219,7 +230,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = some.join(classes, ["n", "d1", "d2"]).where("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst")).distinct()
     stars = saved(confirmed(pairs, sets, percent).distinct())
     apart = saved(_left_apart(starred.select("band", "rep"), homes, sets, components(stars), percent))
-    links = stars.unionByName(apart).unionByName(members)
+    links = saved(stars.unionByName(apart).unionByName(members))
+    released(sizes, buckets, hubs, starred, homes, sets, stars, apart, classes)
     final = components(links)
     out = signed.select("id", "n").join(final, "id", "left")
     component = F.coalesce("component", "id")
