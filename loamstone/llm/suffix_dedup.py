@@ -216,7 +216,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = saved(blocks.join(once("shared"), "shared").join(once("whole"), "whole", "left").drop("shared_again"))
     live, doubt = judged.where("whole_again"), judged.where("whole_again is null")
     # a block in doubt may share windows with one that is settled: one of each such kind is refined with it
-    partners = live.join(doubt.select("shared").distinct(), "shared", "left_semi").groupBy("whole").agg(F.min(F.struct("id", "h", "at", "k")).alias("b")).select("b.*")
+    # (the least block of each kind is chosen before the join, so a passage of many documents is not dealt by its key)
+    kinds = saved(live.groupBy("shared", "whole").agg(F.min(F.struct("id", "h", "at", "k")).alias("b")))
+    partners = kinds.join(doubt.select("shared").distinct(), "shared", "left_semi").groupBy("whole").agg(F.min("b").alias("b")).select("b.*")
     doubt = doubt.select("id", "h", "at", "k").unionByName(partners).groupBy("id", "h").agg(F.collect_list("at").alias("ats"), F.collect_list("k").alias("ks"))
     windows = saved(_with_texts(near, doubt, "ats", "ks").mapInArrow(_refined(window, words), "id long, h long, at int, w long"))
     again = saved(windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"))
