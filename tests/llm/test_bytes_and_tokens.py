@@ -143,31 +143,36 @@ def test_words_of_a_code_switched_text_are_told_apart():
     assert found.argmax(1).tolist() == [0] * 10 + [1] * 10
 
 
-def test_bounds_never_miss_a_segment():
-    rng = random.Random(6)
-    vocabulary = [f"w{k}" for k in range(400)] + ["the", "of"] * 100
-    items = {k: " ".join(rng.choices(vocabulary, k=rng.randint(5, 120))) for k in range(150)}
+@pytest.mark.parametrize("seed", range(4))
+def test_retrieval_is_that_of_exhaustive_scores(seed, monkeypatch):
+    """Every passage against every segment: the same segments with the same scores, over several blocks and slabs, with ties and repeated items."""
+    monkeypatch.setattr(decontaminate, "SLAB", [1, 3, 256, 2][seed])
+    monkeypatch.setattr(decontaminate, "BLOCK", [16, 4, 1, 64][seed])
+    rng = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(400)] + ["the", "of", "a"] * 100
+    items = {k: " ".join(rng.choices(vocabulary, k=rng.randint(3, 120))) for k in range(150)}
+    items |= {200: items[7], 201: "the of", 202: "w3"}
     rows = []
-    from types import SimpleNamespace
-
     for batch in decontaminate._entries(iter([pa.RecordBatch.from_arrays([pa.array(list(items)), pa.array(list(items.values()))], names=["i", "t"])])):
-        rows += [SimpleNamespace(**r, impact=1.0) for r in batch.to_pylist()]
-    df = Counter(r.term for r in rows)
-    for r in rows:
-        r.impact = np.log(1 + 200 / df[r.term]) * r.tf / (r.tf + 1)
-    index = decontaminate.IndexPart(rows, items)
-    docs = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 300))) for _ in range(60)] + [f"{rng.choice(list(items.values()))} tail" for _ in range(20)]
+        rows += batch.to_pylist()
+    df = Counter(r["term"] for r in rows)
+    impact = np.array([np.log(1 + 200 / df[r["term"]]) * r["tf"] / (r["tf"] + 1) for r in rows])
+    item, entry, term = (np.array([r[c] for r in rows], np.int64) for c in ("item", "entry", "term"))
+    index = decontaminate.Index(item, entry, term.view(np.uint64), impact, items)
+    docs = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 300))) for _ in range(60)] + [f"{rng.choice(list(items.values()))} tail" for _ in range(20)] + ["", "w3"]
     raw, offsets = tb.flat(pa.array(docs))
     terms, words = decontaminate.term_hashes(raw, offsets)
-    found = {(d, i): s for d, i, s in index.retrieve(terms, words, 0.4)}
     own: dict = {}
-    for r in rows:
-        own.setdefault((r.item, r.entry), {})[int(np.array(r.term, np.int64).view(np.uint64))] = r.impact
-    for d in range(len(docs)):
-        for (item, _), weights in own.items():
-            best = 0.0
+    for i, e, t, x in zip(item, entry, term.view(np.uint64), impact):
+        own.setdefault((int(i), int(e)), {})[int(t)] = x
+    for threshold in (0.2, 0.5, 1.0):
+        wanted: dict = {}
+        for d in range(len(docs)):
             for at in range(0, max(1, words[d + 1] - words[d]), decontaminate.SEGMENT):
                 passage = set(terms[words[d] + at : min(words[d] + at + 2 * decontaminate.SEGMENT, words[d + 1])].tolist())
-                best = max(best, sum(w for t, w in weights.items() if t in passage) / sum(weights.values()))
-            if best > 0.4001:
-                assert abs(found[d, item] - best) < 1e-3 or found[d, item] > best
+                for (i, _), weights in own.items():
+                    score = sum(w for t, w in weights.items() if t in passage) / sum(weights.values())
+                    if score >= threshold - 1e-9:
+                        wanted[d, i] = max(score, wanted.get((d, i), 0.0))
+        found = {(d, i): s for d, i, s in index.retrieve(terms, words, threshold)}
+        assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 1e-9 for k in found) and found
