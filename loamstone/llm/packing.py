@@ -7,6 +7,7 @@ length) make batches of equal shape. Nothing is shuffled: each task cuts and num
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,9 +30,10 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
 
 def document_ids(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, token ids of all, borders between documents) for each chunk; every document ends in end_id."""
-    table = tk.loaded(f"ids {path}", lambda: tk.PieceTable(tk.library_ids(path)))
+    table = tk.loaded("ids", lambda: tk.PieceTable(tk.library_ids(path)), path)
+    special = tk.special_pattern(path)
     for i, j, raw, offsets in tb.pieces(column):
-        marked = _special_rows(raw, offsets)
+        marked = _special_rows(raw, offsets, special)
         starts = tk.piece_starts(raw, offsets)
         rank = table.ranks(raw, starts, np.append(starts[1:], len(raw)))
         lengths = table.lengths[rank].astype(np.int64)
@@ -40,7 +42,7 @@ def document_ids(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int
         borders = sums[np.searchsorted(starts, offsets)]
         if len(marked):
             each = np.split(ids, borders[1:-1])
-            tokenizer = tk.loaded(f"tokenizer {path}", lambda: _tokenizer(path))
+            tokenizer = tk.loaded("tokenizer", lambda: _tokenizer(path), path)
             for k in marked:
                 each[k] = np.array(tokenizer.encode(raw[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
             ids = np.concatenate(each)
@@ -55,16 +57,12 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _special_rows(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _special_rows(raw: np.ndarray, offsets: np.ndarray, special: re.Pattern[bytes] | None) -> np.ndarray:
     """Rows that hold a special token's string, which the library takes whole."""
-    text, at, found = raw.tobytes(), 0, []
-    needle = tk.SPECIAL.encode()
-    while (at := text.find(needle, at)) >= 0:
-        k = int(np.searchsorted(offsets, at, "right")) - 1
-        if at + len(needle) <= offsets[k + 1]:
-            found.append(k)
-        at += 1
-    return np.unique(np.array(found, np.int64))
+    text = raw.tobytes()
+    if special is None or not special.search(text):
+        return np.zeros(0, np.int64)
+    return np.array([k for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])) if special.search(text, a, b)], np.int64)
 
 
 def _packed(path: str, longest: int, end_id: int, with_ids: bool):

@@ -1,12 +1,13 @@
 """Token counts by finite-state transducers.
 
-The pattern that cuts a text into pieces runs as a transducer over character classes: chunks are compiled to state maps,
-and the maps compose by a parallel prefix scan (``tokens.CutTransducer``). Each distinct piece then runs through a second
-transducer whose transitions are annotated with the tokens they emit (``tokens.CountTransducer``). No tokenizer library is called.
+The pattern that cuts a text into pieces runs as a transducer over character classes, and a second transducer over bytes, whose transitions are
+annotated with the tokens they emit, counts what the merges make of the pieces (``tokens.CutTransducer``, ``tokens.CountTransducer``). Both run all
+chunks of a batch side by side: the chunks' state maps, and with them the counts, compose by a prefix scan. No tokenizer library is called.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,35 +21,33 @@ from . import tokens as tk
 LIMIT = 512
 
 
-def _without_special(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _without_special(raw: np.ndarray, offsets: np.ndarray, special: re.Pattern[bytes] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The texts cut at special strings, each of which is one token: bytes, offsets, rows of the parts, special tokens by row."""
-    needle, n = tk.SPECIAL.encode(), len(offsets) - 1
-    special = np.zeros(n, np.int64)
-    text = raw.tobytes()
-    if needle not in text:
-        return raw, offsets, np.arange(n), special
+    n, text = len(offsets) - 1, raw.tobytes()
+    taken = np.zeros(n, np.int64)
+    if special is None or not special.search(text):
+        return raw, offsets, np.arange(n), taken
     parts: list[bytes] = []
     rows: list[int] = []
     for k in range(n):
-        each = text[offsets[k] : offsets[k + 1]].split(needle)
-        special[k] = len(each) - 1
+        each = special.split(text[offsets[k] : offsets[k + 1]])
+        taken[k] = len(each) - 1
         parts += each
         rows += [k] * len(each)
     cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    return np.frombuffer(b"".join(parts), np.uint8), cut, np.array(rows), special
+    return np.frombuffer(b"".join(parts), np.uint8), cut, np.array(rows), taken
 
 
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = tk.loaded("cutter", tk.CutTransducer)
-        table = tk.loaded(f"counts {path}", lambda: tk.PieceTable(tk.CountTransducer(path).values))
+        counter = tk.loaded("counter", lambda: tk.CountTransducer(path), path)
+        special = tk.special_pattern(path)
         for batch in batches:
             for i, j, whole, borders in tb.pieces(batch.column(1)):
-                raw, offsets, rows, total = _without_special(whole, borders)
-                starts = cutter.starts(raw, offsets)
-                rank = table.ranks(raw, starts, np.append(starts[1:], len(raw)))
-                sums = np.concatenate([[0], np.cumsum(table.items[table.starts[rank]].astype(np.int64))])
-                np.add.at(total, rows, np.diff(sums[np.searchsorted(starts, offsets)]))
+                raw, offsets, rows, total = _without_special(whole, borders, special)
+                sums = counter.totals(raw, cutter.starts(raw, offsets))
+                np.add.at(total, rows, np.diff(sums[offsets]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(borders)), pa.array(total)], names=["id", "n_bytes", "n_tokens"])
 
     return run

@@ -3,13 +3,14 @@
 A byte-level BPE tokenizer first cuts a text by a fixed pattern
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`` and then merges inside each piece.
 ``piece_starts`` finds the cuts of a whole chunk with array operations; ``CutTransducer`` finds the same cuts as a
-finite-state transducer whose chunk state maps compose by a prefix scan; ``CountTransducer`` counts the tokens of a piece.
-Distinct pieces are looked up in a table of bounded size in each worker, so a frequent piece is merged once.
+finite-state transducer whose chunk state maps compose by a prefix scan, and so do those of ``CountTransducer``, which counts tokens.
+``PieceTable`` looks distinct pieces up in a table of bounded size in each worker, so a frequent piece is merged once.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -20,16 +21,29 @@ from . import textbytes as tb
 # The code points with the Unicode property White_Space.
 WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 L, N, O, SP, W, EDGE = range(6)
-SPECIAL = "<|endoftext|>"
 
-_loaded: dict[str, object] = {}
+_loaded: dict[str, tuple[str, object]] = {}
 
 
-def loaded(name: str, make: Callable[[], object]):
-    """Made once in each worker."""
-    if name not in _loaded:
-        _loaded[name] = make()
-    return _loaded[name]
+def loaded(name: str, make: Callable[[], object], version: str = ""):
+    """Made once in each worker; of several versions (a file, or a digest of what was learned) the last is kept."""
+    if name not in _loaded or _loaded[name][0] != version:
+        _loaded[name] = version, make()
+    return _loaded[name][1]
+
+
+def special_strings(path: str) -> list[bytes]:
+    """The added tokens of a tokenizer file, which the library takes whole wherever they stand."""
+    added = json.load(open(path, encoding="utf-8")).get("added_tokens") or []
+    if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what is around them are not supported")
+    return sorted((t["content"].encode() for t in added if t["content"]), key=len, reverse=True)
+
+
+def special_pattern(path: str) -> re.Pattern[bytes] | None:
+    """Finds special strings, the longest where several begin."""
+    found = special_strings(path)
+    return re.compile(b"|".join(map(re.escape, found))) if found else None
 
 
 def _char_classes() -> np.ndarray:
@@ -278,19 +292,27 @@ class CutTransducer:
 
 
 class CountTransducer:
-    """Tokens of a piece, byte by byte: a transition is annotated with the change of the number of tokens.
+    """Byte-level BPE as a deterministic transducer over bytes: each transition is annotated with the tokens that it adds (or, by a merge, takes back).
 
-    A BPE encoding is right exactly when each pair of neighbouring tokens is the encoding of its own bytes, so the last
-    token after a byte is the one suffix that is a token and agrees with the last token before it. States of the first
-    ``depth`` bytes are compiled to a trie as they come up (at most ``most`` of them); pair tests are kept alike.
+    A BPE encoding is right exactly when each pair of neighbouring tokens is the encoding of its own bytes, so the last token after a byte is the
+    longest suffix that is a token and agrees with the last token before it. A state therefore holds, for each suffix of what was read that may begin
+    a longer token, the last token before the suffix and how many tokens ended by then, counted from now; different pieces with the same such
+    suffixes share a state. Transitions are compiled to a table as they come up; beyond ``most`` states the table starts over, so memory is bounded.
+
+    The first byte of a piece leads every state to the same next one. So the map of a chunk of ``width`` bytes in which a piece starts is constant but
+    for its count before that start, and the maps compose in a prefix scan in which constant ones absorb all before them. All chunks run side by side.
     """
 
-    def __init__(self, path: str, depth: int = 5, most: int = 200_000):
+    UNKNOWN, START = 0, 1
+    ROWS = 4096  # chunks that run at a time
+
+    def __init__(self, path: str, width: int = 64, most: int = 300_000):
         model = json.load(open(path, encoding="utf-8"))["model"]
         byte = {c: b for b, c in byte_chars().items()}
         raw = lambda s: bytes(byte[c] for c in s)
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.tokens = {raw(t): k for t, k in model["vocab"].items() if all(c in byte for c in t)}
+        self.begins = {t[:k] for t in self.tokens for k in range(1, len(t))}
         self.merge: dict[tuple[int, int], int] = {}
         self.made = dict.fromkeys(self.tokens.values(), -1)
         self.parts: dict[int, tuple[int, int]] = {}
@@ -298,10 +320,9 @@ class CountTransducer:
             left, right, both = self.tokens[raw(a)], self.tokens[raw(b)], self.tokens[raw(a) + raw(b)]
             self.merge[left, right] = rank
             self.made[both], self.parts[both] = rank, (left, right)
-        self.longest = max(map(len, self.tokens))
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.trie: dict[bytes, tuple[tuple[int, ...], tuple[int, ...]]] = {b"": ((-1,), (0,))}
-        self.depth, self.most = depth, most
+        self.width, self.most = width, most
+        self._clear()
 
     def _agree(self, a: int, b: int) -> bool:
         """Whether no merge across the border of two tokens comes before the merges that made them.
@@ -320,30 +341,138 @@ class CountTransducer:
                 limit, b = self.made[b] + 1, self.parts[b][0]
             else:
                 break
-        if len(self.pairs) >= 5 * self.most:
+        if len(self.pairs) >= 1_000_000:
             self.pairs.clear()
         self.pairs[key] = good
         return good
 
+    def _clear(self) -> None:
+        self.states: list[tuple[bytes, tuple[tuple[int, int, int], ...]] | None] = []
+        self.numbers: dict = {}
+        # transitions by state << 8 | byte, in open addressing; the entry is the next state << 8 | 128 more than the change of the number of tokens
+        self.keys, self.entries, self.filled = np.full(1 << 16, -1, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.alone: dict[int, int] = {}
+        self._number(None)
+        self._number((b"", ((0, -1, 0),)))  # (length of the suffix, last token before it, tokens by then), longest first
+
+    def _number(self, state) -> int:
+        n = self.numbers.setdefault(state, len(self.states))
+        if n == len(self.states):
+            self.states.append(state)
+        return n
+
+    def _compile(self, key: int) -> int:
+        """The entry of a transition."""
+        if key >> 8 == self.UNKNOWN:
+            return self.UNKNOWN << 8 | 128
+        text, suffixes = self.states[key >> 8]
+        text += bytes([key & 255])
+        for size, last, count in suffixes:
+            token = self.tokens.get(text[len(text) - 1 - size :])
+            if token is not None and (last < 0 or self._agree(last, token)):
+                change = count + 1
+                break
+        else:
+            raise ValueError(f"no token ends with {text!r}")
+        kept = [(size + 1, last, count - change) for size, last, count in suffixes if text[len(text) - 1 - size :] in self.begins]
+        to = self._number((text[len(text) - kept[0][0] :] if kept else b"", (*kept, (0, token, 0))))
+        return to << 8 | (change + 128)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Entries of transitions, -1 for those not yet compiled."""
+        slot, mask = self._slot(keys), len(self.keys) - 1
+        there = self.keys[slot]
+        found = np.where(there == keys, self.entries[slot], -1)
+        on = np.flatnonzero((there != keys) & (there >= 0))
+        while len(on):
+            slot[on] = (slot[on] + 1) & mask
+            there = self.keys[slot[on]]
+            hit = there == keys[on]
+            found[on[hit]] = self.entries[slot[on[hit]]]
+            on = on[~hit & (there >= 0)]
+        return found
+
+    def _store(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        if 2 * (self.filled + len(keys)) > len(self.keys):
+            old, values = self.keys, self.entries
+            size = 2 * len(old)
+            while 2 * (self.filled + len(keys)) > size:
+                size *= 2
+            self.keys, self.entries, self.filled = np.full(size, -1, np.int64), np.zeros(size, np.int32), 0
+            self._store(old[old >= 0], values[old >= 0])
+        slot, left, mask = self._slot(keys), np.arange(len(keys)), len(self.keys) - 1
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[left[free]]  # of several that want one slot, the last gets it
+            won = self.keys[slot] == keys[left]
+            self.entries[slot[won]] = entries[left[won]]
+            left, slot = left[~won], (slot[~won] + 1) & mask
+        self.filled += len(keys)
+
+    def _step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = state << 8 | byte
+        found = self._find(keys)
+        if (found < 0).any():
+            new = np.unique(keys[found < 0])
+            self._store(new, np.fromiter(map(self._compile, new.tolist()), np.int32, len(new)))
+            found = self._find(keys)
+        return (found >> 8).astype(np.int64), (found & 255).astype(np.int16) - 128
+
+    def _run(self, grid: np.ndarray, starts: np.ndarray, entry: int) -> tuple[np.ndarray, int]:
+        """(changes by byte, state at the end) of chunks, a row each, from the state before the first."""
+        out, width = np.zeros(grid.shape, np.int16), grid.shape[1]
+        state = np.full(len(grid), self.UNKNOWN, np.int64)
+        state[0] = entry
+        for k in range(width):
+            state, out[:, k] = self._step(np.where(starts[:, k], self.START, state), grid[:, k])
+        lead = np.where(starts.any(1), starts.argmax(1), width)
+        lead[0] = 0
+        # the chunks behind a constant map know their entry: what lies before their first start runs side by side
+        ready = np.flatnonzero(lead[1:] > 0) + 1
+        behind = ready[state[ready - 1] == self.UNKNOWN]
+        ready = ready[state[ready - 1] != self.UNKNOWN]
+        ready = ready[np.argsort(-lead[ready], kind="stable")]
+        now, depth = state[ready - 1], -lead[ready]
+        for k in range(int(lead[ready].max()) if len(ready) else 0):
+            n = int(np.searchsorted(depth, -k, "left"))
+            now[:n], out[ready[:n], k] = self._step(now[:n], grid[ready[:n], k])
+        whole = lead[ready] == width
+        state[ready[whole]] = now[whole]
+        # and a piece that is longer than a chunk runs through one after the other
+        for r in behind.tolist():
+            s, changes = int(state[r - 1]), []
+            for byte in grid[r, : lead[r]].tolist():
+                x = self.alone.get(s << 8 | byte)
+                if x is None:
+                    x = self.alone[s << 8 | byte] = self._compile(s << 8 | byte)
+                s = x >> 8
+                changes.append((x & 255) - 128)
+            out[r, : lead[r]] = changes
+            if lead[r] == width:
+                state[r] = s
+        return out, int(state[-1])
+
+    def totals(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The number of tokens up to each byte, from 0 on; ``starts`` are the bytes at which pieces start, 0 among them."""
+        n = len(raw)
+        rows = -(-n // self.width)
+        grid, mark = np.zeros(rows * self.width, np.uint8), np.ones(rows * self.width, bool)
+        grid[:n], mark[:n] = raw, False
+        mark[starts] = True
+        grid, mark = grid.reshape(rows, self.width), mark.reshape(rows, self.width)
+        total, entry = np.zeros(n + 1, np.int64), self.START
+        change = np.zeros(grid.shape, np.int16)
+        for a in range(0, rows, self.ROWS):
+            change[a : a + self.ROWS], entry = self._run(grid[a : a + self.ROWS], mark[a : a + self.ROWS], entry)
+            if len(self.states) > self.most:
+                state = self.states[entry]
+                self._clear()
+                entry = self._number(state)
+        np.cumsum(change.ravel()[:n], out=total[1:])
+        return total
+
     def count(self, piece: bytes) -> int:
-        k = min(self.depth, len(piece))
-        while piece[:k] not in self.trie:
-            k -= 1
-        last, total = map(list, self.trie[piece[:k]])
-        tokens, agree = self.tokens, self._agree
-        for i in range(k + 1, len(piece) + 1):
-            for size in range(min(i, self.longest), 0, -1):
-                token = tokens.get(piece[i - size : i])
-                if token is not None and (size == i or agree(last[i - size], token)):
-                    last.append(token)
-                    total.append(total[i - size] + 1)
-                    break
-            else:
-                raise ValueError(f"no token ends at byte {i} of {piece!r}")
-            if i <= self.depth and len(self.trie) < self.most:
-                self.trie[piece[:i]] = (tuple(last), tuple(total))
-        return total[-1]
-
-    def values(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """For a PieceTable: one item, the count, for each piece."""
-        return np.ones(len(found), np.int64), np.fromiter(map(self.count, found), np.uint32, len(found))
+        return int(self.totals(np.frombuffer(piece, np.uint8), np.array([0]))[-1]) if piece else 0

@@ -51,6 +51,35 @@ def test_counts_are_those_of_the_library():
         assert count.count(t.encode()) == len(tokenizer.encode(t, add_special_tokens=False).ids), t
 
 
+@pytest.mark.parametrize("width,most,rows", [(1, 50, 3), (7, 1 << 15, 1024), (64, 300, 2), (64, 1 << 15, 1024)])
+def test_chunk_maps_of_counts_compose(width, most, rows, monkeypatch):
+    """Whole batches at any chunk width, with pieces longer than many chunks, while the table of states starts over."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tk.CountTransducer, "ROWS", rows)
+    tokenizer, count = Tokenizer.from_file(VOCABULARY), tk.CountTransducer(VOCABULARY, width, most)
+    rng = random.Random(width + most)
+    own = [*texts(150, 5, 60), "a" * 700, "x" + "=" * 400, "".join(rng.choice("abcXYZ019") for _ in range(900)), " " * 300, "", "é" * 200, "the cat sat " * 30]
+    raw, offsets = tb.flat(pa.array(own))
+    found = np.diff(count.totals(raw, tk.CutTransducer().starts(raw, offsets))[offsets])
+    assert found.tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in own]
+    assert len(count.states) <= most + rows * width + 2
+
+
+def test_special_strings_are_those_of_the_file(tmp_path):
+    import json
+
+    file = json.load(open(VOCABULARY, encoding="utf-8"))
+    assert tk.special_strings(VOCABULARY) == [b"<|endoftext|>"]
+    file["added_tokens"] += [{**file["added_tokens"][0], "id": 50257, "content": "<|end"}]
+    (tmp_path / "more.json").write_text(json.dumps(file), encoding="utf-8")
+    pattern = tk.special_pattern(str(tmp_path / "more.json"))
+    assert pattern.split(b"a<|endoftext|>b<|endless<|") == [b"a", b"b", b"less<|"]
+    file["added_tokens"] = []
+    (tmp_path / "none.json").write_text(json.dumps(file), encoding="utf-8")
+    assert tk.special_pattern(str(tmp_path / "none.json")) is None
+
+
 def test_a_full_piece_table_starts_over():
     table = tk.PieceTable(lambda found: (np.array([len(p) for p in found]), np.frombuffer(b"".join(found), np.uint8).astype(np.uint32)), bits=4)
     for k in range(30):
