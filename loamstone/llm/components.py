@@ -19,7 +19,7 @@ def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     around = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
     if large:
         around = around.unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")))
-    least = saved(around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n"))
+    least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
     hot = F.broadcast(least.where(F.col("n") > max(1000, (1 + large) * rows / HOT)).select("u", "m"))
     joined = around.join(hot, "u").unionByName(around.join(hot, "u", "left_anti").join(least.select("u", "m"), "u"))
     if large:
@@ -28,9 +28,7 @@ def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
         moved = joined.select(F.col("v").alias("src"), F.col("m").alias("dst")).unionByName(
             least.select(F.col("u").alias("src"), F.col("m").alias("dst"))
         )
-    out = saved(moved.where("src <> dst").distinct())
-    released(least, edges)
-    return out
+    return moved.where("src <> dst").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -48,7 +46,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not rows:
             break
-        now = _star(_star(now, True, rows), False, rows)
+        before, now = now, saved(_star(_star(now, True, rows), False, rows))
+        released(before)
         seen = now.agg(F.count("*"), F.sum(F.col("dst").cast("decimal(38,0)")), F.countDistinct("dst")).first()
         stars = now.select("dst").distinct().join(now.select(F.col("src").alias("dst")), "dst", "left_semi").isEmpty()
         if stars or tuple(seen) == mark:

@@ -162,16 +162,16 @@ def _linking(percent: int):
     return run
 
 
-def _blocks_of(members: DataFrame, key: str, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among members (key, id, component, home, n) of one key that are in different components, by pairs of blocks.
+def _blocks_of(members: DataFrame, key: list[str], sets: DataFrame, percent: int) -> DataFrame:
+    """Links among members (key.., id, component, home, n) of one key that are in different components, by pairs of blocks.
 
     Most members of a key are in one component and are not compared with each other: those outside of it, the strays, meet each other and all
     of the rest. A block has about BLOCK rows and BLOCK_SHINGLES shingles at most, so no group grows with a key. The sets join last, once.
     """
-    counted = saved(members.groupBy(key, "component").agg(F.count("*").alias("c"), F.sum("n").alias("s")))
+    counted = saved(members.groupBy(*key, "component").agg(F.count("*").alias("c"), F.sum("n").alias("s")))
     blocks = lambda of: F.coalesce(F.ceil(F.greatest(F.sum(F.when(of, F.col("c"))) / BLOCK, F.sum(F.when(of, F.col("s"))) / BLOCK_SHINGLES)), F.lit(0)).cast("long")
-    main = counted.groupBy(key).agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    sizes = saved(counted.join(main, key).groupBy(key, "main").agg(blocks(F.col("component") == F.col("main")).alias("rest"), blocks(F.col("component") != F.col("main")).alias("strays")))
+    main = counted.groupBy(*key).agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    sizes = saved(counted.join(main, key).groupBy(*key, "main").agg(blocks(F.col("component") == F.col("main")).alias("rest"), blocks(F.col("component") != F.col("main")).alias("strays")))
     dealt = members.join(sizes, key).withColumn("stray", F.col("component") != F.col("main"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("rest"))))
     # blocks of strays have the numbers from 0, the others those after them; each meets the blocks of strays, a stray also the rest
@@ -179,8 +179,8 @@ def _blocks_of(members: DataFrame, key: str, sets: DataFrame, percent: int) -> D
     others = F.sequence(F.lit(0).cast("long"), F.when(F.col("stray"), F.col("strays") + F.col("rest")).otherwise(F.col("strays")) - 1)
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "id", "component", "home")
-    return dealt.join(sets, "id").groupBy(key, "i", "j").applyInArrow(_linking(percent), "src long, dst long")
+    dealt = dealt.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "id", "component", "home")
+    return dealt.join(sets, "id").groupBy(*key, "i", "j").applyInArrow(_linking(percent), "src long, dst long")
 
 
 def _left_apart(buckets: DataFrame, homes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -192,12 +192,12 @@ def _left_apart(buckets: DataFrame, homes: DataFrame, sets: DataFrame, labels: D
     known = homes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = saved(known.select("rep", "home", "component", "n"))
     mixed = saved(known.groupBy("home").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("home"))
-    by_home = known.join(mixed, "home").select(F.col("home").alias("key"), F.col("rep").alias("id"), "component", F.lit(0).cast("long").alias("home"), "n")
-    spread = saved(buckets.join(known, "rep"))
+    by_home = known.join(mixed, "home").select(F.lit("home").alias("kind"), F.col("home").alias("key"), F.col("rep").alias("id"), "component", F.lit(0).cast("long").alias("home"), "n")
+    spread = buckets.join(known, "rep")
     across = saved(spread.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("home").alias("a"), F.max("home").alias("z")).where("lo < hi and a < z").select("band"))
     # home + 1: 0 is for rows that are compared whatever their home
-    by_band = spread.join(across, "band").select(F.col("band").alias("key"), F.col("rep").alias("id"), "component", (F.col("home") + 1).alias("home"), "n")
-    return _blocks_of(by_home, "key", sets, percent).unionByName(_blocks_of(by_band, "key", sets, percent)).distinct()
+    by_band = spread.join(across, "band").select(F.lit("band").alias("kind"), F.col("band").alias("key"), F.col("rep").alias("id"), "component", (F.col("home") + 1).alias("home"), "n")
+    return _blocks_of(saved(by_home.unionByName(by_band)), ["kind", "key"], sets, percent).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS) -> DataFrame:
