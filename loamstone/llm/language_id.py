@@ -8,19 +8,21 @@ mean. Emissions of distinct words are looked up in a table of bounded size, and
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from . import tokens as tk
 
 BITS, GRAMS = 16, (1, 2, 3, 4)
-#: the model learns from at most about this many documents, and from LENGTH words at a time
-TRAIN_DOCS, LENGTH, STEPS = 1_500, 64, 40
+#: the bounds of what is learned from: documents of each language, pieces of LENGTH // 2 words cut from those, and languages (the most frequent)
+TRAIN_DOCS, TRAIN_PIECES, LANGUAGES = 400, 2_000, 200
+LENGTH, STEPS = 64, 40
 CHUNK = 3 << 19
 
 
@@ -106,21 +108,18 @@ def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low, *tb.word_bounds(raw, offsets)
 
 
-def learn(rows: list[tuple[str, str]], steps: int = STEPS) -> Field:
-    """A field from (text, language) rows. Pieces of texts in turn from all languages make code-switched sequences, from which switches are learned."""
-    field = Field(sorted({lang for _, lang in rows}))
+def learn(pieces: list[tuple[str, str]], steps: int = STEPS) -> Field:
+    """A field from (piece of a text, language) rows, all of which teach. Two pieces in a random order make a sequence, mostly of two languages, from which switches are learned."""
+    field = Field(sorted({lang for _, lang in pieces}))
     if not field.languages:
         return field
     rng = np.random.default_rng(5)
-    pieces: list[tuple[list[bytes], int]] = []
-    for text, lang in rows:
-        own = text.encode().lower().split()
-        pieces += [(own[i : i + LENGTH // 2], field.languages.index(lang)) for i in range(0, len(own), LENGTH // 2)]
-    order = rng.permutation(len(pieces))[:8_000]
+    own = [(text.encode().lower().split(), field.languages.index(lang)) for text, lang in sorted(pieces)]
+    order = rng.permutation(len(own))
     names: dict[bytes, int] = {}
-    word = np.array([names.setdefault(w, len(names)) for p in order for w in pieces[p][0]], np.int64)
-    gold = np.array([pieces[p][1] for p in order for _ in pieces[p][0]], np.int64)
-    size = np.array([len(pieces[p][0]) for p in order])
+    word = np.array([names.setdefault(w, len(names)) for p in order for w in own[p][0]], np.int64)
+    gold = np.array([own[p][1] for p in order for _ in own[p][0]], np.int64)
+    size = np.array([len(own[p][0]) for p in order])
     size = np.add.reduceat(size, np.arange(0, len(size), 2)) if len(size) else size
     first = np.concatenate([[0], np.cumsum(size)])
     k = len(field.languages)
@@ -146,9 +145,11 @@ def learn(rows: list[tuple[str, str]], steps: int = STEPS) -> Field:
     return field
 
 
-def _labelled(field: Field, name: str):
+def _labelled(field: Field):
+    digest = hashlib.sha256(repr(field.languages).encode() + field.weights.tobytes() + field.transitions.tobytes()).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tk.loaded(name, lambda: tk.PieceTable(field.values, bits=20))
+        table = tk.loaded("field", lambda: tk.PieceTable(field.values, bits=20), digest)
         kinds = tk.loaded("classes", tk._char_classes)
         k = len(field.languages)
         for batch in batches:
@@ -175,19 +176,35 @@ def _labelled(field: Field, name: str):
     return run
 
 
-def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
+def training_pieces(known: DataFrame, train_docs: int = TRAIN_DOCS, train_pieces: int = TRAIN_PIECES, languages: int = LANGUAGES) -> DataFrame:
+    """(piece, lang): what a field learns from, of rows (text, lang).
+
+    Of each of the ``languages`` most frequent languages (ties by name) at most ``train_docs`` distinct texts, those with the least hashes among about four
+    times as many, and of these at most ``train_pieces`` pieces, by their hashes. So a rare language teaches at every size of the table, and the driver
+    gets a number of words that the three parameters bound.
+    """
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    hashed = known.join(F.broadcast(counts), "lang").withColumn("h", F.xxhash64("text"))  # a row for each language, at most ``languages``
+    # a first cut by the hash leaves about four times as many rows as wanted; copies of one text have one hash
+    near = hashed.where(F.pmod("h", F.lit(1 << 30)) < (1 << 30) * 4.0 * train_docs / F.col("n")).dropDuplicates(["lang", "text"])
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    texts = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= train_docs)
+    words = F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")
+    at = F.explode(F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words"), F.lit(LENGTH // 2))))
+    pieces = texts.select("lang", words.alias("words")).select("lang", "words", at.alias("at")).select("lang", F.array_join(F.slice("words", F.col("at"), F.lit(LENGTH // 2)), " ").alias("piece"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece")
+    return pieces.withColumn("k", F.row_number().over(order)).where(F.col("k") <= train_pieces).select("piece", "lang")
+
+
+def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, train_pieces: int = TRAIN_PIECES) -> DataFrame:
     """(id, held_out, lang_pred, score), a row for each row of ``docs``; ``held_out`` is a condition on its columns.
 
-    Only texts with a language that are not held out teach, at most about ``train_docs`` of them, chosen by a hash of the text. A
-    null text, or one without a letter, is ``und`` with score 0; so is every text if nothing teaches. score is the mean probability of
-    the language over the words. Repeated and null ids are rows of their own; other columns are ignored.
+    Only texts with a language that are not held out teach, within the bounds of ``training_pieces``. A null text, or one without a letter, is ``und``
+    with score 0; so is every text if nothing teaches. score is the mean probability of the language over the words; of languages with equal means
+    the first by name is given. Repeated and null ids are rows of their own; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(lang_col).alias("lang"))
-    known = texts.where("not held_out and lang is not null and text is not null")
-    n = known.count()
-    if n > train_docs:
-        known = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * train_docs / n))
-    field = learn([(r.text, r.lang) for r in known.select("text", "lang").limit(2 * train_docs).collect()])  # bounded by train_docs
-    name = f"field {field.weights.sum()} {field.languages}"
-    out = texts.select("id", "text", "held_out").mapInArrow(_labelled(field, name), "id long, held_out boolean, lang_pred string, score double")
+    known = texts.where("not held_out and lang is not null and text is not null").select("text", "lang")
+    field = learn([(r.piece, r.lang) for r in training_pieces(known, train_docs, train_pieces).collect()])
+    out = texts.select("id", "text", "held_out").mapInArrow(_labelled(field), "id long, held_out boolean, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
