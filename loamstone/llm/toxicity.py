@@ -8,6 +8,7 @@ not count. The weights found are divided by the number of words, and a logistic
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -31,7 +32,7 @@ _STANDS = re.escape("".join(s for signs in LOOKALIKES.values() for s in signs if
 _INSIDE = re.compile(rf"(?:(?<=[^\W\d_])|(?<=[^\W\d_][{_STANDS}]))[{_STANDS}](?=[{_STANDS}]*[^\W\d_])|(?<!\S)[{_STANDS}](?=[^\W\d_])")
 _BLANK = re.compile(r"[\W\d_]+")
 #: the fit sees at most about this many labelled rows, chosen by a hash of their ids
-TRAIN_ROWS, MOST_TERMS = 10_000, 2_000
+TRAIN_ROWS = 10_000
 #: lengths of beginnings of words that may be terms; such a term is written with a hyphen
 ROOTS = range(3, 9)
 
@@ -78,14 +79,20 @@ class Lexicon:
                 shields.append((end - size, end))
             else:  # of terms that start one word the heaviest counts
                 hits[end - size] = max(weight, hits.get(end - size, 0.0))
-        total = sum(w for a, w in hits.items() if not any(c <= a < d for c, d in shields))
+        total, k, reach = 0.0, 0, -1  # one sweep: ``reach`` is the farthest end of the phrases that begin at or before a match
+        shields.sort()
+        for a in sorted(hits):
+            while k < len(shields) and shields[k][0] <= a:
+                reach = max(reach, shields[k][1])
+                k += 1
+            total += hits[a] if a >= reach else 0.0
         return math.log1p(100 * total / (folded.count(" ") + 20))
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * evidence + self.shift))))
 
 
-def learn(rows: list[tuple[str, int]], most_terms: int = MOST_TERMS) -> Lexicon:
+def learn(rows: list[tuple[str, int]]) -> Lexicon:
     """A lexicon from (text, toxic) rows; equal texts count once. Without rows of both kinds it scores every text alike."""
     folded = {}
     for text, toxic in rows:
@@ -119,7 +126,7 @@ def learn(rows: list[tuple[str, int]], most_terms: int = MOST_TERMS) -> Lexicon:
             clean.update(seen)
     odds = {x: math.log((uses[x, 1] + 0.5) / (size[1] + 1)) - math.log((uses[x, 0] + 0.5) / (size[0] + 1)) for x in presence}
     open_, uncovered = {x for x, o in odds.items() if o > 1.5}, {k for k, t in enumerate(texts) if kinds[t]}
-    while open_ and len(lexicon.weights) < most_terms:
+    while open_:  # each round explains a hundredth of the toxic texts or is the last
         # the most toxic texts not yet explained, less a quarter of the clean texts that it is found in
         gain, best = max((len(uncovered.intersection(presence[x])) - 0.25 * clean[x], odds[x], x) for x in open_)[::2]
         if gain < least:
@@ -159,9 +166,11 @@ def _fit(lexicon: Lexicon, texts: list[str], kinds: dict[str, int]) -> None:
     lexicon.slope, lexicon.shift = map(float, w)
 
 
-def _scored(lexicon: Lexicon, name: str):
+def _scored(lexicon: Lexicon):
+    digest = hashlib.sha256(repr((sorted(lexicon.weights.items()), sorted(lexicon.exceptions))).encode()).hexdigest()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = tk.loaded(name, lexicon.automaton)
+        automaton = tk.loaded("lexicon", lexicon.automaton, digest)
         for batch in batches:
             scores = [lexicon.score(lexicon.evidence(fold(t), automaton)) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "held_out": batch["held_out"], "score": np.array(scores, float)})
@@ -182,6 +191,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     if n > train_rows:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
     rows = texts.where("not held_out").join(F.broadcast(known), "id").select("text", "toxic").limit(2 * train_rows).collect()  # bounded by train_rows
-    lexicon = learn([(r.text, int(r.toxic > 0)) for r in rows])
-    out = texts.mapInPandas(_scored(lexicon, f"lexicon {hash((tuple(sorted(lexicon.weights)), lexicon.slope))}"), "id long, held_out boolean, score double")
+    lexicon = learn(sorted((r.text, int(r.toxic > 0)) for r in rows))
+    out = texts.mapInPandas(_scored(lexicon), "id long, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
