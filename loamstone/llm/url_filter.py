@@ -34,7 +34,7 @@ def host_key(host: Column) -> Column:
 
 def _swept(default: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, open_ = None, []  # the range; (end of the interval, [(path, rule, verdict)]), outermost first
+        here, open_ = None, []  # the range; (end of the interval, {length: {path: (blocks, rule, verdict)}}), outermost first
         for batch in batches:
             rows, rules, verdicts = [], [], []
             columns = (batch.column(n).to_pylist() for n in ("range", "key", "is_url", "path", "rule", "verdict"))
@@ -46,13 +46,14 @@ def _swept(default: str):
                 if not is_url:
                     end = key[:-1] + "/"  # the sign after the dot
                     if not open_ or open_[-1][0] != end:
-                        open_.append((end, []))
-                    open_[-1][1].append((path, rule, verdict))
+                        open_.append((end, {}))
+                    own = open_[-1][1].setdefault(len(path), {})  # rules of one host by the length of their paths, so a url looks up its own beginnings
+                    own[path] = max(own.get(path, (False, "", "")), (verdict == "block", rule, verdict))
                     continue
-                fits = [(len(r), v == "block", r, v) for _, own in open_ for p, r, v in own if path.startswith(p)]
+                fits = [(len(x[1]), *x) for _, own in open_ for n, by_path in own.items() if (x := by_path.get(path[:n]))]
                 best = max(fits, default=None)
                 rows.append(k)
-                rules.append(best and best[2])
+                rules.append(best[2] if best else None)
                 verdicts.append(best[3] if best else default)
             own = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([own.column("id"), own.column("host"), own.column("path"), pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], names=["id", "host", "path", "rule", "verdict"])
@@ -73,15 +74,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     urls = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"))
     urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("salt", F.lpad(F.hex(F.xxhash64("id", "path")), 16, "0"))
     wanted = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = urls.count()
+    n = pages.count()  # of the files' own counts, without a column
     one_in = max(1, n // SAMPLE_KEYS)
     sample = urls.where(F.pmod(F.xxhash64("id", "path", F.lit(7)), F.lit(one_in)) == 0).select(F.concat("key", F.lit("\x00"), "salt").alias("k")).limit(4 * SAMPLE_KEYS)
     found = sorted(r.k for r in sample.collect())  # of bounded size
     splits = sorted({found[len(found) * k // wanted] for k in range(1, wanted)}) if found else []
     lists = F.array(*map(F.lit, splits)) if splits else F.array().cast("array<string>")
-    place = lambda k: F.size(F.filter(lists, lambda s: s <= k))
+    # the number of splits up to a key, by halving: a step for each binary digit
+    steps = F.array(*[F.lit(1 << b) for b in range(len(splits).bit_length() - 1, -1, -1)])
+    place = lambda k: F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.coalesce(F.get(lists, n + s - 1) <= k, F.lit(False)), n + s).otherwise(n)) if splits else F.lit(0)
     urls = urls.select(place(F.concat("key", F.lit("\x00"), "salt")).alias("range"), "key", F.lit(True).alias("is_url"), "id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
-    own = rules.where("host is not null").select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").distinct()
+    own = rules.where("host is not null").select(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").distinct()
     own = own.withColumn("key", host_key(F.col("host")))
     last = F.concat(F.expr("left(key, length(key) - 1)"), F.lit("/"))
     own = own.withColumn("range", F.explode(F.sequence(place(F.col("key")), place(last))))
