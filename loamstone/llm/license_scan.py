@@ -2,8 +2,8 @@
 
 Words that occur once in a text's region and once in a template are anchors; the longest run of anchors that increases in both is kept, and
 the gaps between neighbours are aligned the same way. Coverage is the share of the template's words that are aligned.
-A region is a stretch of a text whose words could cover a template: windows of twice its length that share enough distinct words with it, merged
-while they overlap. In a region each place that may begin a copy is aligned within a window little longer than the template. Every text is read whole; texts without such a region are never aligned.
+A region is a stretch of a text whose words could cover a template: windows of the widest width that hold enough of its words, merged
+while they overlap. In a region each place that may begin a copy is aligned within a window little longer than the template, and what is left within wider ones (WIDTHS). Every text is read whole; texts without such a region are never aligned.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from . import textbytes as tb
 from .decontaminate import term_hashes
 
 LEAST = 0.8
+#: a copy's words lie within so many lengths of its template; windows of the least width are tried first, the last bounds the words that may be put in
+WIDTHS = (1.2, 2.0, 4.0)
 # Short public notices by SPDX name.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -89,21 +91,24 @@ def aligned(text: list, template: list) -> list[tuple[int, int]]:
 
 
 class Templates:
-    def __init__(self, texts: dict[str, str]):
-        self.names = sorted(texts)
+    def __init__(self, texts: dict[str, str], widths: tuple[float, ...] = WIDTHS):
+        self.names, self.widths = sorted(texts), widths
         self.words = []
         for name in self.names:
             raw = np.frombuffer(texts[name].encode(), np.uint8)
             self.words.append(term_hashes(raw, np.array([0, len(raw)]))[0])
 
+    def _width(self, k: int, share: float) -> int:
+        return int(np.ceil(share * len(self.words[k]) - 1e-9))
+
     def regions(self, terms: np.ndarray, k: int, least: float) -> list[tuple[int, int]]:
         """Stretches of a text in which template k may be covered by ``least``, merged; also right if its words repeat."""
         template = self.words[k]
         own = np.unique(template)
         place = np.minimum(np.searchsorted(own, terms), len(own) - 1)
         hits = np.flatnonzero(own[place] == terms)
-        width, needed = 2 * len(template), int(np.ceil(least * len(template)))
-        # any alignment uses ``needed`` words of the text; those in 2 * len(template) words are looked for
+        width, needed = self._width(k, self.widths[-1]), int(np.ceil(least * len(template)))
+        # any alignment within the widest window has ``needed`` words of the template there
         if len(hits) < needed:
             return []
         close = hits[needed - 1 :] - hits[: len(hits) - needed + 1] < width
@@ -168,13 +173,14 @@ class Templates:
                 continue
             size = len(template)
             for a, b in self.regions(terms, k, least):
-                matches = self._places(terms[a:b], k, least, (size + -(-size // 5), 2 * size, 4 * size))
+                matches = self._places(terms[a:b], k, least, tuple(self._width(k, w) for w in self.widths))
                 end = a
                 for n, match in enumerate(matches):
                     first, last = a + match[0][0], a + match[-1][0] + 1
                     if len(match) < size:
-                        begin = max(end, last - 4 * size)
-                        more = aligned(terms[begin : min(first + 4 * size, a + matches[n + 1][0][0] if n + 1 < len(matches) else b)].tolist(), template)
+                        widest = self._width(k, self.widths[-1])
+                        begin = max(end, last - widest)
+                        more = aligned(terms[begin : min(first + widest, a + matches[n + 1][0][0] if n + 1 < len(matches) else b)].tolist(), template)
                         if len(more) > len(match):
                             match, first, last = more, begin + more[0][0], begin + more[-1][0] + 1
                     found.append((name, len(match) / size, first, last))
@@ -202,13 +208,14 @@ def _scanned(templates: Templates, least: float):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, widths: tuple[float, ...] = WIDTHS) -> DataFrame:
     """(id, license, coverage, first_word, end_word), a row for each place of a text that covers a template by ``least``.
 
     Words are runs of letters and digits, lower-cased; positions count them from 0. A null or empty text has no license. Rows that
-    repeat an id are scanned each; null ids are allowed; other columns are ignored. ``templates`` maps names to texts.
+    repeat an id are scanned each; null ids are allowed; other columns are ignored. ``templates`` maps names to texts. A copy with words put in is found
+    as long as it is no wider than the last of ``widths`` lengths of its template; the widths are tried in order, and a place found by a narrower one is not searched again.
     """
-    own = Templates(TEMPLATES if templates is None else templates)
+    own = Templates(TEMPLATES if templates is None else templates, widths)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = texts.mapInArrow(_scanned(own, least), "id long, license string, coverage double, first_word long, end_word long")
     return out.withColumnRenamed("id", id_col)
