@@ -27,11 +27,11 @@ GRIDS: dict[str, list[float]] = {
 ALPHA, DELTA, GOOD_COST = 0.02, 0.05, 10.0
 
 
-def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: Column | None = None) -> DataFrame:
-    """id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines for each row."""
+def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines for each row, and the columns in ``also``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     stratum = F.lit("all") if stratum is None else F.coalesce(stratum.cast("string"), F.lit("und"))
-    a = docs.select(F.col(id_col).cast("long").alias("id"), stratum.alias("stratum"), text.alias("text"))
+    a = docs.select(F.col(id_col).cast("long").alias("id"), stratum.alias("stratum"), text.alias("text"), *also)
     words = F.array_remove(F.split("text", SPACES), "")
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_replace(x, SPACES, "") != "")
     a = a.withColumn("words", words).withColumn("lines", lines)
@@ -47,6 +47,7 @@ def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         hashes.alias("h"),
+        *also,
     )
     # positions of windows found again, next to an equal one in sorted order; then the union of their words
     a = a.withColumn("again", F.when(F.size("h") > F.size(F.array_distinct("h")), F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -58,7 +59,7 @@ def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return a.select(
         "id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(F.aggregate("at", empty, step, lambda s: s["n"]), F.lit(0).cast("long")).alias("n_repeat_words"),
-        "n_lines",
+        "n_lines", *also,
     )
 
 
@@ -103,27 +104,29 @@ def certified_cutoffs(labelled: DataFrame, grids: dict[str, list[float]] = GRIDS
     return best.select("stratum", "rule", F.get(lists[F.col("rule")], F.col("level") - 1).alias("cutoff"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", alpha: float = ALPHA, delta: float = DELTA, good_cost: float = GOOD_COST, also: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), a row for each row of ``docs``.
 
     ``labels`` has the id and quality (1 good, 0 bad; null ignored; of repeated labels the best counts). A null text has no words
-    and fails the base rules (fewer than 10 words, or over a fifth of them in 5-word windows found twice). A null stratum is one
-    of its own. Repeated and null ids are rows of their own; null ids have no label. Other columns are ignored.
+    and fails the base rules (fewer than 10 words, or over a fifth of them in 5-word windows found twice). ``alpha`` bounds the share of good documents
+    rejected by cutoffs in each stratum, ``delta`` the chance that any bound fails, ``good_cost`` weighs a good document against bad ones. A null stratum is one
+    of its own. Repeated and null ids are rows of their own; null ids have no label. Columns named in ``also``
+    go through to the result (by names that the operator does not use itself); others are ignored.
     """
-    base = saved(base_measures(docs, id_col, text_col, F.col(stratum_col) if stratum_col else None))
+    base = saved(base_measures(docs, id_col, text_col, F.col(stratum_col) if stratum_col else None, also))
     rows = base.withColumns(measures()).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     known = labels.where("quality is not null").groupBy(F.col(id_col).cast("long").alias("id")).agg((F.max("quality") == 1).alias("good"))
-    cutoffs = certified_cutoffs(rows.where("not base_failed").join(known, "id"))
+    cutoffs = certified_cutoffs(rows.where("not base_failed").join(known, "id"), GRIDS, alpha, delta, good_cost)
     wide = cutoffs.groupBy("stratum").pivot("rule", list(GRIDS)).agg(F.first("cutoff"))
     wide = wide.select("stratum", *[F.col(r).alias(f"cut_{r}") for r in GRIDS])
     judged = rows.join(wide, "stratum", "left")
     rejected = F.lit(False)
     for rule in GRIDS:
         rejected = rejected | F.coalesce(F.col(rule) >= F.col(f"cut_{rule}"), F.lit(False))
-    return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
+    return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), *also)
 
 
-def oracle_sql() -> str:
+def oracle_sql(alpha: float = ALPHA, delta: float = DELTA, good_cost: float = GOOD_COST) -> str:
     """``quality_rules`` over documents and labels in DuckDB's SQL."""
     rules = " UNION ALL ".join(f"SELECT '{r}' AS rule, {k + 1} AS level, {c!r}::DOUBLE AS cutoff FROM (SELECT 1)" for r, g in GRIDS.items() for k, c in enumerate(g))
     ws = r"[\x20\x09-\x0D]+"
@@ -146,10 +149,10 @@ def oracle_sql() -> str:
         t AS (SELECT lab.stratum, g.rule, g.level, g.cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND x.v >= cutoff) AS k, count(*) FILTER (NOT good AND x.v >= cutoff) AS caught
               FROM lab JOIN grid g ON g.rule = lab.x.rule GROUP BY ALL),
         s AS (SELECT count(DISTINCT stratum) AS strata FROM t),
-        p AS (SELECT t.*, coalesce(k <= {ALPHA / len(GRIDS)!r} * n AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA / len(GRIDS)!r}) + (n - i) * ln(1 - {ALPHA / len(GRIDS)!r})))
-              FROM (SELECT unnest(range(0, k + 1)) AS i)) <= {DELTA / len(GRIDS)!r} / strata, false) AS sure FROM t, s),
+        p AS (SELECT t.*, coalesce(k <= {alpha / len(GRIDS)!r} * n AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha / len(GRIDS)!r}) + (n - i) * ln(1 - {alpha / len(GRIDS)!r})))
+              FROM (SELECT unnest(range(0, k + 1)) AS i)) <= {delta / len(GRIDS)!r} / strata, false) AS sure FROM t, s),
         ok AS (SELECT *, bool_and(sure) OVER (PARTITION BY stratum, rule ORDER BY level) AS certified FROM p),
-        best AS (SELECT stratum, rule, cutoff, row_number() OVER (PARTITION BY stratum, rule ORDER BY caught - {GOOD_COST!r} * k DESC, level) AS r FROM ok WHERE certified AND caught - {GOOD_COST!r} * k > 0)
+        best AS (SELECT stratum, rule, cutoff, row_number() OVER (PARTITION BY stratum, rule ORDER BY caught - {good_cost!r} * k DESC, level) AS r FROM ok WHERE certified AND caught - {good_cost!r} * k > 0)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND NOT coalesce({" OR ".join(f"coalesce({r} >= (SELECT cutoff FROM best WHERE best.stratum = b.stratum AND rule = '{r}' AND r = 1), false)" for r in GRIDS)}, false) AS kept
         FROM b

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import textbytes as tb
-from .io import saved
+from .io import free_name, saved
 
 WINDOW, BLOCK = 400, 16
 
@@ -228,7 +228,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, words: int | None = None) -> DataFrame:
-    """All rows and columns of ``docs``, with the lists of ``repeated_spans`` as _starts and _ends (null where nothing repeats).
+    """All rows and columns of ``docs``, with the lists of ``repeated_spans`` as _starts and _ends (null where nothing repeats; more underscores if columns have these names).
 
     With ``words`` there are also _first and _last: the spans, in words, of strings of so many words that repeat. Then all four are null or none is.
     """
@@ -243,7 +243,7 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         spans = both.groupBy("id", "h").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in lists])  # two rows at most
     spans = spans.alias("spans")
     same = F.col(f"own.{id_col}").cast("long").eqNullSafe(F.col("spans.id")) & (F.xxhash64(F.coalesce(F.col(f"own.{text_col}"), F.lit(""))) == F.col("spans.h"))
-    return own.join(spans, same, "left").select("own.*", *[F.col(f"spans.{c}").alias(f"_{c}") for c in lists])
+    return own.join(spans, same, "left").select("own.*", *[F.col(f"spans.{c}").alias(free_name(docs, f"_{c}")) for c in lists])
 
 
 def merged(starts: np.ndarray | None, ends: np.ndarray | None) -> list[tuple[int, int]]:
@@ -311,8 +311,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Cut are strings of ``window`` bytes and, with ``words``, also strings of so many words, however few bytes they have.
     """
     found = with_spans(docs, id_col, text_col, window, words)
-    spans = ["_starts", "_ends", "_first", "_last"]
-    if words is None:
-        found = found.withColumns({c: F.array().cast("array<int>") for c in spans[2:]})
-    cut = F.when(F.col("_starts").isNull(), F.col(text_col)).otherwise(_kept_text(F.coalesce(F.col(text_col), F.lit("")), *spans))
-    return found.withColumn(text_col, cut).drop(*spans)
+    spans = [c for c in found.columns if c not in docs.columns]
+    none = F.array().cast("array<int>")
+    cut = _kept_text(F.coalesce(F.col(text_col), F.lit("")), *[F.col(c) for c in spans], *[none] * (4 - len(spans)))
+    return found.withColumn(text_col, F.when(F.col(spans[0]).isNull(), F.col(text_col)).otherwise(cut)).drop(*spans)

@@ -139,6 +139,55 @@ def test_lexicon_finds_terms_and_spares_exceptions():
     assert toxicity.learn([]).score(0) <= 0.5
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_evidence_is_that_of_plain_search(seed):
+    """The automaton and its sweep against a search of every term and phrase at every place, with ties, overlaps and repeats."""
+    import math
+
+    rng = random.Random(seed)
+    letters = "ab" if seed else "abc"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))
+    for _ in range(60):
+        weights = {w + rng.choice(["", "-"]): rng.choice([1.0, 2.0, 2.5]) for w in (word() for _ in range(rng.randint(0, 6)))}
+        weights = {t: w for t, w in weights.items() if t != "-"}
+        lexicon = toxicity.Lexicon(weights, {f"{word()} {word()}" for _ in range(rng.randint(0, 5))})
+        text = toxicity.fold(" ".join(word() for _ in range(rng.randint(0, 60))))
+        shields = [(m, m + len(p) + 1) for p in lexicon.exceptions for m in range(len(text)) if text.startswith(f" {p} ", m)]
+        total = 0.0
+        for at in range(len(text)):
+            fits = [w for t, w in weights.items() if text.startswith(f" {t[:-1]}" if t.endswith("-") else f" {t} ", at)]
+            if fits and not any(a <= at < b for a, b in shields):
+                total += max(fits)
+        wanted = math.log1p(100 * total / (text.count(" ") + 20)) if weights or lexicon.exceptions else 0.0
+        assert abs(lexicon.evidence(text, lexicon.automaton()) - wanted) < 1e-9
+
+
+def test_each_window_that_covers_a_template_is_found():
+    """``scan`` against an alignment of every window: each window that covers a template meets a place found, and each place covers it."""
+    template = "permission is granted to use copy and modify the software for any purpose and without fee".split()
+    templates = license_scan.Templates({"t": " ".join(template)})
+    hashed = lambda words: license_scan.term_hashes(raw := np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(raw)]))[0] if words else np.zeros(0, np.uint64)
+    rng = random.Random(7)
+    for case in range(150):
+        text = []
+        for _ in range(rng.randint(0, 4)):
+            text += [rng.choice(["the", "and", "use", "x", "y", "rain"]) for _ in range(rng.choice([0, 0, 1, 3, 12]))]
+            copy = template[:]
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                p = rng.randrange(len(copy))
+                copy[p : p + rng.randint(0, 1)] = [rng.choice(["z", "the", "and"])] * rng.choice([0, 1, 1, 9])
+            text += copy
+        found = templates.scan(hashed(text), 0.8)
+        for _, coverage, a, b in found:
+            assert coverage >= 0.8 and len(license_scan.aligned(text[a:b], template)) >= round(coverage * len(template)) - 1
+        assert all(x[3] <= y[2] for x, y in zip(found, found[1:]))
+        for p in range(len(text)):
+            for width in (1.2, 2.0, 4.0):
+                match = license_scan.aligned(text[p : p + int(np.ceil(width * len(template)))], template)
+                if len(match) >= 0.8 * len(template):
+                    assert any(p + match[0][0] < b and a <= p + match[-1][0] for *_, a, b in found), (case, p, width, found)
+
+
 def test_forward_backward_against_enumeration():
     from itertools import product
 

@@ -215,6 +215,103 @@ def test_cutoffs_control_false_rejections(spark):
     assert set(found) == {("s", "symbol_share")} and 0.05 <= found["s", "symbol_share"] <= 0.3
 
 
+def test_selection_is_that_of_plain_python(spark):
+    """Cutoffs of generated labels against exact binomial tails and a loop over the grid, with ties and strata that certify and that do not."""
+    from math import comb
+
+    rng = random.Random(5)
+    own = []
+    for stratum, n, share in (("a", 3000, 0.002), ("b", 900, 0.004), ("c", 60, 0.0), ("d", 2500, 0.2)):
+        for _ in range(n):
+            good = rng.random() < 0.8
+            bad_sign = rng.random() < (share if good else 0.5)
+            own.append((stratum, good, rng.choice([0.3, 0.6, 1.2, 3.0]) if bad_sign else rng.choice([0.0, 0.05]), rng.choice([0.0, 0.1, 0.25]) if good else rng.random(), rng.choice([5.0, 6.0, 13.0 if rng.random() < 0.01 else 7.0])))
+    frame = spark.createDataFrame(own, "stratum string, good boolean, symbol_share double, dup_line_share double, long_word double")
+    for alpha, delta, cost in ((0.02, 0.05, 10.0), (0.1, 0.2, 1.0)):
+        wanted = {}
+        for stratum in "abcd":
+            for at, (rule, grid) in enumerate(quality.GRIDS.items()):
+                rows_ = [(r[1], r[2 + at]) for r in own if r[0] == stratum]
+                n, best = sum(g for g, _ in rows_), (0.0, 0, None)
+                for level, cutoff in enumerate(grid):
+                    k, caught = sum(g and x >= cutoff for g, x in rows_), sum(not g and x >= cutoff for g, x in rows_)
+                    rate = alpha / 3
+                    if k > rate * n or sum(comb(n, i) * rate**i * (1 - rate) ** (n - i) for i in range(k + 1)) > delta / 12:
+                        break
+                    if caught - cost * k > best[0]:
+                        best = (caught - cost * k, level, cutoff)
+                if best[2] is not None:
+                    wanted[stratum, rule] = best[2]
+        found = {(r.stratum, r.rule): r.cutoff for r in quality.certified_cutoffs(frame, alpha=alpha, delta=delta, good_cost=cost).collect()}
+        assert found == wanted and wanted
+
+
+def test_quality_against_sql_where_cutoffs_reject(spark, data):
+    """With looser bounds than the query's, so that few labels certify cutoffs: SQL and operator agree, and cutoffs do reject."""
+    duckdb = pytest.importorskip("duckdb")
+    d = data.replace("sf0.001", "sf0.01")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
+    bounds = {"alpha": 0.3, "delta": 0.9, "good_cost": 1.0}
+    found = quality.quality_rules(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"), **bounds)
+    rows_ = found.collect()
+    wanted = con.sql(f"select {', '.join(found.columns)} from ({quality.oracle_sql(**bounds)})").fetchall()
+    assert sorted(map(str, map(tuple, rows_))) == sorted(map(str, wanted))
+    assert sum(not r.kept and not r.base_failed for r in rows_) > 5
+
+
+def test_each_language_teaches_at_every_size(spark):
+    """A language with one text in a thousand is learned; bounds on documents and pieces hold; copies count once."""
+    own = [(f"the cat sat on mat{k % 900} and ran", "en") for k in range(3000)] + [("ein hund lief durch wald " * 40, "de")] * 3 + [("le chat", "fr"), ("", "xx")]
+    known = spark.createDataFrame(own, "text string, lang string")
+    found = language_id.training_pieces(known, train_docs=50, train_pieces=30).collect()
+    count = {x: sum(r.lang == x for r in found) for x in ("en", "de", "fr", "xx")}
+    assert count == {"en": 30, "de": 7, "fr": 1, "xx": 0}
+    assert {r.lang for r in language_id.training_pieces(known, languages=1).collect()} == {"en"}
+    named = language_id.identify(spark.createDataFrame([(1, "hund wald lief", "de"), (2, "le chat", None), *[(10 + k, *r) for k, r in enumerate(own)]], "doc_id long, text string, lang string"), F.col("doc_id") < 3)
+    assert {r.doc_id: r.lang_pred for r in named.where("doc_id < 3").collect()} == {1: "de", 2: "fr"}
+
+
+def test_texts_longer_than_a_chunk(spark):
+    """Texts of over a megabyte, alone and between short ones, through every operator."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    say = lambda k: " ".join(rng.choices(vocabulary, k=k))
+    item = say(30)
+    long = f"{say(120_000)} {license_scan.TEMPLATES['GPL-3.0-or-later']} {say(60_000)} {item} {say(200)}"
+    near = long.split()
+    near[1000:1040] = say(40).split()
+    own = {1: "short text of a few words that stays as it is", 2: long, 3: None, 4: " ".join(near), 5: say(60), 6: say(130_000) + " und der Wald", 7: ""}
+    assert len(long.encode()) > 1 << 20
+    docs = spark.createDataFrame([(k, t, "en") for k, t in own.items()], "doc_id long, text string, lang string").coalesce(1)
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    sizes = {k: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for k, t in own.items()}
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, VOCABULARY).collect()} == sizes
+    packed = packing.pack(docs, VOCABULARY).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
+    assert {r.doc_id: (r.n, r.d) for r in packed} == {k: (n + 1, n + 1) for k, n in sizes.items()}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {**{k: k for k in own}, 4: 2}
+    assert {(r.doc_id, r.license) for r in license_scan.scan_licenses(docs).collect()} == {(2, "GPL-3.0-or-later"), (4, "GPL-3.0-or-later")}
+    items = spark.createDataFrame([(1, item), (2, say(20))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == {(2, 1), (4, 1)}
+    gone = {r.doc_id: r for r in suffix_dedup.repeat_digest(docs).collect()}
+    start = len(" ".join(near[:1000]).encode()) + 1
+    end = len(" ".join(near[:1040]).encode())
+    assert gone[4].n_bytes == len(own[4].encode()) and gone[4].n_spans == 2 and end - start - 20 <= gone[4].n_bytes - gone[4].n_removed <= end - start
+    assert gone[6].n_removed == gone[1].n_removed == 0
+    measured = {r.doc_id: (r.n_words, r.kept) for r in quality.quality_rules(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect()}
+    assert measured[2][0] == len(long.split()) and measured[6][0] == 130_003
+    assert language_id.identify(docs, F.lit(False)).where("lang_pred = 'en'").count() == 5
+    labels = spark.createDataFrame([(1, 0), (5, 1)], "doc_id long, toxic int")
+    assert toxicity.toxicity(docs, labels, F.lit(False)).count() == len(own)
+    pages = spark.createDataFrame([(1, f"http://a.net/{'x' * 2_000_000}?q"), (2, f"http://{'sub.' * 300_000}example.net/en/")], "page_id long, url string")
+    rules = spark.createDataFrame([("block", "net", "/"), ("allow", "example.net", "/en/")], "verdict string, host string, path string")
+    judged = {r.page_id: (r.rule, r.verdict, len(r.path)) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert judged == {1: ("net/", "block", 2_000_001), 2: ("example.net/en/", "allow", 4)}
+
+
 def test_contaminated(spark, docs):
     items = [(1, "What makes rain fall from clouds? Gravity pulls the heavy drops down."), (2, "tiny item"), (3, None), (4, "Stone bridges last for centuries. They carry roads over rivers and need little care."), (None, "x y z")]
     own = [(1, f"noise {items[0][1]} more noise"), (2, "WHAT makes rain fall from clouds -- gravity pulls the heavy drops down!"), (3, "What makes rain fall from clouds? Nobody knows."), (4, "a tiny item here"), (5, items[3][1].replace("centuries", "ages")), (6, items[3][1]), (None, items[3][1])]
