@@ -9,32 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.llm import decontaminate, minhash, packing, quality, suffix_dedup
-from loamstone.llm.io import saved, table
+from loamstone.llm.io import free_name, saved, table
 from loamstone.llm.queries import vocabulary
 from loamstone.session import ship
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id a verdict keeps; rows without an id are kept."""
-    ids = verdicts.where("kept and doc_id is not null").select("doc_id").distinct()
-    good = docs.join(ids, "doc_id", "left_semi")
-    return good.unionByName(docs.where("doc_id is null")).select(docs.columns)
+def _keyed(docs: DataFrame, *columns: str) -> tuple[DataFrame, str]:
+    """The rows with a key of their own, by the columns that decide on them: ids may be missing, or name several texts."""
+    name = free_name(docs, "_row")
+    return docs.withColumn(name, F.xxhash64(*columns)), name
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, quality.quality_rules(docs, table(spark, sf_dir, "labels")))
+    """The rows that are kept, each judged by its own text and language."""
+    rows, key = _keyed(docs, "doc_id", "text", "lang")
+    verdicts = quality.quality_rules(rows, table(spark, sf_dir, "labels"), also=(key,))
+    return rows.join(verdicts.where("kept").select(key).distinct(), key, "left_semi").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group; of rows that repeat an id, one."""
-    good = _kept(docs, minhash.near_duplicates(docs))
-    known = good.where("doc_id is not null")
-    again = saved(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    """One row of each group: that with the least id, one without an id last; of rows that repeat an id and a text, one."""
+    rows, key = _keyed(docs, "doc_id", "text")
+    found = minhash.near_duplicates(rows.select(F.col(key).alias("row"), "text"), "row")
+    ids = rows.select(F.col(key).alias("row"), "doc_id")
+    # a row for each row of docs, without its text
+    found = saved(found.groupBy("row").agg(F.first("component_id").alias("component"), F.count("*").alias("n")).join(ids.distinct(), "row"))
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
+    good = rows.join(best.select(F.col("best.row").alias(key)), key, "left_semi")
+    again = found.where("n > 1").select(F.col("row").alias(key))
     if again.isEmpty():
-        return good
-    one = known.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
-    one = one.select("doc_id", "row.*").select(docs.columns)
-    return known.join(again, "doc_id", "left_anti").unionByName(one).unionByName(good.where("doc_id is null")).select(docs.columns)
+        return good.select(docs.columns)
+    once = good.join(again, key, "left_semi").dropDuplicates([key])
+    return good.join(again, key, "left_anti").unionByName(once).select(docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
