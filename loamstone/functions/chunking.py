@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _HEADER = re.compile(r"^(#{1,6})\s+(.*)$")
-_SPEAKER = re.compile(r"^([^:\n]{1,30}):\s*(.*)$", re.S)
+#: a speaker is up to 30 letters, digits, blanks and a few signs
+_SPEAKER = re.compile(r"^([A-Za-z0-9 _?+.'\-]{1,30}):\s*(.*)$")
 MOST, LEAST = 512, 64
 
 
@@ -19,7 +20,7 @@ def _tokens(text: str) -> int:
 
 
 def sections(text: str, level: int = 2) -> list[tuple[str, str]]:
-    """(title, body): a header of at most ``level`` starts a section; text before the first is an untitled one."""
+    """(title, body): a header of at most ``level`` starts a section; text before the first is an untitled one; sections without a body are left out."""
     out, title, body = [], "", []
     for line in text.split("\n"):
         found = _HEADER.match(line)
@@ -29,7 +30,7 @@ def sections(text: str, level: int = 2) -> list[tuple[str, str]]:
         else:
             body.append(line)
     out.append((title, "\n".join(body).strip()))
-    return [(t, b) for t, b in out if b or t]
+    return [(t, b) for t, b in out if b]
 
 
 def _words_packed(head: str, paragraph: str, most: int) -> Iterator[str]:
@@ -64,30 +65,31 @@ def packed(title: str, body: str, most: int = MOST) -> list[str]:
     return [*out, head + now] if now else out
 
 
-def merged(chunks: list[tuple[str, str]], least: int = LEAST) -> list[tuple[str, str]]:
-    """Tiny chunks join the one before; a leading tiny one joins the next."""
-    out: list[tuple[str, str]] = []
-    for title, text in chunks:
-        if out and (_tokens(text) < least or (len(out) == 1 and _tokens(out[0][1]) < least)):
-            out[-1] = (out[-1][0] or title, f"{out[-1][1]}\n\n{text}")
+def merged(chunks: list[str], least: int = LEAST) -> list[str]:
+    """Tiny chunks of one section join the one before; a leading tiny one joins the next."""
+    out: list[str] = []
+    for text in chunks:
+        if out and _tokens(text) < least:
+            out[-1] = f"{out[-1]}\n\n{text}"
         else:
-            out.append((title, text))
-    return out
+            out.append(text)
+    return [f"{out[0]}\n\n{out[1]}", *out[2:]] if len(out) > 1 and _tokens(out[0]) < least else out
 
 
 def markdown(text: str, level: int = 2, most: int = MOST, least: int = LEAST) -> list[tuple[str, str]]:
-    return merged([(t, c) for t, b in sections(text, level) for c in packed(t, b, most)], least)
+    return [(t, c) for t, b in sections(text, level) for c in merged(packed(t, b, most), least)]
 
 
 def turns(text: str) -> list[tuple[str, str]]:
-    """(speaker, text): blocks between blank lines that start with ``Speaker:``; other blocks belong to the turn before."""
+    """(speaker, text): blocks between blank lines whose first line is ``Speaker: ...``; other blocks belong to the turn before."""
     out: list[tuple[str, str]] = []
-    for block in filter(None, (b.strip() for b in re.split(r"\n\s*\n", text))):
-        found = _SPEAKER.match(block)
+    for block in re.split(r"\n\s*\n", text):
+        lines = [line for line in block.split("\n") if line.strip()]
+        found = _SPEAKER.match(lines[0].strip()) if lines else None
         if found:
-            out.append((found[1].strip(), found[2].strip()))
-        elif out:
-            out[-1] = (out[-1][0], f"{out[-1][1]}\n{block}")
+            out.append((found[1].strip(), "\n".join([found[2].strip(), *lines[1:]]).strip()))
+        elif lines and out:
+            out[-1] = (out[-1][0], "\n".join([out[-1][1], *lines]))
     return out
 
 

@@ -69,10 +69,12 @@ def hebbian_weight(weight: Column, creation: Column, most_boost: float = 0.10) -
     return F.least(weight, creation + most_boost)
 
 
-def base_level(age: Column, recalls: Column, decay: float = 0.5, e_fold: float = 7 * DAY, floor: float = -2.0) -> Column:
-    """Log-space base-level activation with a floor; what was never created (null or not positive age) is at the floor."""
-    raw = -decay * F.log(F.greatest(age, F.lit(1e-9))) - (age / (2 * e_fold) if e_fold > 0 else F.lit(0.0))
-    return F.coalesce(F.greatest(F.lit(floor), F.when(age > 0, raw)), F.lit(floor)) + F.log1p(EXPOSURE_BOOST * exposure_saturation(recalls))
+def base_level(now: float | Column, created: Column, recalls: Column, decay: float = 0.5, e_fold: float = 7 * DAY, floor: float = -2.0) -> Column:
+    """Log-space base-level activation with a floor. The age is a thousandth of a second at least, in the future too; what was never created (null, 0) is at the floor."""
+    age = F.greatest(F.lit(1e-3), (now if isinstance(now, Column) else F.lit(now)) - created)
+    raw = -decay * F.log(age) - (age / (2 * e_fold) if e_fold > 0 else F.lit(0.0))
+    known = F.coalesce(created, F.lit(0.0)) > 0
+    return F.when(known, F.greatest(F.lit(floor), raw) + F.log1p(EXPOSURE_BOOST * exposure_saturation(recalls))).otherwise(F.lit(floor))
 
 
 def edge_id(kind: Column, src: Column, dst: Column, symmetric: tuple[str, ...] = ("transition", "co_occurrence", "chat")) -> Column:

@@ -18,9 +18,16 @@ PHRASES = {
     "last week": ("week", -1), "this week": ("week", 0), "next week": ("week", 1), "last month": ("month", -1), "this month": ("month", 0), "next month": ("month", 1),
     "last year": ("year", -1), "this year": ("year", 0), "next year": ("year", 1),
 }
-_NUMERIC = re.compile(r"\b(\d+|an?|one|two|three|four|five|six|seven|eight|nine|ten)\s+(second|minute|hour|day|week|month|year)s?\s+ago\b|\bin\s+(\d+|an?|one|two|three|four|five|six|seven|eight|nine|ten)\s+(second|minute|hour|day|week|month|year)s?\b", re.I)
+_AMOUNT = r"(\d+(?:[.,]\d+)?|an?|one|two|three|four|five|six|seven|eight|nine|ten)"
+_UNIT = r"(second|minute|hour|day|week|month|year)s?"
+_NUMERIC = re.compile(rf"\b{_AMOUNT}\s+{_UNIT}\s+ago\b|\bin\s+{_AMOUNT}\s+{_UNIT}\b", re.I)
 _NUMBERS = {w: n for n, w in enumerate("zero one two three four five six seven eight nine ten".split())} | {"a": 1, "an": 1}
-_ABSOLUTE = re.compile(r"\b(\d{4})-(\d{2})(?:-(\d{2}))?\b")
+_ABSOLUTE = re.compile(r"\b(\d{4})[-/.](\d{1,2})(?:[-/.](\d{1,2}))?(?:[ T](\d{1,2}):(\d{2}))?\b")
+MONTHS = "january february march april may june july august september october november december".split()
+_MONTH = "(" + "|".join([*MONTHS, *(m[:3] for m in MONTHS)]) + ")"
+_NAMED = re.compile(rf"\b(?:(\d{{1,2}})(?:st|nd|rd|th)?\s+{_MONTH}|{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?)\b(?:,?\s+(\d{{4}})\b)?", re.I)
+#: Seconds of a mean month and year, for amounts that are no whole numbers.
+_MEAN = {"month": 2_629_746, "year": 31_556_952}
 
 
 def shifted(moment: datetime, months: int) -> datetime:
@@ -45,8 +52,16 @@ def calendar_range(moment: datetime, grain: str) -> tuple[datetime, datetime]:
     return start, start + timedelta(seconds=_UNITS[grain])
 
 
-def _moved(moment: datetime, grain: str, n: int) -> datetime:
-    return shifted(moment, n * (12 if grain == "year" else 1)) if grain in ("month", "year") else moment + timedelta(seconds=n * _UNITS[grain])
+def _moved(moment: datetime, grain: str, n: float) -> datetime:
+    if grain in _MEAN and n == int(n):
+        return shifted(moment, int(n) * (12 if grain == "year" else 1))
+    return moment + timedelta(seconds=n * {**_UNITS, **_MEAN}[grain])
+
+
+def _last_one(here: datetime, month: int, day: int) -> datetime:
+    """A day of the year without its year: the last one that was."""
+    found = here.replace(month=month, day=day, hour=0, minute=0, second=0, microsecond=0)
+    return found if found <= here else found.replace(year=found.year - 1)
 
 
 def resolve(text: str, now: datetime, zone: str = "UTC") -> list[tuple[float, float, str, float, str]]:
@@ -66,14 +81,22 @@ def resolve(text: str, now: datetime, zone: str = "UTC") -> list[tuple[float, fl
             add(m.span(), *calendar_range(_moved(here, grain, n), grain), grain, 1.0)
     for m in _NUMERIC.finditer(text):
         number, unit, sign = (m[1], m[2], -1) if m[1] else (m[3], m[4], 1)
-        n = int(number) if number.isdigit() else _NUMBERS[number.lower()]
+        n = float(number.replace(",", ".")) if number[0].isdigit() else _NUMBERS[number.lower()]
         add(m.span(), *calendar_range(_moved(here, unit.lower(), sign * n), unit.lower()), unit.lower(), 1.0)
     for m in _ABSOLUTE.finditer(text):
         try:
-            day = datetime(int(m[1]), int(m[2]), int(m[3] or 1), tzinfo=ZoneInfo(zone))
+            day = datetime(int(m[1]), int(m[2]), int(m[3] or 1), int(m[4] or 0), int(m[5] or 0), tzinfo=ZoneInfo(zone))
         except ValueError:
             continue
-        grain = "day" if m[3] else "month"
+        grain = ("minute" if m[4] else "day") if m[3] else "month"
+        add(m.span(), *calendar_range(day, grain), grain, 0.9)
+    for m in _NAMED.finditer(text):
+        month = [x[:3] for x in MONTHS].index((m[2] or m[3])[:3].lower()) + 1
+        try:  # a date that names its year stands for that year
+            day = datetime(int(m[5]), month, int(m[1] or m[4]), tzinfo=ZoneInfo(zone)) if m[5] else _last_one(here, month, int(m[1] or m[4]))
+        except ValueError:
+            continue
+        grain = "year" if m[5] else "day"
         add(m.span(), *calendar_range(day, grain), grain, 0.9)
     best: dict = {}
     for row in found:
@@ -101,3 +124,9 @@ def resolved(queries: DataFrame, now: float, zone: str = "UTC", engine: str = "p
             yield pd.DataFrame(rows, columns=["query_id", "start", "end", "grain", "confidence", "query_weight", "expression"])
 
     return queries.select(F.col("query_id").cast("string").alias("query_id"), "text", "weight").mapInPandas(run, "query_id string, start double, end double, grain string, confidence double, query_weight double, expression string")
+
+
+def strongest(ranges: DataFrame) -> DataFrame:
+    """The surest range of each query, weighted; of equal ones the earliest."""
+    rank = F.struct(F.col("confidence") * F.col("query_weight"), -F.col("start"), -F.col("end"))
+    return ranges.groupBy("query_id").agg(F.max_by(F.struct(*[c for c in ranges.columns if c != "query_id"]), rank).alias("x")).select("query_id", "x.*")

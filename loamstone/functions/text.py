@@ -54,7 +54,7 @@ def aliases(raw: Column) -> Column:
     """A JSON list, else parts between commas; trimmed, without blanks."""
     listed = F.when(F.trim(raw).startswith("["), F.from_json(raw, "array<string>"))
     parts = F.coalesce(listed, F.split(raw, ","))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def joined_names(name: Column, others: Column, most: int = 6) -> Column:
@@ -106,6 +106,25 @@ def overlaps(start: Column, end: Column, low: Column, high: Column) -> Column:
     return F.when(end.isNull(), (low <= start) & (start < high)).otherwise((start < high) & (end > low))
 
 
+def parsed_time(value: Column) -> Column:
+    """A UTC timestamp from epoch seconds, ISO 8601 (without an offset: UTC) or a written date; null if it is none of these."""
+    text = F.trim(value)
+    seconds = text.try_cast("double")
+    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ].*)?$"), text.try_cast("timestamp"))
+    # a pattern is tried where the text has its shape only, since names of days are no part of what a parser takes
+    bare = F.regexp_replace(text, r" \([A-Za-z]{3}\) ", " ")
+    written = F.coalesce(
+        F.when(text.rlike(r"^\d{4}/\d{2}/\d{2} "), F.try_to_timestamp(bare, F.lit("yyyy/MM/dd HH:mm"))),
+        F.when(text.rlike(r"(?i)^\d{1,2}:\d{2} [ap]m on "), F.try_to_timestamp(F.regexp_replace(F.upper(text), "(?i) on ", " "), F.lit("h:mm a d MMMM, yyyy"))),
+    )
+    return F.when(seconds.isNotNull(), F.timestamp_micros((seconds * 1e6).cast("long"))).otherwise(F.coalesce(iso, written))
+
+
+def coerced_time(value: Column, now: float) -> Column:
+    """``parsed_time``, and now where there is none."""
+    return F.coalesce(parsed_time(value), F.timestamp_micros(F.lit(int(now * 1e6))))
+
+
 def epoch(moment: Column) -> Column:
     return F.unix_micros(moment.cast("timestamp")) / 1e6
 

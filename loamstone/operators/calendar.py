@@ -1,12 +1,12 @@
-"""Calendars: weekly routines, occurrences in windows, ranking, and the state of simulated actors."""
+"""Calendars: weekly routines, occurrences in windows, ranking, and the changes of a calendar."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import memory as M
 
 
 def weekly_occurrences(rules: DataFrame, start: str, before: str) -> DataFrame:
@@ -42,7 +42,8 @@ def calendar_ranked(events: DataFrame, now: float, limit: int, *, queried: bool
         order = [F.desc("score"), *order]
     else:
         events = events.withColumn("score", F.lit(0.0))
-    return events.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).where(F.col("rank") <= limit)
+    best = events.orderBy(*order).limit(limit)  # the best of each task meet, not all events
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def clipped_windows(ranges: DataFrame, now: float, most_days: int = 400, low: float | None = None, before: float | None = None) -> DataFrame:
@@ -70,27 +71,65 @@ def day_bounds(day: str, timezone: str) -> tuple:
     return start, F.to_utc_timestamp(F.to_timestamp(F.date_add(F.to_date(F.lit(day)), 1)), timezone)
 
 
-def projected_state(states: DataFrame, actor: str = "actor", *, hunger_rate: float = 0.05, energy_rate: float = 0.04, rest_rate: float = 0.12, eat_at: float = 0.8, sleep_at: float = 0.2) -> DataFrame:
-    """States (actor, at, until, hunger, energy; hours) evolved linearly from ``at`` to ``until``, eating and sleeping at thresholds; one actor per group."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in rows.itertuples(index=False):
-            t, hunger, energy, asleep, meals = row.at, row.hunger, row.energy, False, 0
-            while t < row.until:
-                to_meal = max(0.0, (eat_at - hunger) / hunger_rate)
-                to_change = max(0.0, (1 - energy) / rest_rate if asleep else (energy - sleep_at) / energy_rate)
-                step = min(row.until - t, to_meal, to_change)
-                hunger += hunger_rate * step
-                energy += (rest_rate if asleep else -energy_rate) * step
-                t += step
-                if t >= row.until:
-                    break
-                if to_meal <= to_change:
-                    hunger, meals = 0.0, meals + 1
-                else:
-                    asleep = not asleep
-            out.append((getattr(row, actor), row.until, round(hunger, 9), round(energy, 9), asleep, meals))
-        return pd.DataFrame(out, columns=[actor, "at", "hunger", "energy", "asleep", "meals"])
-
-    return states.groupBy(actor).applyInPandas(run, f"{actor} {states.schema[actor].dataType.simpleString()}, at double, hunger double, energy double, asleep boolean, meals long")
+SELF = "self"
+
+
+def created_events(calendar: DataFrame, new: DataFrame, now: float, source: str = "manual") -> DataFrame:
+    """The calendar with new events (id, user_id, title, ..): active, as important as can be unless they say, normalised lists; invalid ones are left out."""
+    rows = M.normalised_events(new).where("valid").drop("valid")
+    given = {"user_id": F.lit(SELF), "importance": F.lit(1.0), "source": F.lit(source), "source_message_ids": F.array().cast("array<bigint>")}
+    rows = rows.withColumns({c: F.coalesce(c, v) if c in rows.columns else v for c, v in given.items()})
+    rows = rows.withColumns({"created_at": F.lit(now), "updated_at": F.lit(now), "status": F.lit("active"), "recall_count": F.lit(0).cast("long")})
+    return calendar.unionByName(rows.select([c for c in calendar.columns if c in rows.columns]), allowMissingColumns=True)
+
+
+def changed_events(calendar: DataFrame, changes: DataFrame, now: float) -> DataFrame:
+    """The calendar after changes (id, kind: update or cancel, source_message_ids, and columns to set; null: as it was), one per event; sources join in order."""
+    skipped = ("id", "kind", "source_message_ids")
+    values = [c for c in changes.columns if c not in skipped and c in calendar.columns]
+    c = changes.select("id", F.col("kind").alias("_kind"), F.col("source_message_ids").alias("_s"), *[F.col(v).alias(f"_{v}") for v in values])
+    both, hit = calendar.join(c, "id", "left"), F.col("_kind").isNotNull()
+    new = {v: F.when(F.col("_kind") == "update", F.coalesce(f"_{v}", v)).otherwise(F.col(v)) for v in values}
+    new["status"] = F.when(F.col("_kind") == "cancel", "cancelled").otherwise(new.get("status", F.col("status")))
+    new["source_message_ids"] = F.when(hit, F.array_distinct(F.concat("source_message_ids", F.coalesce("_s", F.array().cast("array<bigint>"))))).otherwise(F.col("source_message_ids"))
+    new["updated_at"] = F.when(hit, F.lit(now)).otherwise(F.col("updated_at"))
+    return both.withColumns(new).select(calendar.columns)
+
+
+def deferred_effects(calendar: DataFrame, effects: DataFrame, now: float) -> DataFrame:
+    """The calendar after the effects of one reply (effect, event_id, owner_id, source_message_id, and columns): creations with an owner, and updates and cancellations of events
+    of the owner named; others change nothing. Of several effects on one event the last by message counts."""
+    made = effects.where("effect = 'calendar_create' and trim(owner_id) <> ''").withColumns({"id": F.col("event_id"), "user_id": F.col("owner_id"), "source": F.lit("model_tool"), "source_message_ids": F.array("source_message_id")})
+    owners = calendar.select(F.col("id").alias("event_id"), F.coalesce("user_id", F.lit(SELF)).alias("_owner"))
+    own = effects.where("effect in ('calendar_update', 'calendar_cancel')").join(owners, "event_id").where((F.trim(F.coalesce("owner_id", F.lit(""))) == "") | (F.col("owner_id") == F.col("_owner")))
+    last = own.groupBy("event_id").agg(F.max_by(F.struct(*own.columns), "source_message_id").alias("x")).select("x.*")
+    changes = last.select(F.col("event_id").alias("id"), F.expr("substring(effect, 10)").alias("kind"), F.array("source_message_id").alias("source_message_ids"), *[c for c in effects.columns if c in calendar.columns and c not in ("id", "source_message_ids", "status", "user_id", "kind")])
+    return created_events(changed_events(calendar, changes, now), made.drop("effect", "event_id", "owner_id", "source_message_id"), now, "model_tool")
+
+
+def permitted_updates(updates: DataFrame, calendar: DataFrame, speakers: DataFrame) -> DataFrame:
+    """Extracted calendar updates (event_id, action, user_id, owner_id) that may apply: new events of the self, the user or one who speaks in the chat; changes by an owner or attendee only."""
+    who = F.coalesce("owner_id", F.lit(SELF))
+    heard = speakers.select(F.col("user_id").alias("_who")).distinct()
+    new = updates.where("action = 'create'").withColumn("_who", who)
+    new = new.where((F.col("_who") == SELF) | (F.col("_who") == F.col("user_id"))).unionByName(new.where((F.col("_who") != SELF) & (F.col("_who") != F.col("user_id"))).join(heard, "_who", "left_semi")).drop("_who")
+    own = calendar.select(F.col("id").alias("event_id"), F.col("user_id").alias("_o"), F.col("attendees").alias("_a"))
+    old = updates.where("action <> 'create'").join(own, "event_id")
+    old = old.where((F.col("_o") == F.col("user_id")) | F.coalesce(F.array_contains("_a", F.col("user_id")), F.lit(False)))
+    return new.select(updates.columns).unionByName(old.select(updates.columns))
+
+
+def recalled_events(events: DataFrame, users: list[str], now: float, limit: int, queried: bool = True) -> DataFrame:
+    """The calendar's answer to users (one, or a group, once): active events of theirs and of the self, or that they attend, ranked, with a line to read."""
+    wanted = [SELF, *users]
+    mine = F.col("user_id").isin(wanted) | F.coalesce(F.arrays_overlap("attendees", F.array(*map(F.lit, wanted))), F.lit(False))
+    best = calendar_ranked(events.where(mine & (F.col("status") != "cancelled")), now, limit, queried=queried)
+    stamp = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd HH:mm")
+    line = F.concat(F.col("title"), F.lit(" ("), stamp("start"), F.lit(" - "), stamp("end"), F.lit(")"), F.when(F.trim(F.coalesce("location", F.lit(""))) != "", F.concat(F.lit(" at "), F.col("location"))).otherwise(""))
+    return best.withColumn("line", line)
+
+
+def calendar_page(events: DataFrame, now: float, number: int, size: int, cap: int, queried: bool = True) -> DataFrame:
+    """A page of the ranked calendar; no more than ``cap`` events are ranked, as a reader's page asks for."""
+    ranked = calendar_ranked(events, now, cap, queried=queried)
+    return ranked.where((F.col("rank") > (number - 1) * size) & (F.col("rank") <= number * size))

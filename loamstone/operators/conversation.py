@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,7 +20,8 @@ def rounds(messages: DataFrame, chat: str = "chat_id") -> DataFrame:
 
 def neighbours(events: DataFrame, event_id: int, before: int = 2, after: int = 2, chat: str = "chat_id", order: str = "first_id", key: str = "event_id") -> DataFrame:
     """The events around one of the same chat, with their distance."""
-    numbered = events.withColumn("_n", F.row_number().over(Window.partitionBy(chat).orderBy(order)))
+    here = events.where(F.col(key) == event_id).select(chat)
+    numbered = events.join(F.broadcast(here), chat, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(chat).orderBy(order)))  # the one chat
     one = numbered.where(F.col(key) == event_id).select(chat, F.col("_n").alias("_at"))
     near = numbered.join(F.broadcast(one), chat).withColumn("distance", F.col("_n") - F.col("_at"))  # one row
     return near.where((F.col("distance") >= -before) & (F.col("distance") <= after) & (F.col("distance") != 0)).drop("_n", "_at")
@@ -98,3 +99,61 @@ def dialogue_windows(turns: DataFrame, size: int = 6, context: int = 2, stride:
     before = said(False)
     body = F.when(before == "", said(True)).otherwise(F.concat(F.lit("[context]\n"), before, F.lit("\n\n"), said(True)))
     return whole.where("_any").select(doc, "window", "speakers", body.alias("text"))
+
+
+def message_counts(messages: DataFrame, chat: str = "chat_id") -> DataFrame:
+    return messages.groupBy(chat).agg(F.count("*").alias("messages"))
+
+
+def chats_listed(chats: DataFrame, user: str | None = None) -> DataFrame:
+    """Chats, of a user or all, oldest first."""
+    return (chats if user is None else chats.where(F.col("user_id") == user)).orderBy("created_at", "chat_id")
+
+
+def rendered_message(content: Column, role: Column, user: Column, moment: Column, owner: str, character: str) -> Column:
+    """``[time] speaker: content``; a user's turn without a name is the owner's, any other the character's."""
+    who = F.when(role == "user", F.coalesce(F.nullif(F.trim(user), F.lit("")), F.lit(owner))).otherwise(F.lit(character))
+    stamp = F.when(moment.isNotNull(), F.concat(F.lit("["), F.date_format(F.timestamp_seconds(moment), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.lit("]")))
+    return F.concat_ws(" ", stamp, F.concat(who, F.lit(": "), content))
+
+
+def transcripts(messages: DataFrame, owner: str, character: str, chat: str = "chat_id") -> DataFrame:
+    """(chat, transcript, ids): what an extractor reads of a window of messages, blank ones left out, and the ids that its items may cite.
+
+    A window is a handful of turns by construction (the trigger's), so a row holds one.
+    """
+    who = F.when(F.col("role") == "user", F.coalesce("user_id", F.lit(owner))).otherwise(F.lit(character))
+    head = F.concat_ws(" / ", F.concat(F.lit("message_id="), F.col("id").cast("string")), F.concat(F.lit("occurred_at="), F.col("occurred_at").cast("string")))
+    line = F.concat(F.lit("["), head, F.lit("] "), who, F.lit(": "), F.trim("content"))
+    own = messages.where(F.trim("content") != "").groupBy(chat).agg(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))).alias("x"))
+    return own.select(chat, F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("transcript"), F.transform("x", lambda x: x["id"]).alias("ids"))
+
+
+def cited(items: DataFrame, windows: DataFrame, chat: str = "chat_id") -> DataFrame:
+    """Items whose provenance is cut to the ids of their window."""
+    ids = windows.select(chat, F.col("ids").alias("_ids"))
+    return items.join(ids, chat).withColumn("source_message_ids", F.array_intersect("source_message_ids", "_ids")).select(items.columns)
+
+
+def unextracted_windows(messages: DataFrame, chat: str = "chat_id") -> DataFrame:
+    """(chat, first_id, last_id, messages): what a full sweep extracts, a row per chat, the chat with the oldest open message first."""
+    open_ = messages.where(~F.coalesce(F.col("extracted"), F.lit(False)))
+    return open_.groupBy(chat).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("messages")).orderBy("first_id")
+
+
+def evidence(rows: DataFrame, messages: DataFrame, revisions: DataFrame) -> DataFrame:
+    """(id, message_id, role, content, revision): each remembered row beside the messages that it cites, others' turns left out, and beside its revisions; a row each, so no list grows with a hot row."""
+    own = rows.select("id", F.col("user_id").alias("_owner"), F.explode("source_message_ids").alias("message_id"))
+    m = messages.select(F.col("id").alias("message_id"), "role", "content", F.col("user_id").alias("_said"))
+    seen = own.join(m, "message_id").where((F.col("role") != "user") | F.col("_said").isNull() | (F.col("_said") == F.col("_owner")))
+    said = seen.select("id", "message_id", "role", "content", F.lit(None).cast("string").alias("revision"))
+    none = {"message_id": F.lit(None).cast("long"), "role": F.lit(None).cast("string")}
+    changed = revisions.join(rows.select("id"), "id", "left_semi").select("id", *[c.alias(n) for n, c in none.items()], "content", F.col("revision").cast("string").alias("revision"))
+    return said.unionByName(changed)
+
+
+
+def backfilled(rows: DataFrame, messages: DataFrame) -> DataFrame:
+    """Rows (id, occurred_at, source_message_ids, ..) without a time get the moment of what they cite."""
+    found = source_moment(rows.where(F.col("occurred_at").isNull()), messages).withColumnRenamed("moment", "_t")
+    return rows.join(found, "id", "left").withColumn("occurred_at", F.coalesce("occurred_at", "_t")).select(rows.columns)

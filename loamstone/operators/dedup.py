@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import saved
 
 SIMILAR = 0.92
 
@@ -27,38 +30,89 @@ def merged_rows(rows: DataFrame, merges: DataFrame) -> DataFrame:
     return kept.join(whole.withColumnRenamed("survivor", "id"), "id").select(rows.columns)
 
 
-def greedy_sweep(rows: DataFrame, scope: str = "user_id", threshold: float = SIMILAR, content: str = "content", vec: str = "vec") -> DataFrame:
-    """(id, survivor, similarity): oldest first, each row is compared with the survivors so far only; exact text first, then best cosine.
+def _near(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        ids, side = (table.column(c).to_numpy() for c in ("id", "side"))
+        place = np.empty(len(ids), object)
+        place[:] = [(x["t"], x["id"]) for x in table.column("place").to_pylist()]
+        v = np.stack(table.column("v").to_numpy())
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        score = v[left] @ v[right].T
+        i, j = np.nonzero(score >= threshold)
+        a, b, score = left[i], right[j], score[i, j]
+        later = place[a] > place[b] if len(a) else np.zeros(0, bool)
+        keep = later | ((side[a] == 0) & (a != b))  # within one block each pair comes twice, between two once
+        a, b, score, later = a[keep], b[keep], score[keep], later[keep].astype(bool)
+        return pa.table({"id": np.where(later, ids[a], ids[b]), "other": np.where(later, ids[b], ids[a]), "similarity": score})
+
+    return run
+
+
+def similar_pairs(rows: DataFrame, scope: str, threshold: float, block: int = 1024) -> DataFrame:
+    """(id, other, similarity) of rows (id, scope, place, v of length 1) of one scope whose cosine reaches the threshold, the later one by ``place`` (t, id) first.
 
-    This is order-dependent and not the same as components: a row near a dropped one only stays. A scope is one group; it is one user's memory.
+    A scope is dealt over blocks that meet in pairs, so no task holds one; only pairs at the threshold leave the tasks.
     """
+    sizes = saved(rows.groupBy(scope).agg(F.ceil(F.count("*") / block).alias("blocks")))
+    dealt = rows.join(sizes, scope).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.select(scope, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "id", "place", "v")
+    return dealt.groupBy(scope, "i", "j").applyInArrow(_near(threshold), "id long, other long, similarity double")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["created_at", "id"], kind="stable")
-        texts: dict[str, int] = {}
-        ids, vectors, out = [], [], []
-        for row in group[["id", content, vec]].itertuples(index=False):
-            i, words, v = row
-            key = (words or "").strip().lower()
-            if key and key in texts:
-                out.append((i, texts[key], 1.0))
-                continue
-            v = np.asarray(v, float) if v is not None else None
-            if v is not None and v.any():
-                v = v / np.linalg.norm(v)
-                if vectors:
-                    near = np.stack(vectors) @ v
-                    best = int(near.argmax())
-                    if near[best] >= threshold:
-                        out.append((i, ids[best], float(near[best])))
-                        continue
-                ids.append(i)
-                vectors.append(v)
-            if key:
-                texts[key] = i
-        return pd.DataFrame(out, columns=["id", "survivor", "similarity"]).astype({"id": "int64", "survivor": "int64", "similarity": "float64"})
-
-    return rows.select(scope, "id", "created_at", content, vec).groupBy(scope).applyInPandas(run, "id long, survivor long, similarity double")
+
+def greedy_sweep(rows: DataFrame, scope: str = "user_id", threshold: float = SIMILAR, content: str = "content", vec: str = "vec", most_rounds: int = 200) -> DataFrame:
+    """(id, survivor, similarity): oldest first (created_at, id), each row is compared with the survivors so far only: the best cosine, of equal ones the oldest.
+
+    This is order-dependent and not the same as components: a row near a dropped one only stays. Copies of a text go the way of its first row: to it (1.0) if it
+    survives, else to its survivor. Candidates come in blocks; then rounds settle the rows all of whose earlier candidates are settled, each a few joins, as
+    many as the longest chain of candidates.
+    """
+    text = T.folded(F.coalesce(content, F.lit("")))
+    own = rows.select(F.col("id").cast("long").alias("id"), F.col(scope).alias("scope"), F.struct(F.col("created_at").cast("double").alias("t"), F.col("id").cast("long").alias("id")).alias("place"), text.alias("text"), T.unit(F.col(vec)).alias("v"))
+    own = saved(own)
+    heads = own.where("text <> ''").groupBy("scope", "text").agg(F.min("place").alias("head"))
+    copies = saved(own.where("text <> ''").join(heads, ["scope", "text"]).where("id <> head.id").select("id", F.col("head.id").alias("head")))
+    firsts = own.join(copies.select("id"), "id", "left_anti").where(F.exists("v", lambda x: x != 0))
+    links = saved(similar_pairs(firsts, "scope", threshold).join(firsts.select(F.col("id").alias("other"), "place"), "other"))
+    open_, gone = links, links.select("id", F.col("other").alias("survivor"), "similarity").limit(0)
+    for _ in range(most_rounds):
+        if open_.isEmpty():
+            break
+        # candidates that wait for nothing are survivors; a row is dropped once all of its own are
+        waiting = open_.select(F.col("id").alias("other")).distinct()
+        free = open_.join(waiting, "other", "left_anti").groupBy("id").agg(F.count("*").alias("n"), F.max_by(F.struct("other", "similarity"), F.struct(F.round("similarity", 12), -F.col("place.t"), -F.col("place.id"))).alias("x"))
+        whole = open_.groupBy("id").agg(F.count("*").alias("all"))
+        done = saved(free.join(whole, "id").where("n = all").select("id", F.col("x.other").alias("survivor"), F.col("x.similarity").alias("similarity")))
+        gone = gone.unionByName(done)
+        # what is dropped is no candidate any more; a row without any left waits no longer and survives
+        open_ = saved(open_.join(done.select("id"), "id", "left_anti").join(done.select(F.col("id").alias("other")), "other", "left_anti"))
+    else:
+        raise RuntimeError(f"the sweep did not settle in {most_rounds} rounds")
+    led = copies.join(gone.select(F.col("id").alias("head"), "survivor", "similarity"), "head", "left")
+    return gone.unionByName(led.select("id", F.coalesce("survivor", "head").alias("survivor"), F.coalesce("similarity", F.lit(1.0)).alias("similarity")))
+
+
+def swept(rows: DataFrame, per_user: bool = True, threshold: float = SIMILAR, user: str = "user_id") -> DataFrame:
+    """A sweep of each user's rows, or of all rows together; as a dry run it reports, and ``merged_rows`` applies it."""
+    return greedy_sweep(rows if per_user else rows.withColumn(user, F.lit(0)), user, threshold)
+
+
+def sweeps(memories: dict[str, DataFrame], names: list[str] | None = None, threshold: float = SIMILAR) -> DataFrame:
+    """(memory, id, survivor, similarity) of the sweeps over several memories, or over those named."""
+    parts = [swept(df, threshold=threshold).select(F.lit(name).alias("memory"), "id", "survivor", "similarity") for name, df in memories.items() if names is None or name in names]
+    if not parts:
+        raise ValueError("no such memory")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def incoming_duplicates(incoming: DataFrame, stored: DataFrame, pairs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(id, survivor, similarity) of incoming rows (id, user_id, content, v): a stored row of the same user with the same text, else of the candidates (id, other) the nearest one at the threshold."""
+    s = stored.select(F.col("id").alias("other"), "user_id", T.folded(F.col("content")).alias("_t"), T.unit(F.col("v")).alias("_v"))
+    own = incoming.select("id", "user_id", T.folded(F.col("content")).alias("_t"), T.unit(F.col("v")).alias("_own"))
+    same = own.where("_t <> ''").join(s.drop("_v"), ["user_id", "_t"]).groupBy("id").agg(F.min("other").alias("survivor"), F.lit(1.0).alias("similarity"))
+    near = own.join(pairs, "id").join(s.drop("_t"), ["other", "user_id"]).withColumn("similarity", T.dot(F.col("_own"), F.col("_v"))).where(F.col("similarity") >= threshold)
+    best = near.groupBy("id").agg(F.max(F.struct("similarity", -F.col("other"))).alias("x")).select("id", (-F.col("x.col2")).alias("survivor"), F.col("x.similarity").alias("similarity"))
+    return same.unionByName(best.join(same, "id", "left_anti"))
 
 
 def accepted(probabilities: Column, label: Column, *, duplicate: float = 0.98, correction: float = 0.99, margin: float = 0.20) -> Column:

@@ -6,13 +6,14 @@ edges: id, kind, src, dst, weight and signed attributes. Symmetric kinds are wal
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from ..functions import text as T
+from ..session import saved
 
 SYMMETRIC = ("transition", "co_occurrence", "chat")
 GAIN, HOPS, HOP_DECAY, FIRE, STEP = 0.35, 2, 0.6, 0.15, 0.05
@@ -54,34 +55,203 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return ids.join(ends, "id", "left").fillna({"degree": 0})
 
 
-def spread(edges: DataFrame, seeds: DataFrame, *, gain: float = GAIN, hops: int = HOPS, hop_decay: float = HOP_DECAY, per: list[str] | None = None) -> DataFrame:
-    """(per.., id, activation): what nodes receive over the hops. edges: (src, dst, strength) as walked; seeds: (per.., id, activation).
+def weighted_walks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, strength) of walks (src, dst, strength) between nodes (id, strength): the edge's strength times that of the node it reaches."""
+    reached = nodes.select(F.col("id").alias("dst"), F.col("strength").alias("_own"))
+    out = edges.join(reached, "dst").join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
+    return out.select("src", "dst", (F.col("strength") * F.col("_own")).alias("strength"))
+
+
+def spread(walks_: DataFrame, seeds: DataFrame, *, gain: float = GAIN, hops: int = HOPS, hop_decay: float = HOP_DECAY, floor: float = 0.0, per: list[str] | None = None) -> DataFrame:
+    """(per.., id, activation): the seeds' own mass, ``floor`` at least, and what nodes receive over the hops. walks_: (src, dst, strength); seeds: (per.., id, activation).
 
     Each hop passes the mass received in the hop before (the seeds' at first) to neighbours, times the strength, over the number of walks out
-    of the node. All groups of ``per`` spread in one plan. The plan is unrolled: one join and one sum per hop.
+    of the node; only positive mass passes. All groups of ``per`` spread in one plan. The plan is unrolled: one join and one sum per hop.
     """
     keys = per or []
-    fan = edges.groupBy("src").agg(F.count("*").alias("fan"))
-    out = edges.join(fan, "src").select("src", "dst", (F.col("strength") / F.col("fan")).alias("share"))
-    front, total = seeds.where("activation > 0").select(*keys, F.col("id").alias("src"), F.col("activation").alias("mass")), None
+    fan = walks_.groupBy("src").agg(F.count("*").alias("fan"))
+    out = walks_.join(fan, "src").select("src", "dst", (F.col("strength") / F.col("fan")).alias("share"))
+    total = front = seeds.select(*keys, F.col("id").alias("src"), F.greatest(F.lit(floor), F.col("activation")).alias("mass"))
     for hop in range(max(1, hops)):
-        passed = front.join(out, "src").select(*keys, F.col("dst").alias("src"), (gain * hop_decay**hop * F.col("mass") * F.col("share")).alias("mass"))
-        front = passed.groupBy(*keys, "src").agg(F.sum("mass").alias("mass")).where("mass > 0")
-        total = front if total is None else total.unionByName(front)
+        passed = front.where("mass > 0").join(out, "src").select(*keys, F.col("dst").alias("src"), (gain * hop_decay**hop * F.col("mass") * F.col("share")).alias("mass"))
+        front = passed.where("mass > 0").groupBy(*keys, "src").agg(F.sum("mass").alias("mass"))
+        total = total.unionByName(front)
     return total.groupBy(*keys, F.col("src").alias("id")).agg(F.sum("mass").alias("activation"))
 
 
-def combined(nodes: DataFrame, received: DataFrame, seeds: DataFrame, *, base_weight: float = 1.0, spread_weight: float = 1.2, mood: Column | None = None, per: list[str] | None = None) -> DataFrame:
-    """Nodes with score = base_weight * base_level + spread_weight * (seed + received); positive scores grow with the likeness to the mood."""
-    keys = [*(per or []), "id"]
-    both = seeds.select(*keys, "activation").unionByName(received.select(*keys, "activation")).groupBy(*keys).agg(F.sum("activation").alias("activation"))
-    out = nodes.join(both, "id", "right" if per else "left").fillna({"activation": 0.0}).where("base_level is not null")
+def combined(nodes: DataFrame, activation: DataFrame, *, base_weight: float = 1.0, spread_weight: float = 1.2, mood: Column | None = None, per: list[str] | None = None) -> DataFrame:
+    """Nodes (id, base_level, ..) with score = base_weight * base_level + spread_weight * activation; positive scores grow with the likeness to the mood.
+
+    Nodes without activation have their base level alone (with ``per``, activated nodes only).
+    """
+    out = nodes.join(activation.select(*(per or []), "id", "activation"), "id", "inner" if per else "left").fillna({"activation": 0.0})
     score = base_weight * F.col("base_level") + spread_weight * F.col("activation")
     if mood is not None:
         score = F.when(score > 0, score * (1 + mood)).otherwise(score)
     return out.withColumn("score", score)
 
 
+def person_bias(persons: DataFrame, viewers: list[str], seed: float = 0.8, share: float = 0.6) -> DataFrame:
+    """(id, activation): the node of each viewer, by its user id or else by the id person:user, gets a share of the seed of the self."""
+    found = persons.where(F.col("user_id").isin(viewers) | F.col("id").isin([f"person:{v}" for v in viewers])) if viewers else persons.limit(0)
+    who = F.coalesce("user_id", F.regexp_replace("id", "^person:", ""))
+    own = F.struct(F.col("user_id").isNull(), F.col("id"))  # of several nodes of a viewer the one that names the user
+    return found.groupBy(who.alias("_who")).agg(F.min_by("id", own).alias("id")).select("id", F.lit(seed * share).alias("activation"))
+
+
+def activation_trace(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, viewers: list[str] | None = None, private: bool = False, include_internal: bool = False, mood: Column | None = None, hops: int = HOPS) -> DataFrame:
+    """(id, base_level, seed, activation, score) of the visible nodes for the seeds (id, activation) of one query.
+
+    nodes: id, strength, base_level, user_id, owners, character_scoped, internal. edges: as walked, with their strength. The viewers' own nodes get a bias.
+    ``private`` spreads inside what the viewers may see, otherwise the whole graph takes part and only the result is filtered.
+    """
+    inner = visible(nodes, viewers) if private else nodes
+    own = seeds.select("id", "activation").unionByName(person_bias(nodes, viewers or []))
+    own = own.join(inner.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("activation").alias("activation"))
+    scores = combined(inner, spread(weighted_walks(edges, inner), own, hops=hops), mood=mood)
+    shown = visible(scores, viewers) if include_internal else public(visible(scores, viewers))
+    return shown.join(own.select("id", F.col("activation").alias("seed")), "id", "left").fillna({"seed": 0.0}).select("id", "base_level", "seed", "activation", "score")
+
+
+def retrieved(trace: DataFrame, texts: DataFrame, *, least: float = FIRE, budget: int = 1_000, tokens: Column | None = None) -> DataFrame:
+    """(id, text, score, position, used_tokens): nodes by score, then by id, both descending, as long as their lines ``- text`` fit the budget of tokens."""
+    line = F.concat(F.lit("- "), F.coalesce("text", F.lit("")))
+    cost = T.token_count(line) if tokens is None else tokens
+    items = trace.where(F.col("score") >= least).join(texts.select("id", "text"), "id").withColumn("_tokens", cost)
+    items = items.where("_tokens >= 0").orderBy(F.desc("score"), F.desc("id")).limit(max(0, budget))  # a line has a token at least, so no more than ``budget`` rows can fit
+    order = Window.orderBy(F.desc("score"), F.desc("id"))
+    out = items.withColumn("used_tokens", F.sum("_tokens").over(order)).withColumn("position", F.row_number().over(order))
+    return out.where(F.col("used_tokens") <= budget).select("id", "text", "score", "position", "used_tokens")
+
+
+def overview(nodes: DataFrame, edges: DataFrame, viewers: list[str] | None = None, include_internal: bool = False) -> DataFrame:
+    """(what, kind, n): visible nodes by kind, edges by kind with both ends visible, and known users."""
+    seen = visible(nodes, viewers) if include_internal else public(visible(nodes, viewers))
+    ids = seen.select("id")
+    inner = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    of = lambda df, what: df.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "kind", "n")
+    users = seen.agg(F.count_distinct("user_id").alias("n")).select(F.lit("users").alias("what"), F.lit(None).cast("string").alias("kind"), "n")
+    return of(seen, "nodes").unionByName(of(inner, "edges")).unionByName(users)
+
+
+def scoped(nodes: DataFrame, marks: DataFrame) -> DataFrame:
+    """Nodes with owners added and the character's flag set, after marks (id, user_id; null: the character)."""
+    none = F.array().cast("array<string>")
+    per = marks.groupBy("id").agg(F.array_sort(F.collect_set("user_id")).alias("_users"), F.max(F.col("user_id").isNull()).alias("_all"))
+    out = nodes.join(per, "id", "left").withColumns({
+        "owners": F.array_union(F.coalesce("owners", none), F.coalesce("_users", none)),
+        "character_scoped": F.col("character_scoped") | F.coalesce("_all", F.lit(False)),
+    })
+    return out.select(nodes.columns)
+
+
+def by_external_ref(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """(ref, id): the node that carries a reference; of several the least id."""
+    own = nodes.select("id", F.explode("external_refs").alias("ref"))
+    return own.join(refs.select("ref").distinct(), "ref", "left_semi").groupBy("ref").agg(F.min("id").alias("id"))
+
+
+def temporal_intervals(nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, start, end) of nodes: an episode's own time, else the interval of the row named by its source (source, start, end); null where there is none."""
+    s = sources.select("source", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    own = F.when(F.col("kind") == "episode", F.col("timestamp"))
+    return nodes.join(s, "source", "left").select("id", F.coalesce(own, "_s").alias("start"), F.when(own.isNull(), F.col("_e")).alias("end"))
+
+
+def node_text(kind: Column, text: Column, name: Column, source: Column, content: Column, kind_label: Column) -> Column:
+    """How a node reads, by its kind and the prefix of its source."""
+    blank = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    head = lambda label, body: F.concat(F.lit("["), label, F.lit("] "), body)
+    return (
+        F.when(source.startswith("wiki"), head(F.lit("wiki"), F.coalesce(blank(content), blank(text), F.lit(""))))
+        .when(kind == "person", F.concat_ws(": ", blank(name), blank(text)))
+        .when(kind == "fact", head(F.coalesce(blank(kind_label), F.lit("fact")), F.coalesce(blank(content), blank(text), F.lit(""))))
+        .when(kind == "episode", head(F.lit("episode"), F.coalesce(blank(text), F.lit(""))))
+        .otherwise(F.coalesce(blank(text), blank(name), F.lit("")))
+    )
+
+
+def text_chunks(nodes: DataFrame) -> DataFrame:
+    """(id, text): what of a graph is indexed: trimmed texts that are not blank, without the self."""
+    return nodes.where(F.col("id") != "self").select("id", F.trim("text").alias("text")).where("text <> ''")
+
+
+def summaries_graph(profiles: DataFrame) -> DataFrame:
+    """A person's node for each profile (user_id, name, aliases, summary)."""
+    name = F.coalesce(F.nullif(F.trim(F.coalesce("name", F.lit(""))), F.lit("")), F.col("user_id"))
+    return profiles.select(F.concat(F.lit("person:"), "user_id").alias("id"), F.lit("person").alias("kind"), F.col("summary").alias("text"), name.alias("name"), "aliases", "user_id", F.array("user_id").alias("owners"))
+
+
+def emotion_graph(emotions: DataFrame) -> DataFrame:
+    """Edges from the self to persons, by the size of the relation (user_id, dims)."""
+    person = F.concat(F.lit("person:"), "user_id")
+    return emotions.select(S.edge_id(F.lit("relation"), F.lit("self"), person).alias("id"), F.lit("relation").alias("kind"), F.lit("self").alias("src"), person.alias("dst"), relation_edge_weight(F.col("dims")).alias("weight"))
+
+
+def chat_edges(nodes: DataFrame, weight: float = 0.1) -> DataFrame:
+    """Edges between all facts and episodes of one chat, each pair once; a row per pair is the result itself."""
+    own = nodes.where(F.col("kind").isin("fact", "episode") & F.col("chat_id").isNotNull())
+    return pair_edges(shared_pairs(own.select("id", "chat_id"), "id", "chat_id"), "chat", weight)
+
+
+def wiki_graph(sections: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with a fact of the self for each section (section, title, text); the wiki projection of before goes first."""
+    nodes, edges = removed(nodes, edges, stale(nodes, "wiki:", nodes.limit(0)))
+    id_ = F.concat(F.lit("fact:wiki:"), F.col("section").cast("string"))
+    own = sections.where(F.trim("text") != "").select(id_.alias("id"), F.lit("fact").alias("kind"), F.concat_ws(": ", F.nullif(F.trim("title"), F.lit("")), F.trim("text")).alias("text"), F.concat(F.lit("wiki:"), F.col("section").cast("string")).alias("source"))
+    new = own.select(S.edge_id(F.lit("fact"), F.lit("self"), F.col("id")).alias("id"), F.lit("fact").alias("kind"), F.lit("self").alias("src"), F.col("id").alias("dst"), F.lit(0.5).alias("weight"))
+    return nodes.unionByName(own, allowMissingColumns=True), edges.unionByName(new, allowMissingColumns=True)
+
+
+def refreshed(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Nodes whose source names a changed row (source, text, importance) with its text and importance; telemetry and owners stay."""
+    r = rows.select("source", F.col("text").alias("_t"), F.col("importance").alias("_i"), F.lit(True).alias("_hit"))
+    out = nodes.join(r, "source", "left").withColumns({"text": F.when(F.col("_hit"), F.col("_t")).otherwise(F.col("text")), "importance": F.when(F.col("_hit"), F.col("_i")).otherwise(F.col("importance"))})
+    return out.select(nodes.columns)
+
+
+def deduplicated(nodes: DataFrame, edges: DataFrame, report: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after a report (source, action): nodes of removed sources go with their edges, those of merged ones are read again from ``rows``."""
+    gone = nodes.join(report.where("action = 'removed'").select("source"), "source", "left_semi").select("id")
+    left, kept = removed(nodes, edges, gone)
+    return refreshed(left, rows.join(report.where("action = 'merged'").select("source"), "source", "left_semi")), kept
+
+
+def unchanged_sources(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(source): projections whose version and fingerprint are those of the last run, so that they need no work."""
+    return after.join(before, ["source", "version", "fingerprint"], "left_semi").select("source")
+
+
+def recalled_group(items: DataFrame) -> DataFrame:
+    """(recall, id, activation): a group's recalled nodes (recall, participant, id, activation), each once, for one touch and one Hebbian step."""
+    return items.groupBy("recall", "id").agg(F.max("activation").alias("activation"))
+
+
+def merged_graph(projections: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """One graph of projections (nodes, edges), in order: of nodes with one id the first gives the columns, owners and references join; edges merge by id."""
+    order = [(n.withColumn("_at", F.lit(k)), e) for k, (n, e) in enumerate(projections)]
+    nodes = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [n for n, _ in order])
+    lists = [c for c in ("owners", "external_refs", "aliases") if c in nodes.columns]
+    rest = [c for c in nodes.columns if c not in ("id", "_at", *lists)]
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in rest]
+    joined = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists]
+    edges = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [e for _, e in order])
+    return nodes.groupBy("id").agg(*first, *joined), merged_edges(edges)
+
+
+def updated_graph(nodes: DataFrame, edges: DataFrame, changed: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """An incremental update: the nodes and edges of changed rows replace those with their ids, all others stay."""
+    new_nodes, new_edges = changed
+    replace = lambda old, new: old.join(new.select("id"), "id", "left_anti").unionByName(new, allowMissingColumns=True)
+    return replace(nodes, new_nodes), replace(edges, new_edges)
+
+
+def same_graph(index: DataFrame, nodes: DataFrame) -> bool:
+    """Whether an index (id, text) holds exactly the chunks of the graph."""
+    own = text_chunks(nodes).select("id", "text")
+    return index.select("id", "text").exceptAll(own).isEmpty() and own.exceptAll(index.select("id", "text")).isEmpty()
+
+
 def shared_pairs(members: DataFrame, node: str = "node", key: str = "participant") -> DataFrame:
     """(a, b) pairs of nodes, a before b, that share a key, each once. The result itself is a row per pair."""
     m = members.select(node, key).distinct()
@@ -127,37 +297,16 @@ def rewired(edges: DataFrame, survivors: DataFrame) -> DataFrame:
     return out.withColumn("id", F.when(F.col("_n") == 0, F.col("_new")).otherwise(F.concat("_new", F.lit("::m"), F.col("_n")))).drop("_n", "_new")
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a loop by a table in the folder that the session names for checkpoints."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _local_folder()
-    path = f"{folder.rstrip('/')}/loamstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_folder: list[str] = []
-
-
-def _local_folder() -> str:
-    """Only where the session names no shared folder, as in tests."""
-    if not _folder:
-        _folder.append(tempfile.mkdtemp(prefix="loamstone-"))
-    return _folder[0]
-
-
 def label_components(labels: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(id, component): nodes that share a label, directly or over others, by least-label propagation until nothing changes. labels: (id, label)."""
-    own = _saved(labels.where("label is not null").distinct())
-    now = _saved(own.select("id").distinct().withColumn("component", F.col("id")))
+    own = saved(labels.where("label is not null").distinct())
+    now = saved(own.select("id").distinct().withColumn("component", F.col("id")))
     for _ in range(most_rounds):
-        by_label = own.join(now, "id").groupBy("label").agg(F.min("component").alias("least"))
+        by_label = saved(own.join(now, "id").groupBy("label").agg(F.min("component").alias("least")))  # a table of its own: a hot label can be split
         reached = own.join(by_label, "label").groupBy("id").agg(F.min("least").alias("least"))
         step = now.join(reached, "id").select("id", F.least("component", "least").alias("component"), F.col("component").alias("before"))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        new = _saved(step.join(jump, "component", "left").select("id", F.coalesce("root", "component").alias("component"), "before"))
+        new = saved(step.join(jump, "component", "left").select("id", F.coalesce("root", "component").alias("component"), "before"))
         moved = not new.where("component <> before").isEmpty()
         now = new.select("id", "component")
         if not moved:
@@ -219,9 +368,10 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def render_order(items: DataFrame) -> DataFrame:
+    """Items in the order in which a group reads them: persons, facts, episodes, entities, the self; then by score."""
     kinds = ["person", "fact", "episode", "entity", "self"]
     place = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
-    return items.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(place, F.desc("score"), "id")))
+    return items.orderBy(place, F.desc("score"), "id")
 
 
 def self_survivors(persons: DataFrame, labels: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
+from . import conversation as V
 from . import tables as B
 
 NO_IDS = "array<bigint>"
@@ -41,6 +42,17 @@ def stamped(text: Column, moment: Column, now: float, style: str = "both") -> Co
     return F.when(moment.isNull(), text).otherwise(F.concat(F.lit("["), label, F.lit("] "), text))
 
 
+def heartbeat_text(kind: Column, summary: Column) -> Column:
+    return F.concat(F.lit("["), kind, F.lit("] "), summary)
+
+
+def row_items(rows: DataFrame, text: Column, memory: str, score: str = "score") -> DataFrame:
+    """(memory, id, text, score, metadata): remembered rows as items of a prompt; metadata has what else is known of a row, as text."""
+    rest = [c for c in rows.columns if c not in ("id", score)]
+    metadata = F.map_filter(F.create_map(*[x for c in rest for x in (F.lit(c), F.col(c).cast("string"))]), lambda _, v: v.isNotNull()) if rest else F.create_map().cast("map<string,string>")
+    return rows.select(F.lit(memory).alias("memory"), "id", text.alias("text"), F.col(score).alias("score"), metadata.alias("metadata"))
+
+
 # ---- applying what was extracted
 
 
@@ -66,6 +78,36 @@ def evidenced(updates: DataFrame, messages: DataFrame, roles: list[str]) -> Data
     return updates.drop("source_message_ids").join(good, "update_id").select(updates.columns)
 
 
+def applied_directives(extracted: DataFrame, known: DataFrame, window_ids: DataFrame | None = None, scope: str = "user_id") -> DataFrame:
+    """``applied_facts`` for directives: their keywords are trimmed and without blanks or repeats."""
+    words = F.array_distinct(F.filter(F.transform(F.coalesce("retrieval_keywords", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""))
+    return applied_facts(extracted.withColumn("retrieval_keywords", words), known, window_ids, scope)
+
+
+def applied_episodes(extracted: DataFrame, messages: DataFrame, axes: list[str], window_ids: DataFrame | None = None) -> DataFrame:
+    """Extracted episodes (id, summary, importance, emotional_shift, occurred_at, source_message_ids, ..) that may be stored: with text and provenance, known axes only
+    and a time from what they cite; equal texts are kept."""
+    rows = extracted.where(F.trim("summary") != "")
+    if window_ids is not None:
+        good = rows.select("id", F.explode("source_message_ids").alias("m")).join(window_ids.select(F.col("id").alias("m")), "m", "left_semi")
+        rows = rows.drop("source_message_ids").join(good.groupBy("id").agg(F.array_sort(F.collect_set("m")).alias("source_message_ids")), "id")
+    rows = rows.where(F.size("source_message_ids") > 0).withColumns({"importance": T.clip(F.col("importance")), "emotional_shift": T.emotion(F.col("emotional_shift"), axes)})
+    return V.backfilled(rows.select(extracted.columns), messages)
+
+
+def applied_emotions(states: DataFrame, changes: DataFrame, axes: list[str]) -> DataFrame:
+    """States (user_id, mood, dims, comment) after changes (user_id, mood, deltas, comment): a mood with a known axis replaces the old one whole, deltas add to the dims, a comment with text replaces."""
+    c = changes.select("user_id", F.col("mood").alias("_m"), F.col("deltas").alias("_d"), F.col("comment").alias("_c"))
+    both = states.join(c, "user_id", "left")
+    known = T.emotion(F.col("_m"), axes)
+    return both.select(
+        "user_id",
+        F.when(F.coalesce(F.size(known), F.lit(0)) > 0, mood_set(known, axes)).otherwise(F.col("mood")).alias("mood"),
+        F.when(F.col("_d").isNotNull(), T.shifted_dims(F.col("dims"), F.col("_d"))).otherwise(F.col("dims")).alias("dims"),
+        F.when(F.trim(F.coalesce("_c", F.lit(""))) != "", F.col("_c")).otherwise(F.col("comment")).alias("comment"),
+    )
+
+
 def versioned(rows: DataFrame, changes: DataFrame, now: float) -> DataFrame:
     """Statements (id, content, history array<struct<content, updated_at>>, updated_at, source_message_ids) after changes (id, content, source_message_ids): what
     was there goes to the history and sources join; a change that changes nothing leaves the row alone."""
@@ -83,23 +125,17 @@ def versioned(rows: DataFrame, changes: DataFrame, now: float) -> DataFrame:
 def thread_states(updates: DataFrame) -> DataFrame:
     """(thread, status, resolution, resolved_at) after updates (thread, seq, action, text, at) in order: create opens, resolve and dismiss close open ones, reopen opens closed ones.
 
-    An action whose precondition fails changes nothing. The state is folded inside one array expression per thread.
+    An action whose precondition fails changes nothing. After the first create the last closing or reopening action decides, and what closes is the first closing
+    action after the last reopening: three aggregates, so no thread's updates meet in one row.
     """
-    steps = F.sort_array(F.collect_list(F.struct("seq", "action", "text", "at")))
-    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("resolution"), F.lit(None).cast("double").alias("resolved_at"))
-
-    def fold(s: Column, x: Column) -> Column:
-        opens = ((x["action"] == "create") & s["status"].isNull()) | ((x["action"] == "reopen") & s["status"].isin("resolved", "dismissed"))
-        closes = x["action"].isin("resolve", "dismiss") & (s["status"] == "open")
-        opens, closes = F.coalesce(opens, F.lit(False)), F.coalesce(closes, F.lit(False))
-        done = F.when(x["action"] == "resolve", "resolved").otherwise("dismissed")
-        return F.struct(
-            F.when(opens, "open").when(closes, done).otherwise(s["status"]).alias("status"),
-            F.when(closes, x["text"]).when(~opens, s["resolution"]).alias("resolution"),
-            F.when(closes, x["at"]).when(~opens, s["resolved_at"]).alias("resolved_at"),
-        )
-
-    return updates.groupBy("thread").agg(F.aggregate(steps, start, fold).alias("s")).select("thread", "s.*").where("status is not null")
+    first = updates.where("action = 'create'").groupBy("thread").agg(F.min("seq").alias("_open"))
+    later = updates.join(first, "thread").where(F.col("seq") > F.col("_open"))
+    reopened = later.where("action = 'reopen'").groupBy("thread").agg(F.max("seq").alias("_again"))
+    last = first.join(reopened, "thread", "left").select("thread", F.coalesce("_again", "_open").alias("_from"))
+    closing = later.where("action in ('resolve', 'dismiss')").join(last, "thread").where(F.col("seq") > F.col("_from"))
+    closed = closing.groupBy("thread").agg(F.min_by(F.struct("action", "text", "at"), "seq").alias("x"))
+    status = F.when(F.col("x").isNull(), "open").when(F.col("x.action") == "resolve", "resolved").otherwise("dismissed")
+    return first.join(closed, "thread", "left").select("thread", status.alias("status"), F.col("x.text").alias("resolution"), F.col("x.at").alias("resolved_at"))
 
 
 def merged_statements(rows: DataFrame, scope: str = "user_id") -> DataFrame:
@@ -146,6 +182,24 @@ def emotion_changes(before: DataFrame, after: DataFrame, least: float = 1e-9) ->
     return both.withColumn("delta", F.col("after") - F.col("before")).where(F.abs("delta") > least)
 
 
+def emotion_items(baseline: Column, mood: Column, dims: DataFrame) -> DataFrame:
+    """(section, who, axis, line) of emotion rows (user_id, dims) of users, with the character's baseline and mood (maps) once: what an emotion memory recalls."""
+    one = dims.sparkSession.range(1)
+    own = one.select(F.lit("baseline").alias("section"), F.lit(None).cast("string").alias("who"), baseline.alias("v")).unionByName(one.select(F.lit("mood").alias("section"), F.lit(None).cast("string").alias("who"), mood.alias("v")))
+    every = own.unionByName(dims.select(F.lit("user").alias("section"), F.col("user_id").cast("string").alias("who"), F.col("dims").alias("v")))
+    return every.select("section", "who", F.explode("v").alias("axis", "x")).select("section", "who", "axis", F.format_string("%s: %.2f", F.col("axis"), F.col("x")).alias("line"))
+
+
+def thread_effective(importance: Column, status: Column, familiar: Column) -> Column:
+    """A thread does not age while it is open."""
+    return F.when(status == "open", S.intrinsic_score(importance)).otherwise(familiar)
+
+
+def calendar_effective(importance: Column) -> Column:
+    """Calendar rows never age."""
+    return F.coalesce(importance, F.lit(0.0))
+
+
 def episodic_effective(familiar: Column, shift: Column, mood: Column) -> Column:
     return familiar * (1 + T.emotion_similarity(shift, mood))
 
@@ -179,10 +233,9 @@ def grouped_render(items: DataFrame, participants: list[str], per: str = "sectio
     return whole.select(per, F.array_join(F.transform("x", lambda x: x["text"]), "\n\n").alias("text"))
 
 
-def overview(memories: dict[str, DataFrame], user: str = "user_id") -> DataFrame:
-    """(memory, rows, users), a row per memory."""
-    each = [df.agg(F.lit(name).alias("memory"), F.count("*").alias("rows"), F.count_distinct(user).alias("users")) for name, df in memories.items()]
-    return reduce(DataFrame.unionByName, each)
+def overview(memories: DataFrame, memory: str = "memory", user: str = "user_id") -> DataFrame:
+    """(memory, rows, users), a row per memory, in one pass."""
+    return memories.groupBy(F.col(memory).alias("memory")).agg(F.count("*").alias("rows"), F.count_distinct(user).alias("users"))
 
 
 def known_facts(rows: DataFrame, most: int = 8, per: str = "user_id") -> DataFrame:
@@ -190,6 +243,25 @@ def known_facts(rows: DataFrame, most: int = 8, per: str = "user_id") -> DataFra
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def sections_rendered(items: DataFrame, sections: list[str], titles: dict[str, str] | None = None) -> DataFrame:
+    """(query_id, prompt): items (query_id, section, position, text) of a prompt under the titles of their sections, in the given order; blank texts and empty sections are left out.
+
+    A prompt is as long as its budget of tokens, so a row holds one.
+    """
+    place = F.array_position(F.array(*map(F.lit, sections)), F.col("section"))
+    own = items.where((place > 0) & (F.trim(F.coalesce("text", F.lit(""))) != "")).withColumn("_at", place)
+    title = F.create_map(*[F.lit(x) for s in sections for x in (s, (titles or {}).get(s, s))])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("position", F.trim("text").alias("text")))), lambda x: F.concat(F.lit("- "), x["text"]))
+    body = own.groupBy("query_id", "_at", "section").agg(F.array_join(lines, "\n").alias("body"))
+    blocks = body.select("query_id", F.struct("_at", F.concat(F.lit("## "), title[F.col("section")], F.lit("\n"), F.col("body")).alias("text")).alias("b"))
+    return blocks.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["text"]), "\n\n").alias("prompt"))
+
+
+def suppressed(items: DataFrame, surfaced: DataFrame) -> DataFrame:
+    """Graph items whose source (source) has already surfaced directly (query_id, source) go; items without a source stay."""
+    return items.join(surfaced.select("query_id", "source").distinct(), ["query_id", "source"], "left_anti")
+
+
 def fan_out(candidates: DataFrame, participants: DataFrame, limit: int) -> DataFrame:
     """The best ``limit`` items of each participant (participant, id, score), then each node once at its best."""
     order = Window.partitionBy("participant").orderBy(F.desc("score"), "id")
@@ -197,6 +269,11 @@ def fan_out(candidates: DataFrame, participants: DataFrame, limit: int) -> DataF
     return best.groupBy("id").agg(F.max("score").alias("score"), F.max_by("participant", F.struct("score", "participant")).alias("participant"))
 
 
+def fan_out_all(items: DataFrame) -> DataFrame:
+    """(id, score, participants): items (participant, id, score) of a group chat, each node once at its best, with everyone who recalled it."""
+    return items.groupBy("id").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("participant")).alias("participants"))
+
+
 # ---- graph projections
 
 
@@ -236,6 +313,13 @@ def resolved_subjects(facts: DataFrame, people: DataFrame, self_names: list[str]
     return out.select(*facts.columns, person.alias("person"))
 
 
+def effective_timezone(actors: DataFrame, locations: DataFrame, world: str = "UTC") -> DataFrame:
+    """(actor, timezone): that of the actor's place, else the actor's own, else the world's."""
+    at = locations.select(F.col("location").alias("_l"), F.col("timezone").alias("_tz"))
+    own = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    return actors.join(at, F.col("location") == F.col("_l"), "left").select("actor", F.coalesce(own("_tz"), own("timezone"), F.lit(world)).alias("timezone"))
+
+
 def world_snapshot(states: DataFrame, facts: DataFrame, observer: str, now: float, most: int = 10) -> DataFrame:
     """What an observer sees: (kind, id, text) of actors at the same place or in public, and of visible facts, passing ones first, then local ones, then the newest."""
     here = states.where(F.col("actor") == observer).select(F.col("location").alias("_here"))

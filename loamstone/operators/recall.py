@@ -56,12 +56,13 @@ def sticky_top(candidates: DataFrame, limit: int, per: list[str] | None = None)
     groups = Window.partitionBy(*keys)
     if limit < 2:
         return candidates.withColumn("rank", F.row_number().over(groups.orderBy(*_order()))).where(F.col("rank") <= limit)
-    out = candidates.withColumn("_any", F.max("is_sticky").over(groups))
-    own = Window.partitionBy(*keys, F.when(F.col("_any"), F.col("is_sticky")).otherwise(False))
     sticky_order = [*_order()[:-1], F.desc("effective"), F.asc("id")]
-    out = out.withColumn("_s", F.row_number().over(own.orderBy(*sticky_order))).withColumn("_n", F.row_number().over(own.orderBy(*_order())))
-    kept = out.where(F.when(~F.col("_any"), F.col("_n") <= limit).when(F.col("is_sticky"), F.col("_s") == 1).otherwise(F.col("_n") <= limit - 1))
-    return kept.withColumn("rank", F.row_number().over(groups.orderBy(*_order()))).drop("_any", "_s", "_n")
+    # plain limits on row numbers, which each task applies before the shuffle; what is left is at most limit + 1 rows of a group
+    sticky = candidates.where("is_sticky").withColumn("_n", F.row_number().over(groups.orderBy(*sticky_order))).where("_n <= 1")
+    others = candidates.where("not is_sticky").withColumn("_n", F.row_number().over(groups.orderBy(*_order()))).where(F.col("_n") <= limit)
+    out = others.unionByName(sticky).withColumn("_any", F.max("is_sticky").over(groups))
+    kept = out.where(F.col("is_sticky") | ~F.col("_any") | (F.col("_n") <= limit - 1))
+    return kept.withColumn("rank", F.row_number().over(groups.orderBy(*_order()))).drop("_any", "_n")
 
 
 def recalled(rows: DataFrame, surfaced: DataFrame, now: float) -> DataFrame:
@@ -91,8 +92,8 @@ def budget_prefix(items: DataFrame, budget: int, order: list[Column], tokens: st
     return items.withColumn("used_tokens", F.sum(tokens).over(run)).where(F.col("used_tokens") <= budget)
 
 
-def budget_greedy(items: DataFrame, budget: int, group: str, order: str, tokens: str = "tokens") -> DataFrame:
-    """Greedy with skipping: an item that does not fit is passed over and later ones may still fit. Sequential within a group."""
+def budget_greedy(items: DataFrame, budget: int, group: str, order: str | list[str], tokens: str = "tokens") -> DataFrame:
+    """Greedy with skipping: an item that does not fit is passed over and later ones may still fit. Sequential within a group; items over the budget go first."""
     import pandas as pd
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -103,10 +104,22 @@ def budget_greedy(items: DataFrame, budget: int, group: str, order: str, tokens:
             keep.append(bool(fits))
         return rows[keep]
 
-    return items.groupBy(group).applyInPandas(run, items.schema)
+    return items.where(F.col(tokens) <= budget).groupBy(group).applyInPandas(run, items.schema)
 
 
 def min_max(df: DataFrame, column: str, out: str, per: list[str] | None = None) -> DataFrame:
-    groups = Window.partitionBy(*(per or [F.lit(0)]))
-    low, high = F.min(column).over(groups), F.max(column).over(groups)
-    return df.withColumn(out, (F.col(column) - low) / F.when(high > low, high - low).otherwise(F.lit(1.0)))
+    if per:
+        groups = Window.partitionBy(*per)
+        low, high = F.min(column).over(groups), F.max(column).over(groups)
+    else:
+        df = df.crossJoin(F.broadcast(df.agg(F.min(column).alias("_low"), F.max(column).alias("_high"))))  # one row
+        low, high = F.col("_low"), F.col("_high")
+    return df.withColumn(out, (F.col(column) - low) / F.when(high > low, high - low).otherwise(F.lit(1.0))).drop("_low", "_high")
+
+
+def checked_order(candidates: DataFrame, answer: DataFrame) -> DataFrame:
+    """Candidates in the order of a reranker's answer (id, position); an id that is unknown or given twice is an error."""
+    bad = answer.groupBy("id").agg(F.count("*").alias("n")).join(candidates.select("id", F.lit(True).alias("known")), "id", "left").where("n > 1 or known is null")
+    if not bad.isEmpty():
+        raise ValueError("a reranker may neither repeat candidates nor add any")
+    return candidates.join(answer.select("id", "position"), "id").orderBy("position")

@@ -1,17 +1,26 @@
 """Ranked retrieval: BM25 postings, dense similarity, weighted reciprocal-rank fusion and noisy-or confidence.
 
-Queries are rows (query_id, sub_ix, text, weight, vec), so many queries run in one plan. Lexical scores join on terms, so only documents
-that share a term with a query are touched.
+Queries are rows (query_id, sub_ix, text, weight, vec), so many queries run in one plan. Top-k searches score a block of queries inside the tasks
+that read the rows, and only what may be among the best leaves a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import saved
 
-K1, B, RRF_K, POOL, QUERY_BLOCK = 1.5, 0.75, 60, 30, 512
+K1, B, RRF_K, POOL = 1.5, 0.75, 60, 30
+#: queries of a block, and terms up to which an index is cut down to those of its queries
+QUERY_BLOCK, MOST_TERMS = 512, 20_000
 
 
 def normalised_queries(queries: DataFrame) -> DataFrame:
@@ -32,38 +41,149 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, length) of an index over ``docs``; with ``terms``, of these only, and no other word is shuffled."""
-    words = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("words")).withColumn("length", F.size("words").cast("long"))
-    each = words.select("id", "length", F.explode("words").alias("term"))
-    each = each.join(terms, "term", "left_semi") if terms is not None else each
-    return each.groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
+def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queries: DataFrame | None = None) -> DataFrame:
+    """A lexical index (id, length, hits array<struct<term, tf>>), a row per document, as a table that is written once and used for statistics and scores alike.
+
+    With ``queries``, of at most MOST_TERMS terms in all, only their terms are kept. Nothing is shuffled.
+    """
+    words = T.tokens(F.col(text_col))
+    kept = F.col("words")
+    if queries is not None:
+        terms = [r.term for r in query_terms(queries).limit(MOST_TERMS + 1).collect()]  # of bounded number
+        kept = F.filter("words", lambda w: w.isin(terms)) if len(terms) <= MOST_TERMS else kept
+    own = docs.select(F.col(id_col).alias("id"), words.alias("words")).select("id", F.size("words").cast("long").alias("length"), F.sort_array(kept).alias("words"))
+    # in sorted order a term's run ends where the next word differs; its length is the distance from the run before
+    ends = F.filter(F.transform("words", lambda w, i: F.when(~w.eqNullSafe(F.get("words", i + 1)), i)), lambda i: i.isNotNull())
+    own = own.withColumn("ends", ends)
+    hits = F.transform("ends", lambda e, k: F.struct(F.get("words", e).alias("term"), (e - F.coalesce(F.when(k > 0, F.get("ends", k - 1)), F.lit(-1))).cast("long").alias("tf")))
+    return saved(own.select("id", "length", hits.alias("hits")))
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """(id, length, term, tf) of an index."""
+    return index.select("id", "length", F.explode("hits").alias("x")).select("id", "length", "x.term", "x.tf")
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def statistics(index: DataFrame) -> DataFrame:
     """One row: documents and mean length."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col(text_col)))).alias("avgdl"))
+    return index.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
 
 
-def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, sub_ix, id, score) of all documents that share a term with a query; a query's repeated term counts once."""
+def weighted_terms(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, sub_ix, term, idf, avgdl); a query's repeated term counts once."""
     terms = queries.select("query_id", "sub_ix", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    wanted = terms.join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    df = postings(index).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
-    return index.join(wanted, "term").groupBy("query_id", "sub_ix", "id").agg(F.sum(weight).alias("score"))
+    return terms.join(df, "term").crossJoin(F.broadcast(statistics(index))).select("query_id", "sub_ix", "term", idf.alias("idf"), "avgdl")  # statistics are one row
+
 
+def bm25(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, sub_ix, id, score) of all documents that share a term with a query."""
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
+    return postings(index).join(weighted_terms(index, queries), "term").groupBy("query_id", "sub_ix", "id").agg(F.sum(weight).alias("score"))
 
-def dense(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", floor: float | None = None) -> DataFrame:
-    """(query_id, sub_ix, id, score) by cosine, strictly above ``floor``. The stated query set meets all vectors in blocks of about QUERY_BLOCK queries."""
-    own = vectors.select(F.col(id_col).alias("id"), T.unit(F.col(vec_col)).alias("_v"))
-    asked = queries.where("vec is not null").select(F.struct(F.col("query_id").alias("q"), F.col("sub_ix").alias("s"), T.unit(F.col("vec")).alias("u")).alias("a"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    block = asked.groupBy(F.pmod(F.xxhash64("a.q", "a.s"), F.lit(blocks)).alias("_b")).agg(F.collect_list("a").alias("asked"))  # rows of bounded size
-    each = own.crossJoin(block).select("id", "_v", F.explode("asked").alias("x"))
-    out = each.select(F.col("x.q").alias("query_id"), F.col("x.s").alias("sub_ix"), "id", T.dot(F.col("_v"), F.col("x.u")).alias("score"))
-    return out.where(F.col("score") > floor) if floor is not None else out
+
+def dense(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", floor: float | None = None, pool: int | None = None) -> DataFrame:
+    """(query_id, sub_ix, id, score) by cosine, strictly above ``floor``; zero vectors score 0, rows without a vector, or with one of another length, are left out.
+
+    The queries meet all vectors in blocks of QUERY_BLOCK queries, each a broadcast of bounded size and a pass over the vectors, which are not shuffled.
+    With ``pool``, tasks pass on what may be among the pool's best of a query, and ``ranked`` merges it.
+    """
+    own = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    asked = queries.where("vec is not null").select("query_id", "sub_ix", F.col("vec").cast("array<double>").alias("v"))
+    return _in_blocks(own, asked, _dense_block, _dense_scores, pool, floor)
+
+
+def bm25_top(index: DataFrame, queries: DataFrame, pool: int, rows: DataFrame | None = None) -> DataFrame:
+    """``bm25`` as far as it may be among the pool's best of a query; scored inside the tasks that read the index, which is not shuffled.
+
+    ``rows`` are those of the index that may be found (all by default); statistics are of the whole index.
+    """
+    asked = weighted_terms(index, queries).groupBy("query_id", "sub_ix").agg(F.collect_list(F.struct("term", "idf", "avgdl")).alias("terms"))
+    return _in_blocks(index if rows is None else rows, asked, _lexical_block, _lexical_scores, pool, 0.0)
+
+
+def _in_blocks(own: DataFrame, asked: DataFrame, packed: Callable, scores: Callable, pool: int | None, floor: float | None) -> DataFrame:
+    spark, blocks = own.sparkSession, max(1, -(-asked.count() // QUERY_BLOCK))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"query_id {kind(asked, 'query_id')}, sub_ix {kind(asked, 'sub_ix')}, id {kind(own, 'id')}, score double"
+    out = spark.createDataFrame([], schema)
+    block = F.pmod(F.xxhash64("query_id", "sub_ix"), F.lit(blocks))
+    for k in range(blocks):
+        rows = asked.where(block == k).toArrow().combine_chunks()  # about QUERY_BLOCK queries
+        if rows.num_rows:
+            out = out.unionByName(own.mapInArrow(_best_of(spark.sparkContext.broadcast((rows.select(["query_id", "sub_ix"]), *packed(rows))), scores, pool, floor), schema))
+    return out
+
+
+def _best_of(block: Broadcast, scores: Callable, pool: int | None, floor: float | None):
+    """Scores of batches of rows against a block of queries; the pool's last of any batch is the bar for what follows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, *own = block.value
+        bar = np.full(asked.num_rows, -np.inf)
+        for whole in batches:
+            step = max(1, 4_000_000 // asked.num_rows)
+            for at in range(0, whole.num_rows, step):
+                ids, found = scores(whole.slice(at, step), *own)
+                keep = found > floor if floor is not None else np.ones(found.shape, bool)
+                if pool is not None:
+                    if len(found) > pool:
+                        bar = np.maximum(bar, np.partition(found, -pool, axis=0)[-pool])
+                    keep &= found >= bar - 2e-6  # what is this close to the last may tie with it once a caller rounds
+                row, query = np.nonzero(keep)
+                pairs = asked.take(pa.array(query))
+                yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in pairs.columns), ids.take(pa.array(row)), pa.array(found[row, query])], names=["query_id", "sub_ix", "id", "score"])
+
+    return run
+
+
+def _units(column: pa.Array, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, vectors of length 1) of a column of vectors: those of ``size`` numbers, or of as many as the first; zero stays zero."""
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    size = size or int(sizes.max(initial=0))
+    rows = np.flatnonzero(sizes == size)
+    flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), size)
+    norm = np.sqrt((flat * flat).sum(1, keepdims=True))
+    return rows, flat / np.where(norm > 0, norm, 1.0)
+
+
+def _dense_block(asked: pa.Table) -> tuple[np.ndarray]:
+    column = asked.column("v").combine_chunks()
+    rows, units = _units(column)
+    out = np.full((len(column), units.shape[1]), np.nan)  # a query of another length is near to nothing
+    out[rows] = units
+    return (out,)
+
+
+def _dense_scores(batch: pa.RecordBatch, asked: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    rows, units = _units(batch.column(1), asked.shape[1])
+    return batch.column(0).take(pa.array(rows)), np.nan_to_num(units @ asked.T, nan=-np.inf)
+
+
+def _lexical_block(asked: pa.Table) -> tuple:
+    """The distinct terms, for each the queries that have it and its weight there, and the mean length of a document."""
+    lists = asked.column("terms").combine_chunks()
+    flat, query = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    terms = flat.field("term").dictionary_encode()
+    number = terms.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(number, kind="stable")
+    first = np.searchsorted(number[order], np.arange(len(terms.dictionary) + 1))
+    mean = flat.field("avgdl").to_numpy(zero_copy_only=False)
+    return terms.dictionary, first, query[order], flat.field("idf").to_numpy(zero_copy_only=False)[order], len(lists), float(mean[0]) if len(mean) else 1.0
+
+
+def _lexical_scores(batch: pa.RecordBatch, terms: pa.Array, first: np.ndarray, query: np.ndarray, idf: np.ndarray, queries: int, mean: float) -> tuple[pa.Array, np.ndarray]:
+    lists = batch.column(2)
+    flat, doc = lists.flatten(), np.repeat(np.arange(len(lists)), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
+    number = pc.fill_null(pc.index_in(flat.field("term"), terms), -1).to_numpy(zero_copy_only=False)
+    some = np.flatnonzero(number >= 0)
+    tf, length = flat.field("tf").to_numpy(zero_copy_only=False)[some], batch.column(1).to_numpy(zero_copy_only=False)
+    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc[some]] / mean))
+    size = first[number[some] + 1] - first[number[some]]
+    at = np.arange(size.sum()) + np.repeat(first[number[some]] - (np.cumsum(size) - size), size)
+    cell = np.repeat(doc[some], size) * queries + query[at]
+    return batch.column(0), np.bincount(cell, np.repeat(weight, size) * idf[at], len(lists) * queries).reshape(len(lists), queries)
 
 
 def ranked(scores: DataFrame, pool: int = POOL, result: Column | None = None) -> DataFrame:
@@ -72,9 +192,10 @@ def ranked(scores: DataFrame, pool: int = POOL, result: Column | None = None) ->
     if result is not None:
         scores = scores.withColumn("result_id", result)
         best = Window.partitionBy(*keys, "result_id").orderBy(F.desc("score"), "id")
-        scores = scores.withColumn("_b", F.row_number().over(best)).where("_b = 1").drop("_b")
+        scores = scores.withColumn("_b", F.row_number().over(best)).where("_b <= 1").drop("_b")
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "id")
-    return scores.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < pool)
+    # the row number itself is limited, so that each task cuts its part of a list before the shuffle
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool).withColumn("rank", F.col("rank") - 1)
 
 
 def fused(lexical: DataFrame, dense_: DataFrame, queries: DataFrame, rrf_k: int = RRF_K, floor: float | None = None) -> DataFrame:
@@ -100,22 +221,22 @@ def top(scores: DataFrame, k: int, per: list[str] | None = None, by: str = "scor
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, allowed: DataFrame | None = None, floor: float | None = None, stats_scope: str = "global") -> DataFrame:
+def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, allowed: DataFrame | None = None, floor: float | None = None, stats_scope: str = "global", digits: int | None = None) -> DataFrame:
     """Fused top k. Filters apply before either list is cut; with ``stats_scope='subset'`` the lexical statistics are those of the filtered rows.
 
-    docs (id, text, ...), vectors (id, vec). The pool of each list is at least POOL and three times k.
+    docs (id, text, ...), vectors (id, vec). The pool of each list is at least POOL and three times k. With ``digits`` scores are rounded before they are ranked.
     """
     pool = max(POOL, 3 * k)
+    rounded = lambda df: df if digits is None else df.withColumn("score", F.round("score", digits))
     chosen = docs.where(where) if where is not None else docs
     chosen = chosen.join(allowed.select("id"), "id", "left_semi") if allowed is not None else chosen
     counted = chosen if stats_scope == "subset" or allowed is not None else docs
     queries = normalised_queries(queries)
-    index = postings(counted, "id", terms=query_terms(queries))
-    lists = bm25(index, statistics(counted), queries)
-    if counted is not chosen:
-        lists = lists.join(chosen.select("id"), "id", "left_semi")
-    near = dense(vectors.join(chosen.select("id"), "id", "left_semi"), queries, "id", "vec", floor)
-    return top(fused(ranked(lists, pool), ranked(near, pool), queries, floor=floor), k)
+    index = indexed(counted, "id", queries=queries)
+    found = None if counted is chosen else index.join(chosen.select("id"), "id", "left_semi")
+    lexical = ranked(rounded(bm25_top(index, queries, pool, found)), pool)
+    near = ranked(rounded(dense(vectors.join(chosen.select("id"), "id", "left_semi"), queries, "id", "vec", floor, pool)), pool)
+    return top(rounded(fused(lexical, near, queries, floor=floor)), k)
 
 
 def substring_ranked(df: DataFrame, query: str, text_col: str = "text") -> DataFrame:
@@ -125,8 +246,8 @@ def substring_ranked(df: DataFrame, query: str, text_col: str = "text") -> DataF
 
 def row_relevance(hits: DataFrame) -> DataFrame:
     """(row_id, relevance): the best normalised relevance of each row; without one, the score over the best score. Ids that are no integers go."""
-    best = F.max("score").over(Window.partitionBy(F.lit(0)))
-    share = F.coalesce("relevance", F.when(best > 0, F.col("score") / best).otherwise(0.0))
+    hits = hits.crossJoin(F.broadcast(hits.agg(F.max("score").alias("_best"))))  # one row
+    share = F.coalesce("relevance", F.when(F.col("_best") > 0, F.col("score") / F.col("_best")).otherwise(0.0))
     return hits.withColumn("_r", share).withColumn("row_id", F.col("result_id").try_cast("long")).where("row_id is not null").groupBy("row_id").agg(F.max("_r").alias("relevance"))
 
 
@@ -146,3 +267,41 @@ def batches_by_limits(df: DataFrame, group: str, order: str, tokens: str, most_i
     from pyspark.sql.types import LongType, StructField, StructType
 
     return df.groupBy(group).applyInPandas(run, StructType([*df.schema.fields, StructField("batch", LongType())]))
+
+
+def remembered_chunks(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, id, text, score, confidence, relevance, rank): chunks of a corpus as they are found, without ageing."""
+    return hybrid(docs, vectors, queries, k).join(docs.select("id", "text"), "id")
+
+
+def each_memory(found: dict[str, DataFrame], limit: int, memory: str | None = None) -> DataFrame:
+    """The best of each memory (id, score), or of one, within 1 to 20 rows; memories are not ranked against each other."""
+    n = max(1, min(20, limit))
+    parts = [df.select(F.lit(name).alias("memory"), "id", "score") for name, df in found.items() if memory in (None, name)]
+    if not parts:
+        raise ValueError("no such memory")
+    every = parts[0]
+    for df in parts[1:]:
+        every = every.unionByName(df)
+    return top(every, n, ["memory"])
+
+
+def best_per_row(hits: DataFrame, row: str = "row_id") -> DataFrame:
+    """(row, score): the best score of each row over its hits."""
+    return hits.groupBy(row).agg(F.max("score").alias("score"))
+
+
+def candidates(hits: DataFrame, excluded: DataFrame, pool: int) -> DataFrame:
+    """Hits (query_id, id, score) to compare an incoming row with: the pool's best of each, once each, without the excluded (query_id, id)."""
+    own = hits.groupBy("query_id", "id").agg(F.max("score").alias("score")).join(excluded, ["query_id", "id"], "left_anti")
+    return top(own, pool)
+
+
+def searched_events(events: DataFrame, scores: DataFrame | None, limit: int = 10, *, low: float | None = None, before: float | None = None, user: str | None = None) -> DataFrame:
+    """Events within the bounds: with scores (id, score) the best, without a query in order of time, those without a time last."""
+    own = events if user is None else events.where(F.col("user_id") == user)
+    own = own.where(F.col("occurred_at") >= low) if low is not None else own
+    own = own.where(F.col("occurred_at") < before) if before is not None else own
+    if scores is None:
+        return own.orderBy(F.asc_nulls_last("occurred_at"), "id").limit(limit)
+    return own.join(scores.select("id", "score"), "id").orderBy(F.desc("score"), "id").limit(limit)

@@ -74,9 +74,11 @@ def in_range(df: DataFrame, column: str, low=None, before=None) -> DataFrame:
 
 def index_delta(current: DataFrame, desired: DataFrame, key: str = "id", values: tuple[str, ...] = ("text", "source")) -> DataFrame:
     """(key, action): the ids whose multisets of chunks differ; ``delete`` what is there only, ``add`` what is wanted only, ``replace`` the others."""
-    side = lambda df, name: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*values))).alias(name))
-    both = side(current, "old").join(side(desired, "new"), key, "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
-    return both.select(key, F.when(F.col("new").isNull(), "delete").when(F.col("old").isNull(), "add").otherwise("replace").alias("action"))
+    # equal chunks are counted on both sides, so no id's texts meet in one row
+    side = lambda df, name: df.groupBy(key, T.fingerprint(*values).alias("_f")).agg(F.count("*").alias(name))
+    both = side(current, "old").join(side(desired, "new"), [key, "_f"], "full_outer").fillna(0, ["old", "new"])
+    each = both.groupBy(key).agg(F.sum("old").alias("old"), F.sum("new").alias("new"), F.max(F.col("old") != F.col("new")).alias("differs")).where("differs")
+    return each.select(key, F.when(F.col("new") == 0, "delete").when(F.col("old") == 0, "add").otherwise("replace").alias("action"))
 
 
 def merged_snapshot(table: DataFrame, rows: DataFrame, removed: DataFrame, key: str = "id") -> DataFrame:
@@ -153,3 +155,93 @@ def record_visible(visibility: Column, witnesses: Column, location: Column, vali
     fresh = valid_until.isNull() | (valid_until > now)
     local = (visibility == "local") & (location == F.lit(at)) if at else F.lit(False)
     return fresh & (visibility.isin("public", "known") | F.coalesce(F.array_contains(witnesses, observer), F.lit(False)) | F.coalesce(local, F.lit(False)))
+
+
+# ---- filters on documents, lists of participants and threads
+
+
+def json_contains(column: str, wanted: dict[str, str | None]) -> Column:
+    """A JSON object holds all wanted values (as text); None matches a missing key and a JSON null."""
+    at = lambda key: F.get_json_object(column, f"$['{key}']")
+    return reduce(Column.__and__, [at(k).eqNullSafe(F.lit(v)) for k, v in wanted.items()], F.lit(True))
+
+
+def with_participant(df: DataFrame, user: str, owner: str = "user_id", participants: str = "participants") -> DataFrame:
+    """Rows of a user, as owner or among the participants."""
+    return df.where((F.col(owner) == user) | F.coalesce(F.array_contains(participants, user), F.lit(False)))
+
+
+def open_threads(df: DataFrame, user: str) -> DataFrame:
+    return df.where((F.col("user_id") == user) & (F.col("status") == "open"))
+
+
+def occurred_in(df: DataFrame, low: float | None = None, before: float | None = None, column: str = "occurred_at") -> DataFrame:
+    """Rows that occurred within [low, before); without a time a row is outside as soon as a bound is given."""
+    return in_range(df, column, low, before)
+
+
+# ---- listings and pages
+
+
+def listed(df: DataFrame, position: str = "pos", deleted: str = "deleted") -> DataFrame:
+    """What an index holds, without tombstones, in its order."""
+    return df.where(~F.coalesce(F.col(deleted), F.lit(False))).orderBy(position)
+
+
+def first_rows(df: DataFrame, n: int = 0, by: str = "id") -> DataFrame:
+    """All rows by id, or the first n."""
+    return df.orderBy(by).limit(n) if n > 0 else df.orderBy(by)
+
+
+def with_totals(df: DataFrame, number: int, size: int, order: list[Column]) -> DataFrame:
+    """One page, from 1, with the total of rows and of pages (rounded up) beside each row."""
+    total = df.agg(F.count("*").alias("total"))
+    rows = df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
+    return rows.crossJoin(F.broadcast(total)).withColumn("pages", F.ceil(F.col("total") / size).cast("long"))  # one row
+
+
+def ranked_page(rows: DataFrame, hits: DataFrame, number: int, size: int, low: float | None = None, before: float | None = None) -> DataFrame:
+    """A page of the rows found (hits: row_id, relevance), within the dates, best first; total counts the rows that match."""
+    found = in_range(rows, "created_at", low, before).join(hits.select(F.col("row_id").alias("id"), "relevance"), "id")
+    return with_totals(found, number, size, [F.desc("relevance"), F.asc("id")])
+
+
+def record_page(rows: DataFrame, number: int = 1, size: int = 25, *, user: str | None = None, text: str | None = None, low: float | None = None, before: float | None = None, hits: DataFrame | None = None, content: str = "content") -> DataFrame:
+    """Records as a reader asks for them: by user, dates and a query; found ones by relevance (``hits``), else those that hold the text, else all, newest first."""
+    own = in_range(rows if user is None else rows.where(F.col("user_id") == user), "created_at", low, before)
+    if hits is not None:
+        return ranked_page(own, hits, number, size)
+    if text:
+        own = own.where(T.substring_hits(F.col(content), text) > 0)
+    return with_totals(own, number, size, [F.desc("id")])
+
+
+def user_records(df: DataFrame, part: str, user: str = "user_id") -> DataFrame:
+    """Records whose user id holds a part, case aside."""
+    return df.where(F.lower(user).contains(part.lower()))
+
+
+def known_users(tables: list[DataFrame], user: str = "user_id") -> DataFrame:
+    """User ids over all tables, once each, in order."""
+    return reduce(DataFrame.unionByName, [t.select(user) for t in tables]).where(F.col(user).isNotNull()).distinct().orderBy(user)
+
+
+def log_users(log: DataFrame, user: str = "user_id", participants: str = "participants") -> DataFrame:
+    """Everyone that an extraction log names, as owner or participant."""
+    return distinct_users(log, user, participants)
+
+
+def ordered_union(*columns: Column) -> Column:
+    """The items of lists, each once, where it comes first; nulls and null lists are left out."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.filter(F.concat(*[F.coalesce(c, none) for c in columns]), lambda x: x.isNotNull()))
+
+
+def reset(df: DataFrame) -> DataFrame:
+    """The table without rows."""
+    return df.limit(0)
+
+
+def unseen_deltas(deltas: DataFrame, applied: DataFrame, key: str = "delta_id") -> DataFrame:
+    """Pending changes that an index has not seen, each once, in order."""
+    return deltas.dropDuplicates([key]).join(applied.select(key), key, "left_anti").orderBy(key)

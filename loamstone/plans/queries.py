@@ -22,6 +22,7 @@ from ..operators import memory as M
 from ..operators import recall as R
 from ..operators import retrieval as X
 from ..operators import tables as B
+from ..session import over_cores
 from ..streaming import ingest as I
 
 NOW = 1_706_745_600.0  # 2024-02-01 UTC
@@ -44,7 +45,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return over_cores(found) if name == "documents" else found  # whole texts are work for each row
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +162,7 @@ def _asked(spark, d) -> DataFrame:
 
 
 def _bm25(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    scores = X.bm25(X.postings(docs, terms=X.query_terms(asked)), X.statistics(docs), asked)
+    scores = X.bm25_top(X.indexed(docs, queries=asked), asked, k)
     return X.ranked(scores.withColumn("score", r6("score")), k).select("query_id", "id", "score", "rank")
 
 
@@ -184,13 +186,13 @@ def _vectors(spark, d) -> DataFrame:
 
 @query(f"WITH {_DENSE.format(where='true')} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s QUALIFY rank < 10")
 def dense_topk(spark, d):
-    near = X.dense(table(spark, d, "embeddings"), _vectors(spark, d)).withColumn("score", r6("score"))
+    near = X.dense(table(spark, d, "embeddings"), _vectors(spark, d), pool=10).withColumn("score", r6("score"))
     return X.ranked(near, 10).select("query_id", "id", "score", "rank")
 
 
 @query(f"WITH {_DENSE.format(where='label < 3')} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s WHERE score > 0.2 QUALIFY rank < 10")
 def dense_floor_filtered(spark, d):
-    near = X.dense(table(spark, d, "embeddings").where("label < 3"), _vectors(spark, d)).withColumn("score", r6("score"))
+    near = X.dense(table(spark, d, "embeddings").where("label < 3"), _vectors(spark, d), floor=0.2 - 1e-6, pool=10).withColumn("score", r6("score"))
     return X.ranked(near.where("score > 0.2"), 10).select("query_id", "id", "score", "rank")
 
 
@@ -202,10 +204,10 @@ def dense_floor_filtered(spark, d):
     SELECT query_id, id, round(score, 6) AS score, round(confidence, 6) AS confidence, round(least(1, score / (2.0::DOUBLE / 61)), 6) AS relevance, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM f QUALIFY rank <= 10""")
 def rrf_hybrid(spark, d):
     docs, asked = table(spark, d, "documents"), _asked(spark, d)
-    lexical = X.ranked(X.bm25(X.postings(docs, terms=X.query_terms(asked)), X.statistics(docs), asked).withColumn("score", r6("score")))
+    lexical = X.ranked(X.bm25_top(X.indexed(docs, queries=asked), asked, X.POOL).withColumn("score", r6("score")))
     own = table(spark, d, "embeddings")
     vectors = own.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("sub_ix"), F.col("embedding").alias("vec"))
-    near = X.ranked(X.dense(own, vectors).withColumn("score", r6("score")))
+    near = X.ranked(X.dense(own, vectors, pool=X.POOL).withColumn("score", r6("score")))
     out = X.fused(lexical, near, asked)
     out = out.select("query_id", "id", r6("score").alias("score"), r6("confidence").alias("confidence"), r6("relevance").alias("relevance"))
     return X.top(out, 10)
@@ -224,12 +226,12 @@ def substring_rank(spark, d):
     return X.substring_ranked(table(spark, d, "documents"), "the").select("doc_id", "score")
 
 
-@query("""WITH h AS (SELECT label % 7 AS g, vec_id AS id, round(embedding[1]::DOUBLE, 6) AS score FROM embeddings),
-    b AS (SELECT *, row_number() OVER (PARTITION BY g, id % 20 ORDER BY score DESC, id) AS r FROM h QUALIFY r = 1)
-    SELECT g AS query_id, id, id % 20 AS result_id, row_number() OVER (PARTITION BY g ORDER BY score DESC, id) - 1 AS rank FROM b QUALIFY rank < 5""")
+@query(f"""WITH {_DENSE.format(where="true")}, h AS (SELECT s.*, label AS result_id FROM s JOIN embeddings ON vec_id = id), b AS (SELECT *, row_number() OVER (PARTITION BY query_id, result_id ORDER BY score DESC, id) AS r FROM h QUALIFY r = 1)
+    SELECT query_id, id, result_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM b QUALIFY rank < 5""")
 def result_groups(spark, d):
-    hits = table(spark, d, "embeddings").select((F.col("label") % 7).alias("query_id"), F.lit(0).alias("sub_ix"), F.col("vec_id").alias("id"), r6(F.get("embedding", F.lit(0)).cast("double")).alias("score"))
-    return X.ranked(hits, 5, F.col("id") % 20).select("query_id", "id", "result_id", "rank")
+    own = table(spark, d, "embeddings")
+    hits = X.dense(own, _vectors(spark, d)).withColumn("score", r6("score")).join(own.select(F.col("vec_id").alias("id"), "label"), "id")
+    return X.ranked(hits, 5, F.col("label")).select("query_id", "id", "result_id", "rank")
 
 
 # ---- recall
@@ -292,10 +294,13 @@ def token_budget_prefix(spark, d):
     return R.budget_prefix(items, 200, [F.desc("score"), F.asc("id")], per=["user_id"]).select("id", "user_id", "used_tokens")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ROWS}, t AS (SELECT id, user_id, 10 + id % 30 AS tokens, round(1 - importance, 6) AS "order" FROM rows_), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "order", id) AS n FROM t),
+    s AS (SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS used, NULL::BIGINT AS id FROM (SELECT DISTINCT user_id FROM t)
+          UNION ALL SELECT s.user_id, o.n, s.used + CASE WHEN s.used + o.tokens <= 200 THEN o.tokens ELSE 0 END, CASE WHEN s.used + o.tokens <= 200 THEN o.id END FROM s JOIN o ON o.user_id = s.user_id AND o.n = s.n + 1)
+    SELECT o.id, o.user_id, tokens, "order" FROM s JOIN o ON o.id = s.id""")
 def token_budget_greedy(spark, d):
     items = remembered(spark, d).select("id", "user_id", (10 + F.col("id") % 30).alias("tokens"), r6(1 - F.col("importance")).alias("order"))
-    return R.budget_greedy(items, 200, "user_id", "order")
+    return R.budget_greedy(items, 200, "user_id", ["order", "id"])
 
 
 @query(f"WITH {_ROWS}, b AS (SELECT user_id, type AS memory, id, importance / max(importance) OVER (PARTITION BY user_id, type) * CASE WHEN type = 'click' THEN 0.5 ELSE 1 END AS s FROM rows_) SELECT user_id, memory, id, round(s, 6) AS reranked, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, id) AS position FROM b")
@@ -368,11 +373,17 @@ def dialogue_windows(spark, d):
 # ---- calendar and time
 
 
-@query("""WITH r(id, days, local, minutes) AS (VALUES (1, [0, 2, 4], '09:30', 90), (2, [5, 6], '23:00', 120), (3, [6], '00:15', 30)), d AS (SELECT unnest(generate_series(DATE '2023-12-30', DATE '2024-01-23', INTERVAL 1 DAY))::DATE AS day)
+@query("""WITH r AS (SELECT s_suppkey AS id, [s_suppkey % 7, (s_suppkey + 3) % 7] AS days, lpad((s_suppkey % 24)::VARCHAR, 2, '0') || ':' || lpad((s_suppkey * 7 % 60)::VARCHAR, 2, '0') AS local, (30 + s_suppkey % 5 * 300)::INT AS minutes FROM supplier),
+    d AS (SELECT unnest(generate_series(DATE '2023-12-30', DATE '2024-01-23', INTERVAL 1 DAY))::DATE AS day)
     SELECT id, day, (day + local::TIME)::TIMESTAMP AS start, (day + local::TIME)::TIMESTAMP + minutes * INTERVAL 1 MINUTE AS "end" FROM r, d
-    WHERE list_contains(days, (isodow(day) - 1)::INT) AND (day + local::TIME)::TIMESTAMP < TIMESTAMP '2024-01-22' AND (day + local::TIME)::TIMESTAMP + minutes * INTERVAL 1 MINUTE > TIMESTAMP '2024-01-01'""")
+    WHERE list_contains(days, isodow(day) - 1) AND (day + local::TIME)::TIMESTAMP < TIMESTAMP '2024-01-22' AND (day + local::TIME)::TIMESTAMP + minutes * INTERVAL 1 MINUTE > TIMESTAMP '2024-01-01'""")
 def weekly_recurrence(spark, d):
-    rules = spark.createDataFrame([(1, [0, 2, 4], "09:30", 90, "UTC"), (2, [5, 6], "23:00", 120, "UTC"), (3, [6], "00:15", 30, "UTC")], "id int, weekdays array<int>, start_local string, minutes int, timezone string")
+    k = F.col("s_suppkey")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    rules = table(spark, d, "supplier").select(
+        k.alias("id"), F.array((k % 7).cast("int"), ((k + 3) % 7).cast("int")).alias("weekdays"), F.concat(two(k % 24), F.lit(":"), two(k * 7 % 60)).alias("start_local"),
+        (30 + k % 5 * 300).cast("int").alias("minutes"), F.lit("UTC").alias("timezone"),
+    )
     out = C.weekly_occurrences(rules, "2024-01-01", "2024-01-22")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
@@ -404,11 +415,6 @@ def resolved_expressions(spark, d):
     return temporal.resolved(asked, NOW)
 
 
-@query()
-def projected_states(spark, d):
-    states = table(spark, d, "customer").select(F.col("c_custkey").alias("actor"), F.lit(0.0).alias("at"), (F.col("c_custkey") % 96).cast("double").alias("until"), (F.col("c_custkey") % 7 / 10.0).alias("hunger"), (0.3 + F.col("c_custkey") % 5 / 10.0).alias("energy"))
-    return C.projected_state(states)
-
 
 # ---- dedup
 
@@ -427,10 +433,14 @@ def merge_rows(spark, d):
     return E.merged_rows(rows, merges).withColumn("importance", r6("importance"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+    s AS (SELECT label, 0::BIGINT AS n, []::STRUCT(id BIGINT, v DOUBLE[])[] AS left_, NULL::BIGINT AS id, NULL::STRUCT(s DOUBLE, i BIGINT) AS best FROM (SELECT DISTINCT label FROM e)
+          UNION ALL SELECT label, n, CASE WHEN best.s >= 0.25 THEN left_ ELSE list_append(left_, {'id': id, 'v': v}) END, id, best
+          FROM (SELECT e.label, e.n, e.id, e.v, s.left_, list_max(list_transform(s.left_, lambda x: {'s': list_cosine_similarity(x.v, e.v), 'i': -x.id})) AS best FROM s JOIN e ON e.label = s.label AND e.n = s.n + 1))
+    SELECT id, (-best.i)::BIGINT AS survivor, round(best.s, 6) AS similarity FROM s WHERE best.s >= 0.25""")
 def dedup_cosine_sweep(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("user_id"), F.col("vec_id").cast("double").alias("created_at"), F.lit("").alias("content"), F.col("embedding").alias("vec"))
-    return E.greedy_sweep(rows, threshold=0.8)
+    return E.greedy_sweep(rows, threshold=0.25).withColumn("similarity", r6("similarity"))
 
 
 @query("""WITH p AS (SELECT vec_id, abs(embedding[1]::DOUBLE) / (abs(embedding[1]::DOUBLE) + 0.005) AS a, 1 - abs(embedding[1]::DOUBLE) / (abs(embedding[1]::DOUBLE) + 0.005) AS b FROM embeddings)
@@ -448,6 +458,24 @@ _EDGES = """edges AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst,
 _WALKS = f"{_EDGES}, walks AS (SELECT src, dst, CASE WHEN weight = 0 THEN 0.5 ELSE weight END AS strength FROM edges UNION ALL SELECT dst, src, CASE WHEN weight = 0 THEN 0.5 ELSE weight END FROM edges WHERE kind = 'co_occurrence')"
 
 
+_NODES = """nodes AS (SELECT 'c' || c_custkey AS id, 'person' AS kind, least(1.5::DOUBLE, greatest(0.4::DOUBLE, 0.6::DOUBLE * (c_custkey % 10) / 10 + 0.2::DOUBLE)) AS strength FROM customer
+    UNION ALL SELECT 'o' || o_orderkey, 'episode', greatest(0.4::DOUBLE, 0.6::DOUBLE * (o_orderkey % 7) / 7 + 0.2::DOUBLE, 0.4::DOUBLE * (o_orderkey % 5) / 5 + 0.2::DOUBLE) FROM orders
+    UNION ALL SELECT 'p' || p_partkey, 'fact', greatest(0.4::DOUBLE, 0.4::DOUBLE * (p_partkey % 4) / 4 + 0.2::DOUBLE) FROM part)"""
+_REACHED = f"{_WALKS}, {_NODES}, reached AS (SELECT w.src, w.dst, w.strength * n.strength AS strength FROM walks w JOIN nodes n ON n.id = w.dst), fans AS (SELECT src, count(*) AS fan FROM reached GROUP BY src)"
+
+
+def _nodes(spark, d) -> DataFrame:
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string")).alias("id")
+    none = F.lit(None).cast("double")
+    own = [
+        table(spark, d, "customer").select(name("c", "c_custkey"), F.lit("person").alias("kind"), (F.col("c_custkey") % 10 / 10).alias("importance"), none.alias("confidence")),
+        table(spark, d, "orders").select(name("o", "o_orderkey"), F.lit("episode").alias("kind"), (F.col("o_orderkey") % 7 / 7).alias("importance"), (F.col("o_orderkey") % 5 / 5).alias("confidence")),
+        table(spark, d, "part").select(name("p", "p_partkey"), F.lit("fact").alias("kind"), none.alias("importance"), (F.col("p_partkey") % 4 / 4).alias("confidence")),
+    ]
+    nodes = own[0].unionByName(own[1]).unionByName(own[2])
+    return nodes.withColumn("strength", S.node_strength(F.col("importance"), F.col("confidence")))
+
+
 def _edges(spark, d) -> DataFrame:
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     orders = table(spark, d, "orders").select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"), F.lit("episode").alias("kind"), (0.3 + F.col("o_orderkey") % 7 / 10.0).alias("weight"))
@@ -465,15 +493,15 @@ def adjacency_view(spark, d):
 
 
 def _spread_sql(hops: int) -> str:
-    steps = ", ".join(f"f{h} AS (SELECT w.dst AS id, sum({0.35 * 0.6 ** (h - 1)!r} * f.mass * w.strength / n.fan) AS mass FROM f{h - 1} f JOIN walks w ON w.src = f.id JOIN fans n ON n.src = f.id GROUP BY w.dst)" for h in range(1, hops + 1))
-    total = " UNION ALL ".join(f"SELECT * FROM f{h}" for h in range(1, hops + 1))
-    return f"""WITH {_WALKS}, fans AS (SELECT src, count(*) AS fan FROM walks GROUP BY src), f0 AS (SELECT 'c' || c_custkey AS id, 0.8::DOUBLE AS mass FROM customer WHERE c_custkey % 20 = 0), {steps}
+    steps = ", ".join(f"f{h} AS (SELECT r.dst AS id, sum({0.35 * 0.6 ** (h - 1)!r} * f.mass * r.strength / n.fan) AS mass FROM f{h - 1} f JOIN reached r ON r.src = f.id JOIN fans n ON n.src = f.id GROUP BY r.dst)" for h in range(1, hops + 1))
+    total = " UNION ALL ".join(f"SELECT * FROM f{h}" for h in range(hops + 1))
+    return f"""WITH {_REACHED}, f0 AS (SELECT 'c' || c_custkey AS id, 0.8::DOUBLE AS mass FROM customer WHERE c_custkey % 20 = 0), {steps}
         SELECT id, round(sum(mass) + 1e-10, 6) AS activation FROM ({total}) GROUP BY id"""
 
 
 def _spread(spark, d, hops: int) -> DataFrame:
     seeds = table(spark, d, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.lit(0.8).alias("activation"))
-    return G.spread(_walks(spark, d), seeds, hops=hops).withColumn("activation", r6(F.col("activation") + 1e-10))
+    return G.spread(G.weighted_walks(_walks(spark, d), _nodes(spark, d)), seeds, hops=hops).withColumn("activation", r6(F.col("activation") + 1e-10))
 
 
 @query(_spread_sql(1))
@@ -486,11 +514,12 @@ def spread_two_hops(spark, d):
     return _spread(spark, d, 2)
 
 
-@query(f"""WITH {_ROWS} SELECT id, round(least(1.5, greatest(0.4, 0.6 * importance + 0.2, 0.4 * (id % 10) / 10.0::DOUBLE + 0.2)), 6) AS strength,
-    round(greatest(-2, -0.5 * ln(greatest(id % 100 + 0.5, 1e-9)) - (id % 100 + 0.5) / 1209600) + ln(1 + 0.1::DOUBLE * recall_count / (recall_count + 10.0::DOUBLE)), 6) AS base_level FROM rows_""")
+@query(f"""WITH {_ROWS}, b AS (SELECT *, CASE WHEN id % 50 = 0 THEN 0 WHEN id % 51 > 0 THEN created_at END AS c FROM rows_), a AS (SELECT *, greatest(0.001::DOUBLE, 1705276800 - c) AS age FROM b)
+    SELECT id, round(least(1.5, greatest(0.4, 0.6 * importance + 0.2, 0.4 * (id % 10) / 10.0::DOUBLE + 0.2)), 6) AS strength,
+    round(CASE WHEN c > 0 THEN greatest(-2, ln(pow(age, -0.5) * exp(-age / 1209600))) + ln(1 + 0.1::DOUBLE * recall_count / (recall_count + 10.0::DOUBLE)) ELSE -2 END, 6) AS base_level FROM a""")
 def node_activation(spark, d):
-    age = F.col("id") % 100 + 0.5
-    return remembered(spark, d).select("id", r6(S.node_strength(F.col("importance"), F.col("id") % 10 / 10.0)).alias("strength"), r6(S.base_level(age, F.col("recall_count"))).alias("base_level"))
+    created = F.when(F.col("id") % 50 == 0, 0.0).when(F.col("id") % 51 > 0, F.col("created_at"))
+    return remembered(spark, d).select("id", r6(S.node_strength(F.col("importance"), F.col("id") % 10 / 10.0)).alias("strength"), r6(S.base_level(1705276800.0, created, F.col("recall_count"))).alias("base_level"))
 
 
 @query("""SELECT event_id, round(least(1, greatest(CASE WHEN w = 0 THEN 0.5 ELSE w END, 0.5 + 0.5 * c, 0.5 + 0.5 * i, 0.3 + 0.5 * c)), 6) AS strength FROM (SELECT event_id, (event_id % 11) / 10.0::DOUBLE AS w, (event_id % 7) / 10.0::DOUBLE AS c, least(1, value / 1000)::DOUBLE AS i FROM events)""")
@@ -618,11 +647,14 @@ def applied_facts(spark, d):
     return M.applied_facts(rows, known, spark.range(70).where("id % 3 <> 0")).select("id", "user_id", "source_message_ids")
 
 
-@query("""WITH h AS (SELECT user_id AS thread, event_id AS seq, CASE event_type WHEN 'click' THEN 'create' WHEN 'view' THEN 'resolve' ELSE 'other' END AS action FROM events), c AS (SELECT thread, min(seq) AS first FROM h WHERE action = 'create' GROUP BY thread),
-    r AS (SELECT c.thread, min(h.seq) AS done FROM c JOIN h ON h.thread = c.thread AND h.seq > c.first AND h.action = 'resolve' GROUP BY c.thread)
-    SELECT c.thread, CASE WHEN done IS NULL THEN 'open' ELSE 'resolved' END AS status, 't' || done AS resolution FROM c LEFT JOIN r USING (thread)""")
+@query("""WITH RECURSIVE h AS (SELECT user_id AS thread, ['create', 'resolve', 'reopen', 'dismiss', 'other'][(event_id * 7 + user_id) % 5 + 1] AS action, 't' || event_id AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    s AS (SELECT thread, 0::BIGINT AS n, NULL::VARCHAR AS status, NULL::VARCHAR AS resolution FROM (SELECT DISTINCT thread FROM h)
+          UNION ALL SELECT s.thread, h.n, CASE WHEN opens THEN 'open' WHEN closes THEN h.action || CASE WHEN h.action = 'resolve' THEN 'd' ELSE 'ed' END ELSE s.status END, CASE WHEN closes THEN h.text WHEN opens THEN NULL ELSE s.resolution END
+          FROM s JOIN h ON h.thread = s.thread AND h.n = s.n + 1, LATERAL (SELECT coalesce((h.action = 'create' AND s.status IS NULL) OR (h.action = 'reopen' AND s.status IN ('resolved', 'dismissed')), false) AS opens, coalesce(h.action IN ('resolve', 'dismiss') AND s.status = 'open', false) AS closes))
+    SELECT thread, arg_max(status, n) AS status, (max_by({'r': resolution}, n)).r AS resolution FROM s GROUP BY thread HAVING arg_max(status, n) IS NOT NULL""")
 def thread_states(spark, d):
-    action = F.when(F.col("event_type") == "click", "create").when(F.col("event_type") == "view", "resolve").otherwise("other")
+    names = F.array(*map(F.lit, ["create", "resolve", "reopen", "dismiss", "other"]))
+    action = F.get(names, ((F.col("event_id") * 7 + F.col("user_id")) % 5).cast("int"))
     updates = table(spark, d, "events").select(F.col("user_id").alias("thread"), F.col("event_id").alias("seq"), action.alias("action"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("text"), T.epoch(F.col("ts")).alias("at"))
     return M.thread_states(updates).select("thread", "status", "resolution")
 
@@ -634,9 +666,7 @@ def run_preview(spark, d):
 
 @query(f"WITH {_ROWS} SELECT type AS memory, count(*) AS rows, count(DISTINCT user_id) AS users FROM rows_ GROUP BY type")
 def memory_overview(spark, d):
-    rows = remembered(spark, d)
-    kinds = ["click", "view", "purchase", "signup", "error", "search", "login", "logout", "scroll", "cart"]
-    return M.overview({k: rows.where(F.col("type") == k) for k in kinds}).where("rows > 0")
+    return M.overview(remembered(spark, d), "type")
 
 
 @query(f"WITH {_ROWS} SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, id) AS rank FROM rows_ QUALIFY rank <= 8")
@@ -667,22 +697,26 @@ def fact_graph(spark, d):
     return edges.select("id", r6("weight").alias("weight"))
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_custkey % 10 = 0 THEN 'self' WHEN o_custkey % 2 = 0 THEN 'p' || (o_custkey % 10) ELSE 'person:user-' || (o_custkey % 10) END AS person FROM orders""")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_custkey % 10 = 0 THEN 'self' WHEN o_custkey % 10 < 4 THEN 'p' || o_custkey WHEN o_custkey % 10 < 7 THEN 'p' || o_custkey ELSE 'person:ghost-' || (o_custkey % 30) END AS person FROM orders""")
 def resolved_subjects(spark, d):
-    people = spark.createDataFrame([(f"p{k}", f"User {k}", None, ["the  boss"] if k == 2 else []) for k in (2, 4, 6, 8)], "id string, name string, user_id string, aliases array<string>")
-    facts = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit(" user "), (F.col("o_custkey") % 10).cast("string")).alias("subject"))
-    return M.resolved_subjects(facts, people, ["User 0"]).select("id", "person")
+    k = F.col("c_custkey").cast("string")
+    people = table(spark, d, "customer").select(F.concat(F.lit("p"), k).alias("id"), F.col("c_name").alias("name"), F.concat(F.lit("u"), k).alias("user_id"), F.array(F.concat(F.lit("Old "), k)).alias("aliases"))
+    n = F.col("o_custkey") % 10
+    named = F.concat(F.lit("  CUSTOMER#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    subject = F.when(n == 0, " the keeper ").when(n < 4, named).when(n < 7, F.concat(F.lit("u"), F.col("o_custkey").cast("string"))).otherwise(F.concat(F.lit("Ghost "), (F.col("o_custkey") % 30).cast("string")))
+    facts = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), subject.alias("subject"))
+    return M.resolved_subjects(facts, people, ["The Keeper"]).select("id", "person")
 
 
 # ---- groups and entities
 
 
-@query(f"""WITH {_WALKS}, fans AS (SELECT src, count(*) AS fan FROM walks GROUP BY src), s AS (SELECT c_nationkey AS participant, 'c' || c_custkey AS id, 0.48::DOUBLE AS mass FROM customer WHERE c_custkey % 20 = 0),
-    f1 AS (SELECT participant, w.dst AS id, sum(0.35 * s.mass * w.strength / n.fan) AS mass FROM s JOIN walks w ON w.src = s.id JOIN fans n ON n.src = s.id GROUP BY ALL)
-    SELECT participant, id, round(mass + 1e-10, 6) AS activation FROM f1""")
+@query(f"""WITH {_REACHED}, s AS (SELECT c_nationkey AS participant, 'c' || c_custkey AS id, 0.48::DOUBLE AS mass FROM customer WHERE c_custkey % 20 = 0),
+    f1 AS (SELECT participant, r.dst AS id, 0.35 * s.mass * r.strength / n.fan AS mass FROM s JOIN reached r ON r.src = s.id JOIN fans n ON n.src = s.id)
+    SELECT participant, id, round(sum(mass) + 1e-10, 6) AS activation FROM (SELECT * FROM s UNION ALL SELECT * FROM f1) GROUP BY ALL""")
 def group_activation(spark, d):
     seeds = table(spark, d, "customer").where("c_custkey % 20 = 0").select(F.col("c_nationkey").alias("participant"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.lit(0.48).alias("activation"))
-    out = G.spread(_walks(spark, d), seeds, hops=1, per=["participant"])
+    out = G.spread(G.weighted_walks(_walks(spark, d), _nodes(spark, d)), seeds, hops=1, per=["participant"])
     return out.select("participant", "id", r6(F.col("activation") + 1e-10).alias("activation"))
 
 

@@ -1,10 +1,12 @@
-"""Making the package importable in Python workers."""
+"""Making the package importable in Python workers, tables cut from their lineage, and small tables dealt over the cores."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -16,3 +18,32 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one that the session names, else the warehouse; only a session that is one process takes a folder of its machine."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_loamstone"
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="loamstone-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The same rows, computed once, as a table in the shared folder; a lost executor costs nothing that came before. It goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/loamstone-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def over_cores(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt over them: rows of one row group would all be work of one task. Larger tables are left as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -1,6 +1,7 @@
 """Formulas against worked values, and operators on rows at the edges."""
 
 import math
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -37,8 +38,8 @@ def value(spark, column):
         (lambda: S.node_strength(F.lit(0.8), F.lit(0.6)), 0.68),
         (lambda: S.edge_strength(F.lit("fact"), F.lit(0.86), confidence=F.lit(0.6), importance=F.lit(0.8)), 0.9),
         (lambda: S.edge_strength(F.lit("chat"), F.lit(0.0)), 0.5),
-        (lambda: S.base_level(F.lit(10.0), F.lit(10)), -1.102511),
-        (lambda: S.base_level(F.lit(3600.0), F.lit(10)), -1.951210),
+        (lambda: S.base_level(10.0 + 5.0, F.lit(5.0), F.lit(10)), -1.102511),
+        (lambda: S.base_level(3600.0 + 5.0, F.lit(5.0), F.lit(10)), -1.951210),
         (lambda: S.age_seconds(5.0, F.lit(9.0)), 0.0),
         (lambda: T.clip(F.lit("x")), 0.5),
         (lambda: T.clip(F.lit("7")), 1.0),
@@ -113,7 +114,105 @@ def test_rounds_with_a_leading_reply(spark):
 def test_spread(spark):
     edges = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.9)], "src string, dst string, strength double")
     seeds = spark.createDataFrame([("a", 1.0)], "id string, activation double")
-    assert {r.id: round(r.activation, 6) for r in G.spread(edges, seeds, hops=0).collect()} == {"b": round(0.35 * 0.9 / 2, 6), "c": round(0.35 * 0.9 / 2, 6)}
+    assert {r.id: round(r.activation, 6) for r in G.spread(edges, seeds, hops=0).collect()} == {"a": 1.0, "b": round(0.35 * 0.9 / 2, 6), "c": round(0.35 * 0.9 / 2, 6)}
+    # the strength of the node that is reached counts, and a node that is not there is not reached
+    nodes = spark.createDataFrame([("a", 0.4), ("b", 0.68), ("d", 1.0)], "id string, strength double")
+    two = edges.unionByName(spark.createDataFrame([("a", "d", 0.5)], edges.schema))
+    found = {r.id: r.activation for r in G.spread(G.weighted_walks(two, nodes), seeds, hops=1).collect()}
+    assert {k: round(v, 6) for k, v in found.items()} == {"a": 1.0, "b": round(0.35 * 0.9 * 0.68 / 2, 6), "d": round(0.35 * 0.5 / 2, 6)}
+
+
+def test_base_level_of_odd_times(spark):
+    rows = spark.createDataFrame([(1, 100.0), (2, 0.0), (3, None), (4, 900.0)], "id int, created double")
+    found = {r.id: r.b for r in rows.select("id", S.base_level(100.0, F.col("created"), F.lit(0)).alias("b")).collect()}
+    # now and the future count as a thousandth of a second ago
+    young = -0.5 * math.log(1e-3) - 1e-3 / (14 * DAY)
+    assert abs(found[1] - young) < 1e-9 and abs(found[4] - young) < 1e-9 and found[2] == found[3] == -2.0
+
+
+def test_sweep_is_greedy(spark):
+    """Rows near a dropped row only stay; copies of a text go the way of the first; against plain Python on random rows, over several blocks."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(160):
+        v = [rng.gauss(0, 1) for _ in range(3)]
+        rows.append((k, f"u{k % 3}", float(rng.randint(0, 40)), rng.choice(["", f"text {rng.randint(0, 60)}"]), v if k % 17 else [0.0, 0.0, 0.0]))
+    first = {}
+    for i, u, t, text, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        if text:
+            first.setdefault((u, text), i)
+    wanted, kept = {}, {}
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    for i, u, t, text, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        head = first.get((u, text), i) if text else i
+        if head != i:
+            wanted[i] = wanted.get(head, (head, 1.0))
+            continue
+        if not any(v):
+            continue
+        near = [(round(sum(a * b for a, b in zip(unit(v), w)), 9), -n, j) for n, (j, w) in enumerate(kept.setdefault(u, []))]
+        if near and max(near)[0] >= 0.9:
+            wanted[i] = (max(near)[2], max(near)[0])
+        else:
+            kept[u].append((i, unit(v)))
+    frame = spark.createDataFrame(rows, "id long, user_id string, created_at double, content string, vec array<double>")
+    found = {r.id: (r.survivor, round(r.similarity, 9)) for r in E.greedy_sweep(frame, threshold=0.9).collect()}
+    assert found == {k: (s, round(x, 9)) for k, (s, x) in wanted.items()} and len(found) > 40
+    small = E.similar_pairs(frame.where("vec[0] <> 0").select("id", F.lit(1).alias("scope"), F.struct(F.col("created_at").alias("t"), "id").alias("place"), T.unit(F.col("vec")).alias("v")), "scope", 0.9, block=16)
+    whole = E.similar_pairs(frame.where("vec[0] <> 0").select("id", F.lit(1).alias("scope"), F.struct(F.col("created_at").alias("t"), "id").alias("place"), T.unit(F.col("vec")).alias("v")), "scope", 0.9)
+    pairs = lambda df: sorted((r.id, r.other) for r in df.collect())
+    assert pairs(small) == pairs(whole) and len(set(pairs(small))) == len(pairs(small))
+
+
+def test_markdown_and_turns():
+
+    text = "before\n\n# Head\n\n## Empty\n\n## One\n\n" + "a b c d e f g. " * 40 + "\n\ntiny\n\n## Two\n\nshort"
+    assert [t for t, _ in chunking.sections(text)] == ["", "One", "Two"]
+    found = chunking.markdown(text, most=60, least=10)
+    assert [t for t, _ in found].count("Two") == 1 and found[-1] == ("Two", "# Two\n\nshort")  # a tiny section does not join another one
+    assert all(c.startswith("# One") for t, c in found if t == "One") and found[0] == ("", "before")
+    assert chunking.merged(["tiny", "long enough to stay by itself, really", "x"], least=5) == ["tiny\n\nlong enough to stay by itself, really\n\nx"]
+    assert chunking.merged(["only"], least=5) == ["only"] and chunking.merged([], least=5) == []
+    said = chunking.turns("prologue\n\nAnna-Lena: hi\nthere\n\nno speaker: (really)?\nmore\n\n<b>: not one\n\nBob?: \n\n")
+    assert said == [("Anna-Lena", "hi\nthere"), ("no speaker", "(really)?\nmore\n<b>: not one"), ("Bob?", "")]
+
+
+def test_times_in_texts():
+    now = datetime(2024, 1, 31, 12, tzinfo=timezone.utc)
+    at = lambda *x: datetime(*x, tzinfo=timezone.utc).timestamp()
+    cases = {
+        "1.5 hours ago": [(at(2024, 1, 31, 10), at(2024, 1, 31, 11), "hour", 1.0)], "in 2 months": [(at(2024, 3, 1), at(2024, 4, 1), "month", 1.0)], "a month ago": [(at(2023, 12, 1), at(2024, 1, 1), "month", 1.0)],
+        "March 5": [(at(2023, 3, 5), at(2023, 3, 6), "day", 0.9)], "on 5 January 2024": [(at(2024, 1, 1), at(2025, 1, 1), "year", 0.9)], "2024/1/5 10:30": [(at(2024, 1, 5, 10, 30), at(2024, 1, 5, 10, 31), "minute", 0.9)],
+        "Feb 30": [], "2024-13-01": [], "yesterdays": [], "": [],
+    }
+    for text, wanted in cases.items():
+        assert [r[:4] for r in temporal.resolve(text, now)] == wanted, text
+
+
+def test_searches_rank_like_plain_python(spark):
+    """Top lists of dense and lexical search against all scores, in several blocks of queries, with ties, odd vectors and repeated words."""
+    rng = random.Random(5)
+    vectors = [(k, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]) for k in range(300)] + [(900, None), (901, [1.0]), (902, [0.0] * 4)]
+    asked = [(k, 0, " ".join(rng.choice("abcdef") for _ in range(3)), [rng.gauss(0, 1) for _ in range(4)]) for k in range(25)] + [(99, 0, "", None), (98, 0, "zzz", [1.0])]
+    docs = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12)))) for k in range(200)] + [(900, None)]
+    q = spark.createDataFrame(asked, "query_id long, sub_ix int, text string, vec array<double>")
+    v = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    old, X.QUERY_BLOCK = X.QUERY_BLOCK, 7
+    try:
+        near = X.ranked(X.dense(v, q, pool=5).withColumn("score", F.round("score", 6)), 5).collect()
+        index = X.indexed(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), queries=q)
+        best = X.ranked(X.bm25_top(index, q, 5).withColumn("score", F.round("score", 6)), 5).collect()
+        every = X.ranked(X.bm25(index, q).withColumn("score", F.round("score", 6)), 5).collect()
+    finally:
+        X.QUERY_BLOCK = old
+    norm = lambda x: math.sqrt(sum(y * y for y in x)) or 1.0
+    wanted = set()
+    for k, _, _, x in asked:
+        if x and len(x) == 4:
+            scores = sorted((-round(sum(a * b for a, b in zip(x, y)) / norm(x) / norm(y), 6) + 0.0, i) for i, y in vectors if y and len(y) == 4)
+            wanted |= {(k, i, n) for n, (_, i) in enumerate(scores[:5])}
+    assert {(r.query_id, r.id, r.rank) for r in near if r.query_id < 98} == wanted
+    assert sorted(map(tuple, best)) == sorted(map(tuple, every)) and len({r.query_id for r in best}) == 25
 
 
 def test_graph_edges(spark):

@@ -5,6 +5,7 @@ import decimal
 
 import pytest
 
+from loamstone.plans import graph_queries, memory_queries  # noqa: F401  (they register more queries)
 from loamstone.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,6 +38,13 @@ def test_query(spark, data, con, name):
     if name in ORACLE_SQL:
         columns = ", ".join(f'"{c}"' for c in found.columns)
         assert rows == sorted(str([plain(v) for v in r]) for r in con.sql(f"select {columns} from ({ORACLE_SQL[name]})").fetchall())
+    elif name == "markdown_chunks":
+        from loamstone.functions.chunking import markdown
+
+        texts = con.sql("select doc_id, '# ' || source || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10) || '## part' || chr(10) || chr(10)) from documents where text is not null").fetchall()
+        assert rows == sorted(str([plain(v) for v in (i, k, title, body)]) for i, text in texts for k, (title, body) in enumerate(markdown(text)))
+    elif name == "resolved_expressions":
+        assert {r.grain for r in found.collect()} >= {"day", "month"} and rows
 
 
 def test_entry(spark):
