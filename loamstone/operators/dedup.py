@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import saved
+from ..session import released, saved
 
 SIMILAR = 0.92
 
@@ -85,7 +85,9 @@ def greedy_sweep(rows: DataFrame, scope: str = "user_id", threshold: float = SIM
         done = saved(free.join(whole, "id").where("n = all").select("id", F.col("x.other").alias("survivor"), F.col("x.similarity").alias("similarity")))
         gone = gone.unionByName(done)
         # what is dropped is no candidate any more; a row without any left waits no longer and survives
-        open_ = saved(open_.join(done.select("id"), "id", "left_anti").join(done.select(F.col("id").alias("other")), "other", "left_anti"))
+        before, open_ = open_, saved(open_.join(done.select("id"), "id", "left_anti").join(done.select(F.col("id").alias("other")), "other", "left_anti"))
+        if before is not links:
+            released(before)
     else:
         raise RuntimeError(f"the sweep did not settle in {most_rounds} rounds")
     led = copies.join(gone.select(F.col("id").alias("head"), "survivor", "similarity"), "head", "left")
