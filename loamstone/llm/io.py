@@ -1,15 +1,17 @@
-"""Reading tables, and cutting lineage in the folder that all executors share."""
+"""Reading tables; intermediate ones come from the session module."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import over_cores, released, saved
+
+__all__ = ["free_name", "released", "saved", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return over_cores(found) if name == "documents" else found  # whole texts are work for each row
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -18,43 +20,3 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the one that the session names, else the warehouse; only a session that is one process takes a folder of its machine."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local"):
-            return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_loamstone"
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="loamstone-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def _place(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The same rows, computed once, written as a table to the shared folder and read from there.
-
-    A lost executor then costs no recomputation of what came before. The table goes with ``released``, or when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loamstone-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    files, place = _place(spark, path)
-    files.deleteOnExit(place)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_at = path
-    return out
-
-
-def released(*tables: DataFrame) -> None:
-    """Deletes tables made by ``saved`` that nothing will read again."""
-    for df in tables:
-        files, place = _place(df.sparkSession, df._saved_at)
-        files.delete(place, True)
