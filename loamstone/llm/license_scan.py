@@ -97,14 +97,25 @@ class Templates:
         for name in self.names:
             raw = np.frombuffer(texts[name].encode(), np.uint8)
             self.words.append(term_hashes(raw, np.array([0, len(raw)]))[0])
+        self.own = [np.unique(w, return_counts=True) for w in self.words]  # distinct words, and how often the template has each
+
+    def possible(self, terms: np.ndarray, least: float) -> list[int]:
+        """The templates of whose words a text has enough, wherever they are."""
+        found, times = np.unique(terms, return_counts=True)
+        out = []
+        for k, (own, most) in enumerate(self.own):
+            if len(own) and len(found):
+                at = np.minimum(np.searchsorted(found, own), len(found) - 1)
+                if np.minimum(times[at], most)[found[at] == own].sum() >= int(np.ceil(least * len(self.words[k]))):
+                    out.append(k)
+        return out
 
     def _width(self, k: int, share: float) -> int:
         return int(np.ceil(share * len(self.words[k]) - 1e-9))
 
     def regions(self, terms: np.ndarray, k: int, least: float) -> list[tuple[int, int]]:
         """Stretches of a text in which template k may be covered by ``least``, merged; also right if its words repeat."""
-        template = self.words[k]
-        own = np.unique(template)
+        template, own = self.words[k], self.own[k][0]
         place = np.minimum(np.searchsorted(own, terms), len(own) - 1)
         hits = np.flatnonzero(own[place] == terms)
         width, needed = self._width(k, self.widths[-1]), int(np.ceil(least * len(template)))
@@ -124,7 +135,7 @@ class Templates:
     def _starts(self, terms: np.ndarray, k: int, least: float, width: int) -> np.ndarray:
         """Where an alignment of template k within ``width`` words may start: at one of its first words, with enough of its words behind."""
         template = self.words[k]
-        own, times = np.unique(template, return_counts=True)
+        own, times = self.own[k]
         needed = int(np.ceil(least * len(template)))
         place = np.minimum(np.searchsorted(own, terms), len(own) - 1)
         at = np.flatnonzero(own[place] == terms)
@@ -167,12 +178,12 @@ class Templates:
         words put in, and never reach over a copy that is found. At last each match takes in what more of its template lies around it.
         """
         found = []
-        for k, name in enumerate(self.names):
-            template = self.words[k].tolist()
-            if not template:
-                continue
+        for k in self.possible(terms, least):
+            name, template = self.names[k], self.words[k].tolist()
             size = len(template)
             for a, b in self.regions(terms, k, least):
+                if not len(self._starts(terms[a:b], k, least, self._width(k, self.widths[-1]))):
+                    continue  # what no window of the widest width could cover, none of a smaller one covers
                 matches = self._places(terms[a:b], k, least, tuple(self._width(k, w) for w in self.widths))
                 end = a
                 for n, match in enumerate(matches):
