@@ -6,6 +6,7 @@ edges: id, kind, src, dst, weight and signed attributes. Symmetric kinds are wal
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -239,6 +240,33 @@ def merged_graph(projections: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFr
     return nodes.groupBy("id").agg(*first, *joined), merged_edges(edges)
 
 
+#: what projects the rows of a source into the graph, by name: DataFrame -> (nodes, edges)
+PROJECTORS: dict[str, Callable[[DataFrame], tuple[DataFrame, DataFrame]]] = {"profiles": lambda rows: (summaries_graph(rows), summaries_graph(rows).select("id", "kind", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("weight")).limit(0))}
+
+
+def register_projector(name: str, projector: Callable[[DataFrame], tuple[DataFrame, DataFrame]], replace: bool = False) -> None:
+    if name in PROJECTORS and not replace:
+        raise ValueError(f"a projector named {name} is there already")
+    PROJECTORS[name] = projector
+
+
+def projected(sources: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The graph of several sources, each by the projector of its name."""
+    return merged_graph([PROJECTORS[name](rows) for name, rows in sources.items()])
+
+
+def chosen_view(activation: DataFrame, edges: DataFrame, limit: int, share: float = 1 / 3) -> DataFrame:
+    """(id, activation, seed): a view of at most ``limit`` nodes: the most active ones make a third of it, then of the neighbours of all of these those with most edges to them, then the more active.
+
+    Two ordered limits and one count of edges; a neighbour is judged by the seeds, not by the neighbours taken before it.
+    """
+    first = activation.orderBy(F.desc("activation"), "id").limit(max(1, int(limit * share))).select("id", "activation", F.lit(True).alias("seed"))
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = both.join(F.broadcast(first.select(F.col("id").alias("src"))), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("_n"))  # ``limit`` rows at most
+    rest = near.join(first, "id", "left_anti").join(activation.select("id", "activation"), "id").orderBy(F.desc("_n"), F.desc("activation"), "id").limit(limit - max(1, int(limit * share)))
+    return first.unionByName(rest.select("id", "activation", F.lit(False).alias("seed")))
+
+
 def updated_graph(nodes: DataFrame, edges: DataFrame, changed: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """An incremental update: the nodes and edges of changed rows replace those with their ids, all others stay."""
     new_nodes, new_edges = changed

@@ -87,7 +87,12 @@ def reranked(items: DataFrame, weights: dict[str, float] | None = None, per: lis
 
 
 def budget_prefix(items: DataFrame, budget: int, order: list[Column], tokens: str = "tokens", per: list[str] | None = None) -> DataFrame:
-    """The longest prefix whose tokens fit: the walk stops at the first item that does not."""
+    """The longest prefix whose tokens fit: the walk stops at the first item that does not.
+
+    Without ``per`` the items are the answer to one query: what costs a token or more is cut to the first ``budget`` items before they meet in one task.
+    """
+    if not per:
+        items = items.where(F.col(tokens) <= 0).unionByName(items.where(F.col(tokens) > 0).orderBy(*order).limit(budget + 1))
     run = Window.partitionBy(*(per or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return items.withColumn("used_tokens", F.sum(tokens).over(run)).where(F.col("used_tokens") <= budget)
 

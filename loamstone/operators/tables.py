@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import saved
 
 
 def where_equal(df: DataFrame, **wanted) -> DataFrame:
@@ -127,13 +129,32 @@ def distinct_users(df: DataFrame, user: str = "user_id", others: str | None = No
     return users.where(F.col(user).isNotNull()).distinct()
 
 
+def ranges_in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows as a table dealt over ranges of ``order``, with the number of their range (_range): for running sums over a whole table, of which no task holds more than a range."""
+    return saved(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+
+
+def carried(ranged: DataFrame, value: Column, name: str, fold: Callable[[Column], Column]) -> DataFrame:
+    """``ranged`` with what ``fold`` (sum or max) makes of ``value`` over all ranges before a row's own: a row per range meets in one task, the rows stay where they are."""
+    each = ranged.groupBy("_range").agg(fold(value).alias("_v"))
+    before = each.select("_range", fold(F.col("_v")).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias(name))
+    return ranged.join(F.broadcast(before), "_range")  # as many rows as ranges
+
+
 def interval_union(df: DataFrame, start: str = "start", end: str = "end", per: list[str] | None = None) -> DataFrame:
-    """Overlapping and touching intervals as one."""
-    keys = per or []
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(before >= F.col(start), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    """Overlapping and touching intervals as one; rows of an island are those between two gaps in the order of starts."""
+    if per:
+        order = Window.partitionBy(*per).orderBy(start, end)
+        before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        island = F.sum(F.when(before >= F.col(start), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        return df.withColumn("_island", island).groupBy(*per, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    rows = carried(ranges_in_order(df.select(start, end), [start, end]), F.col(end), "_reach", F.max)
+    order = Window.partitionBy("_range").orderBy(start, end)
+    own = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.greatest(own, F.col("_reach")) >= F.col(start), 0).otherwise(1)
+    marked = saved(rows.withColumn("_opens", opens).withColumn("_n", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_reach"))
+    numbered = carried(marked, F.col("_opens"), "_base", F.sum)
+    return numbered.groupBy((F.coalesce("_base", F.lit(0)) + F.col("_n")).alias("_island")).agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
 def last_by_key(*sources: DataFrame, key: str = "id", order: list[str]) -> DataFrame:

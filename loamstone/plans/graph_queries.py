@@ -267,3 +267,16 @@ def capped_weights(spark, d):
 @query("SELECT doc_id, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])' || lang || 'the($|[^\\p{L}\\p{N}_])') OR regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])the($|[^\\p{L}\\p{N}_])') AS mentioned FROM documents")
 def label_mentions(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(T.mentions(F.col("text"), F.concat("lang", F.lit("the"))) | T.mentions(F.col("text"), F.lit("The")), F.lit(None)).alias("mentioned"))
+
+
+@query(f"""WITH {_NODES}, {_EDGES}, a AS (SELECT id, round(strength, 6) AS activation FROM nodes), f AS (SELECT id, activation FROM a ORDER BY activation DESC, id LIMIT 20), b AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
+    n AS (SELECT dst AS id, count(*) AS k FROM b WHERE src IN (SELECT id FROM f) AND dst NOT IN (SELECT id FROM f) GROUP BY dst), r AS (SELECT n.id, activation FROM n JOIN a ON a.id = n.id ORDER BY k DESC, activation DESC, n.id LIMIT 40)
+    SELECT id, activation, true AS seed FROM f UNION ALL SELECT id, activation, false FROM r""")
+def graph_view(spark, d):
+    return G.chosen_view(_nodes(spark, d).select("id", r6("strength").alias("activation")), _edges(spark, d), 60)
+
+
+@query("""SELECT 'person:' || c_custkey AS id, c_mktsegment AS text FROM customer""")
+def projected_sources(spark, d):
+    profiles = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), F.col("c_name").alias("name"), F.array().cast("array<string>").alias("aliases"), F.col("c_mktsegment").alias("summary"))
+    return G.projected({"profiles": profiles})[0].select("id", "text")

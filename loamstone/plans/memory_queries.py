@@ -625,3 +625,29 @@ def strongest_ranges(spark, d):
     """Of the times that a text names the surest one, weighted."""
     asked = messages(spark, d).select(F.concat_ws("-", "chat_id", "id").alias("query_id"), F.lit("On 2024-01-05, or was it 3 days ago?").alias("text"), F.lit(1.0).alias("weight"))
     return temporal.strongest(temporal.resolved(asked, 1706659200.0)).select("query_id", "expression", "start")
+
+
+# ---- whole tables in order
+
+
+@query("""WITH i AS (SELECT epoch(ts)::DOUBLE AS s, epoch(ts)::DOUBLE + event_id % 400 AS e FROM events), m AS (SELECT *, CASE WHEN max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= s THEN 0 ELSE 1 END AS f FROM i),
+    n AS (SELECT *, sum(f) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT min(s) AS start, max(e) AS "end" FROM n GROUP BY g""")
+def busy_times(spark, d):
+    e = T.epoch(F.col("ts"))
+    return B.interval_union(table(spark, d, "events").select(e.alias("start"), (e + F.col("event_id") % 400).alias("end")))
+
+
+@query(f"""WITH {_ROWS}, t AS (SELECT id, id % 4 AS tokens, round(importance, 6) AS score FROM rows_), u AS (SELECT *, sum(tokens) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING)::BIGINT AS used_tokens FROM t) SELECT id, used_tokens FROM u WHERE used_tokens <= 100""")
+def answer_prefix(spark, d):
+    items = remembered(spark, d).select("id", (F.col("id") % 4).alias("tokens"), r6("importance").alias("score"))
+    return R.budget_prefix(items, 100, [F.desc("score"), F.asc("id")]).select("id", "used_tokens")
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'm' || vec_id % 2 AS memory, vec_id AS id, label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY vec_id % 2, label ORDER BY vec_id) AS n FROM embeddings),
+    s AS (SELECT memory, label, 0::BIGINT AS n, []::STRUCT(id BIGINT, v DOUBLE[])[] AS left_, NULL::BIGINT AS id, NULL::STRUCT(s DOUBLE, i BIGINT) AS best FROM (SELECT DISTINCT memory, label FROM e)
+          UNION ALL SELECT memory, label, n, CASE WHEN best.s >= 0.25 THEN left_ ELSE list_append(left_, {'id': id, 'v': v}) END, id, best
+          FROM (SELECT e.memory, e.label, e.n, e.id, e.v, s.left_, list_max(list_transform(s.left_, lambda x: {'s': list_cosine_similarity(x.v, e.v), 'i': -x.id})) AS best FROM s JOIN e ON e.memory = s.memory AND e.label = s.label AND e.n = s.n + 1))
+    SELECT memory, id, (-best.i)::BIGINT AS survivor FROM s WHERE best.s >= 0.25""")
+def memory_sweeps(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("user_id"), F.col("vec_id").cast("double").alias("created_at"), F.lit("").alias("content"), F.col("embedding").alias("vec"))
+    return E.sweeps({f"m{k}": rows.where(F.col("id") % 2 == k) for k in range(2)}, threshold=0.25).select("memory", "id", "survivor")
