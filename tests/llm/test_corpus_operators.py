@@ -273,6 +273,40 @@ def test_each_language_teaches_at_every_size(spark):
     assert {r.doc_id: r.lang_pred for r in named.where("doc_id < 3").collect()} == {1: "de", 2: "fr"}
 
 
+def test_a_text_is_named_by_the_mean_of_its_words(spark):
+    """The result of every text against a plain forward-backward, word by word, of the same learned field; ties, mixed and repeated texts."""
+    rng = random.Random(21)
+    vocabulary = {"de": "der und nicht eine schule wald keit".split(), "fr": "le une avec pour que eau reaux".split(), "en": "the with and house water".split()}
+    own = [(k, " ".join(rng.choices(vocabulary[lang], k=rng.randint(1, 40))), lang) for k, lang in enumerate(rng.choices(["de", "fr", "en"], k=90))]
+    asked = [(k, " ".join(rng.choices(vocabulary["de"], k=3) + rng.choices(vocabulary["fr"], k=rng.randint(0, 6))) + ["", " 12 !", "\n\n"][k % 3], None) for k in range(1000, 1040)]
+    asked += [(2000, "12 34", None), (2001, "", None), (2002, None, None), (2003, "x", None), (1000, asked[0][1], None)]
+    frame = spark.createDataFrame(own + asked, "doc_id long, text string, lang string")
+    pieces = language_id.training_pieces(frame.where("lang is not null").select("text", "lang")).collect()
+    field = language_id.learn([(r.piece, r.lang) for r in pieces])
+    step = np.exp(field.transitions - field.transitions.max())
+
+    def name(text):
+        words = (text or "").encode().lower().split()
+        if not re.search(r"[^\W\d_]", text or ""):
+            return "und", 0.0
+        e = np.exp(field.emissions(words).astype(float))
+        forward, backward = [e[0] / e[0].sum()], [np.ones(3)]
+        for x in e[1:]:
+            a = forward[-1] @ step * x
+            forward.append(a / a.sum())
+        for x in e[:0:-1]:
+            b = step @ (x * backward[-1])
+            backward.append(b / b.sum())
+        each = [a * b / (a * b).sum() for a, b in zip(forward, backward[::-1])]
+        mean = np.mean(each, axis=0)
+        return field.languages[int(mean.argmax())], float(mean.max())
+
+    found = sorted((r.doc_id, r.lang_pred, r.score) for r in language_id.identify(frame, F.lit(False)).where("doc_id >= 1000").collect())
+    wanted = sorted((k, *name(t)) for k, t, _ in asked)
+    assert [x[:2] for x in found] == [x[:2] for x in wanted] and np.allclose([x[2] for x in found], [x[2] for x in wanted], atol=1e-5)
+    assert {x[1] for x in found} >= {"de", "fr", "und"}
+
+
 def test_texts_longer_than_a_chunk(spark):
     """Texts of over a megabyte, alone and between short ones, through every operator."""
     from tokenizers import Tokenizer
