@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions import scoring as S
 from ..functions import text as T
+from . import tables as B
 
 STICKY, E_FOLD = 0.95, 3 * S.DAY
 
@@ -98,18 +100,14 @@ def budget_prefix(items: DataFrame, budget: int, order: list[Column], tokens: st
 
 
 def budget_greedy(items: DataFrame, budget: int, group: str, order: str | list[str], tokens: str = "tokens") -> DataFrame:
-    """Greedy with skipping: an item that does not fit is passed over and later ones may still fit. Sequential within a group; items over the budget go first."""
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, used, keep = rows.sort_values(order, kind="stable"), 0, []
-        for n in rows[tokens]:
-            fits = used + n <= budget
-            used += n * fits
-            keep.append(bool(fits))
-        return rows[keep]
-
-    return items.where(F.col(tokens) <= budget).groupBy(group).applyInPandas(run, items.schema)
+    """Greedy with skipping: an item that does not fit is passed over and later ones may still fit. A group's items stream by in order."""
+
+    def step(used: int, n: int) -> tuple[int, bool]:
+        fits = bool(used + n <= budget)
+        return used + n * fits, fits
+
+    kept = B.walked(items.where(F.col(tokens) <= budget), group, [order] if isinstance(order, str) else order, tokens, "_fits", BooleanType(), 0, step)
+    return kept.where("_fits").drop("_fits")
 
 
 def min_max(df: DataFrame, column: str, out: str, per: list[str] | None = None) -> DataFrame:

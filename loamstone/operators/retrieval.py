@@ -14,11 +14,13 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions import text as T
 from ..session import saved
+from . import tables as B
 
-K1, B, RRF_K, POOL = 1.5, 0.75, 60, 30
+K1, LENGTH, RRF_K, POOL = 1.5, 0.75, 60, 30
 #: queries of a block, and terms up to which an index is cut down to those of its queries
 QUERY_BLOCK, MOST_TERMS = 512, 20_000
 
@@ -77,7 +79,7 @@ def weighted_terms(index: DataFrame, queries: DataFrame) -> DataFrame:
     return terms.join(df, "term").crossJoin(F.broadcast(statistics(index))).select("query_id", "sub_ix", "term", idf.alias("idf"), "avgdl")  # statistics are one row
 
 
-def bm25(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = LENGTH) -> DataFrame:
     """(query_id, sub_ix, id, score) of all documents that share a term with a query."""
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
     return postings(index).join(weighted_terms(index, queries), "term").groupBy("query_id", "sub_ix", "id").agg(F.sum(weight).alias("score"))
@@ -179,7 +181,7 @@ def _lexical_scores(batch: pa.RecordBatch, terms: pa.Array, first: np.ndarray, q
     number = pc.fill_null(pc.index_in(flat.field("term"), terms), -1).to_numpy(zero_copy_only=False)
     some = np.flatnonzero(number >= 0)
     tf, length = flat.field("tf").to_numpy(zero_copy_only=False)[some], batch.column(1).to_numpy(zero_copy_only=False)
-    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc[some]] / mean))
+    weight = tf * (K1 + 1) / (tf + K1 * (1 - LENGTH + LENGTH * length[doc[some]] / mean))
     size = first[number[some] + 1] - first[number[some]]
     at = np.arange(size.sum()) + np.repeat(first[number[some]] - (np.cumsum(size) - size), size)
     cell = np.repeat(doc[some], size) * queries + query[at]
@@ -253,20 +255,14 @@ def row_relevance(hits: DataFrame) -> DataFrame:
 
 def batches_by_limits(df: DataFrame, group: str, order: str, tokens: str, most_items: int, most_tokens: int) -> DataFrame:
     """``df`` with a batch number from 0: items in order, a new batch when items or tokens would pass a limit; an oversized item is alone."""
-    import pandas as pd
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, out, batch, items, total = rows.sort_values(order, kind="stable"), [], 0, 0, 0
-        for n in rows[tokens]:
-            if items and (items + 1 > most_items or total + n > most_tokens):
-                batch, items, total = batch + 1, 0, 0
-            items, total = items + 1, total + n
-            out.append(batch)
-        return rows.assign(batch=out)
+    def step(state: tuple[int, int, int], n: int) -> tuple[tuple[int, int, int], int]:
+        batch, items, total = state
+        if items and (items + 1 > most_items or total + n > most_tokens):
+            batch, items, total = batch + 1, 0, 0
+        return (batch, items + 1, total + n), batch
 
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    return df.groupBy(group).applyInPandas(run, StructType([*df.schema.fields, StructField("batch", LongType())]))
+    return B.walked(df, group, [order], tokens, "batch", LongType(), (0, 0, 0), step)
 
 
 def remembered_chunks(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..functions import text as T
 from ..session import saved
@@ -129,6 +130,27 @@ def distinct_users(df: DataFrame, user: str = "user_id", others: str | None = No
     return users.where(F.col(user).isNotNull()).distinct()
 
 
+def walked(df: DataFrame, group: str, order: list[str], column: str, name: str, kind: DataType, start, step: Callable) -> DataFrame:
+    """``df`` with a column ``name``: (state, value) = step(state, row's ``column``), row after row of each group in order, from ``start``.
+
+    For rules in which each row depends on all before it. Groups stream through their tasks sorted, so a task holds a batch and one state, not a group.
+    """
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, state = object(), start
+        for batch in batches:
+            out = []
+            for key, x in zip(batch[group], batch[column], strict=True):
+                if key != here and not (key != key and here != here):  # a missing key is a group of its own
+                    here, state = key, start
+                state, value = step(state, x)
+                out.append(value)
+            yield batch.assign(**{name: out})
+
+    return df.repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, StructType([*df.schema.fields, StructField(name, kind)]))
+
+
 def ranges_in_order(df: DataFrame, order: list[str]) -> DataFrame:
     """The rows as a table dealt over ranges of ``order``, with the number of their range (_range): for running sums over a whole table, of which no task holds more than a range."""
     return saved(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
