@@ -70,8 +70,8 @@ class Field:
         k = len(self.languages)
         return np.full(len(words), k, np.int64), self.emissions(words).view(np.uint32).ravel()
 
-    def marginals(self, scores: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward-backward over sequences side by side: (each word's probabilities, expected counts of transitions)."""
+    def marginals(self, scores: np.ndarray, first: np.ndarray, expected: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Forward-backward over sequences side by side: (each word's probabilities, expected counts of transitions if they are wanted)."""
         e = np.exp(scores - scores.max(1, keepdims=True)) if len(scores) else scores
         size = np.diff(first)
         order = np.argsort(-size, kind="stable")
@@ -95,8 +95,9 @@ class Field:
                 right = e[at[:m] + 1] * after
                 b[:m] = right @ t.T
                 b[:m] /= b[:m].sum(1, keepdims=True)
-                joint = alpha[at[:m]][:, :, None] * t * right[:, None, :]
-                counts += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+                if expected:
+                    joint = alpha[at[:m]][:, :, None] * t * right[:, None, :]
+                    counts += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
             own = alpha[at] * b
             alpha[at] = own / own.sum(1, keepdims=True)
             after = b
@@ -164,7 +165,7 @@ def _labelled(field: Field):
                 if len(starts) and k:
                     rank = table.ranks(low, starts, ends)
                     scores = table.items[(table.starts[rank][:, None] + np.arange(k))].view(np.float32)
-                    probability, _ = field.marginals(scores, first)
+                    probability, _ = field.marginals(scores, first, expected=False)
                     sums = np.concatenate([np.zeros((1, k)), np.cumsum(probability, axis=0)])
                     mean = np.diff(sums[first], axis=0) / np.maximum(1, np.diff(first))[:, None]
                 best = mean.argmax(1)
