@@ -409,7 +409,8 @@ def time_difference_months(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.months_between(F.col("o_orderdate").cast("timestamp_ntz"), F.expr("timestamp_ntz'2024-02-15 00:00:00'")).alias("months"))
 
 
-@query()
+@query("""WITH e AS (SELECT conv_id || '-' || turn AS query_id, [{'x': '3 days ago', 's': 1706486400, 'n': 1, 'g': 'day', 'c': 1.0}, {'x': 'next month', 's': 1709251200, 'n': 31, 'g': 'month', 'c': 1.0}, {'x': '2024-01-05', 's': 1704412800, 'n': 1, 'g': 'day', 'c': 0.9}][turn % 3 + 1] AS r FROM conversations WHERE text IS NOT NULL)
+    SELECT query_id, r.s::DOUBLE AS start, (r.s + 86400 * r.n)::DOUBLE AS "end", r.g AS grain, r.c::DOUBLE AS confidence, 1.0::DOUBLE AS query_weight, r.x AS expression FROM e""")
 def resolved_expressions(spark, d):
     asked = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.concat(F.col("text"), F.element_at(F.array(F.lit(" 3 days ago"), F.lit(" next month"), F.lit(" on 2024-01-05")), (F.col("turn") % 3 + 1).cast("int"))).alias("text"), F.lit(1.0).alias("weight"))
     return temporal.resolved(asked, NOW)
