@@ -213,10 +213,10 @@ def rewired_edges(spark, d):
     return G.rewired(edges, moves.where("id <> survivor")).select("id", "src", "dst")
 
 
-@query("""WITH p AS (SELECT c_custkey AS id, c_custkey // 6 AS component, c_acctbal::INT % 3 AS created_at, CASE WHEN c_custkey % 2 = 0 THEN 'u' END AS user_id, c_mktsegment AS name FROM customer)
+@query("""WITH p AS (SELECT c_custkey AS id, c_custkey // 6 AS component, floor(abs(c_acctbal))::INT % 3 AS created_at, CASE WHEN c_custkey % 2 = 0 THEN 'u' END AS user_id, c_mktsegment AS name FROM customer)
     SELECT id, first(id) OVER (PARTITION BY component ORDER BY created_at, user_id IS NULL, -length(name), id) AS survivor FROM p""")
 def merge_survivors(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr("c_custkey div 6").alias("component"), (F.round("c_acctbal").cast("int") % 3).alias("created_at"), F.when(F.col("c_custkey") % 2 == 0, "u").alias("user_id"), F.col("c_mktsegment").alias("name"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr("c_custkey div 6").alias("component"), (F.floor(F.abs("c_acctbal")).cast("int") % 3).alias("created_at"), F.when(F.col("c_custkey") % 2 == 0, "u").alias("user_id"), F.col("c_mktsegment").alias("name"))
     return G.survivors(c.drop("component"), c.select("id", "component"))
 
 
