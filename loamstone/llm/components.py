@@ -48,11 +48,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         before, now = now, saved(_star(_star(now, True, rows), False, rows))
         released(before)
-        seen = now.agg(F.count("*"), F.sum(F.col("dst").cast("decimal(38,0)")), F.countDistinct("dst")).first()
-        stars = now.select("dst").distinct().join(now.select(F.col("src").alias("dst")), "dst", "left_semi").isEmpty()
-        if stars or tuple(seen) == mark:
+        # done when no node has both ends; the sum over the roots shows whether a round has moved anything
+        ends = now.select(F.explode(F.array(F.struct(F.col("src").alias("v"), F.lit(1).alias("end")), F.struct(F.col("dst").alias("v"), F.lit(2).alias("end")))).alias("x")).select("x.*")
+        nodes = ends.groupBy("v").agg(F.bit_or("end").alias("ends"), F.count_if(F.col("end") == 2).alias("below"))
+        seen = nodes.agg(F.count_if(F.col("ends") == 3), F.sum("below"), F.sum(F.col("v").cast("decimal(38,0)") * F.col("below"))).first()
+        if not seen[0] or tuple(seen) == mark:
             break
-        mark, rows = tuple(seen), seen[0]
+        mark, rows = tuple(seen), seen[1]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct()

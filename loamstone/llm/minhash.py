@@ -197,7 +197,10 @@ def _left_apart(buckets: DataFrame, homes: DataFrame, sets: DataFrame, labels: D
     across = saved(spread.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("home").alias("a"), F.max("home").alias("z")).where("lo < hi and a < z").select("band"))
     # home + 1: 0 is for rows that are compared whatever their home
     by_band = spread.join(across, "band").select(F.lit("band").alias("kind"), F.col("band").alias("key"), F.col("rep").alias("id"), "component", (F.col("home") + 1).alias("home"), "n")
-    return _blocks_of(saved(by_home.unionByName(by_band)), ["kind", "key"], sets, percent).distinct()
+    members = saved(by_home.unionByName(by_band))
+    if members.isEmpty():  # all buckets are of one component
+        return members.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    return _blocks_of(members, ["kind", "key"], sets, percent).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS) -> DataFrame:
@@ -229,8 +232,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = saved(texts.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]).mapInArrow(_sets(shingle), "id long, x array<long>"))
     members = some.join(classes, ["n", "d1", "d2"]).where("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst")).distinct()
     stars = saved(confirmed(pairs, sets, percent).distinct())
-    apart = saved(_left_apart(starred.select("band", "rep"), homes, sets, components(stars), percent))
-    links = saved(stars.unionByName(apart).unionByName(members))
+    labels = components(stars)
+    apart = saved(_left_apart(starred.select("band", "rep"), homes, sets, labels, percent))
+    # the stars count by what they join, which is short of chains already
+    links = saved(labels.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(apart).unionByName(members))
     released(sizes, buckets, hubs, starred, homes, sets, stars, apart, classes)
     final = components(links)
     out = signed.select("id", "n").join(final, "id", "left")
