@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import over_cores, released, saved
 
-__all__ = ["free_name", "released", "saved", "table"]
+__all__ = ["free_name", "met", "released", "saved", "table"]
+
+#: a key with more than a HOT-th part of all rows is hot: there are fewer than HOT of them
+HOT = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,3 +24,13 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def met(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``groups``, a table with a row for each key and its number of rows in ``size``; ``total`` is the number of all rows.
+
+    The rows of hot keys meet their group by a broadcast of fewer than HOT rows and stay where they are; those of the others by a shuffle.
+    """
+    hot = F.col(size) > max(1000, total / HOT)
+    big = F.broadcast(groups.where(hot))
+    return rows.join(big, keys).unionByName(rows.join(big.select(keys), keys, "left_anti").join(groups.where(~hot), keys, how))

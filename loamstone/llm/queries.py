@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, minhash, packing, quality, suffix_dedup, token_counts, toxicity, url_filter
+from . import decontaminate, exact_dedup, language_id, license_scan, minhash, packing, quality, suffix_dedup, token_counts, toxicity, url_filter
 from .io import table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -63,11 +63,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), _remainder(3) == 1)
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_minhash_near_dedup, op3_toxicity, op4_url_filters, op5_suffix_array_dedup,
         op6_quality_rules, op7_token_counts, op8_license_scans, op9_benchmark_decontamination, op10_language_id,
+        op13_exact_dedup,
     )
 }
 
@@ -85,4 +90,9 @@ ORACLE_SQL: dict[str, str] = {
     """,
     # the tail of the binomial distribution by the logarithms of its terms; the grids are those of quality.GRIDS
     "op6_quality_rules": quality.oracle_sql(),
+    "op13_exact_dedup": """
+        WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)
+        SELECT doc_id, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size, row_number() OVER w = 1 AS kept, sha256(x) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY x ORDER BY doc_id DESC NULLS LAST)
+    """,
 }
