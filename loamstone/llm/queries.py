@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, license_scan, minhash, packing, quality, suffix_dedup, token_counts, toxicity, url_filter
+from . import conversation_repair, decontaminate, exact_dedup, language_id, license_scan, minhash, packing, quality, suffix_dedup, token_counts, toxicity, url_filter
 from .io import table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -63,6 +63,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), _remainder(3) == 1)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    ids = rows.select(F.col("conv_id").cast("long").alias("conv"))
+    return conversation_repair.reports(conversation_repair.damaged(rows), ids).withColumnRenamed("conv", "conv_id")
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -72,7 +78,7 @@ QUERIES = {
     for f in (
         op1_packing, op2_minhash_near_dedup, op3_toxicity, op4_url_filters, op5_suffix_array_dedup,
         op6_quality_rules, op7_token_counts, op8_license_scans, op9_benchmark_decontamination, op10_language_id,
-        op13_exact_dedup,
+        op11_conversation_repair, op13_exact_dedup,
     )
 }
 
