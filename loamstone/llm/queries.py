@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontaminate, exact_dedup, language_id, license_scan, minhash, packing, quality, suffix_dedup, token_counts, toxicity, url_filter
+from . import conversation_repair, decontaminate, exact_dedup, language_id, license_scan, minhash, packing, phrase_mining, quality, suffix_dedup, token_counts, toxicity, url_filter
 from .io import table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -69,6 +69,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.reports(conversation_repair.damaged(rows), ids).withColumnRenamed("conv", "conv_id")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -78,7 +82,7 @@ QUERIES = {
     for f in (
         op1_packing, op2_minhash_near_dedup, op3_toxicity, op4_url_filters, op5_suffix_array_dedup,
         op6_quality_rules, op7_token_counts, op8_license_scans, op9_benchmark_decontamination, op10_language_id,
-        op11_conversation_repair, op13_exact_dedup,
+        op11_conversation_repair, op12_phrase_collocations, op13_exact_dedup,
     )
 }
 
@@ -96,6 +100,27 @@ ORACLE_SQL: dict[str, str] = {
     """,
     # the tail of the binomial distribution by the logarithms of its terms; the grids are those of quality.GRIDS
     "op6_quality_rules": quality.oracle_sql(),
+    "op12_phrase_collocations": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+        pieces AS (SELECT lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+        lists AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+        starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+        spans AS (SELECT lang, w, i, unnest([1, 2, 3, 4]) AS m FROM starts),
+        f AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS f FROM spans WHERE i + m - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang),
+        cand AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+        cuts AS (SELECT *, unnest(range(1, m)) AS k FROM cand),
+        scored AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+                   FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.k], ' ')
+                   JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1 : c.m], ' ')),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM scored) WHERE o = 1),
+        inner_ AS (SELECT lang, a, w, m, unnest(range(1, m)) AS i FROM cand WHERE m > 2),
+        inners AS (SELECT lang, a, w, m, i, unnest(range(2, m)) AS s FROM inner_),
+        hidden AS (SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(a) AS outer_a FROM inners WHERE i + s - 1 <= m GROUP BY ALL),
+        free AS (SELECT b.* FROM best b LEFT JOIN hidden h USING (lang, phrase) WHERE h.outer_a IS NULL OR 100 * h.outer_a::HUGEINT < 80 * b.a::HUGEINT),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
     "op13_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)
         SELECT doc_id, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size, row_number() OVER w = 1 AS kept, sha256(x) AS text_sha256
