@@ -160,13 +160,13 @@ def _place(split: tuple, tongues: list, names: list) -> tuple[int, ...]:
     return tuple(out) + (0,) * (LONGEST + 1 - len(out))
 
 
-def _cut(splits: Broadcast):
+def _cut(splits: Broadcast, shard_bytes: int):
     """(range, langs, words, automaton) of the shards of a task, a row for each range that a shard has paths in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = tb.flat(batch.column("text"))
-            for i, j in tb.chunks(offsets, SHARD_BYTES):
+            for i, j in tb.chunks(offsets, shard_bytes):
                 yield shard(batch.column("lang").slice(i, j - i), raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
     def shard(langs: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
@@ -228,19 +228,23 @@ def _united(least: int):
     return run
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, bytes): one path in SAMPLE_WORDS words."""
-    rng = np.random.default_rng(7)
-    for batch in batches:
-        raw, offsets = tb.flat(batch.column("text"))
-        for i, j in tb.chunks(offsets, SHARD_BYTES):
-            words, text, piece = _words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            at = np.flatnonzero(rng.integers(0, SAMPLE_WORDS, len(text)) == 0)
-            found = []
-            for p in at.tolist():
-                own = [x.as_py() for k, x in enumerate(words[p : p + LONGEST]) if piece[p + k] == piece[p]]
-                found.append([batch.column("lang")[i + int(text[p])].as_py().encode(), *own, *[b""] * (LONGEST - len(own))])
-            yield pa.RecordBatch.from_arrays([pa.array([*found, None], pa.list_(pa.binary())), pa.array([0] * len(found) + [int(offsets[j] - offsets[i])], pa.int64())], names=["path", "bytes"])
+def _sampled(one_in: int):
+    """(path, bytes): one path in ``one_in`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(7)
+        for batch in batches:
+            raw, offsets = tb.flat(batch.column("text"))
+            for i, j in tb.chunks(offsets, SHARD_BYTES):
+                words, text, piece = _words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                at = np.flatnonzero(rng.integers(0, one_in, len(text)) == 0)
+                found = []
+                for p in at.tolist():
+                    own = [x.as_py() for k, x in enumerate(words[p : p + LONGEST]) if piece[p + k] == piece[p]]
+                    found.append([batch.column("lang")[i + int(text[p])].as_py().encode(), *own, *[b""] * (LONGEST - len(own))])
+                yield pa.RecordBatch.from_arrays([pa.array([*found, None], pa.list_(pa.binary())), pa.array([0] * len(found) + [int(offsets[j] - offsets[i])], pa.int64())], names=["path", "bytes"])
+
+    return run
 
 
 def frequencies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> DataFrame:
@@ -248,12 +252,12 @@ def frequencies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    sample = own.sample(share, 7).mapInArrow(_sampled, "path array<binary>, bytes long").toArrow()  # of bounded size
+    sample = own.sample(share, 7).mapInArrow(_sampled(SAMPLE_WORDS), "path array<binary>, bytes long").toArrow()  # of bounded size
     found = sorted(tuple(x) for x in sample.column("path").to_pylist() if x)
     size = sum(sample.column("bytes").to_pylist()) / share
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / RANGE_BYTES))
     splits = sorted({found[len(found) * k // ranges] for k in range(1, ranges)}) if found else []
-    cut = own.mapInArrow(_cut(spark.sparkContext.broadcast(splits)), "range int, langs array<binary>, words array<binary>, automaton binary")
+    cut = own.mapInArrow(_cut(spark.sparkContext.broadcast(splits), SHARD_BYTES), "range int, langs array<binary>, words array<binary>, automaton binary")
     some = saved(cut.groupBy("range").applyInArrow(_united(least), "lang string, n int, phrase string, f long, whole boolean"))
     summed = some.where("not whole").groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("n") == 0))
     return saved(some.where("whole").select("lang", "n", "phrase", "f").unionByName(summed))
