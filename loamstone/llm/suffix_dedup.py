@@ -224,7 +224,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = saved(windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"))
     rest = windows.join(again, "w", "left_semi").select("id", "h", F.col("at").alias("s"), (F.col("at") + window).alias("e"))
     spans = one.unionByName(many).unionByName(live.select("id", "h", "s", "e")).unionByName(rest)
-    return spans.groupBy("id", "h").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
+    # a set: equal rows have equal spans, and there may be very many of them
+    return spans.groupBy("id", "h").agg(F.collect_set(F.struct("s", "e")).alias("x")).select("id", "h", F.col("x.s").alias("starts"), F.col("x.e").alias("ends"))
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, words: int | None = None) -> DataFrame:
