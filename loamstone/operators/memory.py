@@ -123,30 +123,70 @@ def versioned(rows: DataFrame, changes: DataFrame, now: float) -> DataFrame:
 
 
 def thread_states(updates: DataFrame) -> DataFrame:
-    """(thread, status, resolution, resolved_at) after updates (thread, seq, action, text, at) in order: create opens, resolve and dismiss close open ones, reopen opens closed ones.
+    """(thread, status, content, follow_up, not_before, resolution, resolved_at) after updates (thread, seq, action, content, follow_up, not_before, resolution, at) in order of seq.
 
-    An action whose precondition fails changes nothing. After the first create the last closing or reopening action decides, and what closes is the first closing
-    action after the last reopening: three aggregates, so no thread's updates meet in one row.
+    create opens a thread that is not there yet and needs content; update changes an open one; resolve and dismiss close an open one and need a resolution that is not blank; reopen
+    opens and forgets the resolution. What an action supplies besides (content that is not blank, follow_up, not_before) is carried by it if it applies, and not otherwise.
+
+    Whether a thread is open before a row is told by the last row before it that opens or closes: rows are dealt over ranges of (thread, seq), so no thread is one task's.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    first = updates.where((F.col("action") == "create") & (text("content") != "")).groupBy("thread").agg(F.min("seq").alias("_open"))
+    own = updates.join(first, "thread").where(F.col("seq") >= F.col("_open"))
+    closes = F.col("action").isin("resolve", "dismiss") & (text("resolution") != "")
+    opens = (F.col("action") == "reopen") | (F.col("seq") == F.col("_open"))
+    own = own.withColumn("_turn", F.when(opens | closes, F.struct("thread", "seq", opens.alias("open"))))
+    ranged = B.carried(B.ranges_in_order(own, ["thread", "seq"]), F.col("_turn"), "_carried", F.max)
+    inside = F.max("_turn").over(Window.partitionBy("_range").orderBy("thread", "seq").rowsBetween(Window.unboundedPreceding, -1))
+    before = ranged.withColumn("_before", F.coalesce(inside, F.col("_carried")))
+    was_open = F.coalesce((F.col("_before.thread") == F.col("thread")) & F.col("_before.open"), F.lit(False))
+    applied = before.where(opens | (was_open & (closes | (F.col("action") == "update"))))
+    last = lambda c, when: F.max_by(c, F.when(when, F.col("seq")))
+    done = applied.groupBy("thread").agg(
+        F.max_by(F.struct(F.col("action"), text("resolution").alias("text"), F.col("at")), F.when(opens | closes, F.col("seq"))).alias("x"),
+        last(text("content"), text("content") != "").alias("content"), last(text("follow_up"), F.col("follow_up").isNotNull()).alias("follow_up"), last(F.col("not_before"), F.col("not_before").isNotNull()).alias("not_before"),
+    )
+    status = F.when(F.col("x.action") == "resolve", "resolved").when(F.col("x.action") == "dismiss", "dismissed").otherwise("open")
+    closed = status != "open"
+    return done.select("thread", status.alias("status"), "content", F.coalesce("follow_up", F.lit("")).alias("follow_up"), "not_before", F.when(closed, F.col("x.text")).alias("resolution"), F.when(closed, F.col("x.at")).alias("resolved_at"))
+
+
+def merged_statements(rows: DataFrame, scope: str | None = None) -> DataFrame:
+    """Statements (id, content, visibility, disclosed_to) that say the same, case aside, over all rows or inside a scope: the first one each, with the union of its audience.
+
+    One private repetition makes it private; nothing private becomes public by this. An audience is a set of persons, so a statement that very many rows repeat stays small.
     """
-    first = updates.where("action = 'create'").groupBy("thread").agg(F.min("seq").alias("_open"))
-    later = updates.join(first, "thread").where(F.col("seq") > F.col("_open"))
-    reopened = later.where("action = 'reopen'").groupBy("thread").agg(F.max("seq").alias("_again"))
-    last = first.join(reopened, "thread", "left").select("thread", F.coalesce("_again", "_open").alias("_from"))
-    closing = later.where("action in ('resolve', 'dismiss')").join(last, "thread").where(F.col("seq") > F.col("_from"))
-    closed = closing.groupBy("thread").agg(F.min_by(F.struct("action", "text", "at"), "seq").alias("x"))
-    status = F.when(F.col("x").isNull(), "open").when(F.col("x.action") == "resolve", "resolved").otherwise("dismissed")
-    return first.join(closed, "thread", "left").select("thread", status.alias("status"), F.col("x.text").alias("resolution"), F.col("x.at").alias("resolved_at"))
-
-
-def merged_statements(rows: DataFrame, scope: str = "user_id") -> DataFrame:
-    """Statements that say the same, case aside: one each with the union of its audience; a private one never becomes public by this."""
-    key = T.folded(F.col("content"))
-    return rows.groupBy(scope, key.alias("_k")).agg(
-        F.min("id").alias("id"), F.min_by("content", "id").alias("content"), F.min_by("visibility", "id").alias("visibility"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("disclosed_to")))).alias("disclosed_to"),
+    keys = [T.folded(F.col("content")).alias("_k"), *([scope] if scope else [])]
+    each = rows.withColumn("_who", F.explode_outer("disclosed_to"))
+    return each.groupBy(*keys).agg(
+        F.min("id").alias("id"), F.min_by("content", "id").alias("content"), F.when(F.max(F.col("visibility") == "private"), "private").otherwise(F.min_by("visibility", "id")).alias("visibility"),
+        F.array_sort(F.collect_set("_who")).alias("disclosed_to"),
     ).drop("_k")
 
 
+def updated_statements(rows: DataFrame, updates: DataFrame) -> DataFrame:
+    """Statements (id, content, visibility, disclosed_to) after updates (id, seq, operation, content, visibility, people), in order of seq.
+
+    disclose adds people to the audience; revise, which needs content, replaces content and audience: who heard the old version need not know the new one. An update that is private
+    makes a statement private, no update makes it public. Updates of unknown statements, and other operations, change nothing.
+    """
+    text = F.trim(F.coalesce("content", F.lit("")))
+    valid = updates.where((F.col("operation") == "disclose") | ((F.col("operation") == "revise") & (text != "")))
+    whole = valid.groupBy("id").agg(
+        F.max_by(F.struct(text.alias("content"), F.col("seq")), F.when(F.col("operation") == "revise", F.col("seq"))).alias("_last"), F.max(F.coalesce(F.col("visibility") == "private", F.lit(False))).alias("_private"),
+    )
+    heard = valid.join(whole.select("id", "_last"), "id").where(F.col("_last").isNull() | (F.col("seq") >= F.col("_last.seq")))
+    heard = heard.select("id", F.explode("people").alias("_who")).groupBy("id").agg(F.collect_set("_who").alias("_heard"))
+    none = F.array().cast("array<string>")
+    out = rows.join(whole, "id", "left").join(heard, "id", "left")
+    known = F.when(F.col("_last").isNull(), F.coalesce("disclosed_to", none)).otherwise(none)
+    return out.withColumns({
+        "disclosed_to": F.when(F.col("_private").isNull(), F.col("disclosed_to")).otherwise(F.array_sort(F.array_union(known, F.coalesce("_heard", none)))),
+        "content": F.coalesce("_last.content", "content"),
+        "visibility": F.when(F.col("_private"), "private").otherwise(F.col("visibility")),
+    }).select(rows.columns)
+
+
 def profile_updates(profiles: DataFrame, updates: DataFrame) -> DataFrame:
     """Profiles (user_id, summary, aliases) with the new summaries and the sorted union of aliases; new users come."""
     u = updates.select("user_id", F.col("summary").alias("_s"), F.col("aliases").alias("_a"))

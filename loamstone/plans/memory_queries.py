@@ -312,10 +312,34 @@ def versioned_statements(spark, d):
     return M.versioned(rows, changes, NOW).select("id", "content", F.size("history").alias("versions"), F.col("source_message_ids").alias("sources"))
 
 
-@query(f"""WITH {_ROWS} SELECT user_id, min(id) AS id, array_to_string(list_sort(list_distinct(list('d' || (id % 6)))), ',') AS disclosed FROM rows_ GROUP BY user_id, lower(trim(type))""")
+_SAID = "said AS (SELECT id, CASE WHEN id % 2 = 0 THEN upper(type) ELSE ' ' || type END || (id % 90) AS content, CASE WHEN id % 450 = 7 THEN 'private' ELSE 'public' END AS visibility, 'd' || (id % 6) AS who FROM rows_)"
+
+
+def _said(spark, d):
+    k = F.col("id")
+    content = F.concat(F.when(k % 2 == 0, F.upper("type")).otherwise(F.concat(F.lit(" "), "type")), (k % 90).cast("string"))
+    return remembered(spark, d).select("id", content.alias("content"), F.when(k % 450 == 7, "private").otherwise("public").alias("visibility"), F.array(F.concat(F.lit("d"), (k % 6).cast("string"))).alias("disclosed_to"))
+
+
+@query(f"""WITH {_ROWS}, {_SAID} SELECT min(id) AS id, arg_min(content, id) AS content, CASE WHEN bool_or(visibility = 'private') THEN 'private' ELSE 'public' END AS visibility, array_to_string(list_sort(list_distinct(list(who))), ',') AS disclosed FROM said GROUP BY lower(trim(content))""")
 def merged_statements(spark, d):
-    rows = remembered(spark, d).select("id", "user_id", F.when(F.col("id") % 2 == 0, F.upper("type")).otherwise(F.concat(F.lit(" "), "type")).alias("content"), F.lit("private").alias("visibility"), F.array(F.concat(F.lit("d"), (F.col("id") % 6).cast("string"))).alias("disclosed_to"))
-    return M.merged_statements(rows).select("user_id", "id", F.array_join("disclosed_to", ",").alias("disclosed"))
+    return M.merged_statements(_said(spark, d)).select("id", "content", "visibility", F.array_join("disclosed_to", ",").alias("disclosed"))
+
+
+@query(f"""WITH RECURSIVE {_ROWS}, {_SAID}, st AS (SELECT * FROM said WHERE id % 5 = 0), u AS (SELECT id // 7 * 5 AS id, id AS seq, ['disclose', 'revise', 'create'][id % 3 + 1] AS operation, CASE WHEN id % 4 = 0 THEN ' ' ELSE 'v' || id END AS content,
+            CASE WHEN id % 11 = 0 THEN 'private' WHEN id % 2 = 0 THEN 'public' END AS visibility, ['e' || (id % 3), 'd' || (id % 5)] AS people, row_number() OVER (PARTITION BY id // 7 ORDER BY id) AS n FROM rows_),
+    s AS (SELECT id, 0::BIGINT AS n, content, visibility, [who] AS people FROM st
+          UNION ALL SELECT s.id, u.n, CASE WHEN revises THEN u.content ELSE s.content END, CASE WHEN (revises OR discloses) AND u.visibility = 'private' THEN 'private' ELSE s.visibility END, CASE WHEN revises THEN u.people WHEN discloses THEN list_concat(s.people, u.people) ELSE s.people END
+          FROM s JOIN u ON u.id = s.id AND u.n = s.n + 1, LATERAL (SELECT u.operation = 'revise' AND trim(u.content) <> '' AS revises, u.operation = 'disclose' AS discloses))
+    SELECT id, content, visibility, array_to_string(list_sort(list_distinct(people)), ',') AS disclosed FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1""")
+def updated_statements(spark, d):
+    k = F.col("id")
+    name = lambda letter, by: F.concat(F.lit(letter), (k % by).cast("string"))
+    updates = remembered(spark, d).select(
+        (F.expr("id div 7") * 5).alias("id"), k.alias("seq"), F.get(F.array(*map(F.lit, ["disclose", "revise", "create"])), (k % 3).cast("int")).alias("operation"), F.when(k % 4 == 0, " ").otherwise(F.concat(F.lit("v"), k.cast("string"))).alias("content"),
+        F.when(k % 11 == 0, "private").when(k % 2 == 0, "public").alias("visibility"), F.array(name("e", 3), name("d", 5)).alias("people"),
+    )
+    return M.updated_statements(_said(spark, d).where("id % 5 = 0"), updates).select("id", "content", "visibility", F.array_join("disclosed_to", ",").alias("disclosed"))
 
 
 @query("""SELECT coalesce(c_custkey, o) AS user_id, coalesce('order ' || n, c_mktsegment) AS summary, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN c_custkey IS NULL THEN [] ELSE [c_name] END, CASE WHEN o IS NULL THEN [] ELSE ['b', 'a'] END))), ',') AS aliases

@@ -648,16 +648,22 @@ def applied_facts(spark, d):
     return M.applied_facts(rows, known, spark.range(70).where("id % 3 <> 0")).select("id", "user_id", "source_message_ids")
 
 
-@query("""WITH RECURSIVE h AS (SELECT user_id AS thread, ['create', 'resolve', 'reopen', 'dismiss', 'other'][(event_id * 7 + user_id) % 5 + 1] AS action, 't' || event_id AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-    s AS (SELECT thread, 0::BIGINT AS n, NULL::VARCHAR AS status, NULL::VARCHAR AS resolution FROM (SELECT DISTINCT thread FROM h)
-          UNION ALL SELECT s.thread, h.n, CASE WHEN opens THEN 'open' WHEN closes THEN h.action || CASE WHEN h.action = 'resolve' THEN 'd' ELSE 'ed' END ELSE s.status END, CASE WHEN closes THEN h.text WHEN opens THEN NULL ELSE s.resolution END
-          FROM s JOIN h ON h.thread = s.thread AND h.n = s.n + 1, LATERAL (SELECT coalesce((h.action = 'create' AND s.status IS NULL) OR (h.action = 'reopen' AND s.status IN ('resolved', 'dismissed')), false) AS opens, coalesce(h.action IN ('resolve', 'dismiss') AND s.status = 'open', false) AS closes))
-    SELECT thread, arg_max(status, n) AS status, (max_by({'r': resolution}, n)).r AS resolution FROM s GROUP BY thread HAVING arg_max(status, n) IS NOT NULL""")
+@query("""WITH RECURSIVE h AS (SELECT user_id AS thread, ['create', 'resolve', 'reopen', 'dismiss', 'update'][(event_id * 7 + user_id) % 5 + 1] AS action, CASE WHEN event_id % 3 = 0 THEN '  ' ELSE 'c' || event_id END AS content,
+            CASE WHEN event_id % 4 = 0 THEN ' ' ELSE 't' || event_id END AS text, CASE WHEN event_id % 5 = 0 THEN 'f' || event_id END AS follow_up, CASE WHEN event_id % 7 = 0 THEN event_id::DOUBLE END AS not_before, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    s AS (SELECT thread, 0::BIGINT AS n, NULL::VARCHAR AS status, NULL::VARCHAR AS content, NULL::VARCHAR AS follow_up, NULL::DOUBLE AS not_before, NULL::VARCHAR AS resolution FROM (SELECT DISTINCT thread FROM h)
+          UNION ALL SELECT s.thread, h.n, CASE WHEN opens THEN 'open' WHEN closes THEN h.action || CASE WHEN h.action = 'resolve' THEN 'd' ELSE 'ed' END ELSE s.status END, CASE WHEN changes AND trim(h.content) <> '' THEN h.content ELSE s.content END,
+          CASE WHEN changes THEN coalesce(h.follow_up, s.follow_up) ELSE s.follow_up END, CASE WHEN changes THEN coalesce(h.not_before, s.not_before) ELSE s.not_before END, CASE WHEN closes THEN h.text WHEN opens THEN NULL ELSE s.resolution END
+          FROM s JOIN h ON h.thread = s.thread AND h.n = s.n + 1, LATERAL (SELECT coalesce((h.action = 'create' AND s.status IS NULL AND trim(h.content) <> '') OR (h.action = 'reopen' AND s.status IS NOT NULL), false) AS opens,
+              coalesce(h.action IN ('resolve', 'dismiss') AND s.status = 'open' AND trim(h.text) <> '', false) AS closes, coalesce(h.action = 'update' AND s.status = 'open', false) AS updates), LATERAL (SELECT opens OR closes OR updates AS changes))
+    SELECT thread, status, content, coalesce(follow_up, '') AS follow_up, not_before, resolution FROM s WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY thread ORDER BY n DESC) = 1""")
 def thread_states(spark, d):
-    names = F.array(*map(F.lit, ["create", "resolve", "reopen", "dismiss", "other"]))
-    action = F.get(names, ((F.col("event_id") * 7 + F.col("user_id")) % 5).cast("int"))
-    updates = table(spark, d, "events").select(F.col("user_id").alias("thread"), F.col("event_id").alias("seq"), action.alias("action"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("text"), T.epoch(F.col("ts")).alias("at"))
-    return M.thread_states(updates).select("thread", "status", "resolution")
+    k, names = F.col("event_id"), F.array(*map(F.lit, ["create", "resolve", "reopen", "dismiss", "update"]))
+    some = lambda letter: F.concat(F.lit(letter), k.cast("string"))
+    updates = table(spark, d, "events").select(
+        F.col("user_id").alias("thread"), k.alias("seq"), F.get(names, ((k * 7 + F.col("user_id")) % 5).cast("int")).alias("action"), F.when(k % 3 == 0, "  ").otherwise(some("c")).alias("content"), F.when(k % 5 == 0, some("f")).alias("follow_up"),
+        F.when(k % 7 == 0, k.cast("double")).alias("not_before"), F.when(k % 4 == 0, " ").otherwise(some("t")).alias("resolution"), T.epoch(F.col("ts")).alias("at"),
+    )
+    return M.thread_states(updates).drop("resolved_at")
 
 
 @query(f"WITH {_MSG}, t AS (SELECT chat_id, arg_max(trim(regexp_replace(content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), id) AS t FROM messages WHERE role = 'user' AND trim(content) <> '' GROUP BY chat_id) SELECT chat_id, CASE WHEN length(t) > 160 THEN substr(t, 1, 159) || '…' ELSE t END AS preview FROM t")

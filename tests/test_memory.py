@@ -15,8 +15,21 @@ def test_versions(spark):
 
 def test_threads(spark):
     steps = [("a", 1, "resolve"), ("a", 2, "create"), ("a", 3, "dismiss"), ("a", 4, "resolve"), ("a", 5, "reopen"), ("b", 1, "create"), ("b", 2, "resolve"), ("c", 1, "reopen")]
-    updates = spark.createDataFrame([(t, n, a, f"{a}{n}", float(n)) for t, n, a in steps], "thread string, seq int, action string, text string, at double")
-    assert sorted(map(tuple, M.thread_states(updates).collect())) == [("a", "open", None, None), ("b", "resolved", "resolve2", 2.0)]
+    schema = "thread string, seq int, action string, content string, follow_up string, not_before double, resolution string, at double"
+    updates = spark.createDataFrame([(t, n, a, f"{a}{n}", None, None, f"{a}{n}", float(n)) for t, n, a in steps], schema)
+    assert sorted(map(tuple, M.thread_states(updates).collect())) == [("a", "open", "reopen5", "", None, None, None), ("b", "resolved", "resolve2", "", None, "resolve2", 2.0)]
+    blank = spark.createDataFrame([("t", 1, "create", "x", " ask ", 9.0, None, 1.0), ("t", 2, "resolve", "lost", "f", None, "  ", 2.0), ("t", 3, "update", " ", "", 5.0, None, 3.0), ("n", 1, "create", " ", None, None, None, 1.0)], schema)
+    assert [tuple(r) for r in M.thread_states(blank).collect()] == [("t", "open", "x", "", 5.0, None, None)]
+
+
+def test_private_statements_stay_private(spark):
+    schema = "id long, content string, visibility string, disclosed_to array<string>"
+    for first, second in (("public", "private"), ("private", "public")):
+        rows = spark.createDataFrame([(1, "Tea", first, ["a"]), (2, " tea", second, ["b", "a"]), (3, "x", "public", [])], schema)
+        assert sorted(map(tuple, M.merged_statements(rows).collect())) == [(1, "Tea", "private", ["a", "b"]), (3, "x", "public", [])]
+    updates = spark.createDataFrame([(1, 1, "disclose", None, None, ["c"]), (1, 2, "revise", "Coffee", None, ["d"]), (1, 3, "disclose", None, "private", ["e"]), (1, 4, "revise", " ", None, ["z"]), (3, 1, "disclose", None, "public", ["q"]), (9, 1, "revise", "k", None, [])], "id long, seq int, operation string, content string, visibility string, people array<string>")
+    rows = spark.createDataFrame([(1, "Tea", "public", ["a"]), (2, "b", "private", ["b"]), (3, "x", "private", None)], schema)
+    assert sorted(map(tuple, M.updated_statements(rows, updates).collect())) == [(1, "Coffee", "private", ["d", "e"]), (2, "b", "private", ["b"]), (3, "x", "private", ["q"])]
 
 
 def test_evidence_and_rendering(spark):
