@@ -24,8 +24,8 @@ from . import textbytes as tb
 from .io import saved
 
 LONGEST, LEAST, TOP, COVERED = 4, 30, 2000, 80
-#: bytes of the texts of a shard, and of those whose paths make a range
-SHARD_BYTES, RANGE_BYTES = 16 << 20, 16 << 20
+#: bytes of the texts of a shard, and of those whose paths make a range; a range is united in PARTS, one after another
+SHARD_BYTES, RANGE_BYTES, PARTS = 4 << 20, 32 << 20, 8
 #: split points come from about this many documents, one path for each SAMPLE_WORDS words; they decide balance only
 SAMPLE_DOCS, SAMPLE_WORDS = 20_000, 200
 BREAKS = np.zeros(256, bool)
@@ -56,10 +56,14 @@ def _numbered(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy(zero_copy_only=False)]
 
 
+def _keys(columns: list[np.ndarray], base: int) -> tuple[np.ndarray, np.ndarray]:
+    """A path as two numbers; symbols are less than ``base``."""
+    return (columns[0].astype(np.int64) * base + columns[1]) * base + columns[2], columns[3].astype(np.int64) * base + columns[4]
+
+
 def _summed(columns: list[np.ndarray], weights: np.ndarray | None, base: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Different paths in order, and the sums of their weights (1 each by default). Symbols are less than ``base``; two keys hold a path."""
-    high = (columns[0].astype(np.int64) * base + columns[1]) * base + columns[2]
-    low = columns[3].astype(np.int64) * base + columns[4]
+    """Different paths in order, and the sums of their weights (1 each by default)."""
+    high, low = _keys(columns, base)
     order = np.lexsort((low, high))
     high, low = high[order], low[order]
     new = np.ones(len(order), bool)
@@ -74,9 +78,9 @@ def shard_paths(langs: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> tuple[
     words, text, piece = _words(raw, offsets)
     names, own = _numbered(words)
     tongues, spoken = _numbered(langs)
-    columns = [spoken[text]]
+    own, columns = own.astype(np.int32), [spoken[text].astype(np.int32)]
     for k in range(LONGEST):
-        symbol = np.zeros(len(own), np.int64)
+        symbol = np.zeros(len(own), np.int32)
         symbol[: len(own) - k] = np.where(piece[k:] == piece[: len(own) - k], own[k:] + 1, 0)
         columns.append(symbol)
     return tongues, names, *_summed(columns, None, len(names) + 2)
@@ -161,7 +165,7 @@ def _place(split: tuple, tongues: list, names: list) -> tuple[int, ...]:
 
 
 def _cut(splits: Broadcast, shard_bytes: int):
-    """(range, langs, words, automaton) of the shards of a task, a row for each range that a shard has paths in."""
+    """(range, langs, words, automata) of the shards of a task, a row for each range that a shard has paths in, with an automaton for each part of the range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +176,7 @@ def _cut(splits: Broadcast, shard_bytes: int):
     def shard(langs: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         tongues, names, columns, weights = shard_paths(langs.cast(pa.large_binary()), raw, offsets)
         base, rows = len(names) + 2, []
-        high, low = (columns[0] * base + columns[1]) * base + columns[2], columns[3] * base + columns[4]
+        high, low = _keys(columns, base)
         as_list = tongues.to_pylist(), names.to_pylist()
         at = [0]
         for split in splits.value:
@@ -180,15 +184,17 @@ def _cut(splits: Broadcast, shard_bytes: int):
             left, right = np.searchsorted(high, (a * base + b) * base + c, "left"), np.searchsorted(high, (a * base + b) * base + c, "right")
             at.append(int(left + np.searchsorted(low[left:right], d * base + e)))
         at.append(len(weights))
-        for k, (a, b) in enumerate(zip(at, at[1:])):
-            if a < b:
-                part = [c[a:b] for c in columns]
+        for k in range(0, len(at) - 1, PARTS):
+            own = at[k : k + PARTS + 1]
+            if own[0] < own[-1]:
+                part = [c[own[0] : own[-1]] for c in columns]
                 used = np.unique(np.concatenate(part[1:]))
                 used = used[used > 0]
                 spoken = np.unique(part[0])
                 part = [np.searchsorted(spoken, part[0]), *(np.where(c > 0, np.searchsorted(used, c) + 1, 0) for c in part[1:])]
-                rows.append((k, tongues.take(pa.array(spoken)).to_pylist(), names.take(pa.array(used - 1)).to_pylist(), automaton(part, weights[a:b])))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary()))], names=["range", "langs", "words", "automaton"])
+                each = [automaton([c[a - own[0] : b - own[0]] for c in part], weights[a:b]) if a < b else b"" for a, b in zip(own, own[1:])]
+                rows.append((k // PARTS, tongues.take(pa.array(spoken)).to_pylist(), names.take(pa.array(used - 1)).to_pylist(), each))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.binary())))], names=["range", "langs", "words", "automata"])
 
     return run
 
@@ -201,15 +207,22 @@ def _united(least: int):
         tongues, spoken = _numbered(langs.flatten().cast(pa.large_binary()))
         names, own = _numbered(words.flatten().cast(pa.large_binary()))
         lang_at, word_at = (np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())]) for x in (langs, words))
-        columns, weights = [[] for _ in range(LONGEST + 1)], []
-        for k, data in enumerate(table.column("automaton").to_pylist()):
-            part, w = paths(data)
-            weights.append(w)
-            columns[0].append(spoken[lang_at[k] + part[0]].astype(np.int32))
-            symbols = np.concatenate([[0], own[word_at[k] : word_at[k + 1]] + 1]).astype(np.int32)
-            for c, p in zip(columns[1:], part[1:], strict=True):
-                c.append(symbols[p])
-        columns, weights = _summed([np.concatenate(c) for c in columns], np.concatenate(weights), len(names) + 2)
+        out = []
+        for part in zip(*table.column("automata").to_pylist()):
+            columns, weights = [[] for _ in range(LONGEST + 1)], []
+            for k, data in enumerate(part):
+                if data:
+                    own_paths, w = paths(data)
+                    weights.append(w)
+                    columns[0].append(spoken[lang_at[k] + own_paths[0]].astype(np.int32))
+                    symbols = np.concatenate([[0], own[word_at[k] : word_at[k + 1]] + 1]).astype(np.int32)
+                    for c, p in zip(columns[1:], own_paths[1:], strict=True):
+                        c.append(symbols[p])
+            if weights:
+                out += counted(*_summed([np.concatenate(c) for c in columns], np.concatenate(weights), len(names) + 2), tongues, names)
+        return pa.concat_tables(out)
+
+    def counted(columns: list[np.ndarray], weights: np.ndarray, tongues: pa.Array, names: pa.Array) -> list[pa.Table]:
         new, out = np.zeros(len(weights), bool), []
         new[0] = True
         for n, c in enumerate(columns):
@@ -223,7 +236,7 @@ def _united(least: int):
             parts = [names.take(pa.array(x[at] - 1)) for x in columns[1 : n + 1]]
             phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if n else pa.array([b""] * len(at), pa.large_binary())
             out.append(pa.table({"lang": tongues.take(pa.array(columns[0][at])).cast(pa.string()), "n": pa.array(np.full(len(at), n, np.int32)), "phrase": phrase.cast(pa.string()), "f": pa.array(f), "whole": pa.array(~cut & (n > 0))}))
-        return pa.concat_tables(out)
+        return out
 
     return run
 
@@ -256,8 +269,8 @@ def frequencies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     found = sorted(tuple(x) for x in sample.column("path").to_pylist() if x)
     size = sum(sample.column("bytes").to_pylist()) / share
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / RANGE_BYTES))
-    splits = sorted({found[len(found) * k // ranges] for k in range(1, ranges)}) if found else []
-    cut = own.mapInArrow(_cut(spark.sparkContext.broadcast(splits), SHARD_BYTES), "range int, langs array<binary>, words array<binary>, automaton binary")
+    splits = [found[len(found) * k // (ranges * PARTS)] for k in range(1, ranges * PARTS)] if found else []  # equal ones leave parts empty
+    cut = own.mapInArrow(_cut(spark.sparkContext.broadcast(splits), SHARD_BYTES), "range int, langs array<binary>, words array<binary>, automata array<binary>")
     some = saved(cut.groupBy("range").applyInArrow(_united(least), "lang string, n int, phrase string, f long, whole boolean"))
     summed = some.where("not whole").groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("n") == 0))
     return saved(some.where("whole").select("lang", "n", "phrase", "f").unionByName(summed))
