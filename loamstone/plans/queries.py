@@ -22,6 +22,7 @@ from ..operators import memory as M
 from ..operators import recall as R
 from ..operators import retrieval as X
 from ..operators import tables as B
+from ..operators import vectors as N
 from ..session import over_cores
 from ..streaming import ingest as I
 
@@ -196,6 +197,26 @@ def dense_floor_filtered(spark, d):
     return X.ranked(near.where("score > 0.2"), 10).select("query_id", "id", "score", "rank")
 
 
+def _near(spark, d, **how) -> DataFrame:
+    near = N.nearest(N.inverted(table(spark, d, "embeddings")), _vectors(spark, d), 10, **how)
+    return X.ranked(near.withColumn("score", r6("score")), 10).select("query_id", "id", "score", "rank")
+
+
+@query(f"WITH {_DENSE.format(where='true')} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s QUALIFY rank < 10")
+def lists_topk_all_probed(spark, d):
+    return _near(spark, d, probes=1 << 30)
+
+
+@query(f"WITH {_DENSE.format(where='label = 3 AND vec_id % 10 = 3')} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s QUALIFY rank < 10")
+def lists_topk_completed(spark, d):
+    return _near(spark, d, probes=1, where=(F.col("label") == 3) & (F.col("vec_id") % 10 == 3))
+
+
+@query()
+def lists_topk(spark, d):
+    return _near(spark, d)
+
+
 @query(f"""WITH {_bm25_sql('true')}, lx AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) - 1 AS rank FROM s QUALIFY rank < 30),
     v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), dn AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE a.id IN (SELECT query_id FROM q)),
     dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM dn QUALIFY rank < 30),
