@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions import text as T
 from ..session import released, saved
+from . import graph as G
 
 SIMILAR = 0.92
+#: rows of a scope that is compared whole, rows of a bucket whose pairs are confirmed, the chance to miss a pair at the threshold
+SMALL, BUCKET, MISS = 2048, 64, 1e-6
 
 
 def exact_duplicates(rows: DataFrame, scope: str = "user_id", content: str = "content") -> DataFrame:
@@ -30,68 +36,121 @@ def merged_rows(rows: DataFrame, merges: DataFrame) -> DataFrame:
     return kept.join(whole.withColumnRenamed("survivor", "id"), "id").select(rows.columns)
 
 
-def _near(threshold: float):
-    def run(table: pa.Table) -> pa.Table:
-        ids, side = (table.column(c).to_numpy() for c in ("id", "side"))
-        place = np.empty(len(ids), object)
-        place[:] = [(x["t"], x["id"]) for x in table.column("place").to_pylist()]
-        v = np.stack(table.column("v").to_numpy())
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        score = v[left] @ v[right].T
-        i, j = np.nonzero(score >= threshold)
-        a, b, score = left[i], right[j], score[i, j]
-        later = place[a] > place[b] if len(a) else np.zeros(0, bool)
-        keep = later | ((side[a] == 0) & (a != b))  # within one block each pair comes twice, between two once
-        a, b, score, later = a[keep], b[keep], score[keep], later[keep].astype(bool)
-        return pa.table({"id": np.where(later, ids[a], ids[b]), "other": np.where(later, ids[b], ids[a]), "similarity": score})
+def bands(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
+    """(bits, tables) of random-hyperplane keys for n rows: two vectors at the threshold agree in a bit with 1 - acos(threshold) / pi, so they share no key of any table with a
+    chance of ``miss`` at most. Of the choices that hold this, the one with the fewest keys and chance companions for a row."""
+    same = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    choices = []
+    for bits in range(1, 40):
+        hit = same**bits
+        tables = 1 if hit >= 1 - miss else math.ceil(math.log(miss) / math.log1p(-hit))
+        choices.append((tables * (1 + 4 * n / 2**bits), bits, tables))
+    return min(choices)[1:]
+
+
+def _keys(bits: int, tables: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        weights = (np.uint64(1) << np.arange(bits, dtype=np.uint64)).astype(np.uint64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                v = np.stack(part.column("v").to_numpy(zero_copy_only=False)) if part.num_rows else np.zeros((0, 1))
+                if v.shape[1] not in planes:
+                    planes[v.shape[1]] = np.random.default_rng(20).normal(size=(v.shape[1], bits * tables))
+                signs = (v @ planes[v.shape[1]] > 0).reshape(len(v), tables, bits)
+                keys = (signs * weights).sum(2, dtype=np.uint64) * np.uint64(tables) + np.arange(tables, dtype=np.uint64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * tables, pa.int32()), pa.array(keys.view(np.int64).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "keys"])
 
     return run
 
 
-def similar_pairs(rows: DataFrame, scope: str, threshold: float, block: int = 1024) -> DataFrame:
-    """(id, other, similarity) of rows (id, scope, place, v of length 1) of one scope whose cosine reaches the threshold, the later one by ``place`` (t, id) first.
+def _dropped(threshold: float):
+    """(id, survivor, similarity) of the dropped rows of sorted components: state is the survivors of one component, by their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, ids, kept, vectors, by_key = None, [], 0, np.zeros((0, 0)), {}
+        for batch in batches:
+            out = []
+            for component, id_, v, keys in zip(batch.column("component").to_pylist(), batch.column("id").to_pylist(), batch.column("v").to_numpy(zero_copy_only=False), batch.column("keys").to_pylist(), strict=True):
+                if component != here:
+                    here, ids, kept, vectors, by_key = component, [], 0, np.zeros((16, len(v))), {}
+                near = {k for key in keys for k in by_key.get(key, ())} if keys else range(kept)
+                if near:
+                    near = np.fromiter(near, int, len(near)) if keys else slice(0, kept)
+                    scores = vectors[near] @ v
+                    reached = scores >= threshold
+                    if reached.any():
+                        places = np.flatnonzero(reached) if not keys else near[reached]
+                        rounded = np.round(scores[reached], 12)
+                        best = int(places[rounded == rounded.max()].min())  # of equal ones the oldest
+                        out.append((id_, ids[best], float(vectors[best] @ v)))
+                        continue
+                if kept == len(vectors):
+                    vectors = np.concatenate([vectors, np.zeros_like(vectors)])
+                vectors[kept] = v
+                ids.append(id_)
+                for key in keys or ():
+                    by_key.setdefault(key, []).append(kept)
+                kept += 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["id", "survivor", "similarity"])
+
+    return run
 
-    A scope is dealt over blocks that meet in pairs, so no task holds one; only pairs at the threshold leave the tasks.
-    """
-    sizes = saved(rows.groupBy(scope).agg(F.ceil(F.count("*") / block).alias("blocks")))
-    dealt = rows.join(sizes, scope).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select(scope, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "id", "place", "v")
-    return dealt.groupBy(scope, "i", "j").applyInArrow(_near(threshold), "id long, other long, similarity double")
 
+def _alike(rows: DataFrame, threshold: float) -> DataFrame:
+    """(id, component) of the rows (scope, id, v, keys) that may have another row within the threshold, and of any two such rows the same component.
 
-def greedy_sweep(rows: DataFrame, scope: str = "user_id", threshold: float = SIMILAR, content: str = "content", vec: str = "vec", most_rounds: int = 200) -> DataFrame:
+    Rows that share a key are candidates; pairs of small buckets are confirmed by their vectors, a bucket of more than BUCKET rows is one component as it is.
+    """
+    keyed = saved(rows.select("scope", "id", F.explode("keys").alias("key")))
+    buckets = keyed.groupBy("scope", "key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
+    found = saved(buckets)
+    large = keyed.join(found.where(F.col("n") > BUCKET), ["scope", "key"]).where("id <> least").select("id", F.col("least").alias("other")).distinct()
+    members = keyed.join(found.where(F.col("n") <= BUCKET), ["scope", "key"]).groupBy("scope", "key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # BUCKET at most
+    pairs = members.select(F.explode(F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("other"), b.alias("id")))))).alias("p")).select("p.*").distinct()
+    v = rows.select("id", "v")
+    near = pairs.join(v, "id").join(v.select(F.col("id").alias("other"), F.col("v").alias("w")), "other").where(T.dot(F.col("v"), F.col("w")) >= threshold - 1e-9)
+    links = saved(near.select("id", "other").unionByName(large))
+    labels = links.select("id", F.col("other").alias("label")).unionByName(links.select(F.col("other").alias("id"), F.col("other").alias("label")))
+    out = G.label_components(labels)
+    released(keyed, found)
+    return out
+
+
+def greedy_sweep(rows: DataFrame, scope: str = "user_id", threshold: float = SIMILAR, content: str = "content", vec: str = "vec", small: int = SMALL) -> DataFrame:
     """(id, survivor, similarity): oldest first (created_at, id), each row is compared with the survivors so far only: the best cosine, of equal ones the oldest.
 
-    This is order-dependent and not the same as components: a row near a dropped one only stays. Copies of a text go the way of its first row: to it (1.0) if it
-    survives, else to its survivor. Candidates come in blocks; then rounds settle the rows all of whose earlier candidates are settled, each a few joins, as
-    many as the longest chain of candidates.
+    This is order-dependent and not the same as components: a row near a dropped one only stays. Copies of a text, and then of a vector, go the way of its first row: to it
+    (1.0) if it survives, else to its survivor, so they need not stream. Blank texts are no copies of each other. A row without a vector, or with a zero one, is compared with nothing.
+
+    Rows that can meet are in one component, and components stream through the tasks in order with their survivors as state, so a chain may be of any length. A scope of
+    at most ``small`` rows is one component, and exact; in larger ones candidates share a key of random hyperplanes (``bands``: one pair at the threshold in a million is missed).
     """
     text = T.folded(F.coalesce(content, F.lit("")))
     own = rows.select(F.col("id").cast("long").alias("id"), F.col(scope).alias("scope"), F.struct(F.col("created_at").cast("double").alias("t"), F.col("id").cast("long").alias("id")).alias("place"), text.alias("text"), T.unit(F.col(vec)).alias("v"))
     own = saved(own)
-    heads = own.where("text <> ''").groupBy("scope", "text").agg(F.min("place").alias("head"))
+    heads = saved(own.where("text <> ''").groupBy("scope", "text").agg(F.min("place").alias("head"), F.count("*").alias("n")).where("n > 1"))
     copies = saved(own.where("text <> ''").join(heads, ["scope", "text"]).where("id <> head.id").select("id", F.col("head.id").alias("head")))
-    firsts = own.join(copies.select("id"), "id", "left_anti").where(F.exists("v", lambda x: x != 0))
-    links = saved(similar_pairs(firsts, "scope", threshold).join(firsts.select(F.col("id").alias("other"), "place"), "other"))
-    open_, gone = links, links.select("id", F.col("other").alias("survivor"), "similarity").limit(0)
-    for _ in range(most_rounds):
-        if open_.isEmpty():
-            break
-        # candidates that wait for nothing are survivors; a row is dropped once all of its own are
-        waiting = open_.select(F.col("id").alias("other")).distinct()
-        free = open_.join(waiting, "other", "left_anti").groupBy("id").agg(F.count("*").alias("n"), F.max_by(F.struct("other", "similarity"), F.struct(F.round("similarity", 12), -F.col("place.t"), -F.col("place.id"))).alias("x"))
-        whole = open_.groupBy("id").agg(F.count("*").alias("all"))
-        done = saved(free.join(whole, "id").where("n = all").select("id", F.col("x.other").alias("survivor"), F.col("x.similarity").alias("similarity")))
-        gone = gone.unionByName(done)
-        # what is dropped is no candidate any more; a row without any left waits no longer and survives
-        before, open_ = open_, saved(open_.join(done.select("id"), "id", "left_anti").join(done.select(F.col("id").alias("other")), "other", "left_anti"))
-        if before is not links:
-            released(before)
-    else:
-        raise RuntimeError(f"the sweep did not settle in {most_rounds} rounds")
-    led = copies.join(gone.select(F.col("id").alias("head"), "survivor", "similarity"), "head", "left")
-    return gone.unionByName(led.select("id", F.coalesce("survivor", "head").alias("survivor"), F.coalesce("similarity", F.lit(1.0)).alias("similarity")))
+    every = saved(own.join(copies.select("id"), "id", "left_anti").where(F.exists("v", lambda x: x != 0)).select("id", "scope", "place", "v", F.xxhash64("v").alias("h")))
+    equal = saved(every.groupBy("scope", "h").agg(F.min("place").alias("head"), F.count("*").alias("n")).where("n > 1"))
+    again = saved(every.join(equal, ["scope", "h"]).where("id <> head.id").select("id", F.col("head.id").alias("head")))
+    firsts = saved(every.join(again.select("id"), "id", "left_anti").drop("h"))
+    sizes = saved(firsts.groupBy("scope").agg(F.count("*").alias("n"), F.min("id").alias("component")))
+    none = F.lit(None).cast("array<long>")
+    streams = firsts.join(sizes.where(F.col("n") <= small), "scope").select("component", "place", "id", "v", none.alias("keys"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest > small:
+        big = firsts.join(sizes.where(F.col("n") > small).select("scope"), "scope", "left_semi").select("scope", "place", "id", "v")
+        keyed = saved(big.mapInArrow(_keys(*bands(largest, threshold)), StructType([*big.schema.fields, StructField("keys", ArrayType(LongType()))])))
+        streams = streams.unionByName(keyed.join(_alike(keyed, threshold), "id").select("component", "place", "id", "v", "keys"))
+    gone = saved(streams.repartition("component").sortWithinPartitions("component", "place").mapInArrow(_dropped(threshold), "id long, survivor long, similarity double"))
+    for followers in (again, copies):
+        led = followers.join(gone.select(F.col("id").alias("head"), "survivor", "similarity"), "head", "left")
+        gone = gone.unionByName(led.select("id", F.coalesce("survivor", "head").alias("survivor"), F.coalesce("similarity", F.lit(1.0)).alias("similarity")))
+    released(own, heads, every, equal, firsts, sizes)
+    return gone
 
 
 def swept(rows: DataFrame, per_user: bool = True, threshold: float = SIMILAR, user: str = "user_id") -> DataFrame:

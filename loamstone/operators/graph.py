@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
-from ..session import saved
+from ..session import released, saved
 
 SYMMETRIC = ("transition", "co_occurrence", "chat")
 GAIN, HOPS, HOP_DECAY, FIRE, STEP = 0.35, 2, 0.6, 0.15, 0.05
@@ -325,21 +325,25 @@ def rewired(edges: DataFrame, survivors: DataFrame) -> DataFrame:
     return out.withColumn("id", F.when(F.col("_n") == 0, F.col("_new")).otherwise(F.concat("_new", F.lit("::m"), F.col("_n")))).drop("_n", "_new")
 
 
-def label_components(labels: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(id, component): nodes that share a label, directly or over others, by least-label propagation until nothing changes. labels: (id, label)."""
+def label_components(labels: DataFrame) -> DataFrame:
+    """(id, component), as a table: nodes that share a label, directly or over others, have the least id that they reach. labels: (id, label).
+
+    Least ids pass over labels and then jump to their own least id until nothing changes: components only grow less, so this ends; chains settle in about the logarithm of their length.
+    """
     own = saved(labels.where("label is not null").distinct())
     now = saved(own.select("id").distinct().withColumn("component", F.col("id")))
-    for _ in range(most_rounds):
+    while True:
         by_label = saved(own.join(now, "id").groupBy("label").agg(F.min("component").alias("least")))  # a table of its own: a hot label can be split
         reached = own.join(by_label, "label").groupBy("id").agg(F.min("least").alias("least"))
         step = now.join(reached, "id").select("id", F.least("component", "least").alias("component"), F.col("component").alias("before"))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("root"))
         new = saved(step.join(jump, "component", "left").select("id", F.coalesce("root", "component").alias("component"), "before"))
         moved = not new.where("component <> before").isEmpty()
-        now = new.select("id", "component")
+        released(by_label, now)
+        now = new
         if not moved:
-            return now
-    raise RuntimeError("labels did not settle")
+            released(own)
+            return now.select("id", "component")
 
 
 def survivors(persons: DataFrame, components: DataFrame) -> DataFrame:

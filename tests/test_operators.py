@@ -4,6 +4,7 @@ import math
 import random
 from datetime import datetime, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,38 +131,78 @@ def test_base_level_of_odd_times(spark):
     assert abs(found[1] - young) < 1e-9 and abs(found[4] - young) < 1e-9 and found[2] == found[3] == -2.0
 
 
-def test_sweep_is_greedy(spark):
-    """Rows near a dropped row only stay; copies of a text go the way of the first; against plain Python on random rows, over several blocks."""
-    rng = random.Random(3)
-    rows = []
-    for k in range(160):
-        v = [rng.gauss(0, 1) for _ in range(3)]
-        rows.append((k, f"u{k % 3}", float(rng.randint(0, 40)), rng.choice(["", f"text {rng.randint(0, 60)}"]), v if k % 17 else [0.0, 0.0, 0.0]))
-    first = {}
-    for i, u, t, text, v in sorted(rows, key=lambda r: (r[2], r[0])):
+def swept(rows, threshold):
+    """The sweep in plain Python: {id: (survivor, similarity)}."""
+    unit = lambda v: [x / n for x in v] if (n := math.sqrt(sum(y * y for y in v))) else v
+    order = sorted(rows, key=lambda r: (r[2], r[0]))
+    first, equal, led, wanted, kept = {}, {}, [], {}, {}
+    for i, u, t, text, v in order:
         if text:
             first.setdefault((u, text), i)
-    wanted, kept = {}, {}
-    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
-    for i, u, t, text, v in sorted(rows, key=lambda r: (r[2], r[0])):
-        head = first.get((u, text), i) if text else i
-        if head != i:
-            wanted[i] = wanted.get(head, (head, 1.0))
+    for i, u, t, text, v in order:
+        if text and first[u, text] != i:
+            led.append((i, first[u, text]))
+        elif any(v):
+            equal.setdefault((u, tuple(unit(v))), i)
+    for i, u, t, text, v in order:
+        v = unit(v)
+        if text and first[u, text] != i or not any(v):
             continue
-        if not any(v):
+        if equal[u, tuple(v)] != i:
+            led.insert(0, (i, equal[u, tuple(v)]))
             continue
-        near = [(round(sum(a * b for a, b in zip(unit(v), w)), 9), -n, j) for n, (j, w) in enumerate(kept.setdefault(u, []))]
-        if near and max(near)[0] >= 0.9:
+        near = [(round(sum(a * b for a, b in zip(v, w)), 12), -n, j) for n, (j, w) in enumerate(kept.setdefault(u, []))]
+        if near and max(near)[0] >= threshold:
             wanted[i] = (max(near)[2], max(near)[0])
         else:
-            kept[u].append((i, unit(v)))
+            kept[u].append((i, v))
+    for i, head in led:  # copies of vectors before those of texts
+        wanted[i] = wanted.get(head, (head, 1.0))
+    return {k: (s, round(x, 9)) for k, (s, x) in wanted.items()}
+
+
+@pytest.mark.parametrize("small", [E.SMALL, 20])
+def test_sweep_is_greedy(spark, small):
+    """Rows near a dropped row only stay; copies go the way of the first; against plain Python on random rows, as whole scopes and by keys of hyperplanes."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(260):
+        v = [rng.gauss(0, 1) for _ in range(3)] if k % 5 else rows[k // 2][4] if k else [1.0, 0.0, 0.0]
+        rows.append((k, f"u{k % 3}", float(rng.randint(0, 40)), rng.choice(["", f"text {rng.randint(0, 90)}"]), v if k % 17 else [0.0, 0.0, 0.0]))
     frame = spark.createDataFrame(rows, "id long, user_id string, created_at double, content string, vec array<double>")
-    found = {r.id: (r.survivor, round(r.similarity, 9)) for r in E.greedy_sweep(frame, threshold=0.9).collect()}
-    assert found == {k: (s, round(x, 9)) for k, (s, x) in wanted.items()} and len(found) > 40
-    small = E.similar_pairs(frame.where("vec[0] <> 0").select("id", F.lit(1).alias("scope"), F.struct(F.col("created_at").alias("t"), "id").alias("place"), T.unit(F.col("vec")).alias("v")), "scope", 0.9, block=16)
-    whole = E.similar_pairs(frame.where("vec[0] <> 0").select("id", F.lit(1).alias("scope"), F.struct(F.col("created_at").alias("t"), "id").alias("place"), T.unit(F.col("vec")).alias("v")), "scope", 0.9)
-    pairs = lambda df: sorted((r.id, r.other) for r in df.collect())
-    assert pairs(small) == pairs(whole) and len(set(pairs(small))) == len(pairs(small))
+    found = {r.id: (r.survivor, round(r.similarity, 9)) for r in E.greedy_sweep(frame, threshold=0.95, small=small).collect()}
+    assert found == swept(rows, 0.95) and len(found) > 60
+
+
+def test_sweep_over_a_long_chain(spark):
+    """10,000 rows, each like the one before and the one after only."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=64)
+    rows = []
+    for k in range(10_000):
+        v = v / np.linalg.norm(v)
+        step = rng.normal(size=64)
+        step -= (step @ v) * v
+        v = v + 0.36 * step / np.linalg.norm(step)  # a cosine of 0.94 to the next, of 0.885 to the one after it
+        rows.append((k, "u", float(k), "", v.tolist()))
+    frame = spark.createDataFrame(rows, "id long, user_id string, created_at double, content string, vec array<double>")
+    found = {r.id: r.survivor for r in E.greedy_sweep(frame, threshold=0.92).collect()}
+    units = np.array([r[4] for r in rows])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    kept, wanted = [], {}
+    for k in range(10_000):
+        scores = units[kept] @ units[k] if kept else np.zeros(0)
+        if len(scores) and scores.max() >= 0.92:
+            wanted[k] = kept[int(scores.argmax())]
+        else:
+            kept.append(k)
+    assert found == wanted and len(found) > 4000
+
+
+def test_keys_find_pairs_at_the_threshold():
+    bits, tables = E.bands(100_000, 0.92)
+    same = 1 - math.acos(0.92) / math.pi
+    assert (1 - same**bits) ** tables <= 1e-6 and 2**bits > 20_000
 
 
 def test_markdown_and_turns():
