@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,7 +109,8 @@ def _unframed(data: bytes) -> list[np.ndarray]:
 def automaton(columns: list[np.ndarray], weights: np.ndarray) -> bytes:
     """The minimal acyclic automaton of different sorted paths: for each level, from the last, its different states as (number of arcs, labels, states that arcs lead to).
 
-    Equal states are told by 64-bit hashes of their arcs; the states after the last level are the weights themselves.
+    Equal states are told by 64-bit hashes of their arcs and numbered as they first come, so most arcs lead to the state after the one before; the
+    states after the last level are the weights themselves.
     """
     new, levels = np.zeros(len(weights), bool), []
     new[:1] = True
@@ -124,10 +126,24 @@ def automaton(columns: list[np.ndarray], weights: np.ndarray) -> bytes:
         arcs = np.diff(np.append(first, len(label)))
         sign = tb.mix(tb.mix(label.astype(np.uint64) + tb.BASE) ^ (target.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
         _, chosen, state = np.unique(np.add.reduceat(sign, first), return_index=True, return_inverse=True)
+        order = np.argsort(chosen)
+        number = np.empty_like(order)
+        number[order] = np.arange(len(order))
+        chosen = chosen[order]
         rows = _runs(first[chosen], arcs[chosen])
-        levels += [arcs[chosen], label[rows], target[rows]]
-        target = state
-    return _framed(levels)
+        levels += [arcs[chosen], label[rows], target[rows] if depth == len(columns) - 1 else _steps(target[rows])]
+        target = number[state]
+    return zstandard.compress(_framed(levels))
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences to the number before, less one, as numbers that are not negative."""
+    d = np.diff(x, prepend=-1) - 1
+    return np.where(d >= 0, 2 * d, -2 * d - 1)
+
+
+def _walked(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.where(steps % 2 == 0, steps // 2, -(steps + 1) // 2) + 1) - 1
 
 
 def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -137,10 +153,11 @@ def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def paths(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     """The sorted paths and weights of an automaton."""
-    levels = _unframed(data)
+    levels = _unframed(zstandard.decompress(data))
     columns, state = [], np.zeros(1, np.int64)
     for k in range(len(levels) - 3, -1, -3):
         arcs, label, target = levels[k : k + 3]
+        target = _walked(target) if k else target
         first = np.cumsum(arcs) - arcs
         size = arcs[state]
         rows = _runs(first[state], size)
@@ -149,6 +166,18 @@ def paths(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     return columns, state
 
 
+def _joined(words: pa.Array) -> bytes:
+    spaced = pc.binary_join_element_wise(words, pa.scalar(b"", pa.large_binary()), pa.scalar(b" ", pa.large_binary()))
+    return zstandard.compress(tb.flat(spaced)[0].tobytes()[:-1])
+
+
+def _split(data: bytes) -> pa.Array:
+    raw = np.frombuffer(zstandard.decompress(data) + b" ", np.uint8)
+    ends = np.flatnonzero(raw == 32)
+    at = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(raw[raw != 32]))])
+
+
 def _place(split: tuple, tongues: list, names: list) -> tuple[int, ...]:
     """The first path, in a shard's symbols, that is not before ``split``."""
     out = []
@@ -193,20 +222,25 @@ def _cut(splits: Broadcast, shard_bytes: int):
                 spoken = np.unique(part[0])
                 part = [np.searchsorted(spoken, part[0]), *(np.where(c > 0, np.searchsorted(used, c) + 1, 0) for c in part[1:])]
                 each = [automaton([c[a - own[0] : b - own[0]] for c in part], weights[a:b]) if a < b else b"" for a, b in zip(own, own[1:])]
-                rows.append((k // PARTS, tongues.take(pa.array(spoken)).to_pylist(), names.take(pa.array(used - 1)).to_pylist(), each))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.binary())))], names=["range", "langs", "words", "automata"])
+                rows.append((k // PARTS, tongues.take(pa.array(spoken)).to_pylist(), _joined(names.take(pa.array(used - 1))), each))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.binary())))], names=["range", "langs", "words", "automata"])
 
     return run
 
 
 def _united(least: int):
-    """(lang, n, phrase, f, whole) of the phrases of one range: the frequent ones, and, not whole, those that a border may cut; n is 0 for a language itself."""
+    """(lang, n, phrase, f, whole) of the phrases of the range of a task: the frequent ones, and, not whole, those that a border may cut; n is 0 for a language itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = [batch for batch in batches if batch.num_rows]  # the pieces of one range
+        if table:
+            yield from united(pa.Table.from_batches(table)).to_batches()
 
-    def run(table: pa.Table) -> pa.Table:
-        langs, words = (table.column(c).combine_chunks() for c in ("langs", "words"))
+    def united(table: pa.Table) -> pa.Table:
+        langs, words = table.column("langs").combine_chunks(), [_split(x) for x in table.column("words").to_pylist()]
         tongues, spoken = _numbered(langs.flatten().cast(pa.large_binary()))
-        names, own = _numbered(words.flatten().cast(pa.large_binary()))
-        lang_at, word_at = (np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())]) for x in (langs, words))
+        names, own = _numbered(pa.concat_arrays(words))
+        lang_at, word_at = (np.concatenate([[0], np.cumsum(x)]) for x in (langs.value_lengths().to_numpy(), [len(x) for x in words]))
         out = []
         for part in zip(*table.column("automata").to_pylist()):
             columns, weights = [[] for _ in range(LONGEST + 1)], []
@@ -270,8 +304,8 @@ def frequencies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     size = sum(sample.column("bytes").to_pylist()) / share
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / RANGE_BYTES))
     splits = [found[len(found) * k // (ranges * PARTS)] for k in range(1, ranges * PARTS)] if found else []  # equal ones leave parts empty
-    cut = own.mapInArrow(_cut(spark.sparkContext.broadcast(splits), SHARD_BYTES), "range int, langs array<binary>, words array<binary>, automata array<binary>")
-    some = saved(cut.groupBy("range").applyInArrow(_united(least), "lang string, n int, phrase string, f long, whole boolean"))
+    cut = own.mapInArrow(_cut(spark.sparkContext.broadcast(splits), SHARD_BYTES), "range int, langs array<binary>, words binary, automata array<binary>")
+    some = saved(cut.repartitionById(ranges, "range").mapInArrow(_united(least), "lang string, n int, phrase string, f long, whole boolean"))
     summed = some.where("not whole").groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("n") == 0))
     return saved(some.where("whole").select("lang", "n", "phrase", "f").unionByName(summed))
 
