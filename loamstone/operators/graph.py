@@ -255,16 +255,83 @@ def projected(sources: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return merged_graph([PROJECTORS[name](rows) for name, rows in sources.items()])
 
 
-def chosen_view(activation: DataFrame, edges: DataFrame, limit: int, share: float = 1 / 3) -> DataFrame:
-    """(id, activation, seed): a view of at most ``limit`` nodes: the most active ones make a third of it, then of the neighbours of all of these those with most edges to them, then the more active.
+#: nodes of a view that are tried at once, for each node that is still to be taken
+TRIED = 8
 
-    Two ordered limits and one count of edges; a neighbour is judged by the seeds, not by the neighbours taken before it.
+
+def grown_view(activation: DataFrame, edges: DataFrame, limit: int, share: float = 1 / 3, retrieved: DataFrame | None = None, grow: bool = True) -> DataFrame:
+    """(id, activation, activation_norm, seed, retrieved, position): a connected view of at most ``limit`` of the nodes (id, activation), one row each.
+
+    The ``retrieved`` (id) and the most active share of the limit are its seeds. Then, one after another, that neighbour of the view comes that has the most walks into it, as it has
+    grown so far; ties by activation, then the least id. A node is a neighbour if a walk leads to it. Without ``retrieved`` all of a view counts as retrieved.
+
+    Rounds: the most promising neighbours and the links among them, both of bounded number, are grown by the rule; then all neighbours of what came are checked at once for one
+    that should have come before, and what is right is kept. Each round takes one node at least, usually very many.
     """
-    first = activation.orderBy(F.desc("activation"), "id").limit(max(1, int(limit * share))).select("id", "activation", F.lit(True).alias("seed"))
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    near = both.join(F.broadcast(first.select(F.col("id").alias("src"))), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("_n"))  # ``limit`` rows at most
-    rest = near.join(first, "id", "left_anti").join(activation.select("id", "activation"), "id").orderBy(F.desc("_n"), F.desc("activation"), "id").limit(limit - max(1, int(limit * share)))
-    return first.unionByName(rest.select("id", "activation", F.lit(False).alias("seed")))
+    spark = activation.sparkSession
+    nodes = activation.select("id", "activation")
+    ways = saved(walks(edges, nodes).where("src <> dst").select("src", "dst"))
+    limit = max(1, limit)
+    first = nodes.orderBy(F.desc("activation"), "id").limit(max(1, int(limit * share))).collect()
+    shown = nodes.join(retrieved.select("id").distinct(), "id", "left_semi").orderBy(F.desc("activation"), "id").limit(limit).collect() if retrieved is not None else []
+    view = list(dict.fromkeys((r.id, r.activation) for r in [*shown, *first]))[:limit]
+    seeds, kind = len(view), nodes.schema["id"].dataType.simpleString()
+    steps = lambda ids: F.broadcast(spark.createDataFrame([(i, k) for k, i in enumerate(ids)], f"id {kind}, step int"))  # noqa: E731  as long as the view
+
+    def around(ids: list, first_step: int) -> DataFrame:
+        """(id, step, reach, pull): walks to a node outside from those of the view, and from it into them, by the step at which they came (0: the first ``first_step``)."""
+        s = steps(ids).withColumn("step", F.greatest(F.lit(0), F.col("step") - first_step + 1))
+        to = ways.join(s.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "step", F.lit(1).alias("reach"), F.lit(0).alias("pull"))
+        into = ways.join(s.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "step", F.lit(0).alias("reach"), F.lit(1).alias("pull"))
+        return to.unionByName(into).join(s.select("id"), "id", "left_anti").groupBy("id", "step").agg(F.sum("reach").alias("reach"), F.sum("pull").alias("pull"))
+
+    while grow and len(view) < limit:
+        ids = [i for i, _ in view]
+        missing = limit - len(view)
+        pool = around(ids, len(ids)).where("reach > 0").join(nodes, "id").orderBy(F.desc("pull"), F.desc("activation"), "id").limit(TRIED * missing + limit).collect()
+        if not pool:
+            break
+        tried = F.broadcast(spark.createDataFrame([(r.id,) for r in pool], f"id {kind}"))
+        inner = ways.join(tried.withColumnRenamed("id", "src"), "src").join(tried.withColumnRenamed("id", "dst"), "dst").groupBy("src", "dst").agg(F.count("*").alias("n")).collect()  # both ends in the pool
+        grown = _grown([(r.id, r.activation, r.pull) for r in pool], inner, missing)
+        # is there a node that would have come before one of these? a row for each state of each neighbour, against what came while it was in it
+        state = Window.partitionBy("id").orderBy("step")
+        seen = around([*ids, *[g[0] for g in grown]], len(ids)).withColumns({"reach": F.sum("reach").over(state), "pull": F.sum("pull").over(state), "until": F.lead("step", 1, len(grown) + 1).over(state)}).where("reach > 0").join(nodes, "id")
+        came = spark.createDataFrame([([(k, pull, float(act), i) for k, (i, act, pull) in enumerate(grown)] + [(len(grown), -1, 0.0, None)] * (len(grown) < missing),)], f"came array<struct<k:int,pull:long,act:double,id:{kind}>>")
+        before = F.filter(F.slice("came", F.col("step") + 1, F.col("until") - F.col("step")), lambda x: (F.col("pull") > x.pull) | ((F.col("pull") == x.pull) & ((F.col("activation") > x.act) | ((F.col("activation") == x.act) & (F.col("id") < x.id)))))
+        wrong = seen.crossJoin(F.broadcast(came)).agg(F.min(F.get(before, F.lit(0)).k)).first()[0]  # one row of what came
+        view += [(i, act) for i, act, _ in (grown if wrong is None else grown[:wrong])]
+        if wrong is None:
+            break
+    low, high = min(a for _, a in view) if view else 0.0, max(a for _, a in view) if view else 0.0
+    marked = {r.id for r in shown}
+    rows = [(i, float(a), float((a - low) / ((high - low) or 1.0)), k < seeds, retrieved is None or i in marked, k) for k, (i, a) in enumerate(view)]
+    return spark.createDataFrame(rows, f"id {kind}, activation double, activation_norm double, seed boolean, retrieved boolean, position int")
+
+
+def _grown(pool: list[tuple], inner: list, most: int) -> list[tuple]:
+    """(id, activation, walks into the view) of nodes as they come, among (id, activation, walks into the view) and the walks (src, dst, n) between these."""
+    left = {i: (act, pull) for i, act, pull in pool}
+    into: dict = {}
+    for src, dst, n in inner:
+        into.setdefault(dst, []).append((src, n))
+    out = []
+    while left and len(out) < most:
+        best = min(left, key=lambda i: (-left[i][1], -left[i][0], i))
+        act, pull = left.pop(best)
+        out.append((best, act, pull))
+        for src, n in into.get(best, ()):
+            if src in left:
+                left[src] = (left[src][0], left[src][1] + n)
+    return out
+
+
+def view_edges(view: DataFrame, edges: DataFrame, most: int = 400) -> DataFrame:
+    """The edges inside a view (id, retrieved), at most ``most``: those between retrieved nodes, then those that touch one, then the others; the heaviest first, then by id."""
+    marks = F.broadcast(view.select("id", "retrieved"))  # as long as the view
+    end = lambda name: marks.select(F.col("id").alias(name), F.col("retrieved").cast("int").alias(f"_{name}"))
+    inner = edges.join(end("src"), "src").join(end("dst"), "dst")
+    return inner.orderBy(F.desc(F.col("_src") + F.col("_dst")), F.desc(F.abs("weight")), "id").limit(most).select(edges.columns)
 
 
 def updated_graph(nodes: DataFrame, edges: DataFrame, changed: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:

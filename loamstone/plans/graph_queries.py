@@ -269,11 +269,29 @@ def label_mentions(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(T.mentions(F.col("text"), F.concat("lang", F.lit("the"))) | T.mentions(F.col("text"), F.lit("The")), F.lit(None)).alias("mentioned"))
 
 
-@query(f"""WITH {_NODES}, {_EDGES}, a AS (SELECT id, round(strength, 6) AS activation FROM nodes), f AS (SELECT id, activation FROM a ORDER BY activation DESC, id LIMIT 20), b AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
-    n AS (SELECT dst AS id, count(*) AS k FROM b WHERE src IN (SELECT id FROM f) AND dst NOT IN (SELECT id FROM f) GROUP BY dst), r AS (SELECT n.id, activation FROM n JOIN a ON a.id = n.id ORDER BY k DESC, activation DESC, n.id LIMIT 40)
-    SELECT id, activation, true AS seed FROM f UNION ALL SELECT id, activation, false FROM r""")
+# a view of 60 nodes: 20 seeds, then in each step the neighbour with the most walks into the view
+_VIEW = f"""{_NODES}, {_EDGES}, a AS (SELECT id, round(strength, 6) AS activation FROM nodes), f AS (SELECT id FROM a ORDER BY activation DESC, id LIMIT 20), w AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges WHERE kind = 'co_occurrence'),
+    g AS (SELECT src, dst, count(*) AS n FROM w JOIN a x ON x.id = src JOIN a y ON y.id = dst WHERE src <> dst GROUP BY ALL),
+    v AS (SELECT 0 AS step, (SELECT list(id ORDER BY id) FROM f) AS kept
+          UNION ALL (SELECT step + 1, list_append(kept, y) FROM (SELECT v.step, v.kept, CASE WHEN list_contains(v.kept, g.src) THEN g.dst ELSE g.src END AS y, coalesce(sum(g.n) FILTER (list_contains(v.kept, g.dst)), 0) AS pull, bool_or(list_contains(v.kept, g.src)) AS reach
+                     FROM v JOIN g ON list_contains(v.kept, g.src) <> list_contains(v.kept, g.dst) WHERE v.step < 40 GROUP BY ALL) c JOIN a ON a.id = c.y WHERE reach ORDER BY pull DESC, a.activation DESC, y LIMIT 1)),
+    last_ AS (SELECT kept FROM v ORDER BY step DESC LIMIT 1), view_ AS (SELECT unnest(kept) AS id FROM last_)"""
+
+
+def _view(spark, d):
+    return G.grown_view(_nodes(spark, d).select("id", r6("strength").alias("activation")), _edges(spark, d), 60)
+
+
+@query(f"""WITH RECURSIVE {_VIEW}, r AS (SELECT view_.id, activation, view_.id IN (SELECT id FROM f) AS seed FROM view_ JOIN a ON a.id = view_.id)
+    SELECT id, activation, round((activation - min(activation) OVER ()) / CASE WHEN max(activation) OVER () > min(activation) OVER () THEN max(activation) OVER () - min(activation) OVER () ELSE 1 END, 6) AS activation_norm, seed FROM r""")
 def graph_view(spark, d):
-    return G.chosen_view(_nodes(spark, d).select("id", r6("strength").alias("activation")), _edges(spark, d), 60)
+    return _view(spark, d).select("id", "activation", r6("activation_norm").alias("activation_norm"), "seed")
+
+
+@query(f"""WITH RECURSIVE {_VIEW}, x AS (SELECT src || '>' || dst AS id, src, dst, round(weight, 6) AS weight FROM edges WHERE src IN (SELECT id FROM view_) AND dst IN (SELECT id FROM view_)) SELECT id, src, dst, weight FROM x QUALIFY row_number() OVER (ORDER BY abs(weight) DESC, id) <= 50""")
+def graph_view_edges(spark, d):
+    edges = _edges(spark, d).select(F.concat("src", F.lit(">"), "dst").alias("id"), "kind", "src", "dst", r6("weight").alias("weight"))
+    return G.view_edges(_view(spark, d), edges, 50).select("id", "src", "dst", "weight")
 
 
 @query("""SELECT 'person:' || c_custkey AS id, c_mktsegment AS text FROM customer""")
