@@ -63,23 +63,87 @@ def weighted_walks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("src", "dst", (F.col("strength") * F.col("_own")).alias("strength"))
 
 
-def spread(walks_: DataFrame, seeds: DataFrame, *, gain: float = GAIN, hops: int = HOPS, hop_decay: float = HOP_DECAY, floor: float = 0.0, per: list[str] | None = None) -> DataFrame:
+def spread(walks_: DataFrame, seeds: DataFrame, *, gain: float = GAIN, hops: int = HOPS, hop_decay: float = HOP_DECAY, floor: float = 0.0, per: list[str] | None = None, cliques: DataFrame | None = None) -> DataFrame:
     """(per.., id, activation): the seeds' own mass, ``floor`` at least, and what nodes receive over the hops. walks_: (src, dst, strength); seeds: (per.., id, activation).
 
-    Each hop passes the mass received in the hop before (the seeds' at first) to neighbours, times the strength, over the number of walks out
-    of the node; only positive mass passes. All groups of ``per`` spread in one plan. The plan is unrolled: one join and one sum per hop.
+    Each hop passes the mass received in the hop before (the seeds' at first) to neighbours, times the strength, over the number of walks out of the node; only positive mass
+    passes. All groups of ``per`` spread in one plan, with one join and one sum per hop: shares of walks and the mass of each hop are tables, read as often as they are needed.
+
+    ``cliques`` (group, id, strength, sign) stand for walks between all pairs of a group's members without a row for each: a member gets the group's sum less its own share, times its
+    strength. Signed groups add up to each pair once where groups overlap (``shared_cliques``).
     """
     keys = per or []
-    fan = walks_.groupBy("src").agg(F.count("*").alias("fan"))
-    out = walks_.join(fan, "src").select("src", "dst", (F.col("strength") / F.col("fan")).alias("share"))
-    total = front = seeds.select(*keys, F.col("id").alias("src"), F.greatest(F.lit(floor), F.col("activation")).alias("mass"))
+    fans = walks_.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("fan"))
+    members = None
+    if cliques is not None:
+        sizes = saved(cliques.groupBy("group").agg(F.count("*").alias("size")))  # a table of its own: a hot group can be split in the join back
+        members = cliques.join(sizes, "group")
+        fans = fans.unionByName(members.groupBy("id").agg(F.sum(F.col("sign") * (F.col("size") - 1)).alias("fan"))).groupBy("id").agg(F.sum("fan").alias("fan"))
+        members = saved(members.where("size > 1").select("group", "id", "strength", "sign"))
+    fans = saved(fans.where("fan > 0"))
+    out = saved(walks_.join(fans.withColumnRenamed("id", "src"), "src").select("src", "dst", (F.col("strength") / F.col("fan")).alias("share")))
+    fronts = [saved(seeds.select(*keys, F.col("id").alias("src"), F.greatest(F.lit(floor), F.col("activation")).alias("mass")))]
     for hop in range(max(1, hops)):
-        passed = front.where("mass > 0").join(out, "src").select(*keys, F.col("dst").alias("src"), (gain * hop_decay**hop * F.col("mass") * F.col("share")).alias("mass"))
-        front = passed.where("mass > 0").groupBy(*keys, "src").agg(F.sum("mass").alias("mass"))
-        total = total.unionByName(front)
+        front, rate = fronts[-1].where("mass > 0"), gain * hop_decay**hop
+        if hop == 0:
+            front = front.groupBy(*keys, "src").agg(F.sum("mass").alias("mass"))
+        passed = front.join(out, "src").select(*keys, F.col("dst").alias("src"), (rate * F.col("mass") * F.col("share")).alias("mass")).where("mass > 0")
+        if members is not None:
+            unit = front.join(fans.withColumnRenamed("id", "src"), "src").select(*keys, F.col("src").alias("id"), (rate * F.col("mass") / F.col("fan")).alias("unit"))
+            own = unit.join(members, "id")
+            sums = saved(own.groupBy(*keys, "group").agg(F.sum("unit").alias("sum")))
+            gained = sums.join(members, "group").select(*keys, F.col("id").alias("src"), (F.col("sign") * F.col("strength") * F.col("sum")).alias("mass"))
+            itself = own.select(*keys, F.col("id").alias("src"), (-F.col("sign") * F.col("strength") * F.col("unit")).alias("mass"))
+            passed = passed.unionByName(gained).unionByName(itself)
+        whole = passed.groupBy(*keys, "src").agg(F.sum("mass").alias("mass"), F.sum(F.abs("mass")).alias("_size"))
+        fronts.append(saved(whole.where("mass > 1e-12 * _size").drop("_size")))  # what groups' signs leave of a sum that is zero is none
+    total = reduce(DataFrame.unionByName, fronts)
     return total.groupBy(*keys, F.col("src").alias("id")).agg(F.sum("mass").alias("activation"))
 
 
+def chat_cliques(nodes: DataFrame, weight: float = 0.1) -> DataFrame:
+    """The cliques of ``chat_edges`` for ``spread``, a row for each fact and episode (id, kind, chat_id, strength) of a chat: its strength times that of an edge."""
+    own = nodes.where(F.col("kind").isin("fact", "episode") & F.col("chat_id").isNotNull())
+    edge = S.edge_strength(F.lit("chat"), F.lit(weight))
+    return own.select(F.col("chat_id").cast("string").alias("group"), "id", (edge * F.col("strength")).alias("strength"), F.lit(1).alias("sign"))
+
+
+#: different participants of a node up to which its cliques are folded: 2 ** n - 1 groups each
+MOST_SHARED = 10
+
+
+def shared_cliques(members: DataFrame, weight: float = 0.15) -> DataFrame:
+    """The cliques of nodes that share a participant, each pair once, for ``spread``. members: (id, participants array, strength).
+
+    A pair that shares k participants is in k groups, k (k - 1) / 2 pairs of participants and so on; with alternating signs they add up to one. A node with more than
+    MOST_SHARED participants is an error: write its edges with ``shared_pairs``.
+    """
+    edge = S.edge_strength(F.lit("co_occurrence"), F.lit(weight))
+    some = F.array_sort(F.array_distinct(F.filter("participants", lambda x: x.isNotNull())))
+    own = members.select("id", some.alias("of"), (edge * F.col("strength")).alias("strength"))
+    own = own.withColumn("of", F.when(F.size("of") > MOST_SHARED, F.raise_error(F.concat(F.lit("too many participants of "), F.col("id").cast("string"))).cast("array<string>")).otherwise(F.col("of").cast("array<string>")))
+    out = own.where(F.size("of") > 0).withColumn("bits", F.explode(F.expr("sequence(1, cast(pow(2, size(of)) as int) - 1)")))
+    out = out.withColumn("part", F.expr("filter(of, (x, i) -> (bits div cast(pow(2, i) as int)) % 2 = 1)"))
+    return out.select(F.array_join("part", "\x1f").alias("group"), "id", "strength", F.when(F.size("part") % 2 == 1, 1).otherwise(-1).alias("sign"))
+
+
+def spread_for_members(walks_: DataFrame, seeds: DataFrame, members: DataFrame, *, group: str = "group", gain: float = GAIN, hops: int = HOPS, hop_decay: float = HOP_DECAY, cliques: DataFrame | None = None) -> DataFrame:
+    """(group, member, id, activation): what each member of each group would get from spreading the group's seeds (group, id, activation) and its own bias together.
+
+    members: (group, member, id, activation), the node and the bias of a member. Spreading is linear as long as all mass is positive: the seeds of a group spread once, each node that
+    any member biases spreads once with mass 1, and both are added by weight, however many groups ask. A negative seed, bias or strength is an error.
+    """
+    bad = seeds.where("activation < 0").select(F.lit(1).alias("x")).unionByName(members.where("activation < 0").select(F.lit(1).alias("x"))).unionByName(walks_.where("strength < 0").select(F.lit(1).alias("x")))
+    if not bad.isEmpty():
+        raise ValueError("spreading is linear over masses and strengths that are not negative only")
+    how = {"gain": gain, "hops": hops, "hop_decay": hop_decay, "cliques": cliques}
+    shared = spread(walks_, seeds.select(group, "id", "activation"), per=[group], **how)
+    units = spread(walks_, members.select("id").distinct().select(F.col("id").alias("_node"), "id", F.lit(1.0).alias("activation")), per=["_node"], **how)
+    own = members.select(group, "member", F.col("id").alias("_node"), F.col("activation").alias("_bias")).join(units, "_node").select(group, "member", "id", (F.col("_bias") * F.col("activation")).alias("activation"))
+    every = shared.join(members.select(group, "member").distinct(), group).select(group, "member", "id", "activation").unionByName(own)
+    return every.groupBy(group, "member", "id").agg(F.sum("activation").alias("activation"))
+
+
 def combined(nodes: DataFrame, activation: DataFrame, *, base_weight: float = 1.0, spread_weight: float = 1.2, mood: Column | None = None, per: list[str] | None = None) -> DataFrame:
     """Nodes (id, base_level, ..) with score = base_weight * base_level + spread_weight * activation; positive scores grow with the likeness to the mood.
 
@@ -372,10 +436,11 @@ def relation_edge_weight(dims: Column) -> Column:
 
 
 def merged_edges(edges: DataFrame) -> DataFrame:
-    """One row per id: the largest weight and recall count, signed attributes by magnitude."""
+    """One row per id: the largest weight and recall count, signed attributes by magnitude; of the two directions of a symmetric edge the one whose source is less."""
+    ends = F.struct("src", "dst")
     by_size = [F.max_by(c, F.abs(c)).alias(c) for c in ("valence", "trust", "affection") if c in edges.columns]
     counts = [F.max(c).alias(c) for c in ("co_recall_count",) if c in edges.columns]
-    return edges.groupBy("id").agg(F.first("kind").alias("kind"), F.first("src").alias("src"), F.first("dst").alias("dst"), F.max("weight").alias("weight"), *by_size, *counts)
+    return edges.groupBy("id").agg(F.min("kind").alias("kind"), F.min(ends).getField("src").alias("src"), F.min(ends).getField("dst").alias("dst"), F.max("weight").alias("weight"), *by_size, *counts)
 
 
 def rewired(edges: DataFrame, survivors: DataFrame) -> DataFrame:

@@ -298,3 +298,41 @@ def graph_view_edges(spark, d):
 def projected_sources(spark, d):
     profiles = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), F.col("c_name").alias("name"), F.array().cast("array<string>").alias("aliases"), F.col("c_mktsegment").alias("summary"))
     return G.projected({"profiles": profiles})[0].select("id", "text")
+
+
+# messages as facts and episodes of their chats, with two participants each; the written pairs against groups
+_CHATS = """m AS (SELECT conv_id * 10 + turn AS id, conv_id AS chat, (0.4 + (turn % 5) / 10.0)::DOUBLE AS strength, ['u' || (conv_id % 40), 'v' || ((turn * 7 + conv_id) % 25)] AS who FROM conversations WHERE role <> 'system'),
+    w AS (SELECT a.id AS src, b.id AS dst, (0.1 * b.strength)::DOUBLE AS strength FROM m a JOIN m b ON a.chat = b.chat AND a.id <> b.id
+          UNION ALL SELECT a.id, b.id, (0.15 * b.strength)::DOUBLE FROM m a JOIN m b ON a.id <> b.id AND list_has_any(a.who, b.who)
+          UNION ALL SELECT id, id // 10 * 10, 0.5 FROM m),
+    fan AS (SELECT src, count(*) AS fan FROM w GROUP BY src), s0 AS (SELECT chat % 5 AS team, id, 0.8::DOUBLE AS mass FROM m WHERE id % 7 = 0),
+    who AS (SELECT DISTINCT chat % 5 AS team, chat % 12 AS member, 10 * (chat % 12) AS id, 0.48::DOUBLE AS bias FROM m)"""
+
+
+def _chats(spark, d):
+    m = table(spark, d, "conversations").where("role <> 'system'").select(
+        (F.col("conv_id") * 10 + F.col("turn")).alias("id"), F.col("conv_id").alias("chat_id"), F.lit("fact").alias("kind"), (0.4 + F.col("turn") % 5 / 10.0).alias("strength"),
+        F.array(F.concat(F.lit("u"), (F.col("conv_id") % 40).cast("string")), F.concat(F.lit("v"), ((F.col("turn") * 7 + F.col("conv_id")) % 25).cast("string"))).alias("participants"),
+    )
+    ways = m.select(F.col("id").alias("src"), F.expr("id div 10 * 10").alias("dst"), F.lit(0.5).alias("strength"))
+    seeds = m.where("id % 7 = 0").select((F.col("chat_id") % 5).alias("team"), "id", F.lit(0.8).alias("activation"))
+    return m, ways, G.chat_cliques(m).unionByName(G.shared_cliques(m)), seeds
+
+
+def _hops(by: str) -> str:
+    step = lambda a, b, rate: f"{b} AS (SELECT {by}, w.dst AS id, sum({rate!r} * x.mass * w.strength / fan) AS mass FROM {a} x JOIN w ON w.src = x.id JOIN fan ON fan.src = x.id GROUP BY ALL)"
+    return f"{step('s1', 'h1', 0.35)}, {step('h1', 'h2', 0.35 * 0.6)} SELECT {by}, id, round(sum(mass) + 1e-10, 6) AS activation FROM (SELECT * FROM s1 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY ALL"
+
+
+@query(f"WITH {_CHATS}, s1 AS (SELECT team, id, sum(mass) AS mass FROM s0 GROUP BY ALL), {_hops('team')}")
+def clique_spread(spark, d):
+    _, ways, cliques, seeds = _chats(spark, d)
+    return G.spread(ways, seeds, per=["team"], cliques=cliques).select("team", "id", r6(F.col("activation") + 1e-10).alias("activation"))
+
+
+@query(f"WITH {_CHATS}, s1 AS (SELECT team, member, id, sum(mass) AS mass FROM (SELECT who.team, member, s0.id, mass FROM who JOIN s0 ON s0.team = who.team UNION ALL SELECT team, member, id, bias FROM who) GROUP BY ALL), {_hops('team, member')}")
+def member_activation(spark, d):
+    m, ways, cliques, seeds = _chats(spark, d)
+    members = m.select((F.col("chat_id") % 5).alias("team"), (F.col("chat_id") % 12).alias("member"), (F.col("chat_id") % 12 * 10).alias("id"), F.lit(0.48).alias("activation")).distinct()
+    out = G.spread_for_members(ways, seeds, members, group="team", cliques=cliques)
+    return out.select("team", "member", "id", r6(F.col("activation") + 1e-10).alias("activation"))

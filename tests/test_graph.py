@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loamstone.operators import graph as G
 
@@ -56,3 +57,26 @@ def test_view_edges(spark):
     view = spark.createDataFrame([(1, True), (2, True), (3, False), (4, False)], "id long, retrieved boolean")
     edges = spark.createDataFrame([("a", "fact", 1, 3, 0.9), ("b", "fact", 1, 2, 0.1), ("c", "chat", 3, 4, 1.0), ("d", "fact", 1, 9, 1.0), ("e", "fact", 2, 1, -0.5)], EDGES)
     assert [r.id for r in G.view_edges(view, edges, 3).collect()] == ["e", "b", "a"]
+
+
+def test_a_chat_of_100_000_nodes_spreads_without_its_pairs(spark):
+    nodes = spark.range(100_000).selectExpr("id", "'fact' as kind", "1 as chat_id", "1.0 as strength")
+    none = spark.createDataFrame([], "src long, dst long, strength double")
+    seeds = spark.createDataFrame([(7, 1.0)], "id long, activation double")
+    found = G.spread(none, seeds, hops=1, cliques=G.chat_cliques(nodes)).where("id in (7, 8, 99999)").collect()
+    share = 0.35 * 0.1 / 99_999
+    assert {r.id: round(r.activation / (1 if r.id == 7 else share), 9) for r in found} == {7: 1.0, 8: 1.0, 99999: 1.0}
+
+
+def test_members_share_one_spread(spark):
+    ways = spark.createDataFrame([(1, 2, 0.5), (2, 3, 1.0), (1, 3, 0.25)], "src long, dst long, strength double")
+    seeds = spark.createDataFrame([("a", 1, 1.0), ("b", 2, 1.0)], "group string, id long, activation double")
+    members = spark.createDataFrame([("a", "x", 2, 0.5), ("a", "y", 9, 0.5), ("b", "x", 2, 0.5)], "group string, member string, id long, activation double")
+    found = {(r.group, r.member, r.id): r.activation for r in G.spread_for_members(ways, seeds, members).collect()}
+    for group, member in (("a", "x"), ("a", "y"), ("b", "x")):
+        both = seeds.where(F.col("group") == group).select("id", "activation").unionByName(members.where((F.col("group") == group) & (F.col("member") == member)).select("id", "activation"))
+        for r in G.spread(ways, both).collect():
+            assert abs(found.pop((group, member, r.id)) - r.activation) < 1e-12
+    assert not found
+    with pytest.raises(ValueError):
+        G.spread_for_members(ways, seeds.withColumn("activation", -F.col("activation")), members)
