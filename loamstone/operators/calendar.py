@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import intervals as N
 from . import memory as M
 
 
@@ -54,10 +55,9 @@ def clipped_windows(ranges: DataFrame, now: float, most_days: int = 400, low: fl
 
 
 def active_routine(occurrences_: DataFrame, instants: DataFrame) -> DataFrame:
-    """(actor, instant, routine): of the routines that cover an instant the one of highest priority, then the latest start. By actor, then by range."""
-    o, i = occurrences_.alias("o"), instants.alias("i")
-    hit = o.join(i, (F.col("o.actor") == F.col("i.actor")) & (F.col("o.start") <= F.col("i.instant")) & (F.col("i.instant") < F.col("o.end")))
-    return hit.groupBy("i.actor", "i.instant").agg(F.max_by("o.routine", F.struct("o.priority", "o.start", "o.routine")).alias("routine"))
+    """(actor, instant, routine): of the routines (actor, start, end, priority, routine) that cover an instant the one of highest priority, then the latest start; by actor and cell of time."""
+    hit = N.covered(instants.select("actor", "instant"), occurrences_.select("actor", "start", "end", "priority", "routine"), "instant", "start", "end", ["actor"])
+    return hit.groupBy("actor", "instant").agg(F.max_by("routine", F.struct("priority", "start", "routine")).alias("routine"))
 
 
 def boundaries(occurrences_: DataFrame, low, high) -> DataFrame:

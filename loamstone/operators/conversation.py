@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def rounds(messages: DataFrame, chat: str = "chat_id") -> DataFrame:
     """(chat, round, first_id, last_id, content, occurred_at): a user message opens a round; what comes before the first is a round of its own."""
@@ -70,6 +72,18 @@ def with_aliases(rows: DataFrame, alias_rows: DataFrame, key: str = "event_id",
     return own.unionByName(alias_rows.join(rows.select(key), key, "left_semi").select(F.col(key).alias("result_id"), F.col("key_text").alias("text")))
 
 
+def named_messages(messages: DataFrame, owners: DataFrame, chat: str = "chat_id") -> DataFrame:
+    """(chat, id, role, content, name): messages as a model reads them; user rows of a chat with several participants carry a safe name of their speaker, all others null.
+
+    messages: chat, id, role, content, user_id (null: the chat's owner); owners: (chat, owner). The owner is a participant even without a row.
+    """
+    own = messages.join(owners.select(chat, "owner"), chat, "left").withColumn("_who", F.coalesce("user_id", "owner"))
+    seen = own.where("role = 'user'").select(chat, "_who").unionByName(owners.select(chat, F.col("owner").alias("_who"))).where("_who is not null")
+    many = seen.groupBy(chat).agg(F.count_distinct("_who").alias("_n")).where("_n > 1").select(chat, F.lit(True).alias("_many"))
+    name = F.when(F.col("_many") & (F.col("role") == "user"), T.safe_name(F.col("_who")))
+    return own.join(many, chat, "left").select(chat, "id", "role", "content", name.alias("name"))
+
+
 def speaker_lines(messages: DataFrame, owner: str, character: str) -> DataFrame:
     """``[time] speaker: content``; blank contents are dropped."""
     speaker = F.when(F.col("role") == "assistant", F.lit(character)).otherwise(F.coalesce("user_id", F.lit(owner)))

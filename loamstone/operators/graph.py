@@ -268,6 +268,21 @@ def wiki_graph(sections: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple
     return nodes.unionByName(own, allowMissingColumns=True), edges.unionByName(new, allowMissingColumns=True)
 
 
+def without_wiki(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) without what a wiki projected: facts and episodes whose source is a wiki's with their edges, relations of its provenance, references to it, and persons and entities
+    that nothing else holds: no owners, no source, no other references. Shared ones stay."""
+    none = F.array().cast("array<string>")
+    refs = F.filter(F.coalesce("external_refs", none), lambda x: ~x.startswith("wiki:"))
+    own = nodes.withColumn("_refs", refs)
+    projected = F.col("kind").isin("fact", "episode") & F.coalesce(F.col("source"), F.lit("")).startswith("wiki:")
+    alone = (F.size(F.coalesce("owners", none)) == 0) & (F.coalesce("source", F.lit("")) == "") & (F.size("_refs") == 0)
+    canonical = F.col("kind").isin("person", "entity") & (F.size(F.coalesce("external_refs", none)) > F.size("_refs"))
+    gone = own.where(projected | (canonical & alone)).select("id")
+    left = edges.where(~((F.col("kind") == "relation") & F.coalesce(F.col("provenance") == "wiki", F.lit(False)))) if "provenance" in edges.columns else edges
+    kept, rest = removed(own, left, gone)
+    return kept.withColumn("external_refs", F.when(F.col("kind").isin("person", "entity") & F.col("external_refs").isNotNull(), F.col("_refs")).otherwise(F.col("external_refs"))).select(nodes.columns), rest
+
+
 def refreshed(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """Nodes whose source names a changed row (source, text, importance) with its text and importance; telemetry and owners stay."""
     r = rows.select("source", F.col("text").alias("_t"), F.col("importance").alias("_i"), F.lit(True).alias("_hit"))
@@ -398,11 +413,95 @@ def view_edges(view: DataFrame, edges: DataFrame, most: int = 400) -> DataFrame:
     return inner.orderBy(F.desc(F.col("_src") + F.col("_dst")), F.desc(F.abs("weight")), "id").limit(most).select(edges.columns)
 
 
+#: what a node keeps when it is projected again, and lists that join
+TELEMETRY, JOINED = ("activation", "last_recalled", "recall_count", "practice_times", "created_at"), ("owners", "external_refs", "aliases")
+
+
+def projected_upsert(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """Nodes after projecting ``new`` ones (one per id): a known one of the same kind takes the new columns but keeps its telemetry, lists of owners, references and aliases join,
+    and what is scoped to the character stays so; one of another kind is replaced as a whole. Columns that ``new`` lacks stay."""
+    given = [c for c in new.columns if c not in ("id", "kind")]
+    side = new.select(F.col("id").alias("_id"), F.col("kind").alias("_kind"), *[F.col(c).alias(f"_{c}") for c in given])
+    both = nodes.join(side, F.col("id") == F.col("_id"), "full_outer")
+    kept, fresh = F.col("_id").isNull(), F.col("id").isNull() | (F.col("kind") != F.col("_kind"))
+
+    def value(c: str) -> Column:
+        old = F.col(c) if c in nodes.columns else F.lit(None).cast(new.schema[c].dataType)
+        if c == "id":
+            return F.coalesce("id", "_id")
+        if c == "kind":
+            return F.coalesce("_kind", "kind")
+        if c not in given:
+            return F.when(kept | ~fresh, old)
+        own = F.col(f"_{c}")
+        if c in TELEMETRY:
+            again = F.coalesce(old, own)
+        elif c in JOINED:
+            none = F.array().cast(new.schema[c].dataType)
+            again = F.array_distinct(F.concat(F.coalesce(old, none), F.coalesce(own, none)))
+        else:
+            again = F.coalesce(old, F.lit(False)) | F.coalesce(own, F.lit(False)) if c == "character_scoped" else own
+        return F.when(kept, old).when(fresh, own).otherwise(again)
+
+    every = [*nodes.columns, *[c for c in new.columns if c not in nodes.columns]]
+    return both.select(*[value(c).alias(c) for c in every])
+
+
 def updated_graph(nodes: DataFrame, edges: DataFrame, changed: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """An incremental update: the nodes and edges of changed rows replace those with their ids, all others stay."""
+    """An incremental update: changed nodes are projected again (``projected_upsert``), changed edges merge with those of their ids, all others stay."""
     new_nodes, new_edges = changed
-    replace = lambda old, new: old.join(new.select("id"), "id", "left_anti").unionByName(new, allowMissingColumns=True)
-    return replace(nodes, new_nodes), replace(edges, new_edges)
+    merged = merged_edges(edges.join(new_edges.select("id"), "id", "left_semi").unionByName(new_edges, allowMissingColumns=True))
+    return projected_upsert(nodes, new_nodes), edges.join(new_edges.select("id"), "id", "left_anti").unionByName(merged, allowMissingColumns=True)
+
+
+def mentioned(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, node), once each, for texts (id, text) in which a label (node, label) of three characters or more stands as whole words, case aside.
+
+    A dictionary join: the words of a label are looked up among the runs of as many words of each text, and only what has them is searched for the label as it is written,
+    borders included. A label without any letter, digit or underscore is not looked for.
+    """
+    own = labels.select("node", F.trim("label").alias("label")).where(F.length("label") >= 3).withColumn("words", T.tokens(F.col("label"))).where(F.size("words") > 0).distinct()
+    own = own.select("node", "label", F.size("words").alias("n"), F.array_join("words", " ").alias("run"))
+    lengths = [r.n for r in own.select("n").distinct().collect()]  # numbers of words in a label
+    if not lengths:
+        return texts.join(own, F.lit(False)).select("id", "node")
+    words = texts.select("id", T.tokens(F.col("text")).alias("w"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+    each = F.flatten(F.array(*[F.when(F.size("w") >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in lengths]))
+    found = words.select("id", F.explode(F.array_distinct(each)).alias("run")).join(own, "run").select("id", "node", "label")
+    return found.join(texts.select("id", "text"), "id").where(T.mentions(F.col("text"), F.col("label"))).select("id", "node").distinct()
+
+
+def heartbeat_graph(nodes: DataFrame, edges: DataFrame, rows: DataFrame, labels: DataFrame, *, least: float = 0.6, most: int = 200, per: str = "character") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after projecting journal rows (id, kind, summary, importance, created_at, character): findings become facts, actions episodes, of the ``most`` weightiest of
+    each character that weigh ``least``; blank summaries are left out.
+
+    Each has an edge from the self and from every person or entity that its summary mentions (labels: node, label), and these become the character's; edges of before that attribute it
+    go, learned ones stay. Nodes of earlier projections that are no longer wanted go with their edges.
+    """
+    kind, weight = F.lower(F.trim("kind")), T.clip(F.col("importance"))
+    order = Window.partitionBy(per).orderBy(F.desc(F.coalesce("importance", F.lit(0.0))), F.desc(F.coalesce("created_at", F.lit(0.0))), F.desc("id"))
+    admitted = rows.where(kind.isin("discovery", "action") & (weight >= least)).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    found = kind == "discovery"
+    key = F.col("id").cast("string")
+    own = admitted.where(F.trim("summary") != "").select(
+        F.concat(F.when(found, "fact").otherwise("episode"), F.lit(":heartbeat:"), key).alias("id"), F.when(found, "fact").otherwise("episode").alias("kind"),
+        F.concat(F.when(found, "Heartbeat finding: ").otherwise("Heartbeat action: "), F.trim("summary")).alias("text"), F.trim("summary").alias("content"), weight.alias("importance"),
+        F.when(found, 0.5).alias("confidence"), F.col("created_at"), F.when(~found, F.col("created_at")).alias("timestamp"), F.concat(F.lit("heartbeat:"), key).alias("source"), F.lit(True).alias("character_scoped"),
+    )
+    own = saved(own)
+    ends = mentioned(own.select("id", F.col("content").alias("text")), labels).select("id", F.col("node").alias("end"))
+    ends = saved(ends.where("id <> end").unionByName(own.select("id", F.lit("self").alias("end"))).distinct())
+    wide = own.select(*[c for c in own.columns if c in nodes.columns])
+    left, kept = removed(projected_upsert(nodes, wide), edges, stale(nodes, "heartbeat:", own))
+    scoped_ = left.join(ends.select(F.col("end").alias("id")).distinct().withColumn("_hit", F.lit(True)), "id", "left").withColumn("character_scoped", F.coalesce(F.col("character_scoped"), F.lit(False)) | F.coalesce("_hit", F.lit(False))).drop("_hit")
+    touched = lambda end: own.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}"))
+    stay = kept.join(touched("src"), "src", "left").join(touched("dst"), "dst", "left")
+    stay = stay.where(~(F.col("kind").isin("fact", "episode") & (F.coalesce("_src", F.lit(False)) | F.coalesce("_dst", F.lit(False))))).select(edges.columns)
+    new = ends.join(own.select("id", "kind", "importance"), "id").select(
+        S.edge_id(F.col("kind"), F.col("end"), F.col("id")).alias("id"), "kind", F.col("end").alias("src"), F.col("id").alias("dst"), F.greatest(F.lit(0.3), 0.3 + 0.5 * F.col("importance")).alias("weight"),
+    )
+    return scoped_.select(left.columns), stay.unionByName(new, allowMissingColumns=True)
 
 
 def same_graph(index: DataFrame, nodes: DataFrame) -> bool:
@@ -479,23 +578,73 @@ def label_components(labels: DataFrame) -> DataFrame:
 
 
 def survivors(persons: DataFrame, components: DataFrame) -> DataFrame:
-    """(id, survivor): the oldest of each component, then one with a user id, then the longest name, then the least id."""
-    rank = F.struct(F.col("created_at"), F.col("user_id").isNull(), -F.length("name"), F.col("id"))
+    """(id, survivor): the oldest of each component (to the millisecond; one without a time is the youngest), then one with a user id of a platform, which has a digit or a capital, then
+    the longest name, then the least id."""
+    born = F.round(F.coalesce(F.nullif(F.col("created_at").cast("double"), F.lit(0.0)), F.lit(1e18)), 3)
+    rank = F.struct(born, ~F.coalesce("user_id", F.lit("")).rlike("[0-9A-Z]"), -F.length(F.coalesce("name", F.lit(""))), F.col("id"))
     best = persons.join(components, "id").groupBy("component").agg(F.min_by("id", rank).alias("survivor"))
     return components.join(best, "component").select("id", "survivor")
 
 
+def merged_persons(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, merges) after folding persons that share a label (name, alias or user id, case aside), directly or over others; merges: (id, survivor) of the persons that go.
+
+    nodes: id, kind, name, user_id, aliases, created_at, text and, if they have them, user_ids, owners, external_refs, character_scoped. A survivor takes the longest name of its group, all other
+    names and aliases as aliases, all user ids, owners and references (in order), and reads like its names; edges move to it (``rewired``).
+    """
+    none = F.array().cast("array<string>")
+    people = saved(nodes.where("kind = 'person'"))
+    ids = F.array_append(F.coalesce("user_ids", none) if "user_ids" in nodes.columns else none, F.col("user_id"))
+    labels = people.select("id", F.explode(F.concat(F.array("name"), ids, F.coalesce("aliases", none))).alias("label")).where("label <> ''").select("id", F.lower("label").alias("label"))
+    merges = saved(survivors(people, label_components(labels)))
+    groups = merges.groupBy("survivor").agg(F.count("*").alias("n")).where("n > 1").select("survivor")
+    gone = saved(merges.join(groups, "survivor").where("id <> survivor").select("id", "survivor"))
+    own = people.join(merges.join(groups, "survivor"), "id")
+    first = F.struct(-F.length(F.coalesce("name", F.lit(""))), F.col("id") != F.col("survivor"), F.col("id"))
+    name = own.groupBy("survivor").agg(F.min_by("name", first).alias("name"))
+    lists = {"aliases": F.concat(F.array("name"), F.coalesce("aliases", none)), "user_ids": ids} | {c: F.coalesce(c, none) for c in ("owners", "external_refs") if c in nodes.columns}
+    each = own.select("survivor", F.explode(F.concat(*[F.transform(v, lambda x, c=c: F.struct(F.lit(c).alias("list"), x.alias("item"))) for c, v in lists.items()])).alias("x")).select("survivor", "x.*")
+    sets = each.where("item <> ''").groupBy("survivor").agg(*[F.array_sort(F.collect_set(F.when(F.col("list") == c, F.col("item")))).alias(c) for c in lists])
+    new = name.join(sets, "survivor").withColumn("aliases", F.array_remove("aliases", F.col("name")))
+    if "character_scoped" in nodes.columns:
+        new = new.join(own.groupBy("survivor").agg(F.max("character_scoped").alias("character_scoped")), "survivor")
+    new = new.withColumn("text", T.joined_names(F.col("name"), F.col("aliases")))
+    wide = [c for c in new.columns if c in nodes.columns]
+    side = new.select(F.col("survivor").alias("_id"), *[F.col(c).alias(f"_{c}") for c in wide])
+    left = nodes.join(gone.select("id"), "id", "left_anti").join(side, F.col("id") == F.col("_id"), "left")
+    out = left.select(*[F.when(F.col("_id").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in wide else F.col(c) for c in nodes.columns])
+    return out, rewired(edges, gone), gone
+
+
 def hebbian(edges: DataFrame, fired: DataFrame, *, threshold: float = FIRE, step: float = STEP, cap: float = 0.10) -> DataFrame:
-    """Co-occurrence edges after a recall: nodes fired together gain ``step``, at most ``cap`` above creation; new pairs start at ``step``.
+    """Co-occurrence edges (src, dst, weight, creation_weight, co_recall_count) after a recall: nodes fired together gain ``step``, up to ``cap`` above creation.
 
-    fired: (recall, id, activation); a recall's fired nodes are a bounded answer, and the result is a row per pair.
+    A new pair is created with the weight ``step`` and gains like any other. fired: (recall, id, activation); a recall's fired nodes are a bounded answer, and the result is a row per pair.
     """
     f = fired.where(F.col("activation") >= threshold).withColumnRenamed("id", "node")
     pairs = shared_pairs(f, "node", "recall").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(True).alias("_fired"))
     both = edges.join(pairs, ["src", "dst"], "full_outer")
-    hit = F.coalesce("_fired", F.lit(False))
-    weight = F.when(F.col("weight").isNull(), step).when(hit, F.least(F.col("weight") + step, F.greatest("weight", F.col("creation_weight") + cap))).otherwise(F.col("weight"))
-    return both.select("src", "dst", weight.alias("weight"), F.coalesce("creation_weight", F.lit(step)).alias("creation_weight"), (F.coalesce("co_recall_count", F.lit(0)) + F.when(hit, 1).otherwise(0)).cast("long").alias("co_recall_count"))
+    hit, made = F.coalesce("_fired", F.lit(False)), F.coalesce("creation_weight", F.when(F.col("weight").isNull(), F.lit(step)).otherwise(F.lit(0.0)))
+    weight = F.when(hit, F.least(F.coalesce("weight", F.lit(step)) + step, made + cap)).otherwise(F.col("weight"))
+    return both.select("src", "dst", weight.alias("weight"), made.alias("creation_weight"), (F.coalesce("co_recall_count", F.lit(0)) + F.when(hit, 1).otherwise(0)).cast("long").alias("co_recall_count"))
+
+
+def fed_back(nodes: DataFrame, pairs: DataFrame, surfaced: DataFrame, now: float, *, threshold: float = FIRE) -> tuple[DataFrame, DataFrame]:
+    """(nodes, pairs) after a recall that surfaced nodes (id, score), once each at their best however many participants saw them: they are touched, and those active enough wire together.
+
+    nodes: id, recall_count, last_recalled and, if they have them, activation and practice_times; pairs: the co-occurrence edges as in ``hebbian``. What surfaced fits a budget of tokens, so
+    it is a bounded answer. A preview leaves this step out.
+    """
+    best = surfaced.groupBy("id").agg(F.max("score").alias("_score"))
+    out, hit = nodes.join(best, "id", "left"), F.col("_score").isNotNull()
+    changes = {"recall_count": F.coalesce("recall_count", F.lit(0)) + F.when(hit, 1).otherwise(0), "last_recalled": F.when(hit, F.lit(now)).otherwise(F.col("last_recalled"))}
+    if "activation" in nodes.columns:
+        changes["activation"] = F.when(hit, F.greatest("activation", "_score")).otherwise(F.col("activation"))
+    if "practice_times" in nodes.columns:
+        times = F.coalesce("practice_times", F.array().cast("array<double>"))
+        changes["practice_times"] = F.when(hit, F.concat(times, F.array(F.lit(now)))).otherwise(F.col("practice_times"))
+    fired = best.join(nodes.select("id"), "id", "left_semi").select(F.lit(0).alias("recall"), "id", F.col("_score").alias("activation"))
+    return out.withColumns(changes).select(nodes.columns), hebbian(pairs, fired, threshold=threshold)
 
 
 def owners_from_content(nodes: DataFrame, edges: DataFrame, content_kinds: tuple[str, ...] = ("fact", "episode")) -> DataFrame:

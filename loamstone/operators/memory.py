@@ -222,6 +222,15 @@ def emotion_changes(before: DataFrame, after: DataFrame, least: float = 1e-9) ->
     return both.withColumn("delta", F.col("after") - F.col("before")).where(F.abs("delta") > least)
 
 
+def relation_changes(before: DataFrame, after: DataFrame, least: float = 1e-9) -> DataFrame:
+    """(user_id, axes, comment_before, comment_after, comment_changed) of the users whose dimensions moved or whose comment is another one; axes: the number of those that moved. Rows: (user_id, dims, comment)."""
+    moved = emotion_changes(before, after, least).groupBy("user_id").agg(F.count("*").alias("axes"))
+    side = lambda df, name: df.select("user_id", F.coalesce("comment", F.lit("")).alias(name))
+    said = side(before, "comment_before").join(side(after, "comment_after"), "user_id", "full_outer").fillna("", ["comment_before", "comment_after"])
+    out = said.join(moved, "user_id", "left").fillna({"axes": 0}).withColumn("comment_changed", F.col("comment_before") != F.col("comment_after"))
+    return out.where("axes > 0 or comment_changed").select("user_id", "axes", "comment_before", "comment_after", "comment_changed")
+
+
 def emotion_items(baseline: Column, mood: Column, dims: DataFrame) -> DataFrame:
     """(section, who, axis, line) of emotion rows (user_id, dims) of users, with the character's baseline and mood (maps) once: what an emotion memory recalls."""
     one = dims.sparkSession.range(1)
@@ -326,6 +335,29 @@ def fact_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def ingested_facts(facts: DataFrame, subjects: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, members) of facts (id, user_id, content, importance, confidence, chat_id) with what a model found in them: subjects (id, subject node; missing: the person of the
+    user, or the self) and entities (id, name, entity node, kind_label). Blank contents are left out.
+
+    Each fact has an edge from its subject, by its importance, and one of 0.4 from every entity; all of them belong to the fact's user, and to the character if the fact is about the self.
+    members (id, participants) are the facts with what they share: ``graph.shared_cliques`` and ``graph.shared_pairs`` wire them together.
+    """
+    own = facts.where(F.trim(F.coalesce("content", F.lit(""))) != "").join(subjects.select("id", "subject"), "id", "left")
+    person = F.when(F.coalesce("user_id", F.lit("")) != "", F.concat(F.lit("person:"), "user_id")).otherwise("self")
+    own = own.select(F.concat(F.lit("fact:"), F.col("id").cast("string")).alias("fact"), F.col("id").alias("_key"), F.coalesce("subject", person).alias("subject"), F.nullif(F.col("user_id"), F.lit("")).alias("owner"), F.trim("content").alias("text"), T.clip(F.col("importance")).alias("importance"), T.clip(F.col("confidence")).alias("confidence"), "chat_id")
+    named = entities.select(F.col("id").alias("_key"), "entity", F.col("name").alias("_name"), "kind_label").join(own.select("_key", "fact", "owner", "subject", "importance", "confidence"), "_key").dropDuplicates(["fact", "entity"])
+    about = F.col("subject") == "self"
+    each = own.select(F.col("fact").alias("id"), F.lit("fact").alias("kind"), "text", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind_label"), "owner", about.alias("scoped"), "importance", "confidence", "chat_id")
+    ends = own.select(F.col("subject").alias("id"), F.when(F.col("subject") == "self", "self").otherwise("person").alias("kind"), "owner", about.alias("scoped"))
+    things = named.select(F.col("entity").alias("id"), F.lit("entity").alias("kind"), F.col("_name").alias("name"), "kind_label", "owner", about.alias("scoped"))
+    every = each.unionByName(ends, allowMissingColumns=True).unionByName(things, allowMissingColumns=True)
+    nodes = every.groupBy("id", "kind").agg(*[F.min(c).alias(c) for c in ("text", "name", "kind_label", "importance", "confidence", "chat_id")], F.array_sort(F.collect_set("owner")).alias("owners"), F.max("scoped").alias("character_scoped"))
+    edge = lambda df, src, weight: df.select(S.edge_id(F.lit("fact"), F.col(src), F.col("fact")).alias("id"), F.lit("fact").alias("kind"), F.col(src).alias("src"), F.col("fact").alias("dst"), weight.alias("weight"), "confidence", "importance")
+    edges = edge(own, "subject", F.greatest(F.lit(0.3), F.least(F.lit(1.0), 0.3 + 0.7 * F.col("importance")))).unionByName(edge(named.where("entity <> subject"), "entity", F.lit(0.4)))
+    members = own.select(F.col("fact").alias("id"), F.col("subject").alias("p")).unionByName(named.select(F.col("fact").alias("id"), F.col("entity").alias("p"))).groupBy("id").agg(F.array_sort(F.collect_set("p")).alias("participants"))
+    return nodes, edges, members
+
+
 def episode_graph(episodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Episodes (id, user_id, summary, importance, emotional_shift, occurred_at, created_at) as nodes and as edges from their owners; a missing or zero time is the creation."""
     node, person = F.concat(F.lit("episode:"), "id"), F.concat(F.lit("person:"), "user_id")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, LongType
 
 from ..functions import scoring as S
-from ..functions import text as T
+from . import intervals as N
 from . import tables as B
 
 STICKY, E_FOLD = 0.95, 3 * S.DAY
@@ -23,12 +25,11 @@ def followup_relevance(not_before: Column, last_recalled: Column, now: float, co
     return F.when(due, value).otherwise(0.0)
 
 
-def temporal_relevance(rows: DataFrame, ranges: DataFrame, start: str = "occurred_at", end: str | None = None) -> DataFrame:
-    """(id, temporal): the best confidence times weight among a query's ranges that a row overlaps; ``ranges`` are those of one query, a handful."""
-    finish = F.col(f"r.{end}") if end else F.lit(None).cast("double")
-    hit = T.overlaps(F.col(f"r.{start}"), finish, F.col("q.start"), F.col("q.end"))
-    joined = rows.where(F.col(start).isNotNull()).alias("r").join(ranges.alias("q"), hit)
-    return joined.groupBy("r.id").agg(F.max(F.col("q.confidence") * F.col("q.query_weight")).alias("temporal"))
+def temporal_relevance(rows: DataFrame, ranges: DataFrame, start: str = "occurred_at", end: str | None = None, per: list[str] | None = None) -> DataFrame:
+    """(per.., id, temporal): the best confidence times weight among the ranges that a row overlaps, of one query or of each query of ``per``; joined by cells of time."""
+    own = rows.where(F.col(start).isNotNull()).select("id", F.col(start).alias("_from"), (F.col(end) if end else F.lit(None).cast("double")).alias("_until"))
+    asked = ranges.select(*(per or []), F.col("start").alias("_low"), F.col("end").alias("_high"), (F.col("confidence") * F.col("query_weight")).alias("_worth"))
+    return N.overlapping(own, asked, "_from", "_until", "_low", "_high").groupBy(*(per or []), "id").agg(F.max("_worth").alias("temporal"))
 
 
 def scored(rows: DataFrame, semantic: DataFrame, temporal: DataFrame | None, now: float, *, temporal_weight: float = 1.0, e_fold: float = E_FOLD, sticky: float | None = STICKY, impact: Column | None = None) -> DataFrame:
@@ -110,6 +111,48 @@ def budget_greedy(items: DataFrame, budget: int, group: str, order: str | list[s
     return kept.where("_fits").drop("_fits")
 
 
+def budget_rendered(items: DataFrame, budget: int, order: list[str], per: str = "query_id", *, titles: dict[str, str] | None = None, section: str = "section", under: str | None = None, text: str = "text") -> DataFrame:
+    """The items of each query that fit its budget of tokens as they are rendered together, with ``used_tokens`` after each.
+
+    Items come in ``order``; one that does not fit is passed over and later ones may still fit. The cost is that of the whole text: sections under their titles (``## title``), a blank
+    line between them, in a section the items without ``under`` and then those of each ``under`` below its name, and a line (``- text``) for each item. So a heading is paid by the
+    first item that needs it. Blank texts cost nothing and are left out. The state of the walk is the headings that are open and the length so far.
+    """
+    names = F.create_map(*[F.lit(x) for kv in titles.items() for x in kv]) if titles else None
+    title = F.coalesce(names[F.col(section)], F.col(section)) if titles else F.col(section)
+    body = F.length(F.trim(F.coalesce(text, F.lit(""))))
+    needs = F.to_json(F.struct(F.col(section).alias("s"), (F.length(title) + 3).alias("t"), (F.col(under) if under else F.lit(None).cast("string")).alias("u"), (body + 2).alias("n")))
+    own = items.where(body > 0).withColumn("_needs", needs)
+
+    def step(state: tuple[frozenset, int], needs: str) -> tuple[tuple[frozenset, int], int | None]:
+        open_, length = state
+        need = json.loads(needs)
+        head, sub = need["s"], (need["s"], need["u"]) if "u" in need else None
+        more, new = need["n"] + 1, open_  # a line and the break before it
+        if head not in open_:
+            more, new = more + need["t"] + (2 if open_ else 0), new | {head}
+        if sub is not None and sub not in open_:
+            more, new = more + len(need["u"]) + 2, new | {sub}
+        used = -(-(length + more) // 4)
+        return ((new, length + more), used) if used <= budget else (state, None)
+
+    out = B.walked(own, per, order, "_needs", "used_tokens", LongType(), (frozenset(), 0), step)
+    return out.where(F.col("used_tokens").isNotNull()).drop("_needs")
+
+
+def rendered(items: DataFrame, order: list[str], per: str = "query_id", *, titles: dict[str, str] | None = None, section: str = "section", under: str | None = None, text: str = "text") -> DataFrame:
+    """(per, prompt): the text of chosen items as ``budget_rendered`` counts it: sections and names in the order of their first item, items in order."""
+    names = F.create_map(*[F.lit(x) for kv in titles.items() for x in kv]) if titles else None
+    title = F.coalesce(names[F.col(section)], F.col(section)) if titles else F.col(section)
+    own = items.where(F.trim(F.coalesce(text, F.lit(""))) != "").withColumn("_u", F.col(under) if under else F.lit(None).cast("string")).withColumn("_at", F.struct(*order))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.concat(F.lit("- "), F.trim(text)).alias("line")))), lambda x: x["line"]), "\n")  # a prompt is as long as its budget
+    blocks = own.groupBy(per, F.col(section).alias("_s"), title.alias("_t"), "_u").agg(F.min("_at").alias("_at"), lines.alias("body"))
+    body = F.when(F.col("_u").isNull(), F.col("body")).otherwise(F.concat("_u", F.lit(":\n"), "body"))
+    joined = lambda by, sep: F.array_join(F.transform(F.array_sort(F.collect_list(by)), lambda x: x["body"]), sep)
+    sections = blocks.groupBy(per, "_s", "_t").agg(F.min("_at").alias("_at"), joined(F.struct(F.col("_u").isNotNull().alias("k"), "_at", body.alias("body")), "\n").alias("body"))
+    return sections.groupBy(per).agg(joined(F.struct("_at", F.concat(F.lit("## "), "_t", F.lit("\n"), "body").alias("body")), "\n\n").alias("prompt"))
+
+
 def min_max(df: DataFrame, column: str, out: str, per: list[str] | None = None) -> DataFrame:
     if per:
         groups = Window.partitionBy(*per)

@@ -48,17 +48,38 @@ def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", que
 
     With ``queries``, of at most MOST_TERMS terms in all, only their terms are kept. Nothing is shuffled.
     """
-    words = T.tokens(F.col(text_col))
-    kept = F.col("words")
+    terms = None
     if queries is not None:
-        terms = [r.term for r in query_terms(queries).limit(MOST_TERMS + 1).collect()]  # of bounded number
-        kept = F.filter("words", lambda w: w.isin(terms)) if len(terms) <= MOST_TERMS else kept
-    own = docs.select(F.col(id_col).alias("id"), words.alias("words")).select("id", F.size("words").cast("long").alias("length"), F.sort_array(kept).alias("words"))
-    # in sorted order a term's run ends where the next word differs; its length is the distance from the run before
-    ends = F.filter(F.transform("words", lambda w, i: F.when(~w.eqNullSafe(F.get("words", i + 1)), i)), lambda i: i.isNotNull())
-    own = own.withColumn("ends", ends)
-    hits = F.transform("ends", lambda e, k: F.struct(F.get("words", e).alias("term"), (e - F.coalesce(F.when(k > 0, F.get("ends", k - 1)), F.lit(-1))).cast("long").alias("tf")))
-    return saved(own.select("id", "length", hits.alias("hits")))
+        found = [r.term for r in query_terms(queries).limit(MOST_TERMS + 1).collect()]  # of bounded number
+        terms = pa.array(sorted(found), pa.string()) if len(found) <= MOST_TERMS else None
+    own = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("words"))
+    kind = own.schema["id"].dataType.simpleString()
+    return saved(own.mapInArrow(_counted(terms), f"id {kind}, length long, hits array<struct<term:string,tf:long>>"))
+
+
+def _counted(terms: pa.Array | None):
+    """(id, length, hits) of words: counts of each different word of a row, in the order of words; of ``terms`` (sorted) only, if they are given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, doc, known = lists.flatten(), np.repeat(np.arange(len(lists)), sizes), terms
+            if known is None:
+                coded = flat.dictionary_encode()
+                order = pc.sort_indices(coded.dictionary).to_numpy()
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                known, number = coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy(zero_copy_only=False)] if len(order) else np.zeros(0, np.int64)
+            else:
+                number = pc.fill_null(pc.index_in(flat, known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                doc, number = doc[number >= 0], number[number >= 0]
+            cell, tf = np.unique(doc * max(1, len(known)) + number, return_counts=True)
+            at = np.searchsorted(cell, np.arange(len(lists) + 1) * max(1, len(known)))
+            hits = pa.StructArray.from_arrays([known.take(pa.array(cell % max(1, len(known)))), pa.array(tf.astype(np.int64))], ["term", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(at, pa.int32()), hits)], names=["id", "length", "hits"])
+
+    return run
 
 
 def postings(index: DataFrame) -> DataFrame:
@@ -85,13 +106,14 @@ def bm25(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = LENGTH
     return postings(index).join(weighted_terms(index, queries), "term").groupBy("query_id", "sub_ix", "id").agg(F.sum(weight).alias("score"))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", floor: float | None = None, pool: int | None = None) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", floor: float | None = None, pool: int | None = None, result_col: str | None = None) -> DataFrame:
     """(query_id, sub_ix, id, score) by cosine, strictly above ``floor``; zero vectors score 0, rows without a vector, or with one of another length, are left out.
 
     The queries meet all vectors in blocks of QUERY_BLOCK queries, each a broadcast of bounded size and a pass over the vectors, which are not shuffled.
-    With ``pool``, tasks pass on what may be among the pool's best of a query, and ``ranked`` merges it.
+    With ``pool``, tasks pass on what may be among the pool's best of a query, and ``ranked`` merges it. With ``result_col``, of rows that are one result only those that may be its best are
+    passed on, and the pool counts results.
     """
-    own = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    own = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), *([F.col(result_col).cast("string").alias("result")] if result_col else []))
     asked = queries.where("vec is not null").select("query_id", "sub_ix", F.col("vec").cast("array<double>").alias("v"))
     return _in_blocks(own, asked, _dense_block, _dense_scores, pool, floor)
 
@@ -129,9 +151,15 @@ def _best_of(block: Broadcast, scores: Callable, pool: int | None, floor: float
             for at in range(0, whole.num_rows, step):
                 ids, found = scores(whole.slice(at, step), *own)
                 keep = found > floor if floor is not None else np.ones(found.shape, bool)
+                best = found
+                if "result" in whole.schema.names and len(found):
+                    code = _codes(whole.slice(at, step), ids)
+                    order = np.argsort(code, kind="stable")
+                    best = np.maximum.reduceat(found[order], np.searchsorted(code[order], np.arange(code.max() + 1)), axis=0)
+                    keep &= found >= best[code] - 2e-6
                 if pool is not None:
-                    if len(found) > pool:
-                        bar = np.maximum(bar, np.partition(found, -pool, axis=0)[-pool])
+                    if len(best) > pool:
+                        bar = np.maximum(bar, np.partition(best, -pool, axis=0)[-pool])
                     keep &= found >= bar - 2e-6  # what is this close to the last may tie with it once a caller rounds
                 row, query = np.nonzero(keep)
                 pairs = asked.take(pa.array(query))
@@ -140,6 +168,17 @@ def _best_of(block: Broadcast, scores: Callable, pool: int | None, floor: float
     return run
 
 
+def _codes(batch: pa.RecordBatch, ids: pa.Array) -> np.ndarray:
+    """The numbers of the results of the rows that were scored; a row without a result is one of its own."""
+    rows = batch.filter(pc.is_in(batch.column("id"), ids)) if len(ids) < batch.num_rows else batch
+    results = rows.column("result")
+    code = results.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    missing = np.isnan(code.astype(float))
+    code = np.where(missing, 0, code).astype(np.int64)
+    code[missing] = code.max(initial=-1) + 1 + np.arange(missing.sum())
+    return np.unique(code, return_inverse=True)[1]
+
+
 def _units(column: pa.Array, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rows, vectors of length 1) of a column of vectors: those of ``size`` numbers, or of as many as the first; zero stays zero."""
     sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)

@@ -65,6 +65,32 @@ def graph_retrieve(spark, d):
     return G.retrieved(trace, texts, least=-1.9, budget=200)
 
 
+# the recall above, recorded: what surfaced is touched, and wires together with what surfaced beside it
+_SURFACED = f"""{_TRACE}, t AS (SELECT id, 'node ' || id AS text, round(score, 6) AS score FROM trace WHERE round(score, 6) >= -1.9), c AS (SELECT *, ceil(length('- ' || text) / 4)::BIGINT AS k FROM t),
+    u AS (SELECT *, sum(k) OVER (ORDER BY score DESC, id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS used_tokens FROM c), shown AS (SELECT id, score FROM u WHERE used_tokens <= 200)"""
+
+
+def _fed_back(spark, d):
+    trace = _trace(spark, d).withColumn("score", r6("score"))
+    shown = G.retrieved(trace, _nodes(spark, d).select("id", F.concat(F.lit("node "), "id").alias("text")), least=-1.9, budget=200)
+    n = F.expr("cast(substring(id, 2) as bigint)")
+    nodes = _nodes(spark, d).select("id", (n % 4).alias("recall_count"), F.lit(None).cast("double").alias("last_recalled"))
+    lines = table(spark, d, "lineitem").select(_name("o", "l_orderkey").alias("a"), _name("p", "l_partkey").alias("b")).distinct()
+    pairs = lines.select("a", "b", F.lit(0.3).alias("weight"), F.lit(0.15).alias("creation_weight"), F.lit(2).cast("long").alias("co_recall_count")).withColumnsRenamed({"a": "src", "b": "dst"})
+    return G.fed_back(nodes, pairs, shown, NOW, threshold=-1.5)
+
+
+@query(_seeded(f"WITH {_SURFACED} SELECT n.id, substr(n.id, 2)::BIGINT % 4 + CASE WHEN s.id IS NULL THEN 0 ELSE 1 END AS recall_count, CASE WHEN s.id IS NOT NULL THEN 1706745600.0::DOUBLE END AS last_recalled FROM nodes n LEFT JOIN shown s ON s.id = n.id"))
+def touched_nodes(spark, d):
+    return _fed_back(spark, d)[0]
+
+
+@query(_seeded(f"""WITH {_SURFACED}, old AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem), fired AS (SELECT a.id AS src, b.id AS dst FROM shown a JOIN shown b ON a.id < b.id WHERE a.score >= -1.5 AND b.score >= -1.5)
+    SELECT coalesce(o.src, f.src) AS src, coalesce(o.dst, f.dst) AS dst, round(CASE WHEN o.src IS NULL THEN 0.1 WHEN f.src IS NULL THEN 0.3 ELSE 0.25 END::DOUBLE, 6) AS weight, CASE WHEN o.src IS NULL THEN 1 WHEN f.src IS NULL THEN 2 ELSE 3 END::BIGINT AS co_recall_count FROM old o FULL JOIN fired f ON o.src = f.src AND o.dst = f.dst"""))
+def wired_pairs(spark, d):
+    return _fed_back(spark, d)[1].select("src", "dst", r6("weight").alias("weight"), "co_recall_count")
+
+
 @query(f"""WITH {_FULL}, {_EDGES}, v AS (SELECT * FROM full_ WHERE NOT internal AND (character_scoped OR list_contains(owners, 'u2'))), x AS (SELECT e.kind FROM edges e JOIN v a ON a.id = e.src JOIN v b ON b.id = e.dst)
     SELECT 'nodes' AS what, kind, count(*) AS n FROM v GROUP BY kind UNION ALL SELECT 'edges', kind, count(*) FROM x GROUP BY kind UNION ALL SELECT 'users', NULL, count(DISTINCT user_id) FROM v""")
 def graph_overview(spark, d):
@@ -186,13 +212,20 @@ def full_graph(spark, d):
     return nodes.select("id", "text", F.array_join("owners", ",").alias("owners"))
 
 
-@query(f"""WITH {_KG}, c AS (SELECT id FROM kn WHERE substr(id, 2)::BIGINT % 6 = 0) SELECT id, CASE WHEN id IN (SELECT id FROM c) THEN 'changed' ELSE text END AS text FROM kn UNION ALL SELECT 'x' || item_id, 'fresh' FROM benchmark""")
+@query(f"""WITH {_KG}, n AS (SELECT substr(id, 2)::BIGINT AS k, id, text FROM kn) SELECT 'node' AS what, id, text, 'u' || (k % 12) AS owners, k::DOUBLE AS n FROM n WHERE k % 6 <> 0
+    UNION ALL SELECT 'node', id, 'changed', CASE WHEN k % 12 = 0 THEN 'u0' ELSE 'u6,u0' END, k::DOUBLE FROM n WHERE k % 6 = 0 UNION ALL SELECT 'node', 'x' || item_id, 'fresh', 'u0', 7.0 FROM benchmark
+    UNION ALL SELECT 'edge', id, dst, src, CASE WHEN substr(id, 2)::BIGINT % 5 = 0 THEN 0.75 ELSE 0.5 END FROM ke UNION ALL SELECT 'edge', 'y' || item_id, 'self', 'x' || item_id, 0.25 FROM benchmark""")
 def graph_update(spark, d):
     nodes, edges = _kg(spark, d)
-    changed = nodes.where("cast(substring(id, 2) as bigint) % 6 = 0").withColumn("text", F.lit("changed"))
-    fresh = table(spark, d, "benchmark").select(_name("x", "item_id").alias("id"), F.lit("fact").alias("kind"), F.lit("fresh").alias("text"), F.lit(None).cast("string").alias("source"), F.lit(0.5).alias("importance"))
-    out, _ = G.updated_graph(nodes, edges, (changed.unionByName(fresh), edges.limit(0)))
-    return out.select("id", "text")
+    k, items = F.expr("cast(substring(id, 2) as bigint)"), table(spark, d, "benchmark")
+    nodes = nodes.withColumn("owners", F.array(F.concat(F.lit("u"), (k % 12).cast("string")))).withColumn("recall_count", k)
+    again = nodes.where(k % 6 == 0).withColumns({"text": F.lit("changed"), "owners": F.array(F.lit("u0")), "recall_count": F.lit(7).cast("long")})
+    fresh = items.select(_name("x", "item_id").alias("id"), F.lit("fact").alias("kind"), F.lit("fresh").alias("text"), F.lit(None).cast("string").alias("source"), F.lit(0.5).alias("importance"), F.array(F.lit("u0")).alias("owners"), F.lit(7).cast("long").alias("recall_count"))
+    heavier = edges.where(k % 5 == 0).withColumn("weight", F.lit(0.75)).unionByName(edges.where(k % 5 == 1).withColumn("weight", F.lit(0.1)))
+    links = items.select(_name("y", "item_id").alias("id"), F.lit("fact").alias("kind"), _name("x", "item_id").alias("src"), F.lit("self").alias("dst"), F.lit(0.25).alias("weight"))
+    new_nodes, new_edges = G.updated_graph(nodes, edges, (again.unionByName(fresh), heavier.unionByName(links)))
+    own = new_nodes.select(F.lit("node").alias("what"), "id", "text", F.array_join("owners", ",").alias("owners"), F.col("recall_count").cast("double").alias("n"))
+    return own.unionByName(new_edges.select(F.lit("edge").alias("what"), "id", F.col("dst").alias("text"), F.col("src").alias("owners"), F.col("weight").alias("n")))
 
 
 @query(f"""WITH {_EDGES}, e AS (SELECT row_number() OVER () AS k, src, dst FROM edges WHERE src <> dst), b AS (SELECT k, src AS id, dst AS neighbour FROM e UNION ALL SELECT k, dst, src FROM e)
@@ -213,13 +246,46 @@ def rewired_edges(spark, d):
     return G.rewired(edges, moves.where("id <> survivor")).select("id", "src", "dst")
 
 
-@query("""WITH p AS (SELECT c_custkey AS id, c_custkey // 6 AS component, floor(abs(c_acctbal))::INT % 3 AS created_at, CASE WHEN c_custkey % 2 = 0 THEN 'u' END AS user_id, c_mktsegment AS name FROM customer)
-    SELECT id, first(id) OVER (PARTITION BY component ORDER BY created_at, user_id IS NULL, -length(name), id) AS survivor FROM p""")
+@query("""WITH p AS (SELECT c_custkey AS id, c_custkey // 6 AS component, floor(abs(c_acctbal))::INT % 3 AS created_at, CASE WHEN c_custkey % 2 = 0 THEN 'u' WHEN c_custkey % 3 = 0 THEN 'U7' END AS user_id, c_mktsegment AS name FROM customer)
+    SELECT id, first(id) OVER (PARTITION BY component ORDER BY CASE WHEN created_at = 0 THEN 9 ELSE created_at END, NOT regexp_matches(coalesce(user_id, ''), '[0-9A-Z]'), -length(name), id) AS survivor FROM p""")
 def merge_survivors(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr("c_custkey div 6").alias("component"), (F.floor(F.abs("c_acctbal")).cast("int") % 3).alias("created_at"), F.when(F.col("c_custkey") % 2 == 0, "u").alias("user_id"), F.col("c_mktsegment").alias("name"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr("c_custkey div 6").alias("component"), (F.floor(F.abs("c_acctbal")).cast("int") % 3).alias("created_at"), F.when(F.col("c_custkey") % 2 == 0, "u").when(F.col("c_custkey") % 3 == 0, "U7").alias("user_id"), F.col("c_mktsegment").alias("name"))
     return G.survivors(c.drop("component"), c.select("id", "component"))
 
 
+# persons that share names or user ids in runs, with edges to their orders
+_PERSONS = """pn AS (SELECT 'c' || c_custkey AS id, c_custkey AS k, 'Name ' || repeat('x', (c_custkey % 4)::INT) || (c_custkey // 6 * 6 + c_custkey % 2) AS name, CASE WHEN c_custkey % 3 = 0 THEN 'user' || (c_custkey // 3) ELSE 'slug' END AS raw, 'Al' || (c_custkey // 3) AS alias, (c_custkey % 5)::DOUBLE AS born FROM customer),
+    pl AS (SELECT id, lower(unnest([name, alias, CASE WHEN raw = 'slug' THEN 'slug' || k ELSE raw END])) AS label FROM pn), pe AS (SELECT DISTINCT a.id AS a, b.id AS b FROM pl a JOIN pl b USING (label)),
+    pr(id, root) AS (SELECT id, id FROM pn UNION SELECT pe.b, pr.root FROM pr JOIN pe ON pe.a = pr.id WHERE pr.root < pe.b), pc AS (SELECT id, min(root) AS component FROM pr GROUP BY id),
+    ps AS (SELECT pn.*, component, CASE WHEN raw = 'slug' THEN 'slug' || k ELSE raw END AS user_id, first(pn.id) OVER (PARTITION BY component ORDER BY CASE WHEN born = 0 THEN 9 ELSE born END, false, -length(name), pn.id) AS survivor, count(*) OVER (PARTITION BY component) AS n FROM pn JOIN pc ON pc.id = pn.id)"""
+
+
+def _merged_persons(spark, d):
+    k = F.col("c_custkey")
+    text = lambda n: n.cast("string")
+    persons = table(spark, d, "customer").select(
+        _name("c", "c_custkey").alias("id"), F.lit("person").alias("kind"), F.concat(F.lit("Name "), F.repeat(F.lit("x"), (k % 4).cast("int")), text(F.expr("c_custkey div 6 * 6 + c_custkey % 2"))).alias("name"),
+        F.when(k % 3 == 0, F.concat(F.lit("user"), text(F.expr("c_custkey div 3")))).otherwise(F.concat(F.lit("slug"), text(k))).alias("user_id"), F.array(F.concat(F.lit("Al"), text(F.expr("c_custkey div 3")))).alias("aliases"), (k % 5).cast("double").alias("created_at"), F.array(_name("u", "c_custkey")).alias("owners"), F.lit("").alias("text"),
+    )
+    orders = table(spark, d, "orders")
+    nodes = persons.unionByName(orders.select(_name("o", "o_orderkey").alias("id"), F.lit("episode").alias("kind")), allowMissingColumns=True)
+    edges = orders.select(S.edge_id(F.lit("episode"), _name("c", "o_custkey"), _name("o", "o_orderkey")).alias("id"), F.lit("episode").alias("kind"), _name("c", "o_custkey").alias("src"), _name("o", "o_orderkey").alias("dst"), F.lit(0.5).alias("weight"))
+    return G.merged_persons(nodes, edges)
+
+
+@query(f"""WITH RECURSIVE {_PERSONS}, best AS (SELECT survivor, first(name ORDER BY -length(name), id <> survivor, id) AS name FROM ps WHERE n > 1 GROUP BY survivor),
+    al AS (SELECT survivor, list_sort(list_distinct(list(x))) AS xs, list_sort(list_distinct(list(o))) AS os FROM (SELECT survivor, unnest([name, alias]) AS x, 'u' || k AS o FROM ps WHERE n > 1) GROUP BY survivor)
+    SELECT ps.id, coalesce(best.name, ps.name) AS name, array_to_string(CASE WHEN best.name IS NULL THEN [alias] ELSE list_filter(xs, lambda x: x <> best.name) END, ',') AS aliases, array_to_string(coalesce(os, ['u' || k]), ',') AS owners FROM ps LEFT JOIN best ON best.survivor = ps.id LEFT JOIN al ON al.survivor = ps.id WHERE ps.id = ps.survivor""")
+def merged_persons(spark, d):
+    nodes = _merged_persons(spark, d)[0].where("kind = 'person'")
+    return nodes.select("id", "name", F.array_join("aliases", ",").alias("aliases"), F.array_join("owners", ",").alias("owners"))
+
+
+@query(f"""WITH RECURSIVE {_PERSONS} SELECT 'e:episode:' || survivor || '->o' || o_orderkey AS id, survivor AS src, 'o' || o_orderkey AS dst FROM orders JOIN ps ON ps.k = o_custkey""")
+def merged_person_edges(spark, d):
+    return _merged_persons(spark, d)[1].select("id", "src", "dst")
+
+
 @query("SELECT 'c' || c_custkey AS id, 'self' AS survivor FROM customer WHERE c_mktsegment = 'FURNITURE' OR c_custkey % 10 = 3")
 def self_merges(spark, d):
     persons = table(spark, d, "customer").select(_name("c", "c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), F.array(F.concat(F.lit(" Alias "), (F.col("c_custkey") % 10).cast("string"))).alias("aliases"))
@@ -336,3 +402,77 @@ def member_activation(spark, d):
     members = m.select((F.col("chat_id") % 5).alias("team"), (F.col("chat_id") % 12).alias("member"), (F.col("chat_id") % 12 * 10).alias("id"), F.lit(0.48).alias("activation")).distinct()
     out = G.spread_for_members(ways, seeds, members, group="team", cliques=cliques)
     return out.select("team", "member", "id", r6(F.col("activation") + 1e-10).alias("activation"))
+
+
+# labels from the beginnings of texts, and common words of each language; journal rows from documents
+_JOURNAL = """lab AS (SELECT 'person:' || doc_id AS node, regexp_extract(trim(text), '^\\S+ \\S+') AS label FROM documents WHERE doc_id % 50 = 1 UNION ALL SELECT 'entity:' || x, x FROM (SELECT unnest(['THE', 'die', 'le', 'que', 'sich ', 'e']) AS x)),
+    rows_ AS (SELECT doc_id AS id, ['discovery', ' Action', 'other'][doc_id % 3 + 1] AS kind, text AS summary, (doc_id % 10) / 10.0::DOUBLE AS importance, (doc_id % 97)::DOUBLE AS created_at, source AS character FROM documents),
+    adm AS (SELECT * FROM rows_ WHERE kind <> 'other' AND importance >= 0.6 QUALIFY row_number() OVER (PARTITION BY character ORDER BY importance DESC, created_at DESC, id DESC) <= 20),
+    own AS (SELECT *, CASE WHEN kind = 'discovery' THEN 'fact' ELSE 'episode' END AS k, CASE WHEN kind = 'discovery' THEN 'fact:heartbeat:' ELSE 'episode:heartbeat:' END || id AS nid FROM adm WHERE trim(summary) <> ''),
+    ends AS (SELECT nid, k, importance, 'self' AS e FROM own UNION SELECT nid, k, importance, node FROM own, lab WHERE length(trim(label)) >= 3 AND regexp_matches(lower(summary), '(^|[^\\p{L}\\p{N}_])' || regexp_escape(lower(trim(label))) || '($|[^\\p{L}\\p{N}_])')),
+    old AS (SELECT 'fact:heartbeat:' || (doc_id * 3) AS id, doc_id FROM documents WHERE doc_id % 4 = 0), left_ AS (SELECT * FROM old WHERE id IN (SELECT nid FROM own))"""
+
+
+def _journal(spark, d):
+    k, docs = F.col("doc_id"), table(spark, d, "documents")
+    names = docs.where("doc_id % 50 = 1").select(_name("person:", "doc_id").alias("node"), F.regexp_extract(F.trim("text"), r"^\S+ \S+", 0).alias("label"))
+    labels = names.unionByName(spark.createDataFrame([(f"entity:{x}", x) for x in ("THE", "die", "le", "que", "sich ", "e")], "node string, label string"))
+    rows = docs.select(k.alias("id"), F.get(F.array(*map(F.lit, ["discovery", " Action", "other"])), (k % 3).cast("int")).alias("kind"), F.col("text").alias("summary"), (k % 10 / 10).alias("importance"), (k % 97).cast("double").alias("created_at"), F.col("source").alias("character"))
+    # an earlier projection: some nodes are wanted again, the others are stale
+    old = docs.where("doc_id % 4 = 0").select(F.concat(F.lit("fact:heartbeat:"), (k * 3).cast("string")).alias("id"), F.lit("fact").alias("kind"), F.lit("old").alias("text"), F.concat(F.lit("heartbeat:"), (k * 3).cast("string")).alias("source"), F.array(F.lit("u1")).alias("owners"), (k + 1).alias("recall_count"), F.lit(False).alias("character_scoped"), F.lit(0.1).alias("importance"))
+    fixed = labels.select(F.col("node").alias("id")).distinct().unionByName(spark.createDataFrame([("self",)], "id string"))
+    nodes = old.unionByName(fixed.withColumn("kind", F.split("id", ":")[0]), allowMissingColumns=True)
+    edges = old.select(F.concat(F.lit("x:"), "id").alias("id"), F.lit("fact").alias("kind"), F.lit("self").alias("src"), F.col("id").alias("dst"), F.lit(0.9).alias("weight")).unionByName(
+        old.select(F.concat(F.lit("c:"), "id").alias("id"), F.lit("co_occurrence").alias("kind"), F.lit("self").alias("src"), F.col("id").alias("dst"), F.lit(0.2).alias("weight")))
+    return nodes, edges, rows, labels
+
+
+@query(f"""WITH {_JOURNAL} SELECT 'e:' || k || ':' || e || '->' || nid AS id, round(greatest(0.3, 0.3 + 0.5 * importance), 6) AS weight FROM ends UNION ALL SELECT 'c:' || id, 0.2 FROM left_""")
+def heartbeat_mentions(spark, d):
+    return G.heartbeat_graph(*_journal(spark, d), most=20)[1].select("id", r6("weight").alias("weight"))
+
+
+@query(f"""WITH {_JOURNAL}, n AS (SELECT nid AS id, (CASE WHEN k = 'fact' THEN 'Heartbeat finding: ' ELSE 'Heartbeat action: ' END) || trim(summary) AS text, l.doc_id + 1 AS recalls, true AS scoped FROM own LEFT JOIN left_ l ON l.id = nid
+        UNION ALL SELECT id, NULL, NULL, id IN (SELECT e FROM ends) FROM (SELECT DISTINCT node AS id FROM lab UNION SELECT 'self')) SELECT id, text, recalls, scoped FROM n""")
+def heartbeat_nodes(spark, d):
+    return G.heartbeat_graph(*_journal(spark, d), most=20)[0].select("id", "text", F.col("recall_count").alias("recalls"), F.col("character_scoped").alias("scoped"))
+
+
+_FACTS = """fr AS (SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'u' || (user_id % 50) END AS user_id, CASE WHEN event_id % 23 = 0 THEN '  ' ELSE props END AS content, (event_id % 11) / 10.0::DOUBLE AS importance FROM events), fs AS (SELECT id, 'person:s' || (id % 40) AS subject FROM fr WHERE id % 3 = 0),
+    fe AS (SELECT id, 'entity:e' || (id % 30) AS entity FROM fr WHERE id % 2 = 0 UNION ALL SELECT id, 'entity:e' || (id % 7) FROM fr), ok AS (SELECT fr.id, 'fact:' || fr.id AS fact, coalesce(subject, CASE WHEN user_id <> '' THEN 'person:' || user_id ELSE 'self' END) AS subject, nullif(user_id, '') AS owner, importance FROM fr LEFT JOIN fs ON fs.id = fr.id WHERE trim(content) <> ''),
+    nm AS (SELECT DISTINCT fact, entity, owner, subject FROM fe JOIN ok ON ok.id = fe.id)"""
+
+
+def _ingested(spark, d):
+    k = F.col("event_id")
+    text = lambda letter, n: F.concat(F.lit(letter), n.cast("string"))
+    facts = table(spark, d, "events").select(k.alias("id"), F.when(k % 4 == 0, "").otherwise(text("u", F.col("user_id") % 50)).alias("user_id"), F.when(k % 23 == 0, "  ").otherwise(F.col("props")).alias("content"), (k % 11 / 10).alias("importance"), F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("chat_id"))
+    k = F.col("id")
+    entity = lambda df, n: df.select("id", text("E", n).alias("name"), text("entity:e", n).alias("entity"), F.lit("thing").alias("kind_label"))
+    return M.ingested_facts(facts, facts.where("id % 3 = 0").select("id", text("person:s", k % 40).alias("subject")), entity(facts.where("id % 2 = 0"), k % 30).unionByName(entity(facts, k % 7)))
+
+
+@query(f"""WITH {_FACTS}, n AS (SELECT fact AS id, owner, subject = 'self' AS own FROM ok UNION ALL SELECT subject, owner, subject = 'self' FROM ok UNION ALL SELECT entity, owner, subject = 'self' FROM nm) SELECT id, array_to_string(list_sort(coalesce(list(DISTINCT owner) FILTER (owner IS NOT NULL), [])), ',') AS owners, bool_or(own) AS scoped FROM n GROUP BY id""")
+def ingested_nodes(spark, d):
+    return _ingested(spark, d)[0].select("id", F.array_join("owners", ",").alias("owners"), F.col("character_scoped").alias("scoped"))
+
+
+@query(f"WITH {_FACTS} SELECT 'e:fact:' || subject || '->' || fact AS id, round(greatest(0.3, least(1, 0.3 + 0.7 * least(1, importance))), 6) AS weight FROM ok UNION ALL SELECT 'e:fact:' || entity || '->' || fact, 0.4 FROM nm")
+def ingested_edges(spark, d):
+    return _ingested(spark, d)[1].select("id", r6("weight").alias("weight"))
+
+
+_WIKI = """wn AS (SELECT 'd' || doc_id AS id, ['person', 'fact', 'entity', 'episode'][doc_id % 4 + 1] AS kind, CASE WHEN doc_id % 3 = 0 THEN 'wiki:' || doc_id WHEN doc_id % 3 = 1 THEN 'row:1' ELSE '' END AS source, doc_id % 5 < 2 AS ref, doc_id % 10 = 1 AS more, doc_id % 7 = 0 AS owned, doc_id FROM documents),
+    wl AS (SELECT * FROM wn WHERE NOT (kind IN ('fact', 'episode') AND starts_with(source, 'wiki:')) AND NOT (kind IN ('person', 'entity') AND ref AND NOT more AND NOT owned AND source = '')),
+    we AS (SELECT 'e' || doc_id AS id, 'd' || doc_id AS src, 'd' || (doc_id // 2) AS dst, CASE WHEN doc_id % 2 = 0 THEN 'relation' ELSE 'fact' END AS kind, CASE WHEN doc_id % 6 = 0 THEN 'wiki' END AS provenance FROM documents)"""
+
+
+@query(f"""WITH {_WIKI} SELECT id, CASE WHEN NOT ref THEN '' WHEN kind IN ('person', 'entity') THEN CASE WHEN more THEN 'x:1' ELSE '' END WHEN more THEN 'wiki:a,x:1' ELSE 'wiki:a' END AS refs FROM wl
+    UNION ALL SELECT id, src FROM we WHERE NOT (kind = 'relation' AND provenance IS NOT DISTINCT FROM 'wiki') AND src IN (SELECT id FROM wl) AND dst IN (SELECT id FROM wl)""")
+def wiki_dropped(spark, d):
+    k, docs = F.col("doc_id"), table(spark, d, "documents")
+    refs = F.when(k % 10 == 1, F.array(F.lit("wiki:a"), F.lit("x:1"))).when(k % 5 < 2, F.array(F.lit("wiki:a"))).otherwise(F.array().cast("array<string>"))
+    nodes = docs.select(_name("d", "doc_id").alias("id"), F.get(F.array(*map(F.lit, ["person", "fact", "entity", "episode"])), (k % 4).cast("int")).alias("kind"), F.when(k % 3 == 0, _name("wiki:", "doc_id")).when(k % 3 == 1, "row:1").otherwise("").alias("source"), refs.alias("external_refs"), F.when(k % 7 == 0, F.array(F.lit("u"))).alias("owners"))
+    edges = docs.select(_name("e", "doc_id").alias("id"), F.when(k % 2 == 0, "relation").otherwise("fact").alias("kind"), _name("d", "doc_id").alias("src"), F.concat(F.lit("d"), F.expr("doc_id div 2").cast("string")).alias("dst"), F.lit(0.5).alias("weight"), F.when(k % 6 == 0, "wiki").alias("provenance"))
+    left, kept = G.without_wiki(nodes, edges)
+    return left.select("id", F.array_join("external_refs", ",").alias("refs")).unionByName(kept.select("id", F.col("src").alias("refs")))

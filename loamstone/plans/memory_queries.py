@@ -179,8 +179,9 @@ def events_in_time(spark, d):
 def events_by_text(spark, d):
     docs = table(spark, d, "documents")
     asked = _asked(spark, d).where("query_id = 0")
-    scores = X.bm25(X.indexed(docs, queries=asked), asked).select("id", r6("score").alias("score"))
     rows = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")).alias("occurred_at"))
+    index = X.indexed(docs, queries=asked)
+    scores = X.bm25_top(index, asked, 12, index.join(rows.where("occurred_at >= 40").select("id"), "id", "left_semi")).select("id", r6("score").alias("score"))
     return X.searched_events(rows, scores, 12, low=40).select("id", "score")
 
 
@@ -211,7 +212,7 @@ def dedup_candidates(spark, d):
     f AS (SELECT query_id, id, sum(rrf) AS score, 1 - product(1 - c) AS confidence FROM h GROUP BY ALL)
     SELECT query_id, id, round(score, 6) AS score, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM f QUALIFY rank <= 8""")
 def hybrid_filtered(spark, d):
-    """A filter on the rows, with statistics of those that pass, a floor on the cosine, and a list of allowed ids: all before the lists are cut."""
+    """A filter on the rows, and a floor on the cosine, before the lists are cut; statistics of all rows."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
     own = table(spark, d, "embeddings")
     vectors = own.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
@@ -221,6 +222,22 @@ def hybrid_filtered(spark, d):
     return out.select("query_id", "id", "score", r6("confidence").alias("confidence"), "rank")
 
 
+@query(f"""WITH {_bm25_sql("lang <> 'fr' AND doc_id % 5 < 3 AND doc_id % 3 < 2")}, ok AS (SELECT id FROM d), lx AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) - 1 AS rank FROM s QUALIFY rank < 30),
+    v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), dn AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE a.id IN (SELECT query_id FROM q) AND b.id IN (SELECT id FROM ok)),
+    dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM dn QUALIFY rank < 30),
+    h AS (SELECT query_id, id, 1.0::DOUBLE / (61 + rank) AS rrf, greatest(0, least(1, score / max(score) OVER (PARTITION BY query_id))) AS c FROM lx UNION ALL SELECT query_id, id, 1.0::DOUBLE / (61 + rank), greatest(0, least(1, score)) FROM dr),
+    f AS (SELECT query_id, id, sum(rrf) AS score, 1 - product(1 - c) AS confidence FROM h GROUP BY ALL)
+    SELECT query_id, id, round(score, 6) AS score, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM f QUALIFY rank <= 8""")
+def hybrid_allowed(spark, d):
+    """A filter on the rows and a list of allowed ids, with the statistics of the rows that pass both."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    own = table(spark, d, "embeddings")
+    vectors = own.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    asked = _asked(spark, d).join(own.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), "query_id", "left")
+    out = X.hybrid(docs, vectors, asked, 8, where=(F.col("lang") != "fr") & (F.col("id") % 5 < 3), allowed=docs.where("id % 3 < 2").select("id"), stats_scope="subset", digits=6)
+    return out.select("query_id", "id", "score", r6("confidence").alias("confidence"), "rank")
+
+
 @query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 6 <> 0")
 def listed_chunks(spark, d):
     return B.listed(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", (F.col("vec_id") % 6 == 0).alias("deleted"), F.col("vec_id").alias("pos"))).select("id", "label")
@@ -675,3 +692,54 @@ def answer_prefix(spark, d):
 def memory_sweeps(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("user_id"), F.col("vec_id").cast("double").alias("created_at"), F.lit("").alias("content"), F.col("embedding").alias("vec"))
     return E.sweeps({f"m{k}": rows.where(F.col("id") % 2 == k) for k in range(2)}, threshold=0.25).select("memory", "id", "survivor")
+
+
+# decisions on the row before and, for some, the one before that, of the same user
+_DECIDED = f"""{_ROWS}, o AS (SELECT *, lag(id) OVER w AS one, lag(id, 2) OVER w AS two FROM rows_ WINDOW w AS (PARTITION BY user_id ORDER BY created_at, id)),
+    kinds AS (SELECT ['distinct', 'equivalent', 'incoming_corrects_existing', 'state_transition', 'existing_corrects_incoming', 'incoming_corrects_existing', 'state_transition'] AS k),
+    d AS (SELECT id, user_id, one AS candidate, k[id % 7 + 1] AS rel, id % 13 > 0 AS sure FROM o, kinds WHERE one IS NOT NULL UNION ALL SELECT id, user_id, two, k[(id // 5) % 7 + 1], true FROM o, kinds WHERE id % 5 = 0 AND two IS NOT NULL
+          UNION ALL SELECT id, user_id, id + 1000000, 'equivalent', true FROM o WHERE id % 17 = 0),
+    s AS (SELECT d.id, CASE WHEN rel = 'distinct' THEN 'distinct' WHEN NOT sure OR c.id IS NULL THEN 'uncertain' WHEN rel IN ('incoming_corrects_existing', 'state_transition') THEN 'revise' ELSE 'drop' END AS state, rel, candidate, c.created_at AS t FROM d LEFT JOIN rows_ c ON c.id = candidate),
+    w AS (SELECT id, count(*) FILTER (state = 'uncertain') AS u, count(*) FILTER (state = 'revise') AS r, count(*) FILTER (state = 'drop') AS x, arg_min({'c': candidate, 'k': rel}, {'t': t, 'i': candidate}) FILTER (state IN ('revise', 'drop')) AS best FROM s GROUP BY id),
+    j AS (SELECT id, CASE WHEN u > 0 OR r > 1 OR (r > 0 AND x > 0) THEN 'unresolved' WHEN r > 0 THEN 'revise' WHEN x > 0 THEN 'drop' ELSE 'retain' END AS action, best FROM w), p AS (SELECT id, best.c AS target, best.k AS rel, action FROM j WHERE action IN ('revise', 'drop'))"""
+_ROOTS = "roots AS (SELECT id, id AS root FROM rows_ WHERE id NOT IN (SELECT id FROM p) UNION ALL SELECT p.id, roots.root FROM roots JOIN p ON p.target = roots.id)"
+_VERSIONS = """v0 AS (SELECT root AS id, p.id AS source_id, rel FROM roots JOIN p ON p.id = roots.id WHERE action = 'revise'), v1 AS (SELECT * FROM v0 UNION ALL SELECT DISTINCT id, id, NULL FROM v0),
+    v2 AS (SELECT v1.*, content, created_at AS at_, row_number() OVER (PARTITION BY v1.id ORDER BY v1.source_id <> v1.id, created_at, source_id) - 1 AS version FROM v1 JOIN rows_ ON rows_.id = source_id),
+    v3 AS (SELECT *, coalesce(sum(CASE WHEN rel = 'state_transition' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY version), 0) AS spell FROM v2),
+    v4 AS (SELECT *, max(version) OVER (PARTITION BY id, spell) > version AS withdrawn, first(at_) OVER (PARTITION BY id, spell ORDER BY version) AS valid_from FROM v3)"""
+
+
+def _decisions(spark, d):
+    from pyspark.sql import Window
+
+    rows = remembered(spark, d)
+    order, k = Window.partitionBy("user_id").orderBy("created_at", "id"), F.col("id")
+    o = rows.select("id", F.lag("id").over(order).alias("one"), F.lag("id", 2).over(order).alias("two"))
+    names = F.array(*map(F.lit, ["distinct", "equivalent", "incoming_corrects_existing", "state_transition", "existing_corrects_incoming", "incoming_corrects_existing", "state_transition"]))
+    rel = lambda n: F.get(names, (n % 7).cast("int"))
+    one = o.where("one is not null").select("id", F.col("one").alias("candidate_id"), rel(k).alias("relationship"), F.when(k % 13 > 0, 0.995).otherwise(0.6).alias("p"))
+    two = o.where("id % 5 = 0 and two is not null").select("id", F.col("two").alias("candidate_id"), rel(F.expr("id div 5")).alias("relationship"), F.lit(0.995).alias("p"))
+    none = o.where("id % 17 = 0").select("id", (k + 1_000_000).alias("candidate_id"), F.lit("equivalent").alias("relationship"), F.lit(0.995).alias("p"))
+    each = one.unionByName(two).unionByName(none)
+    return rows, each.select(k.alias("incoming_id"), "candidate_id", "relationship", F.create_map(F.col("relationship"), F.col("p"), F.lit("other"), 1 - F.col("p")).alias("probabilities"))
+
+
+@query(f"WITH {_DECIDED} SELECT id, action, CASE WHEN action IN ('revise', 'drop') THEN best.c END AS target FROM j")
+def judged_decisions(spark, d):
+    return E.judged_targets(*_decisions(spark, d)).select("id", "action", "target")
+
+
+@query(f"WITH RECURSIVE {_DECIDED}, {_ROOTS}, {_VERSIONS}, last_ AS (SELECT id, arg_max(content, version) AS c FROM v2 GROUP BY id) SELECT r.id, coalesce(c, content) AS content FROM rows_ r LEFT JOIN last_ ON last_.id = r.id WHERE r.id NOT IN (SELECT id FROM p)")
+def reconciled_rows(spark, d):
+    return E.reconciled(*_decisions(spark, d))[0].select("id", "content")
+
+
+@query(f"""WITH RECURSIVE {_DECIDED}, {_ROOTS}, {_VERSIONS} SELECT v.id, version::INT AS version, source_id, rel AS relationship, valid_from, CASE WHEN withdrawn THEN valid_from ELSE n.at_ END AS valid_until, withdrawn
+    FROM v4 v LEFT JOIN (SELECT id, spell, min(at_) AS at_ FROM v3 WHERE rel = 'state_transition' GROUP BY ALL) n ON n.id = v.id AND n.spell = v.spell + 1""")
+def reconciled_versions(spark, d):
+    return E.reconciled(*_decisions(spark, d))[1].drop("content")
+
+
+@query(f"WITH RECURSIVE {_DECIDED}, {_ROOTS} SELECT p.id AS removed_id, root AS updated_id FROM p JOIN roots ON roots.id = p.id")
+def reconciled_deltas(spark, d):
+    return E.reconciled(*_decisions(spark, d))[2]

@@ -251,7 +251,7 @@ def substring_rank(spark, d):
     SELECT query_id, id, result_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM b QUALIFY rank < 5""")
 def result_groups(spark, d):
     own = table(spark, d, "embeddings")
-    hits = X.dense(own, _vectors(spark, d)).withColumn("score", r6("score")).join(own.select(F.col("vec_id").alias("id"), "label"), "id")
+    hits = X.dense(own, _vectors(spark, d), pool=5, result_col="label").withColumn("score", r6("score")).join(own.select(F.col("vec_id").alias("id"), "label"), "id")
     return X.ranked(hits, 5, F.col("label")).select("query_id", "id", "result_id", "rank")
 
 
@@ -294,6 +294,17 @@ def recall_sticky_topk(spark, d):
     return R.sticky_top(_candidates(spark, d), 5, ["user_id"]).select("user_id", "id", "is_sticky", "score", "rank")
 
 
+@query(f"""WITH {_ROWS}, t AS (SELECT o_orderkey % 40 AS query_id, 1704067200.0 + (o_orderkey * 7919) % 2592000 AS s, 1704067200.0 + (o_orderkey * 7919) % 2592000 + pow(4, o_orderkey % 8)::BIGINT * 60 AS e, 0.5 + (o_orderkey % 5) / 10.0::DOUBLE AS worth FROM orders WHERE o_orderkey % 10 < 2),
+    r AS (SELECT id, created_at AS a, CASE WHEN id % 3 > 0 THEN created_at + (id % 50) * 3600 END AS z FROM rows_)
+    SELECT query_id, id, round(max(worth), 6) AS temporal FROM r JOIN t ON CASE WHEN z IS NULL THEN s <= a AND a < e ELSE a < e AND z > s END GROUP BY ALL""")
+def temporal_matches(spark, d):
+    k = F.col("o_orderkey")
+    start = 1704067200.0 + k * 7919 % 2592000
+    ranges = table(spark, d, "orders").where("o_orderkey % 10 < 2").select((k % 40).alias("query_id"), start.alias("start"), (start + F.pow(F.lit(4), k % 8) * 60).alias("end"), (0.5 + k % 5 / 10.0).alias("confidence"), F.lit(1.0).alias("query_weight"))
+    rows = remembered(spark, d).withColumn("until", F.when(F.col("id") % 3 > 0, F.col("created_at") + F.col("id") % 50 * 3600))
+    return R.temporal_relevance(rows, ranges, "created_at", "until", per=["query_id"]).select("query_id", "id", r6("temporal").alias("temporal"))
+
+
 @query(f"WITH {_RECALL} SELECT id, round(combined, 6) AS combined, round(effective, 6) AS effective, score FROM s")
 def recall_scores(spark, d):
     return _candidates(spark, d).select("id", r6("combined").alias("combined"), r6("effective").alias("effective"), "score")
@@ -324,6 +335,33 @@ def token_budget_greedy(spark, d):
     return R.budget_greedy(items, 200, "user_id", ["order", "id"])
 
 
+# items with their length in the prompt: the title of their section, the name that they stand under, their line
+_ITEMS = f"""{_ROWS}, t AS (SELECT id, user_id, type AS section, CASE WHEN id % 3 > 0 THEN 'person ' || (id % 2) END AS under, CASE WHEN id % 19 = 0 THEN ' ' ELSE content END AS text, round(1 - importance, 6) AS rank FROM rows_),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rank, id) AS n FROM t WHERE trim(text) <> ''),
+    s AS (SELECT user_id, 0::BIGINT AS n, []::VARCHAR[] AS heads, 0::BIGINT AS used, NULL::BIGINT AS id FROM (SELECT DISTINCT user_id FROM t)
+          UNION ALL SELECT s.user_id, o.n, CASE WHEN fits THEN list_distinct(list_concat(heads, CASE WHEN under IS NULL THEN [section] ELSE [section, section || '/' || under] END)) ELSE heads END, CASE WHEN fits THEN whole ELSE used END, CASE WHEN fits THEN o.id END
+          FROM s JOIN o ON o.user_id = s.user_id AND o.n = s.n + 1, LATERAL (SELECT used + length(trim(text)) + 3 + CASE WHEN list_contains(heads, section) THEN 0 ELSE length('About ' || section) + 3 + CASE WHEN len(heads) > 0 THEN 2 ELSE 0 END END
+              + CASE WHEN under IS NULL OR list_contains(heads, section || '/' || under) THEN 0 ELSE length(under) + 2 END AS whole), LATERAL (SELECT ceil(whole / 4.0) <= 90 AS fits))"""
+
+
+def _items(spark, d) -> tuple[DataFrame, dict]:
+    k = F.col("id")
+    items = remembered(spark, d).select("id", "user_id", F.col("type").alias("section"), F.when(k % 3 > 0, F.concat(F.lit("person "), (k % 2).cast("string"))).alias("under"), F.when(k % 19 == 0, " ").otherwise(F.col("content")).alias("text"), r6(1 - F.col("importance")).alias("rank"))
+    titles = {x: f"About {x}" for x in ("view", "click", "purchase", "signup", "error", "login", "logout", "search", "refund", "add_to_cart")}
+    return R.budget_rendered(items, 90, ["rank", "id"], "user_id", titles=titles, under="under"), titles
+
+
+@query(f"WITH RECURSIVE {_ITEMS} SELECT id, user_id, ceil(used / 4.0)::BIGINT AS used_tokens FROM s WHERE id IS NOT NULL")
+def budget_rendered(spark, d):
+    return _items(spark, d)[0].select("id", "user_id", "used_tokens")
+
+
+@query(f"WITH RECURSIVE {_ITEMS}, c AS (SELECT user_id, max(used) AS length FROM s GROUP BY user_id) SELECT user_id, length FROM c WHERE length > 0")
+def rendered_prompts(spark, d):
+    items, titles = _items(spark, d)
+    return R.rendered(items, ["rank", "id"], "user_id", titles=titles, under="under").select("user_id", F.length("prompt").cast("long").alias("length"))
+
+
 @query(f"WITH {_ROWS}, b AS (SELECT user_id, type AS memory, id, importance / max(importance) OVER (PARTITION BY user_id, type) * CASE WHEN type = 'click' THEN 0.5 ELSE 1 END AS s FROM rows_) SELECT user_id, memory, id, round(s, 6) AS reranked, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, id) AS position FROM b")
 def score_reranker(spark, d):
     items = remembered(spark, d).select("user_id", F.col("type").alias("memory"), "id", F.col("importance").alias("score"), F.col("id").alias("input_pos"))
@@ -345,6 +383,16 @@ def relative_age(spark, d):
 # ---- conversations
 
 
+@query(f"""WITH m AS (SELECT conv_id AS chat_id, conv_id * 1000 + turn AS id, role, text AS content, CASE WHEN turn % 3 > 0 AND conv_id % 2 = 0 THEN 'User: ' || (turn % 4) || '!' END AS user_id FROM conversations), w AS (SELECT *, coalesce(user_id, 'owner ' || chat_id) AS who FROM m),
+    p AS (SELECT chat_id, count(DISTINCT who) FILTER (role = 'user' AND user_id IS NOT NULL) > 0 AS many FROM w GROUP BY chat_id)
+    SELECT chat_id, id, role, content, CASE WHEN many AND role = 'user' THEN regexp_replace(regexp_replace(who, '[^a-zA-Z0-9_-]+', '', 'g'), '^[_-]+|[_-]+$', '', 'g') END AS name FROM w JOIN p USING (chat_id)""")
+def named_messages(spark, d):
+    turn, chat = F.col("turn"), F.col("conv_id")
+    rows = table(spark, d, "conversations").select(chat.alias("chat_id"), (chat * 1000 + turn).alias("id"), "role", F.col("text").alias("content"), F.when((turn % 3 > 0) & (chat % 2 == 0), F.concat(F.lit("User: "), (turn % 4).cast("string"), F.lit("!"))).alias("user_id"))
+    owners = rows.select("chat_id").distinct().withColumn("owner", F.concat(F.lit("owner "), F.col("chat_id").cast("string")))
+    return V.named_messages(rows, owners)
+
+
 @query(f"""WITH {_MSG}, r AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY chat_id ORDER BY id ROWS UNBOUNDED PRECEDING)::BIGINT AS round FROM messages)
     SELECT chat_id, round, min(id) AS first_id, max(id) AS last_id, count(*) AS messages, string_agg(content, chr(10) ORDER BY id) AS content FROM r GROUP BY ALL""")
 def conversation_rounds(spark, d):
@@ -438,6 +486,18 @@ def resolved_expressions(spark, d):
 
 
 
+@query("""WITH e AS (SELECT doc_id, lang, (doc_id % 9 + 1)::INT AS n, doc_id % 3 AS k FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')), w AS (SELECT MAP {'en': [' days ago', 'last month', 'Tomorrow'], 'de': ['vor ', 'letzten Monat', 'Morgen'], 'fr': ['il y a ', 'le mois dernier', 'demain'], 'es': ['hace ', 'el mes pasado', 'mañana']} AS t)
+    SELECT doc_id::VARCHAR AS query_id, CASE k WHEN 0 THEN 1706745600 - n * 86400 WHEN 1 THEN 1704067200 ELSE 1706832000 END::DOUBLE AS start, CASE k WHEN 0 THEN 'day' WHEN 1 THEN 'month' ELSE 'day' END AS grain,
+        CASE WHEN k > 0 THEN t[lang][k + 1] WHEN lang = 'en' THEN n || ' days ago' ELSE t[lang][1] || n || CASE lang WHEN 'de' THEN ' Tagen' WHEN 'fr' THEN ' jours' ELSE ' días' END END AS expression FROM e, w""")
+def locale_expressions(spark, d):
+    k, n = F.col("doc_id"), (F.col("doc_id") % 9 + 1).cast("string")
+    parts = {"en": ("", " days ago", "last month", "Tomorrow"), "de": ("vor ", " Tagen", "letzten Monat", "Morgen"), "fr": ("il y a ", " jours", "le mois dernier", "demain"), "es": ("hace ", " días", "el mes pasado", "mañana")}
+    said = lambda p: F.when(k % 3 == 0, F.concat(F.lit(p[0]), n, F.lit(p[1]))).when(k % 3 == 1, p[2]).otherwise(p[3])
+    text = F.coalesce(*[F.when(F.col("lang") == lang, said(p)) for lang, p in parts.items()])
+    asked = table(spark, d, "documents").select(k.alias("query_id"), F.concat(F.col("source"), F.lit(", "), text, F.lit("!")).alias("text"), F.lit(1.0).alias("weight")).where("text is not null")
+    return temporal.resolved(asked, NOW).select("query_id", "start", "grain", "expression")
+
+
 # ---- dedup
 
 
@@ -558,7 +618,7 @@ def cooccurrence_pairs(spark, d):
 
 @query("""WITH f AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS n FROM lineitem WHERE l_discount >= 0.03), p AS (SELECT DISTINCT a.n AS src, b.n AS dst FROM f a JOIN f b ON a.r = b.r AND a.n < b.n),
     o AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS n FROM lineitem WHERE l_discount >= 0.08), e AS (SELECT DISTINCT a.n AS src, b.n AS dst, 0.1::DOUBLE AS weight FROM o a JOIN o b ON a.r = b.r AND a.n < b.n)
-    SELECT coalesce(e.src, p.src) AS src, coalesce(e.dst, p.dst) AS dst, round(CASE WHEN e.src IS NULL THEN 0.05 ELSE 0.15 END::DOUBLE, 6) AS weight, 1::BIGINT AS co_recall_count FROM e FULL JOIN p ON e.src = p.src AND e.dst = p.dst""")
+    SELECT coalesce(e.src, p.src) AS src, coalesce(e.dst, p.dst) AS dst, round(CASE WHEN e.src IS NULL THEN 0.1 ELSE 0.15 END::DOUBLE, 6) AS weight, 1::BIGINT AS co_recall_count FROM e FULL JOIN p ON e.src = p.src AND e.dst = p.dst""")
 def hebbian_update(spark, d):
     lines = table(spark, d, "lineitem")
     fired = lines.select(F.col("l_orderkey").alias("recall"), F.col("l_partkey").alias("id"), (F.col("l_discount") * 5).alias("activation"))
@@ -719,6 +779,17 @@ def emotion_changes(spark, d):
     return M.emotion_changes(before, after).select("user_id", "axis", r6("delta").alias("delta"))
 
 
+@query("""WITH a AS (SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings), b AS (SELECT vec_id AS user_id, CASE WHEN vec_id % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN vec_id % 5 = 0 AND x <> 0 THEN 1 ELSE 0 END AS axes, CASE WHEN vec_id % 3 = 0 THEN '' ELSE 'c' || (vec_id % 4) END AS comment_before, CASE WHEN vec_id % 7 = 0 THEN 'new' WHEN vec_id % 3 = 0 THEN '' ELSE 'c' || (vec_id % 4) END AS comment_after FROM a)
+    SELECT user_id, axes::BIGINT AS axes, comment_before, comment_after, comment_before <> comment_after AS comment_changed FROM b WHERE axes > 0 OR comment_before <> comment_after""")
+def relation_changes(spark, d):
+    k, x = F.col("user_id"), F.get("embedding", F.lit(0)).cast("double")
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("user_id"), x.alias("x"))
+    comment = F.when(k % 3 > 0, F.concat(F.lit("c"), (k % 4).cast("string")))
+    before = rows.select("user_id", F.create_map(F.lit("joy"), F.lit(0.5), F.lit("fear"), F.col("x")).alias("dims"), comment.alias("comment"))
+    after = rows.select("user_id", F.create_map(F.lit("joy"), F.when(k % 2 == 0, 0.5).otherwise(0.75), F.lit("fear"), F.when(k % 5 == 0, 0.0).otherwise(F.col("x"))).alias("dims"), F.when(k % 7 == 0, "new").otherwise(comment).alias("comment"))
+    return M.relation_changes(before, after).select("user_id", F.col("axes").cast("long").alias("axes"), "comment_before", "comment_after", "comment_changed")
+
+
 @query(f"""WITH {_ROWS} SELECT 'e:fact:person:' || user_id || '->fact:' || id AS id, round(greatest(0.3, least(1, 0.3 + 0.7 * importance)), 6) AS weight FROM rows_""")
 def fact_graph(spark, d):
     _, edges = M.fact_graph(remembered(spark, d).withColumn("confidence", F.lit(0.5)).withColumn("user_id", F.col("user_id").cast("string")))

@@ -80,3 +80,19 @@ def test_members_share_one_spread(spark):
     assert not found
     with pytest.raises(ValueError):
         G.spread_for_members(ways, seeds.withColumn("activation", -F.col("activation")), members)
+
+
+def test_mentions_by_a_dictionary(spark):
+    labels = [("p1", " Ann Lee "), ("p1", "annie"), ("p2", "Lee"), ("p3", "C++ dev"), ("p4", "al"), ("p5", "***"), ("p6", "O'Neil-Smith"), ("p7", r"a\E.*b"), ("p8", None), ("p9", "é_1"), ("p10", "lee, jr.")]
+    texts = [(1, "I met ann lee."), (2, "ANN  LEE and Annie"), (3, "leeward_lee lee2"), (4, "A C++ dev; a c dev"), (5, "al *** al"), (6, "o'neil-smith's"), (7, r"xa\E.*b a\e.*b"), (8, None), (9, "é_1 é_12"), (10, "Lee, Jr. came"), (11, "")]
+    found = G.mentioned(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(labels, "node string, label string"))
+    assert sorted((r.id, r.node) for r in found.collect()) == [(1, "p1"), (1, "p2"), (2, "p1"), (2, "p2"), (4, "p3"), (6, "p6"), (7, "p7"), (9, "p9"), (10, "p10"), (10, "p2")]
+    assert G.mentioned(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([], "node string, label string")).count() == 0
+
+
+def test_projection_keeps_telemetry(spark):
+    schema = "id string, kind string, text string, owners array<string>, recall_count long, character_scoped boolean"
+    old = spark.createDataFrame([("a", "fact", "x", ["u"], 5, True), ("b", "fact", "y", None, 2, None), ("c", "fact", "z", ["u"], 1, False)], schema)
+    new = spark.createDataFrame([("a", "fact", "X", ["v", "u"], 0, False), ("b", "episode", "Y", ["w"], 0, False), ("n", "fact", "N", None, 0, True)], schema)
+    found = {r.id: tuple(r)[1:] for r in G.projected_upsert(old, new).collect()}
+    assert found == {"a": ("fact", "X", ["u", "v"], 5, True), "b": ("episode", "Y", ["w"], 0, False), "c": ("fact", "z", ["u"], 1, False), "n": ("fact", "N", None, 0, True)}

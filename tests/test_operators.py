@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from datetime import datetime, timezone
 
 import numpy as np
@@ -224,10 +225,16 @@ def test_times_in_texts():
     cases = {
         "1.5 hours ago": [(at(2024, 1, 31, 10), at(2024, 1, 31, 11), "hour", 1.0)], "in 2 months": [(at(2024, 3, 1), at(2024, 4, 1), "month", 1.0)], "a month ago": [(at(2023, 12, 1), at(2024, 1, 1), "month", 1.0)],
         "March 5": [(at(2023, 3, 5), at(2023, 3, 6), "day", 0.9)], "on 5 January 2024": [(at(2024, 1, 1), at(2025, 1, 1), "year", 0.9)], "2024/1/5 10:30": [(at(2024, 1, 5, 10, 30), at(2024, 1, 5, 10, 31), "minute", 0.9)],
+        "vor drei Tagen": [(at(2024, 1, 28), at(2024, 1, 29), "day", 1.0)], "übermorgen, nicht morgens": [(at(2024, 2, 2), at(2024, 2, 3), "day", 1.0)], "in zwei  Jahren": [(at(2026, 1, 1), at(2027, 1, 1), "year", 1.0)],
+        "Il y a 2 semaines": [(at(2024, 1, 15), at(2024, 1, 22), "week", 1.0)], "avant-hier et aujourd’hui": [(at(2024, 1, 29), at(2024, 1, 30), "day", 1.0), (at(2024, 1, 31), at(2024, 2, 1), "day", 1.0)], "L'ANNÉE DERNIÈRE": [(at(2023, 1, 1), at(2024, 1, 1), "year", 1.0)],
+        "hace 1,5 horas": [(at(2024, 1, 31, 10), at(2024, 1, 31, 11), "hour", 1.0)], "pasado mañana": [(at(2024, 2, 2), at(2024, 2, 3), "day", 1.0)], "dentro de una semana": [(at(2024, 2, 5), at(2024, 2, 12), "week", 1.0)], "el 3 de enero": [(at(2024, 1, 3), at(2024, 1, 4), "day", 0.9)],
+        "in 99999 years": [], "vor Tagen": [], "ayer.mañana": [(at(2024, 1, 30), at(2024, 1, 31), "day", 1.0), (at(2024, 2, 1), at(2024, 2, 2), "day", 1.0)], "5. März": [(at(2023, 3, 5), at(2023, 3, 6), "day", 0.9)],
         "Feb 30": [], "2024-13-01": [], "yesterdays": [], "": [],
     }
     for text, wanted in cases.items():
         assert [r[:4] for r in temporal.resolve(text, now)] == wanted, text
+        assert not wanted or re.search(temporal.last_words().replace(r"[\p{L}\p{N}_]", r"\w").replace("(?iu)", "(?i)"), text), text
+    assert temporal.resolve("hier", now, languages=("de", "en")) == [] and temporal.phrases_in("in 2 minutes", ("fr", "de", "en"))[0][2:] == ("minute", 2.0, "en")
 
 
 def test_searches_rank_like_plain_python(spark):
@@ -339,7 +346,50 @@ def test_streams(spark, tmp_path):
     assert len(found) == 2
 
 
+def test_silent_chats_are_extracted_and_forgotten(spark, tmp_path):
+    folder, schema = tmp_path / "m", "chat_id long, id long, role string, ts timestamp"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = lambda minute: datetime(2024, 1, 1, minute // 60, minute % 60, tzinfo=timezone.utc)
+    found = []
+
+    def arrives(*rows):
+        spark.createDataFrame([(c, i, role, at(m)) for c, i, role, m in rows], schema).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = I.extraction_events(I.message_stream(spark, str(folder), spark.createDataFrame([], schema).schema), every=3, silence=1800)
+        I.foreach_batch(stream, lambda df, n: found.extend(map(tuple, df.collect())), str(tmp_path / "c")).awaitTermination(180)
+        return sorted(found)
+
+    # each call starts the query again from its checkpoint
+    first = arrives((1, 1, "user", 0), (1, 2, "assistant", 1), (1, 3, "user", 2), (2, 9, "user", 5), (3, 20, "user", 1), (3, 21, "user", 2), (3, 22, "user", 3))
+    assert first == [(3, 22, 3, "turns")]
+    second = arrives((1, 4, "user", 10), (2, 11, "assistant", 40), (1, 5, "user", 41))
+    assert (1, 4, 3, "turns") in second
+    third = arrives((4, 50, "user", 200))  # the watermark passes the silence of 1 and 2; 3 has nothing left
+    third = arrives((4, 51, "user", 201), (2, 12, "user", 3))  # the last one is too late
+    assert third == sorted([(3, 22, 3, "turns"), (1, 4, 3, "turns"), (1, 5, 1, "silence"), (2, 9, 1, "silence")])
+
+
 def test_outbox(spark):
     q = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "key string, revision int")
     assert sorted(map(tuple, I.latest_changes(q, ["key"]).collect())) == [("a", 2), ("b", 1)]
     assert sorted(map(tuple, I.acknowledged(q, spark.createDataFrame([("a", 1)], q.schema), ["key"]).collect())) == [("a", 2), ("b", 1)]
+
+
+def test_reconciliation_follows_chains(spark):
+    """A chain of 3,000 corrections, a change of state, drops on what is gone, ambiguous, stale and circular decisions."""
+    sure, unsure = {"p": 0.995, "q": 0.005}, {"p": 0.7, "q": 0.3}
+    rows = [(k, "u", f"text {k}", float(k)) for k in range(3020)] + [(9000, "other", "x", 1.0)]
+    answers = [(k, k - 1, "incoming_corrects_existing", sure) for k in range(1, 3000)]
+    answers += [(3000, 2500, "state_transition", sure), (3001, 3000, "equivalent", sure), (3002, 3001, "incoming_corrects_existing", sure)]  # to the root, whatever became of the candidate
+    answers += [(3004, 3003, "incoming_corrects_existing", unsure), (3006, 3005, "incoming_corrects_existing", sure), (3006, 3003, "equivalent", sure), (3007, 3008, "equivalent", sure), (3008, 3007, "distinct", sure), (3009, 9000, "equivalent", sure)]
+    answers += [(3011, 3010, "equivalent", sure), (3011, 3005, "existing_corrects_incoming", sure)]
+    df = spark.createDataFrame(rows, "id long, user_id string, content string, created_at double")
+    frame = spark.createDataFrame([(i, c, r, {r: p["p"], "other": p["q"]}) for i, c, r, p in answers], "incoming_id long, candidate_id long, relationship string, probabilities map<string,double>")
+    out, versions, deltas = E.reconciled(df, frame)
+    left = {r.id: r.content for r in out.collect()}
+    assert left[0] == "text 3002" and {k for k in left if k < 3003} == {0} and left[3003] == "text 3003"
+    assert {k for k in left if k >= 3003} == {*range(3003, 3020), 9000} - {3011}
+    assert {(r.removed_id, r.updated_id) for r in deltas.where("removed_id >= 3000").collect()} == {(3000, 0), (3001, 0), (3002, 0), (3011, 3005)}
+    last = [(r.version, r.source_id, r.valid_from, r.valid_until, r.withdrawn) for r in versions.where("version >= 2999").orderBy("version").collect()]
+    assert last == [(2999, 2999, 0.0, 3000.0, False), (3000, 3000, 3000.0, 3000.0, True), (3001, 3002, 3000.0, None, False)]
+    stale = frame.withColumn("candidate_hash", F.lit("changed since"))
+    assert E.reconciled(df, stale)[2].count() == 0
