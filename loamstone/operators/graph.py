@@ -603,7 +603,8 @@ def merged_persons(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     first = F.struct(-F.length(F.coalesce("name", F.lit(""))), F.col("id") != F.col("survivor"), F.col("id"))
     name = own.groupBy("survivor").agg(F.min_by("name", first).alias("name"))
     lists = {"aliases": F.concat(F.array("name"), F.coalesce("aliases", none)), "user_ids": ids} | {c: F.coalesce(c, none) for c in ("owners", "external_refs") if c in nodes.columns}
-    each = own.select("survivor", F.explode(F.concat(*[F.transform(v, lambda x, c=c: F.struct(F.lit(c).alias("list"), x.alias("item"))) for c, v in lists.items()])).alias("x")).select("survivor", "x.*")
+    marked = lambda c: lambda x: F.struct(F.lit(c).alias("list"), x.alias("item"))
+    each = own.select("survivor", F.explode(F.concat(*[F.transform(v, marked(c)) for c, v in lists.items()])).alias("x")).select("survivor", "x.*")
     sets = each.where("item <> ''").groupBy("survivor").agg(*[F.array_sort(F.collect_set(F.when(F.col("list") == c, F.col("item")))).alias(c) for c in lists])
     new = name.join(sets, "survivor").withColumn("aliases", F.array_remove("aliases", F.col("name")))
     if "character_scoped" in nodes.columns:

@@ -700,7 +700,7 @@ _DECIDED = f"""{_ROWS}, o AS (SELECT *, lag(id) OVER w AS one, lag(id, 2) OVER w
     d AS (SELECT id, user_id, one AS candidate, k[id % 7 + 1] AS rel, id % 13 > 0 AS sure FROM o, kinds WHERE one IS NOT NULL UNION ALL SELECT id, user_id, two, k[(id // 5) % 7 + 1], true FROM o, kinds WHERE id % 5 = 0 AND two IS NOT NULL
           UNION ALL SELECT id, user_id, id + 1000000, 'equivalent', true FROM o WHERE id % 17 = 0),
     s AS (SELECT d.id, CASE WHEN rel = 'distinct' THEN 'distinct' WHEN NOT sure OR c.id IS NULL THEN 'uncertain' WHEN rel IN ('incoming_corrects_existing', 'state_transition') THEN 'revise' ELSE 'drop' END AS state, rel, candidate, c.created_at AS t FROM d LEFT JOIN rows_ c ON c.id = candidate),
-    w AS (SELECT id, count(*) FILTER (state = 'uncertain') AS u, count(*) FILTER (state = 'revise') AS r, count(*) FILTER (state = 'drop') AS x, arg_min({'c': candidate, 'k': rel}, {'t': t, 'i': candidate}) FILTER (state IN ('revise', 'drop')) AS best FROM s GROUP BY id),
+    w AS (SELECT id, count(*) FILTER (state = 'uncertain') AS u, count(*) FILTER (state = 'revise') AS r, count(*) FILTER (state = 'drop') AS x, arg_min({{'c': candidate, 'k': rel}}, {{'t': t, 'i': candidate}}) FILTER (state IN ('revise', 'drop')) AS best FROM s GROUP BY id),
     j AS (SELECT id, CASE WHEN u > 0 OR r > 1 OR (r > 0 AND x > 0) THEN 'unresolved' WHEN r > 0 THEN 'revise' WHEN x > 0 THEN 'drop' ELSE 'retain' END AS action, best FROM w), p AS (SELECT id, best.c AS target, best.k AS rel, action FROM j WHERE action IN ('revise', 'drop'))"""
 _ROOTS = "roots AS (SELECT id, id AS root FROM rows_ WHERE id NOT IN (SELECT id FROM p) UNION ALL SELECT p.id, roots.root FROM roots JOIN p ON p.target = roots.id)"
 _VERSIONS = """v0 AS (SELECT root AS id, p.id AS source_id, rel FROM roots JOIN p ON p.id = roots.id WHERE action = 'revise'), v1 AS (SELECT * FROM v0 UNION ALL SELECT DISTINCT id, id, NULL FROM v0),
