@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from . import tokens as tk
+from .io import saved
 
 BITS, GRAMS = 16, (1, 2, 3, 4)
-#: the bounds of what is learned from: documents of each language, pieces of LENGTH // 2 words cut from those, and languages (the most frequent)
-TRAIN_DOCS, TRAIN_PIECES, LANGUAGES = 400, 2_000, 200
+#: the bounds of what is learned from in each language: documents, and pieces of LENGTH // 2 words cut from those
+TRAIN_DOCS, TRAIN_PIECES = 400, 2_000
 LENGTH, STEPS = 64, 40
 CHUNK = 3 << 19
 
@@ -177,15 +178,16 @@ def _labelled(field: Field):
     return run
 
 
-def training_pieces(known: DataFrame, train_docs: int = TRAIN_DOCS, train_pieces: int = TRAIN_PIECES, languages: int = LANGUAGES) -> DataFrame:
+def training_pieces(known: DataFrame, train_docs: int = TRAIN_DOCS, train_pieces: int = TRAIN_PIECES, languages: int | None = None) -> DataFrame:
     """(piece, lang): what a field learns from, of rows (text, lang).
 
-    Of each of the ``languages`` most frequent languages (ties by name) at most ``train_docs`` distinct texts, those with the least hashes among about four
+    Of each language, or of each of the ``languages`` most frequent ones (ties by name) if they are bounded, at most ``train_docs`` distinct texts, those with the least hashes among about four
     times as many, and of these at most ``train_pieces`` pieces, by their hashes. So a rare language teaches at every size of the table, and the driver
-    gets a number of words that the three parameters bound.
+    gets a number of words that the parameters bound for each language.
     """
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    hashed = known.join(F.broadcast(counts), "lang").withColumn("h", F.xxhash64("text"))  # a row for each language, at most ``languages``
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = saved(counts if languages is None else counts.orderBy(F.desc("n"), "lang").limit(languages))  # a table, so Spark knows its size and broadcasts it if it is small
+    hashed = known.join(counts, "lang").withColumn("h", F.xxhash64("text"))
     # a first cut by the hash leaves about four times as many rows as wanted; copies of one text have one hash
     near = hashed.where(F.pmod("h", F.lit(1 << 30)) < (1 << 30) * 4.0 * train_docs / F.col("n")).dropDuplicates(["lang", "text"])
     first = Window.partitionBy("lang").orderBy("h", "text")
@@ -197,7 +199,7 @@ def training_pieces(known: DataFrame, train_docs: int = TRAIN_DOCS, train_pieces
     return pieces.withColumn("k", F.row_number().over(order)).where(F.col("k") <= train_pieces).select("piece", "lang")
 
 
-def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, train_pieces: int = TRAIN_PIECES) -> DataFrame:
+def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, train_pieces: int = TRAIN_PIECES, languages: int | None = None) -> DataFrame:
     """(id, held_out, lang_pred, score), a row for each row of ``docs``; ``held_out`` is a condition on its columns.
 
     Only texts with a language that are not held out teach, within the bounds of ``training_pieces``. A null text, or one without a letter, is ``und``
@@ -206,6 +208,6 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(lang_col).alias("lang"))
     known = texts.where("not held_out and lang is not null and text is not null").select("text", "lang")
-    field = learn([(r.piece, r.lang) for r in training_pieces(known, train_docs, train_pieces).collect()])
+    field = learn([(r.piece, r.lang) for r in training_pieces(known, train_docs, train_pieces, languages).collect()])
     out = texts.select("id", "text", "held_out").mapInArrow(_labelled(field), "id long, held_out boolean, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)

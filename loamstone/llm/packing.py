@@ -95,12 +95,12 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     ``longest`` is a power of two. ids are those of the tokenizer file at ``path`` without added special tokens, then end_id. A null
     or empty text is one piece that holds end_id alone. ids repeated in ``docs``, and null ids, are documents of their own; other
-    columns are ignored. sequence_id is unique and offset is 0: a sequence is one piece, padded by nothing. Write the
+    columns are ignored. A file that ``tokens.checked`` refuses is an error. sequence_id is unique within one written result (a stage that reads its input in other splits numbers anew) and offset is 0: a sequence is one piece, padded by nothing. Write the
     result with ``partitionBy("length")`` to have the buckets as folders.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    pieces = texts.mapInArrow(_packed(path, longest, end_id, with_ids), schema)
+    pieces = texts.mapInArrow(_packed(tk.checked(path), longest, end_id, with_ids), schema)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).withColumnRenamed("id", id_col)

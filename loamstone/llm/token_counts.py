@@ -56,9 +56,9 @@ def _counted(path: str):
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit), a row for each row of ``docs``.
 
-    ``path`` names a byte-level BPE file in the format of the ``tokenizers`` library. A null text counts as empty: 0 bytes, 0 tokens.
+    ``path`` names a byte-level BPE file in the format of the ``tokenizers`` library, as ``tokens.checked`` describes it; another is an error. A null text counts as empty: 0 bytes, 0 tokens.
     Repeated and null ids are rows of their own, texts of any length count whole, other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counts = texts.mapInArrow(_counted(path), "id long, n_bytes long, n_tokens long")
+    counts = texts.mapInArrow(_counted(tk.checked(path)), "id long, n_bytes long, n_tokens long")
     return counts.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

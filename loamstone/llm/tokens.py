@@ -32,6 +32,19 @@ def loaded(name: str, make: Callable[[], object], version: str = ""):
     return _loaded[name][1]
 
 
+def checked(path: str) -> str:
+    """``path``, if its tokenizer is of the kind that is compiled here: byte-level BPE, cut by the fixed pattern, without normalizer or prefix space. Any other file is an error."""
+    file = json.load(open(path, encoding="utf-8"))
+    model, cut = file.get("model") or {}, file.get("pre_tokenizer") or {}
+    wrong = [name for name in ("normalizer", "truncation", "padding") if file.get(name)]
+    wrong += [f"model.{name}" for name in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(name)]
+    wrong += ["model.type"] if model.get("type", "BPE") != "BPE" else []
+    wrong += ["pre_tokenizer"] if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) else []
+    if wrong:
+        raise ValueError(f"{path} is no plain byte-level BPE: {', '.join(wrong)} not supported")
+    return path
+
+
 def special_strings(path: str) -> list[bytes]:
     """The added tokens of a tokenizer file, which the library takes whole wherever they stand."""
     added = json.load(open(path, encoding="utf-8")).get("added_tokens") or []
@@ -376,6 +389,8 @@ class CountTransducer:
             raise ValueError(f"no token ends with {text!r}")
         kept = [(size + 1, last, count - change) for size, last, count in suffixes if text[len(text) - 1 - size :] in self.begins]
         to = self._number((text[len(text) - kept[0][0] :] if kept else b"", (*kept, (0, token, 0))))
+        if not -128 <= change <= 127:
+            raise ValueError(f"a step changes the count by {change}, more than a byte holds")
         return to << 8 | (change + 128)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:

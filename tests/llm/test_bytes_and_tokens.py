@@ -254,3 +254,38 @@ def test_retrieval_is_that_of_exhaustive_scores(seed, monkeypatch):
                         wanted[d, i] = max(score, wanted.get((d, i), 0.0))
         found = {(d, i): s for d, i, s in index.retrieve(terms, words, threshold)}
         assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 1e-9 for k in found) and found
+
+
+def test_other_tokenizer_files_are_refused(spark, tmp_path):
+    """A file that cuts, normalises or merges in another way would be miscounted."""
+    import json
+
+    import public_tokenizers
+
+    from loamstone.llm import packing, token_counts
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    file = json.load(open(path, encoding="utf-8"))
+    docs = spark.createDataFrame([(1, "123 456")], "doc_id long, text string")
+    changes = [
+        {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, file["pre_tokenizer"]]}}, {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": file["pre_tokenizer"] | {"add_prefix_space": True}},
+        {"pre_tokenizer": None}, {"model": file["model"] | {"ignore_merges": True}}, {"model": file["model"] | {"type": "Unigram"}},
+    ]
+    for k, change in enumerate(changes):
+        other = str(tmp_path / f"{k}.json")
+        json.dump(file | change, open(other, "w", encoding="utf-8"))
+        for use in (token_counts.count_tokens, packing.pack):
+            with pytest.raises(ValueError, match="byte-level"):
+                use(docs, other)
+    assert token_counts.count_tokens(docs, path).first().n_tokens > 0
+
+
+def test_very_many_equal_rows_in_suffix_dedup(spark):
+    """Their spans are those of one row, not all rows' together."""
+    from loamstone.llm import suffix_dedup
+
+    text = " ".join(f"word{k}" for k in range(300))
+    rows = spark.range(20_000).selectExpr("cast(null as long) as doc_id", f"'{text}' as text")
+    assert suffix_dedup.repeated_spans(rows).selectExpr("size(starts) as n").first().n < 100
+    found = suffix_dedup.repeat_digest(rows).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+    assert [tuple(r) for r in found] == [(len(text), len(text), 1, 20_000)]
