@@ -291,12 +291,8 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in STEPS.split(", ")])
 
 
-def steps(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """Every edit of conversations (conv, turn, role, text) in order (STEPS): kept (K), given another role (R), inserted (I) and deleted (D) rows with their faults.
-
-    Rows go by turn, nulls first, then by role and the SHA-256 of the text. ``times`` counts equal deletions. A null role or text is one space. A null conv is a
-    conversation like any other. With ``ids`` (conv) each of these has a first step without an edit. Rows of a conversation are together and in order.
-    """
+def _dealt(rows: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """The plan, the texts, and a row without a hash for each of ``ids``: by conversation, in order, a plan row before the texts of its name."""
     own = plan(rows)
     blank = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ("n", "fault", "inserted", "edit", "new_role", "appended")]
     texts = _named(rows).select("conv", "turn", "role", "sha", "text", *blank)
@@ -304,7 +300,16 @@ def steps(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     if ids is not None:
         none = [F.lit(None).cast(every.schema[c].dataType).alias(c) for c in every.columns[1:]]
         every = every.unionByName(ids.select("conv").distinct().select("conv", *none))
-    return every.repartition("conv").sortWithinPartitions("conv", "turn", "role", "sha", F.col("edit").isNull()).mapInArrow(_written, STEPS)
+    return every.repartition("conv").sortWithinPartitions("conv", "turn", "role", "sha", F.col("edit").isNull())
+
+
+def steps(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Every edit of conversations (conv, turn, role, text) in order (STEPS): kept (K), given another role (R), inserted (I) and deleted (D) rows with their faults.
+
+    Rows go by turn, nulls first, then by role and the SHA-256 of the text. ``times`` counts equal deletions. A null role or text is one space. A null conv is a
+    conversation like any other. With ``ids`` (conv) each of these has a first step without an edit. Rows of a conversation are together and in order.
+    """
+    return _dealt(rows, ids).mapInArrow(_written, STEPS)
 
 
 def repaired(rows: DataFrame) -> DataFrame:
@@ -314,7 +319,14 @@ def repaired(rows: DataFrame) -> DataFrame:
 
 
 def _reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The reports of the steps that are written from dealt rows."""
+    return _of_steps(_written(batches))
+
+
+def _of_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in REPORT.split(", ")]
+    packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 7 + [pa.string()] * 2, strict=True)], names=names)
+    out: list[tuple] = []
     stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
     for conv, own in groupby(stream, lambda r: r[0]):
         counts, cost, illegal, audit, digest, any_ = {BLANK: 0, DUPLICATE: 0, TRUNCATED: 0}, 0, 0, [], hashlib.sha256(), False
@@ -335,8 +347,12 @@ def _reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if turn is not None and turn != seen_turn:
                 turns, seen_turn = turns + 1, turn
                 low, high = turn if low is None else low, turn
-        row = (conv, high - low + 1 - turns if turns else 0, counts[BLANK], counts[DUPLICATE], counts[TRUNCATED], illegal, cost, "".join(audit), digest.hexdigest())
-        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int64()] * 7 + [pa.string()] * 2, strict=True)], names=names)
+        out.append((conv, high - low + 1 - turns if turns else 0, counts[BLANK], counts[DUPLICATE], counts[TRUNCATED], illegal, cost, "".join(audit), digest.hexdigest()))
+        if len(out) == 5000:
+            yield packed(out)
+            out = []
+    if out:
+        yield packed(out)
 
 
 REPORT = "conv long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
@@ -348,4 +364,4 @@ def reports(rows: DataFrame, ids: DataFrame) -> DataFrame:
     A conversation without rows has zeros, an empty audit and the hash of the empty string. The hash is taken row by row: it needs a conversation's texts in order, so
     they stream through one task, which holds a batch of them.
     """
-    return steps(rows, ids).mapInArrow(_reports, REPORT)
+    return _dealt(rows, ids).mapInArrow(_reports, REPORT)

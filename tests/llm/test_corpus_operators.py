@@ -475,7 +475,8 @@ def test_empty_tables(spark, docs, labels):
 
 @pytest.mark.parametrize("name", ["op3_toxicity", "op8_license_scans"])
 def test_queries_run(spark, data, name):
-    assert QUERIES[name](spark, data).limit(5).count() >= 0
+    found = QUERIES[name](spark, data).count()
+    assert found == spark.read.parquet(f"{data}/documents.parquet").count() if name == "op3_toxicity" else found > 0
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
