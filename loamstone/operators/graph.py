@@ -464,7 +464,7 @@ def mentioned(texts: DataFrame, labels: DataFrame) -> DataFrame:
     own = own.select("node", "label", F.size("words").alias("n"), F.array_join("words", " ").alias("run"))
     lengths = [r.n for r in own.select("n").distinct().collect()]  # numbers of words in a label
     if not lengths:
-        return texts.join(own, F.lit(False)).select("id", "node")
+        return texts.select("id", F.lit(None).cast(labels.schema["node"].dataType).alias("node")).limit(0)
     words = texts.select("id", T.tokens(F.col("text")).alias("w"))
     runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
     each = F.flatten(F.array(*[F.when(F.size("w") >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in lengths]))
