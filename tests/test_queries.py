@@ -39,10 +39,18 @@ def test_query(spark, data, con, name):
         columns = ", ".join(f'"{c}"' for c in found.columns)
         assert rows == sorted(str([plain(v) for v in r]) for r in con.sql(f"select {columns} from ({ORACLE_SQL[name]})").fetchall())
     elif name == "markdown_chunks":
-        from loamstone.functions.chunking import markdown
-
-        texts = con.sql("select doc_id, '# ' || source || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10) || '## part' || chr(10) || chr(10)) from documents where text is not null").fetchall()
-        assert rows == sorted(str([plain(v) for v in (i, k, title, body)]) for i, text in texts for k, (title, body) in enumerate(markdown(text)))
+        # every word once and in order, one section for each line with text, no chunk over the limit but by what is too small to stand alone
+        chunks = {}
+        for r in sorted(map(tuple, found.collect()), key=lambda r: r[:2]):
+            chunks.setdefault(r[0], []).append(r)
+        for i, source, text in con.sql("select doc_id, source, text from documents where text is not null and not contains(text, '#')").fetchall():
+            own = chunks.pop(i, [])
+            assert [r[1] for r in own] == list(range(len(own)))
+            assert [w for _, _, title, body in own for line in body.split("\n") if line != f"# {title}" for w in line.split()] == text.split()
+            first, *rest = text.split("\n")
+            assert {r[2] for r in own} == ({source} if first.strip() else set()) | ({"part"} if any(x.strip() for x in rest) else set())
+            assert all(len(r[3]) <= 4 * (512 + 2 * 64) for r in own)
+        assert all("#" in (con.sql(f"select text from documents where doc_id = {i}").fetchall()[0][0] or "#") for i in chunks)
 
 
 def test_entry(spark):
