@@ -122,10 +122,10 @@ def owned_events(spark, d):
     return table(spark, d, "events").where(B.owned(u(4), u(3), ["u1"])).select("event_id")
 
 
-@query("""SELECT event_id, greatest(0, least(1, coalesce(TRY_CAST(CASE WHEN event_id % 4 = 0 THEN 'x' WHEN event_id % 4 = 1 THEN NULL ELSE (value / 300)::VARCHAR END AS DOUBLE), 0.5))) AS x FROM events WHERE event_id % 4 < 2 OR value > 300""")
+@query("""SELECT event_id, greatest(0, least(1, coalesce(TRY_CAST(CASE WHEN event_id % 4 = 0 THEN 'x' WHEN event_id % 4 = 1 THEN NULL ELSE (value / 300)::VARCHAR END AS DOUBLE), 0.5))) AS x FROM events""")
 def clipped_numbers(spark, d):
     given = F.when(F.col("event_id") % 4 == 0, "x").when(F.col("event_id") % 4 > 1, (F.col("value") / 300).cast("string"))
-    return table(spark, d, "events").where("event_id % 4 < 2 or value > 300").select("event_id", T.clip(given).alias("x"))
+    return table(spark, d, "events").select("event_id", T.clip(given).alias("x"))
 
 
 # ---- counts, lists and pages
@@ -185,10 +185,11 @@ def events_by_text(spark, d):
     return X.searched_events(rows, scores, 12, low=40).select("id", "score")
 
 
-@query(f"""WITH {_ROWS} SELECT type AS memory, id, round(importance, 6) AS score, row_number() OVER (PARTITION BY type ORDER BY round(importance, 6) DESC, id) AS rank FROM rows_ WHERE type IN ('click', 'view') QUALIFY rank <= 20""")
+@query(f"""WITH {_ROWS} SELECT type AS memory, id, round(importance, 6) AS score, row_number() OVER (PARTITION BY type ORDER BY round(importance, 6) DESC, id) AS rank FROM rows_ QUALIFY rank <= 20""")
 def each_memory(spark, d):
     rows = remembered(spark, d)
-    return X.each_memory({t: rows.where(F.col("type") == t).select("id", r6("importance").alias("score")) for t in ("click", "view")}, 50).select("memory", "id", "score", "rank")
+    names = [r.type for r in rows.select("type").distinct().collect()]  # the memories there are
+    return X.each_memory({t: rows.where(F.col("type") == t).select("id", r6("importance").alias("score")) for t in names}, 50).select("memory", "id", "score", "rank")
 
 
 @query(f"WITH {_ROWS} SELECT id % 77 AS row_id, round(max(importance), 6) AS score FROM rows_ GROUP BY 1")
@@ -280,10 +281,11 @@ def occurrence_backfill(spark, d):
 
 
 @query("""WITH x AS (SELECT doc_id AS id, source AS user_id, text AS content, list_distinct([trim(lang), 'all']) AS k FROM documents WHERE doc_id % 3 <> 0), o AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(trim(content)) ORDER BY id) AS n FROM x WHERE trim(content) <> '')
-    SELECT id, array_to_string(list_sort(k), ',') AS keywords FROM o WHERE n = 1""")
+    SELECT id, array_to_string(list_sort(k), ',') AS keywords FROM o WHERE n = 1 AND (user_id, lower(trim(content))) NOT IN (SELECT (source, lower(trim(text))) FROM documents WHERE lang = 'fr' AND text IS NOT NULL)""")
 def applied_directives(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("user_id"), F.col("text").alias("content"), F.array(F.concat(F.lit(" "), "lang"), F.lit(""), F.lit("all"), F.lit("all ")).alias("retrieval_keywords"), F.array(F.col("doc_id") % 3).alias("source_message_ids"))
-    out = M.applied_directives(rows, rows.limit(0), spark.range(1, 3))
+    known = table(spark, d, "documents").where("lang = 'fr'").select(F.col("source").alias("user_id"), F.col("text").alias("content"))
+    out = M.applied_directives(rows, known, spark.range(1, 3))
     return out.select("id", F.array_join(F.array_sort("retrieval_keywords"), ",").alias("keywords"))
 
 
