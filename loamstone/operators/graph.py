@@ -73,6 +73,7 @@ def spread(walks_: DataFrame, seeds: DataFrame, *, gain: float = GAIN, hops: int
     strength. Signed groups add up to each pair once where groups overlap (``shared_cliques``).
     """
     keys = per or []
+    walks_ = saved(walks_)
     fans = walks_.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("fan"))
     members = None
     if cliques is not None:

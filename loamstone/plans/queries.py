@@ -294,14 +294,14 @@ def recall_sticky_topk(spark, d):
     return R.sticky_top(_candidates(spark, d), 5, ["user_id"]).select("user_id", "id", "is_sticky", "score", "rank")
 
 
-@query(f"""WITH {_ROWS}, t AS (SELECT o_orderkey % 40 AS query_id, 1704067200.0 + (o_orderkey * 7919) % 2592000 AS s, 1704067200.0 + (o_orderkey * 7919) % 2592000 + pow(4, o_orderkey % 8)::BIGINT * 60 AS e, 0.5 + (o_orderkey % 5) / 10.0::DOUBLE AS worth FROM orders WHERE o_orderkey % 10 < 2),
-    r AS (SELECT id, created_at AS a, CASE WHEN id % 3 > 0 THEN created_at + (id % 50) * 3600 END AS z FROM rows_)
+@query(f"""WITH {_ROWS}, t AS (SELECT o_orderkey % 40 AS query_id, 1704067200.0 + (o_orderkey * 7919) % 2592000 AS s, 1704067200.0 + (o_orderkey * 7919) % 2592000 + pow(2, o_orderkey % 8)::BIGINT * 60 AS e, 0.5 + (o_orderkey % 5) / 10.0::DOUBLE AS worth FROM orders),
+    r AS (SELECT id, created_at AS a, CASE WHEN id % 3 > 0 THEN created_at + (id % 50) * 60 END AS z FROM rows_)
     SELECT query_id, id, round(max(worth), 6) AS temporal FROM r JOIN t ON CASE WHEN z IS NULL THEN s <= a AND a < e ELSE a < e AND z > s END GROUP BY ALL""")
 def temporal_matches(spark, d):
     k = F.col("o_orderkey")
     start = 1704067200.0 + k * 7919 % 2592000
-    ranges = table(spark, d, "orders").where("o_orderkey % 10 < 2").select((k % 40).alias("query_id"), start.alias("start"), (start + F.pow(F.lit(4), k % 8) * 60).alias("end"), (0.5 + k % 5 / 10.0).alias("confidence"), F.lit(1.0).alias("query_weight"))
-    rows = remembered(spark, d).withColumn("until", F.when(F.col("id") % 3 > 0, F.col("created_at") + F.col("id") % 50 * 3600))
+    ranges = table(spark, d, "orders").select((k % 40).alias("query_id"), start.alias("start"), (start + F.pow(F.lit(2), k % 8) * 60).alias("end"), (0.5 + k % 5 / 10.0).alias("confidence"), F.lit(1.0).alias("query_weight"))
+    rows = remembered(spark, d).withColumn("until", F.when(F.col("id") % 3 > 0, F.col("created_at") + F.col("id") % 50 * 60))
     return R.temporal_relevance(rows, ranges, "created_at", "until", per=["query_id"]).select("query_id", "id", r6("temporal").alias("temporal"))
 
 
