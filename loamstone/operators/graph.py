@@ -67,7 +67,7 @@ def spread(walks_: DataFrame, seeds: DataFrame, *, gain: float = GAIN, hops: int
     """(per.., id, activation): the seeds' own mass, ``floor`` at least, and what nodes receive over the hops. walks_: (src, dst, strength); seeds: (per.., id, activation).
 
     Each hop passes the mass received in the hop before (the seeds' at first) to neighbours, times the strength, over the number of walks out of the node; only positive mass
-    passes. All groups of ``per`` spread in one plan, with one join and one sum per hop: shares of walks and the mass of each hop are tables, read as often as they are needed.
+    passes. All groups of ``per`` spread in one plan, with two joins and one sum per hop: walks, their numbers and the mass of each hop are tables, read as often as they are needed.
 
     ``cliques`` (group, id, strength, sign) stand for walks between all pairs of a group's members without a row for each: a member gets the group's sum less its own share, times its
     strength. Signed groups add up to each pair once where groups overlap (``shared_cliques``).
@@ -82,15 +82,14 @@ def spread(walks_: DataFrame, seeds: DataFrame, *, gain: float = GAIN, hops: int
         fans = fans.unionByName(members.groupBy("id").agg(F.sum(F.col("sign") * (F.col("size") - 1)).alias("fan"))).groupBy("id").agg(F.sum("fan").alias("fan"))
         members = saved(members.where("size > 1").select("group", "id", "strength", "sign"))
     fans = saved(fans.where("fan > 0"))
-    out = saved(walks_.join(fans.withColumnRenamed("id", "src"), "src").select("src", "dst", (F.col("strength") / F.col("fan")).alias("share")))
     fronts = [saved(seeds.select(*keys, F.col("id").alias("src"), F.greatest(F.lit(floor), F.col("activation")).alias("mass")))]
     for hop in range(max(1, hops)):
         front, rate = fronts[-1].where("mass > 0"), gain * hop_decay**hop
         if hop == 0:
             front = front.groupBy(*keys, "src").agg(F.sum("mass").alias("mass"))
-        passed = front.join(out, "src").select(*keys, F.col("dst").alias("src"), (rate * F.col("mass") * F.col("share")).alias("mass")).where("mass > 0")
+        unit = front.join(fans.withColumnRenamed("id", "src"), "src").select(*keys, F.col("src").alias("id"), (rate * F.col("mass") / F.col("fan")).alias("unit"))
+        passed = unit.withColumnRenamed("id", "src").join(walks_, "src").select(*keys, F.col("dst").alias("src"), (F.col("unit") * F.col("strength")).alias("mass")).where("mass > 0")
         if members is not None:
-            unit = front.join(fans.withColumnRenamed("id", "src"), "src").select(*keys, F.col("src").alias("id"), (rate * F.col("mass") / F.col("fan")).alias("unit"))
             own = unit.join(members, "id")
             sums = saved(own.groupBy(*keys, "group").agg(F.sum("unit").alias("sum")))
             gained = sums.join(members, "group").select(*keys, F.col("id").alias("src"), (F.col("sign") * F.col("strength") * F.col("sum")).alias("mass"))
