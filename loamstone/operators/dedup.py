@@ -36,8 +36,8 @@ def merged_rows(rows: DataFrame, merges: DataFrame) -> DataFrame:
     return kept.join(whole.withColumnRenamed("survivor", "id"), "id").select(rows.columns)
 
 
-def bands(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
-    """(bits, tables) of random-hyperplane keys for n rows: two vectors at the threshold agree in a bit with 1 - acos(threshold) / pi, so they share no key of any table with a
+def bands(n: int, threshold: float, miss: float = MISS) -> tuple[int, int, float]:
+    """(bits, tables, keys and chance companions of a row) of random-hyperplane keys for n rows: two vectors at the threshold agree in a bit with 1 - acos(threshold) / pi, so they share no key of any table with a
     chance of ``miss`` at most. Of the choices that hold this, the one with the fewest keys and chance companions for a row."""
     same = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
     choices = []
@@ -45,7 +45,8 @@ def bands(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
         hit = same**bits
         tables = 1 if hit >= 1 - miss else math.ceil(math.log(miss) / math.log1p(-hit))
         choices.append((tables * (1 + 4 * n / 2**bits), bits, tables))
-    return min(choices)[1:]
+    cost, bits, tables = min(choices)
+    return bits, tables, cost
 
 
 def _keys(bits: int, tables: int):
@@ -119,14 +120,15 @@ def _alike(rows: DataFrame, threshold: float) -> DataFrame:
     return out
 
 
-def greedy_sweep(rows: DataFrame, scope: str = "user_id", threshold: float = SIMILAR, content: str = "content", vec: str = "vec", small: int = SMALL) -> DataFrame:
+def greedy_sweep(rows: DataFrame, scope: str = "user_id", threshold: float = SIMILAR, content: str = "content", vec: str = "vec", small: int | None = None) -> DataFrame:
     """(id, survivor, similarity): oldest first (created_at, id), each row is compared with the survivors so far only: the best cosine, of equal ones the oldest.
 
     This is order-dependent and not the same as components: a row near a dropped one only stays. Copies of a text, and then of a vector, go the way of its first row: to it
     (1.0) if it survives, else to its survivor, so they need not stream. Blank texts are no copies of each other. A row without a vector, or with a zero one, is compared with nothing.
 
     Rows that can meet are in one component, and components stream through the tasks in order with their survivors as state, so a chain may be of any length. A scope of
-    at most ``small`` rows is one component, and exact; in larger ones candidates share a key of random hyperplanes (``bands``: one pair at the threshold in a million is missed).
+    at most ``small`` rows (SMALL) is one component, and exact; in larger ones candidates share a key of random hyperplanes (``bands``: one pair at the threshold in a million is missed). Low thresholds
+    need more keys than a scope has rows: there, too, the scope is one component.
     """
     text = T.folded(F.coalesce(content, F.lit("")))
     own = rows.select(F.col("id").cast("long").alias("id"), F.col(scope).alias("scope"), F.struct(F.col("created_at").cast("double").alias("t"), F.col("id").cast("long").alias("id")).alias("place"), text.alias("text"), T.unit(F.col(vec)).alias("v"))
@@ -139,11 +141,13 @@ def greedy_sweep(rows: DataFrame, scope: str = "user_id", threshold: float = SIM
     firsts = saved(every.join(again.select("id"), "id", "left_anti").drop("h"))
     sizes = saved(firsts.groupBy("scope").agg(F.count("*").alias("n"), F.min("id").alias("component")))
     none = F.lit(None).cast("array<long>")
-    streams = firsts.join(sizes.where(F.col("n") <= small), "scope").select("component", "place", "id", "v", none.alias("keys"))
     largest = sizes.agg(F.max("n")).first()[0] or 0
+    bits, tables, cost = bands(max(1, largest), threshold)
+    small = max(SMALL, math.ceil(cost)) if small is None else small
+    streams = firsts.join(sizes.where(F.col("n") <= small), "scope").select("component", "place", "id", "v", none.alias("keys"))
     if largest > small:
         big = firsts.join(sizes.where(F.col("n") > small).select("scope"), "scope", "left_semi").select("scope", "place", "id", "v")
-        keyed = saved(big.mapInArrow(_keys(*bands(largest, threshold)), StructType([*big.schema.fields, StructField("keys", ArrayType(LongType()))])))
+        keyed = saved(big.mapInArrow(_keys(bits, tables), StructType([*big.schema.fields, StructField("keys", ArrayType(LongType()))])))
         streams = streams.unionByName(keyed.join(_alike(keyed, threshold), "id").select("component", "place", "id", "v", "keys"))
     gone = saved(streams.repartition("component").sortWithinPartitions("component", "place").mapInArrow(_dropped(threshold), "id long, survivor long, similarity double"))
     for followers in (again, copies):

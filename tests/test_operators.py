@@ -201,7 +201,8 @@ def test_sweep_over_a_long_chain(spark):
 
 
 def test_keys_find_pairs_at_the_threshold():
-    bits, tables = E.bands(100_000, 0.92)
+    bits, tables, cost = E.bands(100_000, 0.92)
+    assert cost < 1000 and E.bands(5_000, 0.25)[2] > 5_000  # at a low threshold keys are dearer than all pairs
     same = 1 - math.acos(0.92) / math.pi
     assert (1 - same**bits) ** tables <= 1e-6 and 2**bits > 20_000
 
