@@ -6,7 +6,7 @@ the join is one on equal cells, whatever the lengths, with the exact test after
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -24,6 +24,26 @@ def _cell(moment: Column, level: Column) -> Column:
     return F.floor(_bounded(moment) / F.pow(F.lit(2.0), level)).cast("long")
 
 
+def _level(start: Column, finish: Column) -> Column:
+    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(_bounded(finish) - _bounded(start))))).cast("int"), F.lit(0))
+
+
+def fused(ranges: DataFrame, start: str, end: str, on: list[str] | None = None) -> DataFrame:
+    """(on.., start, end): fewer half-open ranges that hold the same points, and overlap the same intervals, as those of ``ranges`` with equal ``on``; an open end is infinite.
+
+    Ranges that overlap become one; those that only touch do not, as an empty interval between them overlaps neither. Ranges of like lengths meet by cells of 16 lengths, so no task gets all
+    ranges of a key, and a moment is left in at most two ranges of each power of two of the lengths.
+    """
+    keys, finish = [*(on or []), "_level", "_cell"], F.coalesce(F.col(end).cast("double"), F.lit(float("inf")))
+    own = ranges.where(F.col(start).isNotNull() & (finish > F.col(start))).select(*(on or []), F.col(start), finish.alias(end))
+    own = own.withColumn("_level", _level(F.col(start), F.col(end))).withColumn("_cell", _cell(F.col(start), F.col("_level") + 4))
+    own = own.groupBy(*keys, start).agg(F.max(end).alias(end))
+    order = Window.partitionBy(*keys).orderBy(start)
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("_reach") > F.col(start), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn("_reach", reach).withColumn("_island", island).groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).select(*(on or []), start, end)
+
+
 def covered(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, on: list[str] | None = None) -> DataFrame:
     """All columns of both for each point ``at`` within [start, end), with equal ``on``; no other column may be in both tables.
 
@@ -31,8 +51,7 @@ def covered(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str,
     """
     keys = on or []
     finish = F.coalesce(F.col(end), F.lit(float("inf")))
-    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(_bounded(finish) - _bounded(F.col(start)))))).cast("int")
-    r = ranges.where(F.col(start).isNotNull() & (finish > F.col(start))).withColumn("_level", F.coalesce(level, F.lit(0)))
+    r = ranges.where(F.col(start).isNotNull() & (finish > F.col(start))).withColumn("_level", _level(F.col(start), finish))
     used = [x[0] for x in r.select("_level").distinct().collect()]  # LEVELS + 1 at most
     r = r.withColumn("_cell", F.explode(F.sequence(_cell(F.col(start), F.col("_level")), _cell(finish, F.col("_level")))))
     p = points.where(F.col(at).isNotNull()).withColumn("_level", F.explode(F.array(*map(F.lit, used)) if used else F.array().cast("array<int>")))

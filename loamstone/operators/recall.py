@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType
 
 from ..functions import scoring as S
+from ..session import saved
 from . import intervals as N
 from . import tables as B
 
@@ -26,10 +27,18 @@ def followup_relevance(not_before: Column, last_recalled: Column, now: float, co
 
 
 def temporal_relevance(rows: DataFrame, ranges: DataFrame, start: str = "occurred_at", end: str | None = None, per: list[str] | None = None) -> DataFrame:
-    """(per.., id, temporal): the best confidence times weight among the ranges that a row overlaps, of one query or of each query of ``per``; joined by cells of time."""
+    """(per.., id, temporal): the best confidence times weight among the ranges that a row overlaps, of one query or of each query of ``per``; joined by cells of time.
+
+    Of a query's ranges of one worth those that overlap are one for the join (``intervals.fused``), so a row meets few of them however many cover it.
+    """
     own = rows.where(F.col(start).isNotNull()).select("id", F.col(start).alias("_from"), (F.col(end) if end else F.lit(None).cast("double")).alias("_until"))
     asked = ranges.select(*(per or []), F.col("start").alias("_low"), F.col("end").alias("_high"), (F.col("confidence") * F.col("query_weight")).alias("_worth"))
-    return N.overlapping(own, asked, "_from", "_until", "_low", "_high").groupBy(*(per or []), "id").agg(F.max("_worth").alias("temporal"))
+    whole = saved(N.fused(asked, "_low", "_high", [*(per or []), "_worth"]))
+    found = N.overlapping(own.repartition("id"), whole, "_from", "_until", "_low", "_high")
+    odd = own.where("_until < _from")  # lies in the one range that holds both its ends, not in what overlaps
+    if not odd.isEmpty():
+        found = found.join(odd.select("id"), "id", "left_anti").unionByName(N.overlapping(odd, asked, "_from", "_until", "_low", "_high"))
+    return found.groupBy(*(per or []), "id").agg(F.max("_worth").alias("temporal"))
 
 
 def scored(rows: DataFrame, semantic: DataFrame, temporal: DataFrame | None, now: float, *, temporal_weight: float = 1.0, e_fold: float = E_FOLD, sticky: float | None = STICKY, impact: Column | None = None) -> DataFrame:

@@ -48,3 +48,22 @@ def test_no_ranges(spark):
     none = spark.createDataFrame([], "start double, end double, confidence double, query_weight double")
     rows = spark.createDataFrame([(1, 5.0)], "id long, occurred_at double")
     assert R.temporal_relevance(rows, none).count() == 0
+
+
+def test_many_ranges_over_a_moment_are_few_in_the_join(spark):
+    """Overlapping ranges of one worth fuse, touching ones do not; empty and reversed rows find what they found range by range."""
+    rng = random.Random(5)
+    ranges = [(k % 3, float(s), s + rng.choice([1.0, 2.0, 7.0, 40.0, 900.0]), rng.choice([0.5, 0.9]), 1.0) for k in range(600) for s in [rng.randint(-300, 600)]] + [(7, 0.0, 5.0, 0.5, 1.0), (7, 5.0, 9.0, 0.5, 1.0), (7, 50.0, None, 0.7, 1.0)]
+    rows = [(k, float(t), rng.choice([None, t + 0.0, t + 0.5, t + 30.0, t - 3.0])) for k in range(300) for t in [rng.randint(-320, 700)]] + [(400, 5.0, 5.0), (401, 5.0, None), (402, 6.0, 4.0), (403, 3.0, 1.0)]
+    r = spark.createDataFrame(ranges, "query long, start double, end double, confidence double, query_weight double")
+    own = spark.createDataFrame(rows, "id long, occurred_at double, until double")
+    found = {(x.query, x.id): x.temporal for x in R.temporal_relevance(own, r, end="until", per=["query"]).collect()}
+    wanted = {}
+    for q, s, e, worth, _ in ranges:
+        e = 1e300 if e is None else e
+        for i, a, z in rows:
+            if s <= a < e if z is None else (a < e and z > s and (z > a or s <= a)):
+                wanted[q, i] = max(wanted.get((q, i), 0.0), worth)
+    assert found == wanted and (7, 400) not in found and (7, 401) in found and (7, 402) not in found and (7, 403) in found
+    many = spark.range(20_000).select((F.col("id") % 2).alias("q"), (F.col("id") * 0.7).alias("start"), (F.col("id") * 0.7 + 600).alias("end"))
+    assert N.fused(many, "start", "end", ["q"]).count() <= 6
