@@ -61,3 +61,15 @@ def test_empty_index(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     queries = spark.createDataFrame([(1, 0, [1.0])], "query_id long, sub_ix int, vec array<double>")
     assert N.nearest(N.inverted(none), queries, 5).count() == 0
+
+
+def test_exact_beyond_the_probed_lists(spark, rows):
+    """A query that finds enough in its first list still gets what is nearer elsewhere, zero vectors and queries included."""
+    keep = [k for k in range(1500) if k % 3 == 0]
+    index = N.inverted(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rows)], "vec_id long, embedding array<double>"))
+    asked = list(range(0, 1500, 50))
+    queries = spark.createDataFrame([(k, 0, rows[k].tolist()) for k in asked], "query_id long, sub_ix int, vec array<double>")
+    wanted = dict(zip(asked, plain(keep, rows[keep], rows[asked], 5)))
+    where = F.col("vec_id") % 3 == 0
+    assert best(N.nearest(index, queries, 5, probes=1, where=where), 5) != wanted
+    assert best(N.nearest(index, queries, 5, probes=1, where=where, exact=True), 5) == wanted
