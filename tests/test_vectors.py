@@ -73,3 +73,14 @@ def test_exact_beyond_the_probed_lists(spark, rows):
     where = F.col("vec_id") % 3 == 0
     assert best(N.nearest(index, queries, 5, probes=1, where=where), 5) != wanted
     assert best(N.nearest(index, queries, 5, probes=1, where=where, exact=True), 5) == wanted
+
+
+def test_copies_of_queries_are_bounded(monkeypatch, rows):
+    """A task that deals queries over all lists holds a bounded number of copies, however many lists there are."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(N, "COPIES", 1000)
+    centroids = type("Broadcast", (), {"value": N.X._units(pa.array(rows[301:501].tolist()))[1]})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(rows.tolist())], names=["query_id", "vec"])
+    out = list(N._listed(centroids, 1, 200)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 1000 and sum(b.num_rows for b in out) == 1500 * 200
