@@ -58,12 +58,16 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def weighted_walks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst, strength) of walks (src, dst, strength) between nodes (id, strength): the edge's strength times that of the node it reaches."""
+    return _reaching(edges, nodes).join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
+
+
+def _reaching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``weighted_walks`` of walks that all start at nodes."""
     reached = nodes.select(F.col("id").alias("dst"), F.col("strength").alias("_own"))
-    out = edges.join(reached, "dst").join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
-    return out.select("src", "dst", (F.col("strength") * F.col("_own")).alias("strength"))
+    return edges.join(reached, "dst").select("src", "dst", (F.col("strength") * F.col("_own")).alias("strength"))
 
 
-def spread(walks_: DataFrame, seeds: DataFrame, *, gain: float = GAIN, hops: int = HOPS, hop_decay: float = HOP_DECAY, floor: float = 0.0, per: list[str] | None = None, cliques: DataFrame | None = None) -> DataFrame:
+def spread(walks_: DataFrame, seeds: DataFrame, *, gain: float = GAIN, hops: int = HOPS, hop_decay: float = HOP_DECAY, floor: float = 0.0, per: list[str] | None = None, cliques: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(per.., id, activation): the seeds' own mass, ``floor`` at least, and what nodes receive over the hops. walks_: (src, dst, strength); seeds: (per.., id, activation).
 
     Each hop passes the mass received in the hop before (the seeds' at first) to neighbours, times the strength, over the number of walks out of the node; only positive mass
@@ -71,24 +75,36 @@ def spread(walks_: DataFrame, seeds: DataFrame, *, gain: float = GAIN, hops: int
 
     ``cliques`` (group, id, strength, sign) stand for walks between all pairs of a group's members without a row for each: a member gets the group's sum less its own share, times its
     strength. Signed groups add up to each pair once where groups overlap (``shared_cliques``).
+
+    With ``nodes`` (id, strength) the walks are those of ``weighted_walks``: each hop looks up what leads out of the nodes that it starts from, and only that is joined and written.
     """
     keys = per or []
-    walks_ = saved(walks_)
-    fans = walks_.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("fan"))
-    members = None
+    members = shared = None
+    if nodes is None:
+        walks_ = saved(walks_)
+        fans = walks_.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("fan"))
     if cliques is not None:
         sizes = saved(cliques.groupBy("group").agg(F.count("*").alias("size")))  # a table of its own: a hot group can be split in the join back
         members = cliques.join(sizes, "group")
-        fans = fans.unionByName(members.groupBy("id").agg(F.sum(F.col("sign") * (F.col("size") - 1)).alias("fan"))).groupBy("id").agg(F.sum("fan").alias("fan"))
+        shared = members.groupBy("id").agg(F.sum(F.col("sign") * (F.col("size") - 1)).alias("fan"))
+        shared = saved(shared) if nodes is not None else shared
         members = saved(members.where("size > 1").select("group", "id", "strength", "sign"))
-    fans = saved(fans.where("fan > 0"))
+    every = lambda own: own if shared is None else own.unionByName(shared).groupBy("id").agg(F.sum("fan").alias("fan"))
+    if nodes is None:
+        fans = saved(every(fans).where("fan > 0"))
     fronts = [saved(seeds.select(*keys, F.col("id").alias("src"), F.greatest(F.lit(floor), F.col("activation")).alias("mass")))]
     for hop in range(max(1, hops)):
         front, rate = fronts[-1].where("mass > 0"), gain * hop_decay**hop
         if hop == 0:
             front = front.groupBy(*keys, "src").agg(F.sum("mass").alias("mass"))
+        if nodes is not None:
+            led = walks_.join(saved(front.select("src").distinct()), "src", "left_semi")
+            ways = saved(weighted_walks(led, nodes) if hop == 0 else _reaching(led, nodes))  # later fronts are nodes anyway
+            fans = every(ways.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("fan"))).where("fan > 0")
+        else:
+            ways = walks_
         unit = front.join(fans.withColumnRenamed("id", "src"), "src").select(*keys, F.col("src").alias("id"), (rate * F.col("mass") / F.col("fan")).alias("unit"))
-        passed = unit.withColumnRenamed("id", "src").join(walks_, "src").select(*keys, F.col("dst").alias("src"), (F.col("unit") * F.col("strength")).alias("mass")).where("mass > 0")
+        passed = unit.withColumnRenamed("id", "src").join(ways, "src").select(*keys, F.col("dst").alias("src"), (F.col("unit") * F.col("strength")).alias("mass")).where("mass > 0")
         if members is not None:
             own = unit.join(members, "id")
             sums = saved(own.groupBy(*keys, "group").agg(F.sum("unit").alias("sum")))
@@ -173,7 +189,7 @@ def activation_trace(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, vi
     inner = visible(nodes, viewers) if private else nodes
     own = seeds.select("id", "activation").unionByName(person_bias(nodes, viewers or []))
     own = own.join(inner.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("activation").alias("activation"))
-    scores = combined(inner, spread(weighted_walks(edges, inner), own, hops=hops), mood=mood)
+    scores = combined(inner, spread(edges, own, hops=hops, nodes=inner), mood=mood)
     shown = visible(scores, viewers) if include_internal else public(visible(scores, viewers))
     return shown.join(own.select("id", F.col("activation").alias("seed")), "id", "left").fillna({"seed": 0.0}).select("id", "base_level", "seed", "activation", "score")
 

@@ -96,3 +96,24 @@ def test_projection_keeps_telemetry(spark):
     new = spark.createDataFrame([("a", "fact", "X", ["v", "u"], 0, False), ("b", "episode", "Y", ["w"], 0, False), ("n", "fact", "N", None, 0, True)], schema)
     found = {r.id: tuple(r)[1:] for r in G.projected_upsert(old, new).collect()}
     assert found == {"a": ("fact", "X", ["u", "v"], 5, True), "b": ("episode", "Y", ["w"], 0, False), "c": ("fact", "z", ["u"], 1, False), "n": ("fact", "N", None, 0, True)}
+
+
+def test_spreading_writes_what_it_reaches(spark, monkeypatch):
+    """With nodes the result is that of all weighted walks, but only walks out of the fronts are written; a view shuffles no walks of nodes outside."""
+    from loamstone.operators import graph as G
+
+    walks = spark.range(3000).select(F.concat(F.lit("n"), (F.col("id") % 500).cast("string")).alias("src"), F.concat(F.lit("n"), (F.col("id") * 7 % 600).cast("string")).alias("dst"), (F.col("id") % 5 / 10 + 0.1).alias("strength"))
+    nodes = spark.range(550).where("id % 9 <> 4").select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), (F.col("id") % 3 / 3 + 0.2).alias("strength"))
+    seeds = spark.createDataFrame([("a", "n1", 0.8), ("a", "n4", 0.5), ("b", "n1", 0.3), ("b", "n2", -1.0), ("b", "x", 1.0)], "team string, id string, activation double")
+    sizes = []
+    keep = G.saved
+    monkeypatch.setattr(G, "saved", lambda df: (out := keep(df), sizes.append(out.count()))[0])
+    rows = lambda df: sorted((r.team, r.id, round(r.activation, 9)) for r in df.collect())
+    for hops in (1, 2):
+        whole = rows(G.spread(G.weighted_walks(walks, nodes), seeds, per=["team"], hops=hops))
+        sizes.clear()
+        assert rows(G.spread(walks, seeds, per=["team"], hops=hops, nodes=nodes)) == whole and len(whole) > 5
+        assert max(sizes) < 500
+    edges = walks.select("src", "dst", F.lit("episode").alias("kind"))
+    view = G.grown_view(nodes.select("id", F.col("strength").alias("activation")), edges, 20)
+    assert {r.id for r in view.collect()} <= {r.id for r in nodes.collect()} and view.count() == 20
