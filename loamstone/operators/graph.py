@@ -365,7 +365,7 @@ def grown_view(activation: DataFrame, edges: DataFrame, limit: int, share: float
     """
     spark = activation.sparkSession
     nodes = activation.select("id", "activation")
-    ways = saved(walks(edges, nodes).where("src <> dst").select("src", "dst"))
+    ways = saved(walks(edges).where("src <> dst").select("src", "dst"))  # one end is looked up in the view, the other meets ``nodes`` then
     limit = max(1, limit)
     first = nodes.orderBy(F.desc("activation"), "id").limit(max(1, int(limit * share))).collect()
     shown = nodes.join(retrieved.select("id").distinct(), "id", "left_semi").orderBy(F.desc("activation"), "id").limit(limit).collect() if retrieved is not None else []
