@@ -425,3 +425,19 @@ def test_incoming_rows_meet_all_stored_rows_without_a_row_per_pair(spark, monkey
     assert found[0] == found[1] and len(found[0]) > 20
     plans = E.incoming_duplicates(new, old, None, 0.5)._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plans  # no pair of vectors is a row
+
+
+@pytest.mark.parametrize("terms", [None, ["a", "c", "zz"]])
+def test_long_batches_are_counted_in_bounded_slices(monkeypatch, terms):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    words = [None, [], *[[rng.choice("abcde") for _ in range(rng.choice((1, 3, 40)))] for _ in range(60)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(words))), pa.array(words, pa.list_(pa.string()))], names=["id", "words"])
+    known, seen = None if terms is None else pa.array(terms), []
+    unique = np.unique
+    monkeypatch.setattr(np, "unique", lambda x, **how: (seen.append(len(x)), unique(x, **how))[1])
+    rows = [r for b in X._counted(known, most=50)(iter([batch])) for r in b.to_pylist()]
+    plain = [{w: (x or []).count(w) for w in sorted(set(x or [])) if terms is None or w in terms} for x in words]
+    assert [(r["id"], r["length"], {h["term"]: h["tf"] for h in r["hits"]}) for r in rows] == [(k, len(x or []), p) for k, (x, p) in enumerate(zip(words, plain))]
+    assert max(seen) <= 50 < sum(len(x or []) for x in words)
