@@ -6,6 +6,7 @@ edges: id, kind, src, dst, weight and signed attributes. Symmetric kinds are wal
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -526,11 +527,29 @@ def same_graph(index: DataFrame, nodes: DataFrame) -> bool:
     return index.select("id", "text").exceptAll(own).isEmpty() and own.exceptAll(index.select("id", "text")).isEmpty()
 
 
+#: pairs of a task, and of the members of one key that meet in one task
+PAIRS, CELL = 1_000_000, 4_000_000
+
+
 def shared_pairs(members: DataFrame, node: str = "node", key: str = "participant") -> DataFrame:
-    """(a, b) pairs of nodes, a before b, that share a key, each once. The result itself is a row per pair."""
-    m = members.select(node, key).distinct()
-    a, b = m.select(F.col(node).alias("a"), key), m.select(F.col(node).alias("b"), key)
-    return a.join(b, key).where("a < b").select("a", "b").distinct()
+    """(a, b) pairs of nodes, a before b, that share a key, each once. The result itself is a row per pair.
+
+    Keys are dealt over so many tasks that each makes about PAIRS pairs, however many there are; members of a key of more than CELL pairs meet in several tasks.
+    """
+    m = saved(members.select(F.col(node).alias("a"), F.col(key).alias("key")).where(F.col(key).isNotNull()).distinct())
+    sizes = m.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    total, most = sizes.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2), F.max("n")).first()
+    if total is None:
+        return m.select("a", F.col("a").alias("b")).limit(0)
+    cells = F.ceil(F.col("n").cast("double") * F.col("n") / CELL).cast("int")
+    if most * most > CELL:
+        m = m.join(saved(sizes.withColumn("cells", cells).where("cells > 1").select("key", "cells")), "key", "left").fillna({"cells": 1})
+    else:
+        m = m.withColumn("cells", F.lit(1))
+    tasks = max(1, math.ceil(total / PAIRS))
+    a = m.select("a", "key", F.pmod(F.xxhash64("a"), F.col("cells")).cast("int").alias("cell")).repartition(tasks, "key", "cell")
+    b = m.select(F.col("a").alias("b"), "key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")).repartition(tasks, "key", "cell")
+    return a.join(b.hint("merge"), ["key", "cell"]).where("a < b").select("a", "b").distinct()
 
 
 def pair_edges(pairs: DataFrame, kind: str, weight: float) -> DataFrame:
@@ -652,7 +671,7 @@ def fed_back(nodes: DataFrame, pairs: DataFrame, surfaced: DataFrame, now: float
     nodes: id, recall_count, last_recalled and, if they have them, activation and practice_times; pairs: the co-occurrence edges as in ``hebbian``. What surfaced fits a budget of tokens, so
     it is a bounded answer. A preview leaves this step out.
     """
-    best = surfaced.groupBy("id").agg(F.max("score").alias("_score"))
+    best = saved(surfaced.groupBy("id").agg(F.max("score").alias("_score")))  # both results need it
     out, hit = nodes.join(best, "id", "left"), F.col("_score").isNotNull()
     changes = {"recall_count": F.coalesce("recall_count", F.lit(0)) + F.when(hit, 1).otherwise(0), "last_recalled": F.when(hit, F.lit(now)).otherwise(F.col("last_recalled"))}
     if "activation" in nodes.columns:

@@ -1,6 +1,7 @@
 """Graph operators that run in rounds or fold groups, against plain Python."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +118,22 @@ def test_spreading_writes_what_it_reaches(spark, monkeypatch):
     edges = walks.select("src", "dst", F.lit("episode").alias("kind"))
     view = G.grown_view(nodes.select("id", F.col("strength").alias("activation")), edges, 20)
     assert {r.id for r in view.collect()} <= {r.id for r in nodes.collect()} and view.count() == 20
+
+
+@pytest.mark.parametrize("pairs, cell", [(1_000_000, 4_000_000), (40, 50)])
+def test_pairs_are_dealt_over_tasks_by_their_number(spark, monkeypatch, pairs, cell):
+    monkeypatch.setattr(G, "PAIRS", pairs)
+    monkeypatch.setattr(G, "CELL", cell)
+    rng = random.Random(5)
+    rows = [(rng.randrange(60), None if k % 50 == 0 else rng.randrange(40)) for k in range(300)] + [(k, 77) for k in range(45)]  # one key that many share
+    found = G.shared_pairs(spark.createDataFrame(rows, "node long, participant long"))
+    of = {}
+    for node, key in rows:
+        if key is not None:
+            of.setdefault(key, set()).add(node)
+    every = [(a, b) for nodes in of.values() for a in nodes for b in nodes if a < b]
+    assert sorted(map(tuple, found.collect())) == sorted(set(every))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    tasks = {int(n) for n in re.findall(r"RepartitionByExpression.*, (\d+)", plan)}
+    assert tasks == {-(-len(every) // pairs)}
+    assert G.shared_pairs(spark.createDataFrame([(1, 1)], "node long, participant long")).collect() == []
