@@ -71,7 +71,7 @@ def _nearest(column: pa.Array, centroids: np.ndarray, probes: int) -> tuple[np.n
 
 def _listed(centroids: Broadcast, vec: int, probes: int, done: int = 0, reach: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, COPIES // probes)
+        step = max(1, min(COPIES // probes, X.CELLS // max(1, len(centroids.value))))  # rows times lists are held at once, too
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)

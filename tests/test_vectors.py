@@ -84,3 +84,20 @@ def test_copies_of_queries_are_bounded(monkeypatch, rows):
     batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(rows.tolist())], names=["query_id", "vec"])
     out = list(N._listed(centroids, 1, 200)(iter([batch])))
     assert max(b.num_rows for b in out) <= 1000 and sum(b.num_rows for b in out) == 1500 * 200
+
+
+def test_rows_meet_the_centroids_in_bounded_steps(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    centroids, v, seen = rng.normal(size=(40, 4)), rng.normal(size=(500, 4)), []
+    centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
+    own = N._nearest
+    monkeypatch.setattr(N, "_nearest", lambda column, *how: (seen.append(len(column)), own(column, *how))[1])
+    monkeypatch.setattr(X, "CELLS", 2_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(v.tolist(), pa.list_(pa.float64()))], names=["id", "v"])
+    out = [r for b in N._listed(SimpleNamespace(value=centroids), 1, 1)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["id"], r["list"]) for r in out] == list(enumerate((v @ centroids.T / np.linalg.norm(v, axis=1, keepdims=True)).argmax(1)))
+    assert max(seen) * len(centroids) <= 2_000
