@@ -35,6 +35,8 @@ from . import textbytes as tb
 from .io import free_name, saved
 
 WINDOW, BLOCK = 400, 16
+#: The bits of an identifier that give way to positions in the search for anchors: as many in every chunk (a text has under 2**31 bytes), or equal windows of two chunks might choose differently.
+LOW = np.uint64((1 << 31) - 1)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,14 +78,13 @@ class Windows:
             self.anchor = self.at
             return
         self.id = half_buckets(raw, self.half)
-        low = np.uint64((1 << len(raw).bit_length()) - 1)
-        least = (self.id & ~low) | np.arange(len(self.id), dtype=np.uint64)
+        least = (self.id & ~LOW) | np.arange(len(self.id), dtype=np.uint64)
         width, have = self.gap + 1, 1
         while have < width:
             by = min(have, width - have)
             least = np.minimum(least[:-by], least[by:])
             have += by
-        self.anchor = (least[self.at] & low).astype(np.int64)
+        self.anchor = (least[self.at] & LOW).astype(np.int64)
 
     def anchors(self) -> tuple[np.ndarray, ...]:
         """Document, position, bytes of surroundings on the left and right, bucket and identifier of surroundings, of each anchor."""
