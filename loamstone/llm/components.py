@@ -34,8 +34,8 @@ def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(src long, dst long) undirected links -> (id, component): the smallest id reachable, for every id that has a link.
 
-    Nulls and self-links are ignored; repeated links count once. Each round's edges go to the shared folder, so the plan
-    stays short and lost executors cost one round. The number of rounds grows with the logarithm of the longest chain.
+    Nulls and self-links are ignored; repeated links count once. Each star's edges go to the shared folder, so the plan
+    stays short and lost executors cost one star. The number of rounds grows with the logarithm of the longest chain.
     """
     now = saved(
         edges.where("src is not null and dst is not null and src <> dst")
@@ -46,8 +46,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not rows:
             break
-        before, now = now, saved(_star(_star(now, True, rows), False, rows))
-        released(before)
+        # each star reads a table: a star names its edges some ten times, so a plan of both has a hundred of the first one's inputs
+        before, large = now, saved(_star(now, True, rows))
+        now = saved(_star(large, False, rows))
+        released(before, large)
         # done when no node has both ends; the sum over the roots shows whether a round has moved anything
         ends = now.select(F.explode(F.array(F.struct(F.col("src").alias("v"), F.lit(1).alias("end")), F.struct(F.col("dst").alias("v"), F.lit(2).alias("end")))).alias("x")).select("x.*")
         nodes = ends.groupBy("v").agg(F.bit_or("end").alias("ends"), F.count_if(F.col("end") == 2).alias("below"))

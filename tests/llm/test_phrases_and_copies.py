@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamstone.llm import exact_dedup, phrase_mining
+from loamstone.llm import components, exact_dedup, phrase_mining
 from loamstone.llm.io import met, saved
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -107,3 +107,18 @@ def test_hot_keys_stay_where_they_are(spark):
     assert met(rows, groups, ["key"], 4000, "size").count() == 3999
     left = met(rows, groups, ["key"], 4000, "size", "left")
     assert left.count() == 4000 and left.where("size is null").count() == 1
+
+
+def test_plans_of_components_stay_small(spark, monkeypatch):
+    """A plan of both stars named its edges hundreds of times, and the driver kept such plans for each of their stages."""
+    sizes = []
+
+    def counted(df):
+        sizes.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation "))
+        return saved(df)
+
+    monkeypatch.setattr(components, "saved", counted)
+    chain = spark.range(1, 300).select(F.col("id").alias("src"), (F.col("id") - 1).alias("dst"))
+    found = components.components(chain).collect()
+    assert sorted(r.id for r in found) == list(range(300)) and {r.component for r in found} == {0}
+    assert len(sizes) > 2 and max(sizes) <= 20, sizes
