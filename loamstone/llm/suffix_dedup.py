@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import textbytes as tb
-from .io import free_name, saved
+from .io import free_name, released, saved
 
 WINDOW, BLOCK = 400, 16
 #: The bits of an identifier that give way to positions in the search for anchors: as many in every chunk (a text has under 2**31 bytes), or equal windows of two chunks might choose differently.
@@ -202,7 +202,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = saved(texts.mapInArrow(_anchors(window, words), "id long, h long, at int, l int, r int, a long, c long"))
     buckets = anchors.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1").select("a", (F.col("lo") < F.col("hi")).alias("mixed"))
     # counts are tables of their own, so that the joins back have plain exchanges on both sides and a hot bucket can be split
-    repeated = saved(anchors.join(saved(buckets), "a"))
+    buckets = saved(buckets)
+    repeated = saved(anchors.join(buckets, "a"))
+    released(anchors, buckets)
     span = ["id", "h", (F.col("at") - F.col("l")).alias("s"), (F.col("at") + half + F.col("r")).alias("e")]
     one = repeated.where("not mixed").select(*span)
     mixed = repeated.where("mixed").drop("mixed")
@@ -215,6 +217,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = saved(blocks.select(F.explode(F.array("whole", "shared")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"))
     once = lambda c: twice.select(F.col("w").alias(c), F.lit(True).alias(f"{c}_again"))
     judged = saved(blocks.join(once("shared"), "shared").join(once("whole"), "whole", "left").drop("shared_again"))
+    released(blocks, twice)
     live, doubt = judged.where("whole_again"), judged.where("whole_again is null")
     # a block in doubt may share windows with one that is settled: one of each such kind is refined with it
     # (the least block of each kind is chosen before the join, so a passage of many documents is not dealt by its key)
@@ -222,11 +225,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     partners = kinds.join(doubt.select("shared").distinct(), "shared", "left_semi").groupBy("whole").agg(F.min("b").alias("b")).select("b.*")
     doubt = doubt.select("id", "h", "at", "k").unionByName(partners).groupBy("id", "h").agg(F.collect_list("at").alias("ats"), F.collect_list("k").alias("ks"))
     windows = saved(_with_texts(near, doubt, "ats", "ks").mapInArrow(_refined(window, words), "id long, h long, at int, w long"))
+    released(near, kinds)
     again = saved(windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"))
     rest = windows.join(again, "w", "left_semi").select("id", "h", F.col("at").alias("s"), (F.col("at") + window).alias("e"))
     spans = one.unionByName(many).unionByName(live.select("id", "h", "s", "e")).unionByName(rest)
     # a set: equal rows have equal spans, and there may be very many of them
-    return spans.groupBy("id", "h").agg(F.collect_set(F.struct("s", "e")).alias("x")).select("id", "h", F.col("x.s").alias("starts"), F.col("x.e").alias("ends"))
+    found = saved(spans.groupBy("id", "h").agg(F.collect_set(F.struct("s", "e")).alias("x")).select("id", "h", F.col("x.s").alias("starts"), F.col("x.e").alias("ends")))
+    released(repeated, around, judged, windows, again)
+    return found
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, words: int | None = None) -> DataFrame:
@@ -266,45 +272,54 @@ def _without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
+def _cut(data: bytes, starts: np.ndarray | None, ends: np.ndarray | None, first: np.ndarray | None, last: np.ndarray | None) -> str:
+    """A text without spans of bytes and of words."""
+    grown = []
+    for a, b in merged(starts, ends):  # a character goes with any of its bytes
+        while a > 0 and a < len(data) and data[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(data) and data[b] & 0xC0 == 0x80:
+            b += 1
+        grown.append((a, b))
+    if first is not None and len(first):
+        begin, end, _ = tb.word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        grown += [(int(begin[a]), int(end[b - 1])) for a, b in merged(first, last)]
+    return _without(data, merged([a for a, _ in grown], [b for _, b in grown])).decode()
+
+
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for i, text, starts, ends in batch.itertuples(index=False):
-            data, runs = text.encode(), merged(starts, ends)
-            out.append((i, len(data), sum(e - s for s, e in runs), len(runs), hashlib.sha256(_without(data, runs)).hexdigest()))
-        frame = pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        passages = batch.shape[1] > 4
+        for i, text, starts, ends, *words in batch.itertuples(index=False):
+            data, runs = (text or "").encode(), merged(starts, ends)
+            row = (i, len(data), sum(e - s for s, e in runs), len(runs), hashlib.sha256(_without(data, runs)).hexdigest())
+            if passages:
+                row += (sum(b - a for a, b in merged(*words)), text if starts is None else _cut(data, starts, ends, *words))
+            out.append(row)
+        frame = pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "text"][: 7 if passages else 5])
         frame["id"] = frame["id"].astype("Int64")
         yield frame
 
 
-def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, words: int | None = None) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row of ``docs``.
 
     Texts are UTF-8 bytes, a null text is empty; every byte of a ``window``-byte string that also starts elsewhere, in the same
     text or another, is removed, judged on the input. Texts shorter than the window keep all. Rows that repeat an id and a text
     count as two texts. Null ids are allowed, other columns are ignored.
+
+    With ``words`` two more columns follow: n_passage_words, the words in strings of so many words that repeat, however few bytes
+    they have, and text, what ``without_repeats`` leaves when it cuts both kinds. The columns before them stay the same.
     """
-    found = with_spans(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "id", "text", window)
-    return found.mapInPandas(_digest, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+    found = with_spans(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", window, words)
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_passage_words long, text string" * (words is not None)
+    return found.mapInPandas(_digest, schema).withColumnRenamed("id", id_col)
 
 
 @F.pandas_udf(StringType())
 def _kept_text(text: pd.Series, starts: pd.Series, ends: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
-    out = []
-    for t, s, e, f, l in zip(text, starts, ends, first, last, strict=True):
-        data = t.encode()
-        grown = []
-        for a, b in merged(s, e):  # a character goes with any of its bytes
-            while a > 0 and a < len(data) and data[a] & 0xC0 == 0x80:
-                a -= 1
-            while b < len(data) and data[b] & 0xC0 == 0x80:
-                b += 1
-            grown.append((a, b))
-        if f is not None and len(f):
-            begin, end, _ = tb.word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-            grown += [(int(begin[a]), int(end[b - 1])) for a, b in merged(f, l)]
-        out.append(_without(data, merged([a for a, _ in grown], [b for _, b in grown])).decode())
-    return pd.Series(out)
+    return pd.Series([_cut(t.encode(), *spans) for t, *spans in zip(text, starts, ends, first, last, strict=True)])
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, words: int | None = None) -> DataFrame:

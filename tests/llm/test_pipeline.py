@@ -143,3 +143,24 @@ def test_repeated_words_against_brute_force(spark, seed):
     docs = spark.createDataFrame([(k, " \n"[k % 2].join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     found = {r.id: {x for s, e in zip(r.starts, r.ends) for x in range(s, e)} for r in suffix_dedup.repeated_spans(docs, window=51, words=True).collect()}
     assert found == wanted
+
+
+def test_digest_tells_of_passages_of_few_bytes(spark):
+    """51 words of under 400 bytes: no byte counts as removed by the window, but the words are counted and cut; the other columns are those without words."""
+    from loamstone.llm import suffix_dedup
+
+    rng = random.Random(9)
+    passage, long = words(rng, 51), words(rng, 120)
+    own = {k: words(rng, 60) for k in range(6)}
+    assert len(passage.encode()) < 400 < len(long.encode())
+    rows = [(0, f"{own[0]} {passage} {own[1]}"), (1, f"{passage} {own[2]}"), (2, f"{own[3]}\n{long}"), (None, f"{long}\n{own[4]}"), (4, own[5]), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in suffix_dedup.repeat_digest(docs, words=51).collect()}
+    plain = {r.doc_id: r for r in suffix_dedup.repeat_digest(docs).collect()}
+    assert {k: tuple(r)[:5] for k, r in found.items()} == {k: tuple(r) for k, r in plain.items()}
+    assert [found[k].n_removed > 0 for k in (0, 1, 2, None, 4, 5, 6)] == [False, False, True, True, False, False, False]
+    assert [found[k].n_passage_words for k in (0, 1, 2, None, 4, 5, 6)] == [51, 51, 120, 120, 0, 0, 0]
+    assert found[0].text == f"{own[0]}  {own[1]}" and found[1].text == f" {own[2]}"
+    assert (found[4].text, found[5].text, found[6].text) == (own[5], None, "")
+    kept = {r.doc_id: r.text for r in suffix_dedup.without_repeats(docs, words=51).collect()}
+    assert {k: r.text for k, r in found.items()} == kept
